@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import language_id, mixing, secrets, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2,
+    "op5_language_id": language_id.op5,
     "op8_mixing": mixing.op8,
+    "op10_secrets": secrets.op10,
 }
 
 ORACLES: dict[str, str] = {}
