@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, secrets, sharding
+from . import decontamination, html_text, language_id, mixing, secrets, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2,
+    "op3_decontamination": decontamination.op3,
+    "op4_html_text": html_text.op4,
     "op5_language_id": language_id.op5,
     "op8_mixing": mixing.op8,
     "op10_secrets": secrets.op10,
