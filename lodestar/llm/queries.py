@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, mixing, secrets, sharding
+from . import decontamination, html_text, language_id, mixing, secrets, sharding, substrings
 
 QUERIES = {
+    "op1_substrings": substrings.op1,
     "op2_sharding": sharding.op2,
     "op3_decontamination": decontamination.op3,
     "op4_html_text": html_text.op4,
