@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, jaccard, language_id, mixing, secrets, sharding, substrings
+from . import byte_strings, decontamination, html_text, jaccard, language_id, mixing, secrets, sharding, substrings
 
 QUERIES = {
     "op1_substrings": substrings.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": language_id.op5,
     "op7_jaccard": jaccard.op7,
     "op8_mixing": mixing.op8,
+    "op9_byte_strings": byte_strings.op9,
     "op10_secrets": secrets.op10,
 }
 
