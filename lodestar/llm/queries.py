@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_strings, decontamination, html_text, jaccard, language_id, mixing, secrets, sharding, substrings
+from . import byte_strings, decontamination, embeddings, html_text, jaccard, language_id, mixing, secrets, sharding, substrings
 
 QUERIES = {
     "op1_substrings": substrings.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontamination.op3,
     "op4_html_text": html_text.op4,
     "op5_language_id": language_id.op5,
+    "op6_embeddings": embeddings.op6,
     "op7_jaccard": jaccard.op7,
     "op8_mixing": mixing.op8,
     "op9_byte_strings": byte_strings.op9,
