@@ -7,8 +7,11 @@
    symmetric difference partition the shingle domain twice; every choice of all but one
    second-level part gives a signature, and linked sets agree on a non-empty one. Sets
    for which that cannot be guaranteed also join on prefix shingles among themselves.
-3. Sets that share a signature are compared exactly, those most likely to link first.
-   Pairs already connected need no comparison; all others are compared.
+3. Pairs of small signature groups are compared exactly, those most likely to link
+   first; pairs already connected need no comparison. A large group meets at its hub,
+   the member that shares most. Members that are not connected by then differ from the
+   hub by known shingles: two of them can link only if they share an added shingle, or
+   if their numbers of lost and added ones allow it, and just such pairs are compared.
 Sets with equal shingles are one throughout. Nothing is capped.
 """
 
@@ -19,7 +22,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import deal, settle, tasks
@@ -33,7 +36,7 @@ PERCENT = 75
 CHUNK = 1 << 21
 #: Second-level parts, of which one may differ.
 SUBPARTS = 3
-#: Members of a signature group up to which all its pairs are listed at once; larger groups first pair with their smallest.
+#: Members of a signature group up to which its pairs are listed; larger groups meet through a hub.
 SMALL = 8
 
 
@@ -311,8 +314,6 @@ def _groups():
         large = []
         for g in np.flatnonzero(size > SMALL):
             members = i[edge[g] : edge[g + 1]]
-            a.append(np.full(len(members) - 1, members[0]))
-            b.append(members[1:])
             key = hashlib.blake2b(members, digest_size=8).digest()
             if key not in seen:
                 seen.add(key)
@@ -371,29 +372,85 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
 
 
+def _differences(k: int):
+    """Pairs (hub, member) with their packed texts to how many of the hub's shingles the member lacks, and which it adds."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                x, x_at = sets(*_unpack(part.column(2)), k)
+                y, y_at = sets(*_unpack(part.column(3)), k)
+                lost, added = [], []
+                for r in range(part.num_rows):
+                    u, v = x[x_at[r] : x_at[r + 1]], y[y_at[r] : y_at[r + 1]]
+                    new = v[~np.isin(v, u, assume_unique=True)]
+                    added.append(new.view(np.int64))
+                    lost.append(len(u) - (len(v) - len(new)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(x_at).astype(np.int64)), pa.array(lost, pa.int64()), pa.array([len(v) for v in added], pa.int64()), pa.array(added, pa.list_(pa.int64()))], ["hub", "id", "r", "p", "q", "added"])
+
+    return run
+
+
+def _least_shared(x: str, y: str):
+    """Added shingles that two members of a hub must share to link: from r - max(p) + s >= t (r - min(p) + q + q' - s)."""
+    c = lambda n: F.col(f"{x}.{n}")
+    d = lambda n: F.col(f"{y}.{n}")
+    need = PERCENT * (c("r") - F.least(c("p"), d("p")) + c("q") + d("q")) - 100 * (c("r") - F.greatest(c("p"), d("p")))
+    return F.greatest(F.lit(0), F.ceil(need / (100 + PERCENT)))
+
+
+def _past_hubs(hubs: DataFrame, table: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub that are not connected and may link."""
+    l = labels.withColumnRenamed("component", "c")
+    members = hubs.select("hub", "id").join(l, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    mixed = members.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub")
+    members = settle(members.join(mixed, "hub"))
+    if members.isEmpty():
+        return members.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    texts = members.join(table.select(F.col("id").alias("hub"), F.col("packed").alias("x")), "hub").join(table.select("id", F.col("packed").alias("y")), "id")
+    apart = texts.select("hub", "id", "x", "y").mapInArrow(_differences(k), "hub long, id long, r long, p long, q long, added array<long>")
+    home = members.filter("hub = id").select("hub", F.col("c").alias("hc"))
+    rows = settle(apart.join(members, ["hub", "id"]).join(home, "hub"))
+    slim = rows.drop("added")
+    added = rows.select("hub", "id", "c", "r", "p", "q", F.explode("added").alias("h"))
+    busy = added.groupBy("hub", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub", "h")
+    added = settle(added.join(busy, ["hub", "h"]))
+    both = added.alias("x").join(added.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")))
+    sharing = both.groupBy("x.hub", F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("s"), F.first(_least_shared("x", "y")).alias("need")).filter("s >= need").select("a", "b")
+    # Without a shared addition the counts must allow a link; they are few, so classes of equal counts meet, not members.
+    kinds = slim.groupBy("hub", "r", "p", "q").agg(F.max((F.col("c") != F.col("hc")).cast("int")).alias("far"))
+    fit = kinds.alias("x").join(kinds.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.far") == 1) & (_least_shared("x", "y") == 0))
+    fit = fit.select(F.col("x.hub").alias("hub"), F.col("x.p").alias("p"), F.col("x.q").alias("q"), F.col("y.p").alias("p2"), F.col("y.q").alias("q2"))
+    far = slim.filter("c <> hc").select("hub", "p", "q", F.col("id").alias("a"), F.col("c").alias("ca"))
+    near = slim.select("hub", F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("id").alias("b"), F.col("c").alias("cb"))
+    allowed = far.join(fit, ["hub", "p", "q"]).join(near, ["hub", "p2", "q2"]).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return settle(sharing.unionByName(allowed).distinct())
+
+
 def link(table: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(id, component) of the sets in table (id, n, packed) that link with another, found by shared signatures."""
     n = tasks(table.sparkSession)
     found = settle(deal(table.mapInArrow(_sign(n, k), _PACKED), n).mapInArrow(_groups(), "a long, b long, c long, g long"))
     pairs = settle(found.filter("g is null").groupBy("a", "b").agg(F.sum("c").alias("c")))
-    # First the partner with the most shared signatures; then all pairs that are not connected by then.
+    members = found.filter("g is not null").select("g", F.col("a").alias("id")).distinct()
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
+    members = settle(members.join(sizes, "g"))
+    # The member that shares most, over all its groups, is the hub of a group.
+    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    centers = members.join(weight, "id").groupBy("g").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("top")).select("g", (-F.col("top.m")).alias("hub"))
+    hubs = settle(members.join(centers, "g").select("hub", "id").distinct())
+    # First the hubs, and the partner with the most shared signatures; then all listed pairs that are not connected by then.
     best = pairs.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    links = verify(best, table, k)
+    first = best.unionByName(hubs.filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))).distinct()
+    links = verify(first, table, k)
     labels = components(links)
     rest = settle(_apart(pairs.select("a", "b"), labels))
     if not rest.isEmpty():
         links = links.unionByName(verify(rest, table, k))
         labels = components(links)
-    # Pairs of large groups other than with the smallest member: only groups that are not all connected have any left.
-    members = found.filter("g is not null").select("g", F.col("a").alias("id")).distinct().join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = members.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("g")
-    members = settle(members.join(mixed, "g").join(table.select("id", "n"), "id"))
-    if not members.isEmpty():
-        x = members.select("g", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-        y = members.select("g", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-        near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-        cross = x.join(y, "g").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
-        cross = settle(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    cross = _past_hubs(hubs, table, labels, k)
+    if not cross.isEmpty():
         links = links.unionByName(verify(cross, table, k))
         labels = components(links)
     return labels
