@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from importlib import import_module
+
+from .registry import ORACLES, QUERIES
+
+for _plan in ("search", "understanding", "quality", "ledger", "trust", "graph"):
+    import_module(f".plans.{_plan}", __package__)
+
+__all__ = ["ORACLES", "QUERIES"]
