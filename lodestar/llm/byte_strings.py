@@ -5,8 +5,10 @@ SEED-byte pieces, so equal strings have equal anchors at equal places.
 1. Anchors are counted. A string whose anchor occurs once occurs once.
 2. The stretches of text whose strings have a repeated anchor go to the shard of the
    anchor; stretches of equal bytes are one from there on, with all their places.
-3. A shard sorts the suffixes of its different stretches by induced sorting, and the
-   permuted common prefixes show which strings occur elsewhere.
+3. A shard trims its stretches to the strings whose fingerprint occurs again there, so
+   that the surroundings of a passage that many documents share fall away and its copies
+   become one. It sorts the suffixes of what is left by induced sorting, and the permuted
+   common prefixes show which strings occur elsewhere.
 4. The documents meet their repeated strings, which merge into removed runs.
 A string starts in exactly one stretch, so stretches never match themselves.
 """
@@ -186,6 +188,31 @@ def _cut(n_parts: int, length: int):
     return run
 
 
+def _again(contents: list[bytes], times: np.ndarray, length: int) -> np.ndarray:
+    """Of every start in turn, whether the fingerprint of its string occurs at another start or its stretch at another place."""
+    prints, inverse, i = [], pow(_BYTE_BASE, -1, 1 << 64), 0
+    while i < len(contents):
+        j, size = i, 0
+        while j < len(contents) and (j == i or size < SORTED // 4):
+            size, j = size + len(contents[j]), j + 1
+        data = np.frombuffer(b"".join(contents[i:j]), np.uint8)
+        sums = prefix(_CODES[data] * powers(_BYTE_BASE, len(data)))
+        h = mix((sums[length:] - sums[:-length]) * powers(inverse, len(data) - length + 1))
+        sizes = np.array([len(c) for c in contents[i:j]])
+        have = sizes - length + 1
+        first = np.repeat(np.cumsum(sizes) - sizes, have) + np.arange(have.sum()) - np.repeat(np.cumsum(have) - have, have)
+        prints.append(h[first])
+        i = j
+    h = np.concatenate(prints)
+    order = np.argsort(h)
+    s = h[order]
+    same = s[1:] == s[:-1]
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out | np.repeat(times > 1, [len(c) - length + 1 for c in contents])
+
+
 def _match(n_parts: int, length: int):
     """Stretches of an anchor range to the repeated starts among them, dealt by document."""
 
@@ -204,33 +231,52 @@ def _match(n_parts: int, length: int):
                 at += size
         ds, hs, bs, es = [], [], [], []
 
-        def found(content: bytes, spots: list, runs) -> None:
-            for b, e in runs:
-                for d, h, begin in spots:
-                    ds.append(d)
-                    hs.append(h)
-                    bs.append(begin + b)
-                    es.append(begin + e)
-
-        def sort(batch: list) -> None:
-            text = np.frombuffer(b"\xff".join(c for c, _ in batch), np.uint8)
-            yes, at = repeated(text, length), 0
-            for content, spots in batch:
-                n = len(content)
-                hit = np.ones(n - length + 1, bool) if len(spots) > 1 else yes[at : at + n - length + 1]
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                found(content, spots, zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
-                at += n + 1
+        def found(spots: list, b: int, e: int) -> None:
+            for d, h, begin in spots:
+                ds.append(d)
+                hs.append(h)
+                bs.append(begin + b)
+                es.append(begin + e)
+
+        def sort(groups: list) -> None:
+            """groups: for each anchor its different stretches with their places."""
+            stretch = [c for g in groups for c in g]
+            again = _again([c for c, _ in stretch], np.array([len(p) for _, p in stretch]), length)
+            at, r, rest = 0, 0, []
+            for g in groups:
+                pieces: dict[bytes, list] = {}
+                for content, spots in g:
+                    n = len(content) - length + 1
+                    edge = np.flatnonzero(np.diff(again[at : at + n], prepend=False, append=False)).tolist()
+                    at, r = at + n, r + 1
+                    for b, e in zip(edge[::2], edge[1::2], strict=True):
+                        pieces.setdefault(content[b : e - 1 + length], []).extend((d, h, begin + b) for d, h, begin in spots)
+                if len(pieces) == 1:
+                    # One piece throughout: each of its strings occurs at each of its places.
+                    content, spots = next(iter(pieces.items()))
+                    if len(spots) > 1:
+                        found(spots, 0, len(content) - length)
+                else:
+                    rest += pieces.items()
+            if not rest:
+                return
+            yes, at = repeated(np.frombuffer(b"\xff".join(c for c, _ in rest), np.uint8), length), 0
+            for content, spots in rest:
+                n = len(content) - length + 1
+                hit = np.ones(n, bool) if len(spots) > 1 else yes[at : at + n]
+                edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
+                for b, e in zip(edge[::2], edge[1::2], strict=True):
+                    found(spots, b, e - 1)
+                at += len(content) + 1
 
         batch, size = [], 0
         for contents in anchors.values():
             if len(contents) == 1:
-                # One stretch throughout: each of its strings occurs at each of its places.
                 content, spots = next(iter(contents.items()))
                 if len(spots) > 1:
-                    found(content, spots, [(0, len(content) - length)])
+                    found(spots, 0, len(content) - length)
                 continue
-            batch += contents.items()
+            batch.append(list(contents.items()))
             size += sum(map(len, contents))
             if size > SORTED:
                 sort(batch)
