@@ -10,8 +10,9 @@
 3. Pairs of small signature groups are compared exactly, those most likely to link
    first; pairs already connected need no comparison. A large group meets at its hub,
    the member that shares most. Members that are not connected by then differ from the
-   hub by known shingles: two of them can link only if they share an added shingle, or
-   if their numbers of lost and added ones allow it, and just such pairs are compared.
+   hub by known shingles. Their numbers of lost and added ones say how many additions
+   two of them must share to link; those with too few shared ones are done, the others
+   meet on their rarest, and just such pairs are compared.
 Sets with equal shingles are one throughout. Nothing is capped.
 """
 
@@ -22,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import deal, settle, tasks
@@ -413,18 +414,31 @@ def _past_hubs(hubs: DataFrame, table: DataFrame, labels: DataFrame, k: int) ->
     home = members.filter("hub = id").select("hub", F.col("c").alias("hc"))
     rows = settle(apart.join(members, ["hub", "id"]).join(home, "hub"))
     slim = rows.drop("added")
-    added = rows.select("hub", "id", "c", "r", "p", "q", F.explode("added").alias("h"))
-    busy = added.groupBy("hub", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub", "h")
-    added = settle(added.join(busy, ["hub", "h"]))
-    both = added.alias("x").join(added.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")))
-    sharing = both.groupBy("x.hub", F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("s"), F.first(_least_shared("x", "y")).alias("need")).filter("s >= need").select("a", "b")
-    # Without a shared addition the counts must allow a link; they are few, so classes of equal counts meet, not members.
-    kinds = slim.groupBy("hub", "r", "p", "q").agg(F.max((F.col("c") != F.col("hc")).cast("int")).alias("far"))
-    fit = kinds.alias("x").join(kinds.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.far") == 1) & (_least_shared("x", "y") == 0))
+    far = slim.filter("c <> hc")
+    # The fewest shared additions with which any member could link: of the members that lack p shingles, one that adds least.
+    kinds = far.select("hub", "r", "p", "q").distinct()
+    others = slim.groupBy("hub", "r", "p").agg(F.min("q").alias("q"))
+    needs = kinds.alias("x").join(others.alias("y"), F.col("x.hub") == F.col("y.hub")).groupBy("x.hub", "x.p", "x.q").agg(F.min(_least_shared("x", "y")).alias("least"))
+    far = far.join(needs, ["hub", "p", "q"])
+    # Additions that occur once are shared with nobody. A member with fewer others than it needs links with nobody either;
+    # the rest look only for their rarest additions, one of which any partner must hold.
+    common = rows.select("hub", F.explode("added").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("n")).filter("n > 1")
+    open_ = rows.filter("c <> hc").select("hub", "id", F.explode("added").alias("h")).join(common, ["hub", "h"]).join(far.filter("least > 0").select("hub", "id", "c", "least"), ["hub", "id"])
+    by_member = Window.partitionBy("hub", "id")
+    open_ = open_.withColumns({"t": F.count("*").over(by_member), "rank": F.row_number().over(by_member.orderBy("n", "h"))})
+    probes = settle(open_.filter("t >= least and rank <= t - least + 1").select("hub", "h", F.col("id").alias("a"), F.col("c").alias("ca")))
+    sharing = rows.select("hub", F.col("id").alias("b"), F.col("c").alias("cb"), F.explode("added").alias("h")).join(probes, ["hub", "h"]).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Without a shared addition the counts must allow a link; classes of equal counts meet, not members.
+    free = far.filter("least = 0").select("hub", "r", "p", "q").distinct()
+    classes = slim.select("hub", "r", "p", "q").distinct()
+    fit = free.alias("x").join(classes.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (_least_shared("x", "y") == 0))
     fit = fit.select(F.col("x.hub").alias("hub"), F.col("x.p").alias("p"), F.col("x.q").alias("q"), F.col("y.p").alias("p2"), F.col("y.q").alias("q2"))
-    far = slim.filter("c <> hc").select("hub", "p", "q", F.col("id").alias("a"), F.col("c").alias("ca"))
-    near = slim.select("hub", F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("id").alias("b"), F.col("c").alias("cb"))
-    allowed = far.join(fit, ["hub", "p", "q"]).join(near, ["hub", "p2", "q2"]).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    one = far.filter("least = 0").select("hub", "p", "q", F.col("id").alias("a"), F.col("c").alias("ca"))
+    two = slim.select("hub", F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("id").alias("b"), F.col("c").alias("cb"))
+    allowed = one.join(fit, ["hub", "p", "q"]).join(two, ["hub", "p2", "q2"]).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # A member that might link without any shared addition may link with one as well.
+    loose = rows.filter("c <> hc").join(far.filter("least = 0").select("hub", "id"), ["hub", "id"], "left_semi").select("hub", F.col("id").alias("a"), F.col("c").alias("ca"), F.explode("added").alias("h")).join(common, ["hub", "h"], "left_semi")
+    sharing = sharing.unionByName(rows.select("hub", F.col("id").alias("b"), F.col("c").alias("cb"), F.explode("added").alias("h")).join(loose, ["hub", "h"]).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return settle(sharing.unionByName(allowed).distinct())
 
 
