@@ -83,6 +83,18 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed:
     return np.concatenate(rows), np.concatenate(begins), np.concatenate(ends), np.concatenate(anchors)
 
 
+def anchor_part(anchors: np.ndarray, n_parts: int) -> np.ndarray:
+    """Task of an anchor; anchors are minima, hence small numbers, and are mixed first."""
+    return hash_part(mix(anchors), n_parts)
+
+
+def runs(flags: np.ndarray):
+    """(begin, end) of every run of true flags."""
+    edge = (np.flatnonzero(flags[1:] != flags[:-1]) + 1).tolist()
+    edge = ([0] if flags[0] else []) + edge + ([len(flags)] if flags[-1] else [])
+    return zip(edge[::2], edge[1::2], strict=True)
+
+
 def _anchors(n_parts: int):
     def run(batches):
         for b in batches:
@@ -94,7 +106,7 @@ def _anchors(n_parts: int):
                     continue
                 d, h = _keys(b, i, j), text_hashes(span, off)
                 out = []
-                for p, pick in by_part(hash_part(anchor, n_parts), n_parts):
+                for p, pick in by_part(anchor_part(anchor, n_parts), n_parts):
                     where = np.stack([begin[pick], end[pick]]).astype(np.uint32)
                     out.append((p, 0, d[row[pick]].tobytes(), h[row[pick]].tobytes(), where.tobytes(), anchor[pick].tobytes()))
                 yield _table(out)
@@ -174,7 +186,7 @@ def _cut(n_parts: int, length: int):
             mine = places.of(d, h)
             if mine.stop > mine.start:
                 seen.add((d, h))
-            part = hash_part(places.a[mine], n_parts)
+            part = anchor_part(places.a[mine], n_parts)
             for k in range(mine.start, mine.stop):
                 b, e = int(places.w[0, k]), int(places.w[1, k])
                 held.setdefault(int(part[k - mine.start]), []).append((d, h, b, e, places.a[k], text[b : e + length]))
@@ -242,15 +254,16 @@ def _match(n_parts: int, length: int):
             """groups: for each anchor its different stretches with their places."""
             stretch = [c for g in groups for c in g]
             again = _again([c for c, _ in stretch], np.array([len(p) for _, p in stretch]), length)
-            at, r, rest = 0, 0, []
+            at, rest = 0, []
             for g in groups:
                 pieces: dict[bytes, list] = {}
                 for content, spots in g:
                     n = len(content) - length + 1
-                    edge = np.flatnonzero(np.diff(again[at : at + n], prepend=False, append=False)).tolist()
-                    at, r = at + n, r + 1
-                    for b, e in zip(edge[::2], edge[1::2], strict=True):
+                    for b, e in runs(again[at : at + n]):
                         pieces.setdefault(content[b : e - 1 + length], []).extend((d, h, begin + b) for d, h, begin in spots)
+                    at += n
+                if not pieces:
+                    continue
                 if len(pieces) == 1:
                     # One piece throughout: each of its strings occurs at each of its places.
                     content, spots = next(iter(pieces.items()))
@@ -264,8 +277,7 @@ def _match(n_parts: int, length: int):
             for content, spots in rest:
                 n = len(content) - length + 1
                 hit = np.ones(n, bool) if len(spots) > 1 else yes[at : at + n]
-                edge = np.flatnonzero(np.diff(hit, prepend=False, append=False)).tolist()
-                for b, e in zip(edge[::2], edge[1::2], strict=True):
+                for b, e in runs(hit):
                     found(spots, b, e - 1)
                 at += len(content) + 1
 
