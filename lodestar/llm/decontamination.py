@@ -12,7 +12,6 @@ import heapq
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -105,9 +104,9 @@ def _compare(ids: list[int], texts: list[str]):
     """A function of texts: (coverage, minus item id, words) against one block of items."""
     probe = Probe(ids, texts)
 
-    @F.pandas_udf("struct<coverage:double,item:long,n_words:long>")
-    def of(column: pd.Series) -> pd.DataFrame:
-        data, at = utf8(pc.utf8_lower(pa.array(column, pa.large_string(), from_pandas=True)))
+    @F.arrow_udf("struct<coverage:double,item:long,n_words:long>")
+    def of(column: pa.Array) -> pa.Array:
+        data, at = utf8(pc.utf8_lower(column))
         n_words, item, cover = [], [], [np.zeros(0)]
         for i, j in parts(at, CHUNK):
             hashes, _, _, offsets = words(data[at[i] : at[j]], at[i : j + 1] - at[i], loose=True)
@@ -124,7 +123,7 @@ def _compare(ids: list[int], texts: list[str]):
             n_words += np.diff(offsets).tolist()
             item += [None if v is None else -v for v in best]
             cover.append(share)
-        return pd.DataFrame({"coverage": np.concatenate(cover), "item": pd.array(item, "Int64"), "n_words": n_words})
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(cover)), pa.array(item, pa.int64()), pa.array(n_words, pa.int64())], ["coverage", "item", "n_words"])
 
     return of
 

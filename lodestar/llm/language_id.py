@@ -21,7 +21,7 @@ from ._text import _LOWER, parts, utf8
 BITS = 12
 DIM = 1 << BITS
 #: Most labelled documents of a language that the classifier is fitted on, and most languages: the bound of the sample.
-PER_LANG, MOST_LANGS = 400, 64
+PER_LANG, MOST_LANGS = 250, 64
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -99,7 +99,7 @@ class Model:
         if not langs:
             return Model([], [], np.zeros((DIM, 0), np.float32), np.zeros(0), np.zeros(0), [])
         groups = families(np.stack([x[y == i].mean(0) for i in range(len(langs))]))
-        spread = 1.0 / np.sqrt(x.var(0) + 1e-8)
+        spread = (1.0 / np.sqrt(x.var(0) + 1e-8)).astype(np.float32)
         z = x * spread
         z, scale = (z / (s := np.sqrt((z * z).sum(1).mean()) or 1.0)).astype(np.float32), spread / s
         jobs = [("family", f, None) for f in range(len(groups))] if len(groups) > 1 else []
@@ -187,9 +187,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if rows.num_rows == 0:
         return Model.fit(np.zeros((0, DIM), np.float32), [])
     labels = rows.column("lang").to_pylist()
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows.column("x").to_pylist()]).astype(np.float64)
-    order = sorted(range(len(labels)), key=lambda i: (labels[i], x[i].tobytes()))
-    return Model.fit(x[order], [labels[i] for i in order])
+    raw = sorted(zip(labels, rows.column("x").to_pylist(), strict=True))
+    return Model.fit(np.stack([np.frombuffer(v, np.float32) for _, v in raw]), [label for label, _ in raw])
 
 
 def identify(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -201,12 +200,10 @@ def identify(docs: DataFrame, model: Model | None = None, key: str = "doc_id", t
     """
     model = model or fit(docs, key, text, lang)
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def of(t):
-        import pandas as pd
-
-        data, at = utf8(pa.array(t, pa.large_string(), from_pandas=True))
-        langs, scores = [], []
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def of(t: pa.Array) -> pa.Array:
+        data, at = utf8(t)
+        langs, scores = [], [np.zeros(0)]
         for i, j in parts(at, CHUNK):
             span = data[at[i] : at[j]]
             got, sure = model.predict(span, at[i : j + 1] - at[i])
@@ -216,7 +213,7 @@ def identify(docs: DataFrame, model: Model | None = None, key: str = "doc_id", t
                     got[k], sure[k] = UNKNOWN, 0.0
             langs += got
             scores.append(sure)
-        return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else np.zeros(0)})
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
 
     return docs.withColumn("held_out", held_out(F.col(key))).withColumn("_l", of(F.col(text))).withColumns({"lang_pred": F.col("_l.lang_pred"), "score": F.col("_l.score")}).drop("_l")
 
