@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import decontamination, html_text, language_id, mixing, secrets, sharding
 
@@ -68,6 +69,33 @@ def test_mixing(spark, rows):
     assert mixing.mix(h.frame(spark, [])).count() == 0
 
 
+def test_mixing_fills_what_a_long_document_leaves(spark):
+    rows = [(i, "w " * 30, "a") for i in range(2000)] + [(2000, "w " * 60000, "a"), (2001, "w " * 60000, "b")]
+    got = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r["source"] == "a"]
+    assert got[0]["target"] == 60000 and abs(sum(r["taken"] for r in got) - 60000) <= 15
+
+
+def test_mixing_is_no_worse_than_first_fit(spark, rows):
+    r = np.random.default_rng(5)
+    rows = [(i, "w " * int(n), f"s{i % 4}") for i, n in enumerate((r.pareto(0.7, 1500) * 3 + 1).clip(1, 9000))]
+    rows += rows[:300] + rows[:100] + [(9000 + i, "w " * 3, "s1") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2):
+        got = mixing.mix(df, seed).withColumn("u", mixing.chance(F.col("doc_id"), F.col("text"), seed)).collect()
+        for s in ("s0", "s1", "s2", "s3"):
+            mine = sorted((x for x in got if x["source"] == s), key=lambda x: x["u"])
+            target, base = mine[0]["target"], min(x["copies"] for x in mine)
+            room = target - base * mine[0]["source_size"]
+            units = defaultdict(list)
+            for x in mine:
+                units[x["u"]].append(x)
+            assert all(len({x["copies"] for x in u}) == 1 for u in units.values())
+            for u in units.values():
+                words = sum(x["size"] for x in u)
+                room -= words if words <= room else 0
+            assert abs(sum(x["taken"] for x in mine) - target) <= room + 1e-6
+
+
 def test_decontamination(spark):
     v = h.vocabulary(4)
     item = " ".join(v[:40])
