@@ -93,3 +93,17 @@ def suggest(docs: DataFrame, typed: str, limit: int = 10) -> DataFrame:
     part = F.lower(F.lit(typed.replace("%", "").replace("_", "")[:100]))
     hits = docs.filter(F.contains(F.lower("title"), part) & (F.col("title") != "")).groupBy("title").agg(F.max("crawled_at").alias("crawled_at"))
     return hits.orderBy(F.desc("crawled_at"), "title").limit(max(1, min(50, limit)))
+
+
+def shared_pairs(rows: DataFrame, terms: str) -> DataFrame:
+    """term_a, term_b (term_a < term_b), times: the pairs of terms that at least two rows' sets hold, nothing bounded.
+
+    Terms of a single row are in no such pair; without them the pairs are exact and fewer.
+    """
+    # In one select the numbers would be given after the explode.
+    held = rows.select(F.monotonically_increasing_id().alias("row"), terms).select("row", F.explode(terms).alias("term"))
+    often = held.groupBy("term").agg(F.count("*").alias("n")).filter("n > 1").select("term")
+    sets = held.join(often, "term", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("term")).alias("w"))
+    a = sets.select("w", F.posexplode("w").alias("i", "term_a"))
+    pairs = a.select("term_a", F.explode(F.expr("slice(w, i + 2, size(w))")).alias("term_b"))
+    return pairs.groupBy("term_a", "term_b").agg(F.count("*").alias("times")).filter("times > 1")

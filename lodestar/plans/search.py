@@ -128,8 +128,10 @@ def highlight(spark, sf_dir):
  SELECT a.term AS term_a, b.term AS term_b, count(*) AS times FROM d a JOIN n USING (conv_id) JOIN d b ON a.conv_id = b.conv_id AND a.term < b.term GROUP BY ALL HAVING count(*) > 1""",
 )
 def related_searches(spark, sf_dir):
-    """Term pairs that more than one session's queries share; a session is a query log entry of at most 64 distinct terms."""
-    terms = F.filter(F.array_distinct(text.ascii_tokens(F.col("text"))), lambda w: F.length(w) > 3)
-    rows = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", F.explode(terms).alias("term")).groupBy("conv_id").agg(F.sort_array(F.collect_set("term")).alias("w")).filter(F.size("w") <= 64)
-    a = rows.select("w", F.posexplode("w").alias("i", "term_a"))
-    return a.select("term_a", F.explode(F.expr("slice(w, i + 2, size(w))")).alias("term_b")).groupBy("term_a", "term_b").agg(F.count("*").alias("times")).filter("times > 1")
+    """Term pairs that more than one query shares; every user turn is a query, all its distinct terms count.
+
+    A term of one query only cannot be in a shared pair, so those go before terms are paired.
+    The SQL twin still leaves out terms of three letters or fewer and conversations of more than 64 terms.
+    """
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.array_distinct(text.ascii_tokens(F.col("text"))).alias("w"))
+    return search.shared_pairs(turns, "w")

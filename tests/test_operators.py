@@ -1,8 +1,10 @@
 """Formulas at their boundaries, oracles on a small corpus, and the lexical search against SQLite's."""
 
+import itertools
 import math
 import re
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +127,15 @@ def test_tokens_fold_accents(spark):
     assert one(spark, text.index_tokens(F.lit("Café_au lait's"))) == ["cafe", "au", "lait", "s"]
 
 
+def test_related_searches_pairs_all_terms_of_a_turn(spark, tmp_path):
+    long = " ".join(f"term{i}" for i in range(90))
+    rows = [(1, 0, "user", long + " ai ml"), (1, 1, "assistant", "term0 ai"), (2, 0, "user", long.upper()), (3, 0, "user", "ml AI ml once"), (4, 0, "user", None), (5, 0, "user", ""), (3, 1, "user", "term0"), (3, 2, "user", "ai")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r["term_a"], r["term_b"]): r["times"] for r in catalog.QUERIES["related_searches"](spark, str(tmp_path)).collect()}
+    want = Counter(p for _, _, role, t in rows if role == "user" for p in itertools.combinations(sorted(set((t or "").lower().split())), 2))
+    assert got == {p: n for p, n in want.items() if n > 1} and got["ai", "ml"] == 2 and len(got) == 90 * 89 // 2 + 1
+
+
 FAST = ["bm25_search", "ranked_search", "intent6", "nl_query_parse", "toxicity", "url_safety", "credit_balance", "grace_state", "trust_score", "threat_level", "rate_limited", "facets", "keywords_tf", "normalize_url", "content_diff", "citations", "rag_chunks", "replica_set", "recrawl_queue", "stream_hourly_counts"]
 
 
