@@ -27,6 +27,12 @@ BOILERPLATE_NAMES = frozenset(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a head may hold; any other start tag ends it. Tags of HTML that end an unclosed drawing or formula, unless inside one of its text parts.
+HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+DRAWING_TAGS, DRAWING_TEXT = frozenset("svg math".split()), frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT_TAGS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split()
+)
 STOP_WORDS = frozenset(
     (
         "a about after all also an and are as at be been but by can for from had has have he her his i if in into is it its more no not of on one or our out she so than that the their them there they this to up was we were what when which who will with would you your "
@@ -78,9 +84,15 @@ def _marked(attributes: str) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks in page order. An end tag closes the nearest open tag of its name; unclosed ones end with their parent."""
+    """Blocks in page order. An end tag closes the nearest open tag of its name; unclosed ones end with their parent.
+
+    So do unclosed skipped tags; a head also ends at what cannot be in it. Only an unclosed script, style, textarea or
+    title of the body hides the rest of the page, as in HTML.
+    """
     found: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    inline: list[tuple[str, int]] = []  # other open tags, with the length of the stack
+    inner: list[str] = []  # open tags inside what is skipped
     parts: list[tuple[str, bool]] = []
     at, skip, links = 0, "", 0
     out = inside = False
@@ -96,29 +108,61 @@ def blocks(page: str) -> list[Block]:
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and not skip:
-            parts.append((page[at : m.start()], links > 0))
+        if m.start() > at:
+            if skip == "head" and not inner and page[at : m.start()].strip():
+                skip = ""
+            if not skip:
+                parts.append((page[at : m.start()], links > 0))
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if skip:
-            if m[1] and tag == skip:
-                skip = ""
-            continue
+            if m[1]:
+                if tag in inner:
+                    while inner.pop() != tag:
+                        pass
+                    continue
+                if tag == skip:
+                    skip = ""
+                    inner.clear()
+                    continue
+                if (tag, len(stack)) not in inline and all(s[0] != tag for s in stack) and not (skip == "head" and tag in ("body", "html")):
+                    continue
+            elif skip == "head" and tag not in HEAD_TAGS and "template" not in inner or skip in DRAWING_TAGS and tag in BREAKOUT_TAGS and DRAWING_TEXT.isdisjoint(inner):
+                pass
+            else:
+                raw = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if tag in RAW_TAGS and not m[3].endswith("/") else None
+                if raw:
+                    at = raw.end()
+                elif tag == skip == "select":  # acts as its end tag
+                    skip = ""
+                    inner.clear()
+                elif tag not in VOID_TAGS and not m[3].endswith("/") and not tag == skip == "button":
+                    inner.append(tag)
+                continue
+            skip = ""
+            inner.clear()
         if tag in BLOCK_TAGS:
             close()
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
+            if tag not in BLOCK_TAGS:
+                for k in range(len(inline) - 1, -1, -1):
+                    if inline[k][0] == tag:
+                        del inline[k]
+                        break
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close()
                     del stack[k:]
+                    while inline and inline[-1][1] > k:
+                        inline.pop()
                     out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
                     break
             continue
-        if tag in SKIPPED_TAGS and not m[3].endswith("/"):
+        if tag in SKIPPED_TAGS and tag not in VOID_TAGS and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if tag in RAW_TAGS else None
             if tag in RAW_TAGS:
                 at = end.end() if end else len(page)
@@ -127,6 +171,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "a":
             links += 1
+            inline.append((tag, len(stack)))
             continue
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
@@ -139,7 +184,9 @@ def blocks(page: str) -> list[Block]:
             out, inside = now_out, now_inside
             if tag in BLOCK_TAGS:
                 links = 0
-    if at < len(page) and not skip:
+        else:
+            inline.append((tag, len(stack)))
+    if at < len(page) and (not skip or skip == "head" and not inner and page[at:].strip()):
         parts.append((page[at:], links > 0))
     close()
     return found

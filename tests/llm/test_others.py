@@ -129,6 +129,28 @@ def test_html_text(spark):
     assert len(got) == 5 and texts[1] == want and texts[2] == texts[3] == "" and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+SAID = "This is the first paragraph of the text, and it is about the things that were said by all of them in the year."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><p>{SAID}</p><embed src=x><p>{SAID}</p></body>",
+        f"<html><head><title>T</title><script>'<p>'</script><meta a=b><body><p>{SAID}</p><p>{SAID}</p></body></html>",
+        f"<head><title>T</title><link a=b><p>{SAID}</p><p>{SAID}</p>",
+        f"<head><noscript><link a=b><title>T</title></head><p>{SAID}</p><p>{SAID}</p>",
+        f"<head><title>T</title> {SAID}<br>{SAID}",
+        f"<body><p>{SAID}</p><svg><path d=1><p>{SAID}</p></body>",
+        f"<p>{SAID} <span><svg><title>x</title><g></g></span></p><p>{SAID}</p>",
+        f"<div><button>Buy<button>Sell</button></div><p>{SAID}</p><p>{SAID}</p>",
+    ]
+    + [f"<body><p>{SAID}</p><div><{t}>no <b>not</b></div><p>{SAID}</p></body>" for t in "noscript svg iframe object select button canvas video template math".split() if t not in ("svg", "math")]
+    + [f"<body><p>{SAID}</p><div><{t}><div>no</div><{t}>no</{t}>never</{t}></div><p>{SAID}</p></body>" for t in ("object", "noscript", "template")],
+)
+def test_html_skips_end_with_their_parent(page):
+    assert html_text.main_text(page) == f"{SAID} {SAID}"
+
+
 def test_language_id(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "123 !!", "en", "s", 0), (-3, "", None, "s", 0), (None, "the and of", "en", "s", 0)], pages.schema)
