@@ -1,13 +1,15 @@
 """Secret scans: patterns, and a character convolutional network over every candidate.
 
-Base spans come from three patterns. The network reads each further candidate (a long
-run of key characters) with the characters around it and adds the spans whose
-calibrated chance passes a threshold set for recall on held-out labelled findings.
+Base spans come from three patterns. The network reads every candidate (a long run of
+key characters) over its whole length, in overlapping pieces with the characters around
+them, and adds the runs of which the likeliest piece's calibrated chance passes a
+threshold set for recall on held-out labelled findings.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import string
 from functools import lru_cache
@@ -24,8 +26,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "model")
 #: A candidate for the network: a run of key characters of at least this length.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters of a candidate's head and of the text before it that the network reads.
-HEAD, BEFORE = 48, 32
+#: Characters of a piece of a candidate, and of the text before and after it, that the network reads; and from one piece to the next.
+PIECE, BEFORE, AFTER, STRIDE = 48, 32, 16, 24
 WIDTH, FILTERS, DIMS = 5, 24, 12
 #: Share of held-out secrets that the threshold must keep.
 RECALL = 0.97
@@ -35,33 +37,50 @@ for _i, _c in enumerate(string.ascii_letters + string.digits + "+/_=-.:\"' ,;@#$
 _SYMBOLS = int(_ALPHABET.max()) + 1
 
 
-def encode(before: str, candidate: str) -> np.ndarray:
-    """Symbol numbers of the context and the candidate's head; 0 pads, 1 is any other character."""
-    raw = before[-BEFORE:].rjust(BEFORE, "\0") + candidate[:HEAD].ljust(HEAD, "\0")
-    codes = np.frombuffer(raw.encode("utf-32-le"), np.uint32)
+def encode(before: str, piece: str, after: str) -> np.ndarray:
+    """Symbol numbers of the piece and what is around it; 0 pads, 1 is any other character."""
+    raw = before[-BEFORE:].rjust(BEFORE, "\0") + piece.ljust(PIECE, "\0") + after[:AFTER].ljust(AFTER, "\0")
+    codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = np.where(codes < 128, _ALPHABET[np.minimum(codes, 127)], 1)
     return np.where(codes == 0, 0, np.maximum(out, 1))
 
 
+def pieces(s: int, e: int) -> list[tuple[int, int]]:
+    """Overlapping pieces that cover s to e; any stretch of PIECE - STRIDE characters is whole in one."""
+    return [(i, min(e, i + PIECE)) for i in [*range(s, e - PIECE, STRIDE), max(s, e - PIECE)]]
+
+
+def encode_at(text: str, s: int, e: int) -> np.ndarray:
+    return encode(text[max(0, s - BEFORE) : s], text[s:e], text[e : e + AFTER])
+
+
 def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled findings: random keys in settings, headers and prose; and look-alikes such as words, paths, numbers, dates and rules."""
+    """Pieces of labelled findings: random keys in settings, headers and prose, some of them behind or before paths and slugs; and look-alikes such as words, paths, numbers, dates and rules.
+
+    Of a key it is the piece that holds most of it, of a look-alike any.
+    """
     r = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(r.choice(list(chars), k))
     word = lambda: pick(string.ascii_lowercase, int(r.integers(2, 10)))
     xs, ys = [], []
     for _ in range(n):
         secret = bool(r.random() < 0.5)
+        lead, tail = "", ""
         if secret:
             chars = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_uppercase + string.digits, "0123456789ABCDEF"][int(r.integers(5))]
             candidate = pick(chars, int(r.integers(20, 65))) + ("=" * int(r.integers(0, 3)) if "+" in chars else "")
             if r.random() < 0.3:
                 candidate = str(r.choice(["ghp_", "sk-", "xoxb-", "glpat-", "AIza", "sk_live_"])) + candidate
+            if r.random() < 0.25:
+                joint = str(r.choice(["/", "_", "-"]))
+                slug = "".join(word() + joint for _ in range(int(r.integers(1, 20))))
+                lead, tail = (slug, "") if r.random() < 0.8 else ("", joint + slug)
         else:
             kind = int(r.integers(7))
             if kind == 0:
                 candidate = "".join(word() for _ in range(5))
             elif kind == 1:
-                candidate = "/".join(word() for _ in range(int(r.integers(4, 7))))
+                candidate = "/".join(word() for _ in range(int(r.integers(4, 24 if r.random() < 0.4 else 7))))
             elif kind == 2:
                 candidate = pick(string.digits, int(r.integers(16, 24)))
             elif kind == 3:
@@ -69,7 +88,7 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             elif kind == 4:
                 candidate = "-".join([pick(string.digits, 4), pick(string.digits, 2), pick(string.digits, 2)]) + "_" + word() + "_" + word()
             elif kind == 5:
-                candidate = (str(r.choice(["_", "-"]))).join(word() for _ in range(int(r.integers(3, 6))))
+                candidate = (str(r.choice(["_", "-"]))).join(word() for _ in range(int(r.integers(3, 20 if r.random() < 0.3 else 6))))
             else:
                 candidate = "".join(word().capitalize() for _ in range(4))
             candidate = candidate.ljust(16, "e")
@@ -77,17 +96,26 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         before = " ".join(word() for _ in range(6)) + " "
         if r.random() < (0.7 if secret else 0.1):
             before += setting + str(r.choice([" = ", ": ", '="', "=", " "]))
-        xs.append(encode(before, candidate))
+        after = str(r.choice(["", '"', "'", " ", "\n", ". ", ", ", '",\n']))
+        if after and r.random() < 0.8:
+            after += " ".join(word() for _ in range(3))
+        start, stop = len(before) + len(lead), len(before) + len(lead) + len(candidate)
+        every = pieces(len(before), stop + len(tail))
+        at = max(every, key=lambda p: min(p[1], stop) - max(p[0], start)) if secret else every[int(r.integers(len(every)))]
+        xs.append(encode_at(before + lead + candidate + tail + after, *at))
         ys.append(secret)
     return np.stack(xs), np.array(ys, float)
 
 
 class Network:
-    """Embedding, convolution, rectifier, maximum over context and over candidate, one unit out."""
+    """Embedding, convolution, rectifier, maximum and mean over the piece and over the text on each side, one unit out."""
+
+    #: Windows that begin in the text before, in the piece, and later.
+    SIDES = (slice(0, BEFORE - WIDTH + 1), slice(BEFORE - WIDTH + 1, BEFORE + PIECE - WIDTH + 1), slice(BEFORE + PIECE - WIDTH + 1, None))
 
     def __init__(self, seed: int = 10):
         r = np.random.default_rng(seed)
-        self.p = {"e": r.normal(0, 0.3, (_SYMBOLS, DIMS)), "w": r.normal(0, 0.15, (WIDTH * DIMS, FILTERS)), "b": np.zeros(FILTERS), "v": r.normal(0, 0.2, 4 * FILTERS), "c": np.zeros(1)}
+        self.p = {"e": r.normal(0, 0.3, (_SYMBOLS, DIMS)), "w": r.normal(0, 0.15, (WIDTH * DIMS, FILTERS)), "b": np.zeros(FILTERS), "v": r.normal(0, 0.2, 2 * len(self.SIDES) * FILTERS), "c": np.zeros(1)}
         self.p["e"][0] = 0
         self.slope, self.shift, self.threshold = 1.0, 0.0, 0.5
 
@@ -97,22 +125,22 @@ class Network:
         n, t = len(x), x.shape[1] - WIDTH + 1
         cols = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(n, t, WIDTH * DIMS)
         h = np.maximum(cols @ p["w"] + p["b"], 0)
-        cut = BEFORE - WIDTH + 1
-        sides = [h[:, :cut], h[:, cut:]]
+        sides = [h[:, s] for s in self.SIDES]
         f = np.concatenate([s.max(1) for s in sides] + [s.mean(1) for s in sides], 1)
-        return f @ p["v"] + p["c"][0], (cols, h, f, cut)
+        return f @ p["v"] + p["c"][0], (cols, h, f)
 
     def grads(self, x, y):
-        z, (cols, h, f, cut) = self.forward(x)
+        z, (cols, h, f) = self.forward(x)
         d = (1 / (1 + np.exp(-z)) - y) / len(y)
         g = {"v": f.T @ d, "c": np.array([d.sum()])}
         df = d[:, None] * self.p["v"]
         dh = np.zeros_like(h)
-        for k, s in enumerate((slice(0, cut), slice(cut, None))):
+        for k, s in enumerate(self.SIDES):
             part = h[:, s]
             top = part.argmax(1)
             np.put_along_axis(dh[:, s], top[:, None, :], np.take_along_axis(dh[:, s], top[:, None, :], 1) + df[:, None, k * FILTERS : (k + 1) * FILTERS], 1)
-            dh[:, s] += df[:, None, (k + 2) * FILTERS : (k + 3) * FILTERS] / part.shape[1]
+            k += len(self.SIDES)
+            dh[:, s] += df[:, None, k * FILTERS : (k + 1) * FILTERS] / part.shape[1]
         dh *= h > 0
         g["w"] = np.tensordot(cols, dh, ([0, 1], [0, 1]))
         g["b"] = dh.sum((0, 1))
@@ -144,7 +172,7 @@ class Network:
         best = min(((a, b) for a in np.geomspace(0.1, 4, 25) for b in np.linspace(-2, 2, 17)), key=lambda p: np.logaddexp(0, np.where(y > 0, -1, 1) * (p[0] * z + p[1])).mean())
         self.slope, self.shift = best
         chance = np.sort(self.chance(x)[y > 0])
-        self.threshold = max(0.5, float(chance[int((1 - RECALL) * len(chance))]))
+        self.threshold = float(chance[int((1 - RECALL) * len(chance))])
 
     def chance(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.forward(x)[0] + self.shift)))
@@ -174,29 +202,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with a digit and a letter that no base span touches."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        run = m[0]
-        if not run.isalpha() and not run.isdigit() and not any(b[0] < e and s < b[2] for b in base):
-            out.append((s, e))
-    return out
+def candidates(text: str) -> list[tuple[int, int]]:
+    """All runs of key characters, whatever they are made of and whether or not a base span touches them."""
+    return [m.span() for m in CANDIDATE.finditer(text)]
 
 
 def scan(texts: list[str], net: Network) -> list[tuple[list, list]]:
     """Base spans and added spans of each text."""
-    base = [base_spans(t) for t in texts]
-    where = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t, base[i])]
-    added: list[list] = [[] for _ in texts]
-    for k in range(0, len(where), 512):
-        part = where[k : k + 512]
-        chance = net.chance(np.stack([encode(texts[i][max(0, s - BEFORE) : s], texts[i][s : min(e, s + HEAD)]) for i, s, e in part]))
-        for (i, s, e), c in zip(part, chance, strict=True):
+    added: list[dict] = [{} for _ in texts]
+    where = ((i, s, e, p) for i, t in enumerate(texts) for s, e in candidates(t) for p in pieces(s, e))
+    while part := list(itertools.islice(where, 512)):
+        chance = net.chance(np.stack([encode_at(texts[i], *p) for i, _, _, p in part]))
+        for (i, s, e, _), c in zip(part, chance, strict=True):
             if c >= net.threshold:
-                added[i].append((s, 3, e))
-    return list(zip(base, added, strict=True))
+                added[i][s, 3, e] = True
+    return [(base_spans(t), list(a)) for t, a in zip(texts, added, strict=True)]
 
 
 def _line(spans) -> str:

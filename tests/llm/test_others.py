@@ -1,5 +1,6 @@
 import hashlib
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,3 +188,19 @@ def test_secret_network_keeps_its_recall():
     x, y = secrets.labelled(1000, 77)
     found = net.chance(x) >= net.threshold
     assert found[y > 0].mean() > 0.93 and found[y == 0].mean() < 0.05
+
+
+def test_secrets_reads_every_run_over_its_whole_length():
+    net, r, key = secrets.network(), np.random.default_rng(9), string.ascii_letters + string.digits
+    pick = lambda chars, n: "".join(r.choice(list(chars), n))
+    slug = lambda n: "".join(pick(string.ascii_lowercase, int(r.integers(3, 9))) + "/_-"[int(r.integers(3))] for _ in range(n))
+    has = lambda run, before="we saw it in ", after=" on that day": bool(secrets.scan([before + run + after], net)[0][1])
+    assert np.mean([has(slug(14) + pick(key, 36)) for _ in range(200)]) > 0.9
+    assert np.mean([has(slug(14)) for _ in range(200)]) < 0.1
+    held = pick(key, 12) + "G0123456789abcdefZ" + pick(key, 12)
+    assert secrets.scan([f"auth: {held} end"], net)[0] == ([(19, 2, 35)], [(6, 3, 6 + len(held))])
+    assert secrets.candidates("a " + "b" * 20 + " " + "1" * 20) == [(2, 22), (23, 43)]
+    x, y = secrets.labelled(1500, 2)
+    chance = np.sort(net.chance(x)[y > 0])
+    assert net.threshold == chance[int((1 - secrets.RECALL) * len(chance))]
+    assert sorted(set().union(*(range(*p) for p in secrets.pieces(5, 205)))) == list(range(5, 205))
