@@ -47,3 +47,12 @@ def test_stages(spark, tmp_path):
             assert after == before and out.filter("law <> 'key' or shard not between 0 and 39").count() == 0
         docs = out
     assert pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_keeps_different_texts_of_one_id(spark):
+    v = h.vocabulary(8)
+    a, b, c, d = (" ".join(v[i : i + 50]) for i in (0, 60, 120, 180))
+    rows = [(7, a), (7, b), (7, b), (3, c), (9, c), (9, d), (5, b + " end"), (1, a), (1, a), (None, a), (7, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = Counter((r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(1, a), (5, b + " end"), (3, c), (9, d), (None, a), (7, None)])
