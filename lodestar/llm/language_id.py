@@ -25,6 +25,8 @@ PER_LANG, MOST_LANGS = 250, 64
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
 UNKNOWN = "und"
+#: A text of n bytes is of no learned language if its familiarity is SLACK + SPREAD / sqrt(n) below what all but LEAST_SHARE of the training documents reach; the mean over few n-grams strays more.
+LEAST_SHARE, SLACK, SPREAD = 0.01, 0.2, 3.0
 #: Folds of crc32(doc_id as text); the held-out one never trains.
 FOLDS, HELD_OUT = 4, 2
 _CLASS = np.zeros(256, np.uint8)
@@ -91,6 +93,7 @@ class Model:
 
     def __init__(self, langs, groups, tables, bias, slopes, jobs):
         self.langs, self.groups, self.tables, self.bias, self.slopes, self.jobs = langs, groups, tables, bias, slopes, jobs
+        self.usual, self.least = np.zeros(DIM, np.float32), -np.inf
 
     @staticmethod
     def fit(x: np.ndarray, labels: list[str]) -> Model:
@@ -116,7 +119,14 @@ class Model:
             tables.append(w * scale)
             bias.append(b)
             slopes.append(_platt(z[rows] @ w + b, sign))
-        return Model(langs, groups, np.stack(tables, 1).astype(np.float32) if jobs else np.zeros((DIM, 0), np.float32), np.array(bias), np.array(slopes), jobs)
+        model = Model(langs, groups, np.stack(tables, 1).astype(np.float32) if jobs else np.zeros((DIM, 0), np.float32), np.array(bias), np.array(slopes), jobs)
+        model.usual = np.log(x.mean(0) + 1e-6).astype(np.float32)
+        model.least = float(np.quantile(x @ model.usual, LEAST_SHARE)) - SLACK
+        return model
+
+    def familiarity(self, text_bytes: np.ndarray) -> float:
+        """Mean log frequency, in the training documents, of a text's n-grams."""
+        return float(profile(text_bytes) @ self.usual)
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Signed margins of every machine for every row."""
@@ -218,6 +228,18 @@ def identify(docs: DataFrame, model: Model | None = None, key: str = "doc_id", t
     return docs.withColumn("held_out", held_out(F.col(key))).withColumn("_l", of(F.col(text))).withColumns({"lang_pred": F.col("_l.lang_pred"), "score": F.col("_l.score")}).drop("_l")
 
 
+def familiar(text: Column, model: Model) -> Column:
+    """Whether a text's n-grams are as usual as those of the training documents; machines are sure of any text, of unknown languages too."""
+
+    @F.arrow_udf("boolean")
+    def of(t: pa.Array) -> pa.Array:
+        data, at = utf8(t)
+        texts = (data[at[i] : at[i + 1]] for i in range(len(at) - 1))
+        return pa.array([model.familiarity(x) >= model.least - SPREAD / max(1, len(x)) ** 0.5 for x in texts], pa.bool_())
+
+    return of(text)
+
+
 _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 
 

@@ -56,3 +56,20 @@ def test_near_duplicates_keeps_different_texts_of_one_id(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
     got = Counter((r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, docs, "").collect())
     assert got == Counter([(1, a), (5, b + " end"), (3, c), (9, d), (None, a), (7, None)])
+
+
+OTHERS = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.",
+    "xq zzkw pfft qqq jjjx wvwv zxcv bnmq wrtp lkjh gfds qwrt mnbv xcvz kkkk jjjj",
+]
+
+
+def test_text_of_no_learned_language_goes(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    other = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(OTHERS)], known.schema)
+    kept = {r["doc_id"] for r in pipeline.identify_language(spark, known.unionByName(other), "").collect()}
+    assert kept == {r["doc_id"] for r in known.filter("text rlike '[a-zA-Z]'").collect()}
