@@ -20,8 +20,10 @@ from ._text import _LOWER, parts, utf8
 #: Hash buckets of the n-grams.
 BITS = 12
 DIM = 1 << BITS
-#: Most labelled documents of a language that the classifier is fitted on, and most languages: the bound of the sample.
-PER_LANG, MOST_LANGS = 250, 64
+#: Most labelled documents of a language that the classifier is fitted on, and of all languages together: the bound of the sample. Many languages share the latter, none is left out.
+PER_LANG, SAMPLE = 250, 16000
+#: One in so many sampled documents of a language is kept from the machines and sets the slopes that turn margins to chances.
+CALIBRATE = 5
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -34,11 +36,16 @@ for _b in range(256):
     _CLASS[_b] = _LOWER[_b] if chr(_b).isalpha() and _b < 128 or _b >= 128 else (0x20 if _b != 0x27 else 0x27)
 
 
-def _grams(data: np.ndarray) -> list[np.ndarray]:
-    """Buckets of the 1-, 2- and 3-grams that start at each byte; digits and marks read as blanks."""
+def _grams(data: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """Buckets of the 1-, 2- and 3-grams that start at each of the first n bytes; digits and marks read as blanks.
+
+    ends are the positions of the last byte of each row: what would follow it reads as blanks, whatever row comes next.
+    """
     x = _CLASS[data].astype(np.uint32)
     y = np.append(x[1:], np.uint32(32))
     z = np.append(y[1:], np.uint32(32))
+    y[ends] = z[ends] = z[ends[ends > 0] - 1] = 32
+    x, y, z = x[:n], y[:n], z[:n]
     out = [x + 17, (x * 251 + y * 7919 + 11), (x * 40503 + y * 2654435 + z * 97 + 5)]
     return [(g * np.uint32(2654435761)) >> np.uint32(32 - BITS) for g in out]
 
@@ -47,7 +54,9 @@ def profile(text_bytes: np.ndarray) -> np.ndarray:
     """Relative n-gram frequencies of one text."""
     counts = np.zeros(DIM)
     for i in range(0, len(text_bytes), CHUNK):
-        for g in _grams(text_bytes[i : i + CHUNK]):
+        part = text_bytes[i : i + CHUNK + 2]
+        last = np.array([len(part) - 1] if i + CHUNK >= len(text_bytes) - 2 else [], np.int64)
+        for g in _grams(part, last, CHUNK):
             counts += np.bincount(g, minlength=DIM)
     return (counts / max(1, counts.sum())).astype(np.float32)
 
@@ -108,17 +117,23 @@ class Model:
         jobs = [("family", f, None) for f in range(len(groups))] if len(groups) > 1 else []
         jobs += [(f, a, b) for f, g in enumerate(groups) for a, b in itertools.combinations(g, 2)]
         tables, bias, slopes = [], [], []
+        # Of each language every CALIBRATE-th row, where it has as many, is kept from the machines and calibrates them.
+        place = np.zeros(len(y), int)
+        for i in range(len(langs)):
+            place[y == i] = np.arange((y == i).sum())
+        apart = place % CALIBRATE == CALIBRATE - 1
         for job in jobs:
             if job[0] == "family":
-                inside = np.isin(y, groups[job[1]])
-                rows, sign = slice(None), np.where(inside, 1.0, -1.0)
+                rows = np.ones(len(y), bool)
+                sign = np.where(np.isin(y, groups[job[1]]), 1.0, -1.0)
             else:
                 rows = np.isin(y, job[1:])
-                sign = np.where(y[rows] == job[1], 1.0, -1.0)
-            w, b = _svm(z[rows], sign)
+                sign = np.where(y == job[1], 1.0, -1.0)
+            w, b = _svm(z[rows & ~apart], sign[rows & ~apart])
             tables.append(w * scale)
             bias.append(b)
-            slopes.append(_platt(z[rows] @ w + b, sign))
+            test = rows & apart if len(set(sign[rows & apart])) == 2 else rows
+            slopes.append(_platt(z[test] @ w + b, sign[test]))
         model = Model(langs, groups, np.stack(tables, 1).astype(np.float32) if jobs else np.zeros((DIM, 0), np.float32), np.array(bias), np.array(slopes), jobs)
         model.usual = np.log(x.mean(0) + 1e-6).astype(np.float32)
         model.least = float(np.quantile(x @ model.usual, LEAST_SHARE)) - SLACK
@@ -133,8 +148,9 @@ class Model:
         n = len(offsets) - 1
         sums, total = np.zeros((n, len(self.jobs))), 3.0 * np.maximum(1, np.diff(offsets))
         for i in range(0, len(data), CHUNK):
-            grams = _grams(data[i : i + CHUNK])
-            stop = min(len(data), i + CHUNK)
+            part, stop = data[i : i + CHUNK + 2], min(len(data), i + CHUNK)
+            ends = offsets[1:][np.diff(offsets) > 0] - 1 - i
+            grams = _grams(part, ends[(ends >= 0) & (ends < len(part))], stop - i)
             lo, hi = int(np.searchsorted(offsets, i, "right")) - 1, int(np.searchsorted(offsets, stop, "left"))
             at = np.clip(offsets[lo : hi + 1] - i, 0, stop - i)
             full = np.flatnonzero(np.diff(at) > 0)
@@ -170,14 +186,15 @@ class Model:
 
 
 def _sample(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """At most PER_LANG labelled training rows of each language, chosen by hash of the key, short rows too."""
+    """About PER_LANG labelled training rows of each language (fewer where SAMPLE is shared by many), chosen by hash of the key, short rows too."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    counts = known.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MOST_LANGS).collect()
+    counts = known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()
+    most = min(PER_LANG, SAMPLE / max(1, len(counts)))
     u = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(lang) == row[lang], min(1.0, PER_LANG / row["n"])).otherwise(share)
-    return known.filter(u < share)
+    if not counts:
+        return known
+    share = F.create_map(*[F.lit(x) for row in counts for x in (row["l"], min(1.0, most / row["n"]))])
+    return known.filter(u < share[F.col(lang)])
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:

@@ -204,3 +204,26 @@ def test_secrets_reads_every_run_over_its_whole_length():
     chance = np.sort(net.chance(x)[y > 0])
     assert net.threshold == chance[int((1 - secrets.RECALL) * len(chance))]
     assert sorted(set().union(*(range(*p) for p in secrets.pieces(5, 205)))) == list(range(5, 205))
+
+
+def test_a_prediction_depends_on_its_own_text_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    r = np.random.default_rng(1)
+    texts = [x["text"] for x in docs.limit(150).collect()] + ["".join(r.choice(list("abcdeinorst é"), int(r.integers(0, 9)))) for _ in range(300)]
+    data = [t.encode() for t in texts]
+    at = np.append(0, np.cumsum([len(b) for b in data]))
+    langs, scores = model.predict(np.frombuffer(b"".join(data), np.uint8), at)
+    for b, lang, score in zip(data, langs, scores, strict=True):
+        assert model.predict(np.frombuffer(b, np.uint8), np.array([0, len(b)])) == ([lang], [score])
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    one, other = ({(x["doc_id"], x["lang_pred"], x["score"]) for x in language_id.identify(rows.repartition(n), model).collect()} for n in (1, 7))
+    assert one == other
+
+
+def test_a_long_text_is_read_over_chunk_borders(monkeypatch):
+    text = np.frombuffer(("the quick brown fox jumps over the lazy dog " * 40).encode(), np.uint8)
+    whole = language_id.profile(text)
+    for chunk in (7, len(text) - 2, len(text) - 1, len(text)):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        assert np.allclose(language_id.profile(text), whole)
