@@ -2,7 +2,8 @@
 
 1. Screen: the smallest shingle hashes of every set (a prefix long enough that linked
    sets share a known number of them) are counted; sets without enough shared ones
-   cannot link and go no further.
+   cannot link and go no further. Of those left, all shingles are counted, and sets of
+   which too few are held by others of fitting size are done as well.
 2. PartEnum: sets of an equal size band within which the similarity bounds the
    symmetric difference partition the shingle domain twice; every choice of all but one
    second-level part gives a signature, and linked sets agree on a non-empty one. Sets
@@ -10,9 +11,9 @@
 3. Pairs of small signature groups are compared exactly, those most likely to link
    first; pairs already connected need no comparison. A large group meets at its hub,
    the member that shares most. Members that are not connected by then differ from the
-   hub by known shingles. Their numbers of lost and added ones say how many additions
-   two of them must share to link; those with too few shared ones are done, the others
-   meet on their rarest, and just such pairs are compared.
+   hub by known shingles. Their numbers say how many of these two members must share to
+   link; those with too few shared ones are done, the others meet on their rarest, and
+   just such pairs are compared.
 Sets with equal shingles are one throughout. Nothing is capped.
 """
 
@@ -104,36 +105,44 @@ def _prefixes(n_parts: int, k: int):
             out = []
             for p, pick in by_part(hash_part(mix(h), n_parts), n_parts):
                 docs, count = np.unique(owner[pick], return_counts=True)
-                out.append((p, 0, f1[rows[docs]].tobytes(), f2[rows[docs]].tobytes(), count.astype(np.uint32).tobytes(), h[pick].tobytes()))
+                out.append((p, 0, f1[rows[docs]].tobytes(), f2[rows[docs]].tobytes(), np.concatenate([count, size[docs]]).astype(np.uint32).tobytes(), h[pick].tobytes()))
             yield _table(out)
 
     return run
 
 
+def held_by_another(h: np.ndarray, size: np.ndarray, owner: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (one a hash of a set) in order of hash and size, repeated ones once, and whether another set that could link by its size has the hash too."""
+    order = np.lexsort((*owner[::-1], size, h))
+    h, size = h[order], size[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | np.any([o[order][1:] != o[order][:-1] for o in owner], 0)) if len(h) else np.zeros(0, bool)
+    order, h, size = order[fresh], h[fresh], size[fresh]
+    near = (h[1:] == h[:-1]) & (100 * size[:-1] >= PERCENT * size[1:])
+    dup = np.zeros(len(h), bool)
+    dup[1:] = near
+    dup[:-1] |= near
+    return order, dup
+
+
 def _shared(n_parts: int):
     """Prefix hashes of a range to how many of each set's are held by another set as well."""
 
     def run(batches):
-        fs, gs, hs = [], [], []
+        fs, gs, hs, ns = [], [], [], []
         for b in batches:
             for d, h, n, x in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                count = np.frombuffer(n, np.uint32)
+                count, size = np.frombuffer(n, np.uint32).reshape(2, -1)
                 fs.append(np.repeat(np.frombuffer(d, np.int64), count))
                 gs.append(np.repeat(np.frombuffer(h, np.int64), count))
+                ns.append(np.repeat(size, count))
                 hs.append(np.frombuffer(x, np.uint64))
         if not hs:
             return
-        f, g, h = np.concatenate(fs), np.concatenate(gs), np.concatenate(hs)
-        del fs, gs, hs
-        order = np.lexsort((f, h))
-        f, g, h = f[order], g[order], h[order]
-        # Copies of a set come from many chunks: count each set once.
-        fresh = np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1]))
-        f, g, h = f[fresh], g[fresh], h[fresh]
-        dup = np.zeros(len(h), bool)
-        dup[1:] = h[1:] == h[:-1]
-        dup[:-1] |= dup[1:]
-        f, g = f[dup], g[dup]
+        f, g, h, size = np.concatenate(fs), np.concatenate(gs), np.concatenate(hs), np.concatenate(ns).astype(np.int64)
+        del fs, gs, hs, ns
+        # Copies of a set come from many chunks: each set counts once.
+        order, dup = held_by_another(h, size, [f])
+        f, g = f[order[dup]], g[order[dup]]
         order = np.argsort(f, kind="stable")
         f, first, count = np.unique(f[order], return_index=True, return_counts=True)
         g = g[order][first]
@@ -286,6 +295,57 @@ def _sign(n_parts: int, k: int):
     return run
 
 
+def _every(n_parts: int, k: int):
+    """All shingles of the sets in a table (id, n, packed), by hash."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                ids = part.column(0).to_numpy()
+                h, at = sets(*_unpack(part.column(2)), k)
+                size = np.diff(at)
+                owner = np.repeat(np.arange(len(size)), size)
+                out = []
+                for p, pick in by_part(hash_part(mix(h), n_parts), n_parts):
+                    docs, count = np.unique(owner[pick], return_counts=True)
+                    out.append((p, 0, ids[docs].tobytes(), None, np.concatenate([count, size[docs]]).astype(np.uint32).tobytes(), h[pick].tobytes()))
+                if out:
+                    yield _table(out)
+
+    return run
+
+
+def _held():
+    """Shingles of a range to (id, c): how many of a set's are held by another set that could link by its size."""
+
+    def run(batches):
+        ids, hs, ns = [], [], []
+        for b in batches:
+            for d, n, x in zip(*(b.column(c).to_pylist() for c in (2, 4, 5)), strict=True):
+                count, size = np.frombuffer(n, np.uint32).reshape(2, -1)
+                ids.append(np.repeat(np.frombuffer(d, np.int64), count))
+                ns.append(np.repeat(size, count))
+                hs.append(np.frombuffer(x, np.uint64))
+        if not hs:
+            return
+        i, h, size = np.concatenate(ids), np.concatenate(hs), np.concatenate(ns).astype(np.int64)
+        del ids, hs, ns
+        order, dup = held_by_another(h, size, [i])
+        i, c = np.unique(i[order[dup]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(c.astype(np.int64))], ["id", "c"])
+
+    return run
+
+
+def screened(table: DataFrame, k: int) -> DataFrame:
+    """Sets of table (id, n, packed) of which another one could hold PERCENT of the shingles; others link with nothing."""
+    n = tasks(table.sparkSession)
+    held = deal(table.mapInArrow(_every(n, k), _PACKED), n).mapInArrow(_held(), "id long, c long")
+    enough = held.groupBy("id").agg(F.sum("c").alias("c"))
+    return table.join(enough, "id").filter(100 * F.col("c") >= PERCENT * F.col("n")).select("id", "n", "packed")
+
+
 def _groups():
     """Signatures of a range to pairs (a, b, count) of ids and, for large groups, their members."""
 
@@ -374,7 +434,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _differences(k: int):
-    """Pairs (hub, member) with their packed texts to how many of the hub's shingles the member lacks, and which it adds."""
+    """Pairs (hub, id) with their packed texts to the shingles that only one of both has, keyed by hub, the hub's size and how many are the hub's (p) and the member's (q)."""
 
     def run(batches):
         for b in batches:
@@ -382,69 +442,185 @@ def _differences(k: int):
                 part = b.slice(i, 512)
                 x, x_at = sets(*_unpack(part.column(2)), k)
                 y, y_at = sets(*_unpack(part.column(3)), k)
-                lost, added = [], []
-                for r in range(part.num_rows):
-                    u, v = x[x_at[r] : x_at[r + 1]], y[y_at[r] : y_at[r + 1]]
-                    new = v[~np.isin(v, u, assume_unique=True)]
-                    added.append(new.view(np.int64))
-                    lost.append(len(u) - (len(v) - len(new)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(x_at).astype(np.int64)), pa.array(lost, pa.int64()), pa.array([len(v) for v in added], pa.int64()), pa.array(added, pa.list_(pa.int64()))], ["hub", "id", "r", "p", "q", "added"])
+                nx, ny = np.diff(x_at), np.diff(y_at)
+                rows = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
+                h, mine = np.concatenate([x, y]), np.repeat([False, True], [len(x), len(y)])
+                order = np.lexsort((h, rows))
+                h, rows, mine = h[order], rows[order], mine[order]
+                alone = np.ones(len(h), bool)
+                same = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
+                alone[1:] &= ~same
+                alone[:-1] &= ~same
+                h, rows, mine = h[alone], rows[alone], mine[alone]
+                keys = mix(h ^ mix(part.column(0).to_numpy().view(np.uint64))[rows]).view(np.int64)
+                q = np.bincount(rows, mine, len(nx)).astype(np.int64)
+                at = np.searchsorted(rows, np.arange(len(nx) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nx.astype(np.int64)), pa.array(np.diff(at).astype(np.int64) - q), pa.array(q), lists], ["hub", "id", "r", "p", "q", "d"])
 
     return run
 
 
-def _least_shared(x: str, y: str):
-    """Added shingles that two members of a hub must share to link: from r - max(p) + s >= t (r - min(p) + q + q' - s)."""
-    c = lambda n: F.col(f"{x}.{n}")
-    d = lambda n: F.col(f"{y}.{n}")
-    need = PERCENT * (c("r") - F.least(c("p"), d("p")) + c("q") + d("q")) - 100 * (c("r") - F.greatest(c("p"), d("p")))
-    return F.greatest(F.lit(0), F.ceil(need / (100 + PERCENT)))
+def _member(b: pa.RecordBatch) -> np.ndarray:
+    """A number for each (hub, id) in the first two columns."""
+    return mix(b.column(1).to_numpy().view(np.uint64) ^ mix(b.column(0).to_numpy().view(np.uint64)))
+
+
+def _deal_keys(n_parts: int):
+    """Members (hub, id, c, open, need, d) to their keys by range."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                lists, who = part.column(5), _member(part)
+                keys, size = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
+                owner, c, is_open = np.repeat(np.arange(len(size)), size), part.column(2).to_numpy(), part.column(3).to_numpy(zero_copy_only=False)
+                out = []
+                for p, pick in by_part(hash_part(keys, n_parts), n_parts):
+                    docs, count = np.unique(owner[pick], return_counts=True)
+                    out.append((p, 0, who[docs].tobytes(), c[docs].tobytes(), np.concatenate([count, is_open[docs]]).astype(np.uint32).tobytes(), keys[pick].tobytes()))
+                if out:
+                    yield _table(out)
+
+    return run
+
+
+def _useful_keys(n_parts: int):
+    """Keys of a range to those that could tell of a link (an open member has it, and one of another component), with how many members have them, by member."""
+
+    def run(batches):
+        who, cs, opens, ks = [], [], [], []
+        for b in batches:
+            for d, h, n, x in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
+                count, is_open = np.frombuffer(n, np.uint32).reshape(2, -1)
+                who.append(np.repeat(np.frombuffer(d, np.uint64), count))
+                cs.append(np.repeat(np.frombuffer(h, np.int64), count))
+                opens.append(np.repeat(is_open, count))
+                ks.append(np.frombuffer(x, np.uint64))
+        if not ks:
+            return
+        who, c, is_open, k = map(np.concatenate, (who, cs, opens, ks))
+        order = np.lexsort((c, k))
+        who, c, is_open, k = who[order], c[order], is_open[order], k[order]
+        edge = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        df = np.diff(np.append(edge, len(k)))
+        useful = (np.add.reduceat(is_open, edge) > 0) & (c[edge] != c[edge + df - 1])
+        use, df = np.repeat(useful, df), np.repeat(df, df)
+        who, k, df = who[use], k[use], df[use]
+        out = [(p, 1, who[pick].tobytes(), None, df[pick].astype(np.uint32).tobytes(), k[pick].tobytes()) for p, pick in by_part((who % np.uint64(n_parts)).astype(np.int64), n_parts)]
+        if out:
+            yield _table(out)
+
+    return run
+
+
+def _deal_members(n_parts: int):
+    def run(batches):
+        for b in batches:
+            who = _member(b)
+            ids, c, is_open, need, v = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3, 4, 5))
+            out = [(p, 2, who[pick].tobytes(), ids[pick].tobytes(), np.concatenate([need[pick], is_open[pick], v[pick]]).tobytes(), c[pick].tobytes()) for p, pick in by_part((who % np.uint64(n_parts)).astype(np.int64), n_parts)]
+            if out:
+                yield _table(out)
+
+    return run
+
+
+def _rarest_keys(n_parts: int):
+    """Members and their useful keys to the rarest ones, of which any partner has at least one among its rarest."""
+
+    def run(batches):
+        keys, members = [], []
+        for b in batches:
+            for kind, *row in zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4, 5)), strict=True):
+                (keys if kind == 1 else members).append(row)
+        if not keys or not members:
+            return
+        who, df, k = (np.concatenate([np.frombuffer(r[i], t) for r in keys]) for i, t in ((0, np.uint64), (2, np.uint32), (3, np.uint64)))
+        order = np.lexsort((k, df, who))
+        who, k = who[order], k[order]
+        member, ids, c = (np.concatenate([np.frombuffer(r[i], t) for r in members]) for i, t in ((0, np.uint64), (1, np.int64), (3, np.int64)))
+        need, is_open, v = np.concatenate([np.frombuffer(r[2], np.int64).reshape(3, -1) for r in members], 1)
+        lo, hi = np.searchsorted(who, member, "left"), np.searchsorted(who, member, "right")
+        take = np.maximum(0, hi - lo - need + 1)
+        row = np.repeat(np.arange(len(member)), take)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take) + lo[row]
+        k, rest = k[at], hi[row] - at
+        out = [(p, 3, ids[row[pick]].tobytes(), c[row[pick]].tobytes(), np.stack([is_open[row[pick]], v[row[pick]], rest[pick]]).tobytes(), k[pick].tobytes()) for p, pick in by_part(hash_part(k, n_parts), n_parts)]
+        if out:
+            yield _table(out)
+
+    return run
+
+
+def _meet():
+    """Rarest keys of a range to the pairs (a, b) of an open member and one of another component that may share enough from that key on."""
+
+    def run(batches):
+        rows = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)]
+        if not rows:
+            return
+        i, c, k = (np.concatenate([np.frombuffer(r[j], t) for r in rows]) for j, t in ((0, np.int64), (1, np.int64), (3, np.uint64)))
+        is_open, v, rest = np.concatenate([np.frombuffer(r[2], np.int64).reshape(3, -1) for r in rows], 1)
+        order = np.lexsort((1 - is_open, k))
+        i, c, is_open, v, rest, k = (x[order] for x in (i, c, is_open, v, rest, k))
+        edge = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
+        held, size = [], 0
+
+        def pack():
+            pairs = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for o in range(s, s + int(is_open[s:e].sum())):
+                may = (c[s:e] != c[o]) & ((is_open[s:e] == 0) | (np.arange(s, e) > o))
+                # rest counts a member's useful keys from this one on; v is 2 w - 25 r.
+                may &= 2 * (100 + PERCENT) * np.minimum(rest[s:e], rest[o]) >= v[s:e] + v[o]
+                far = i[s:e][may]
+                held.append(np.stack([np.minimum(far, i[o]), np.maximum(far, i[o])], 1))
+                size += len(far)
+                if size > 1 << 19:
+                    yield pack()
+                    held, size = [], 0
+        if size:
+            yield pack()
+
+    return run
 
 
 def _past_hubs(hubs: DataFrame, table: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b) of members of one hub that are not connected and may link."""
+    """Pairs (a, b) of members of one hub that are not connected and may link.
+
+    A member that lacks p of the hub's r shingles and adds q others has the weight w =
+    100 p + 75 q. Two members link only if they share (w + w' - 25 r) / 175 of the
+    shingles that set them apart from the hub. An open member, that is one not connected with the
+    hub, has w > 25 r, hence must share some with any partner; ordered by how many
+    members have them, one of both members' rarest.
+    """
+    n = tasks(table.sparkSession)
     l = labels.withColumnRenamed("component", "c")
     members = hubs.select("hub", "id").join(l, "id", "left").withColumn("c", F.coalesce("c", "id"))
     mixed = members.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub")
-    members = settle(members.join(mixed, "hub"))
+    home = members.filter("hub = id").select("hub", F.col("c").alias("hc"))
+    members = settle(members.join(mixed, "hub").join(home, "hub"))
     if members.isEmpty():
         return members.select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    texts = members.join(table.select(F.col("id").alias("hub"), F.col("packed").alias("x")), "hub").join(table.select("id", F.col("packed").alias("y")), "id")
-    apart = texts.select("hub", "id", "x", "y").mapInArrow(_differences(k), "hub long, id long, r long, p long, q long, added array<long>")
-    home = members.filter("hub = id").select("hub", F.col("c").alias("hc"))
-    rows = settle(apart.join(members, ["hub", "id"]).join(home, "hub"))
-    slim = rows.drop("added")
-    far = slim.filter("c <> hc")
-    # The fewest shared additions with which any member could link: of the members that lack p shingles, one that adds least.
-    kinds = far.select("hub", "r", "p", "q").distinct()
-    others = slim.groupBy("hub", "r", "p").agg(F.min("q").alias("q"))
-    needs = kinds.alias("x").join(others.alias("y"), F.col("x.hub") == F.col("y.hub")).groupBy("x.hub", "x.p", "x.q").agg(F.min(_least_shared("x", "y")).alias("least"))
-    far = far.join(needs, ["hub", "p", "q"])
-    # Additions that occur once are shared with nobody. A member with fewer others than it needs links with nobody either;
-    # the rest look only for their rarest additions, one of which any partner must hold.
-    common = rows.select("hub", F.explode("added").alias("h")).groupBy("hub", "h").agg(F.count("*").alias("n")).filter("n > 1")
-    open_ = rows.filter("c <> hc").select("hub", "id", F.explode("added").alias("h")).join(common, ["hub", "h"]).join(far.filter("least > 0").select("hub", "id", "c", "least"), ["hub", "id"])
-    by_member = Window.partitionBy("hub", "id")
-    open_ = open_.withColumns({"t": F.count("*").over(by_member), "rank": F.row_number().over(by_member.orderBy("n", "h"))})
-    probes = settle(open_.filter("t >= least and rank <= t - least + 1").select("hub", "h", F.col("id").alias("a"), F.col("c").alias("ca")))
-    sharing = rows.select("hub", F.col("id").alias("b"), F.col("c").alias("cb"), F.explode("added").alias("h")).join(probes, ["hub", "h"]).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # Without a shared addition the counts must allow a link; classes of equal counts meet, not members.
-    free = far.filter("least = 0").select("hub", "r", "p", "q").distinct()
-    classes = slim.select("hub", "r", "p", "q").distinct()
-    fit = free.alias("x").join(classes.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (_least_shared("x", "y") == 0))
-    fit = fit.select(F.col("x.hub").alias("hub"), F.col("x.p").alias("p"), F.col("x.q").alias("q"), F.col("y.p").alias("p2"), F.col("y.q").alias("q2"))
-    one = far.filter("least = 0").select("hub", "p", "q", F.col("id").alias("a"), F.col("c").alias("ca"))
-    two = slim.select("hub", F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("id").alias("b"), F.col("c").alias("cb"))
-    allowed = one.join(fit, ["hub", "p", "q"]).join(two, ["hub", "p2", "q2"]).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # A member that might link without any shared addition may link with one as well.
-    loose = rows.filter("c <> hc").join(far.filter("least = 0").select("hub", "id"), ["hub", "id"], "left_semi").select("hub", F.col("id").alias("a"), F.col("c").alias("ca"), F.explode("added").alias("h")).join(common, ["hub", "h"], "left_semi")
-    sharing = sharing.unionByName(rows.select("hub", F.col("id").alias("b"), F.col("c").alias("cb"), F.explode("added").alias("h")).join(loose, ["hub", "h"]).filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return settle(sharing.unionByName(allowed).distinct())
+    texts = members.filter("hub <> id").join(table.select(F.col("id").alias("hub"), F.col("packed").alias("x")), "hub").join(table.select("id", F.col("packed").alias("y")), "id")
+    apart = texts.select("hub", "id", "x", "y").mapInArrow(_differences(k), "hub long, id long, r long, p long, q long, d array<long>")
+    rows = settle(apart.withColumn("w", F.lit(100) * F.col("p") + F.lit(PERCENT) * F.col("q")).join(members.select("hub", "id", "c", (F.col("c") != F.col("hc")).alias("open")), ["hub", "id"]))
+    least = settle(rows.groupBy("hub").agg(F.min("w").alias("least"), F.min(F.when(F.col("open"), F.col("w"))).alias("least_open")).filter("least_open is not null"))
+    need = F.ceil((F.col("w") + F.when(F.col("open"), F.col("least")).otherwise(F.col("least_open")) - F.lit(100 - PERCENT) * F.col("r")) / (100 + PERCENT)).cast("long")
+    able = settle(rows.join(least, "hub").withColumn("need", F.greatest(need, F.lit(1).cast("long"))).filter("need <= p + q").select("hub", "id", "c", "open", "need", "d", (2 * F.col("w") - F.lit(100 - PERCENT) * F.col("r")).alias("v")))
+    useful = deal(able.mapInArrow(_deal_keys(n), _PACKED), n).mapInArrow(_useful_keys(n), _PACKED)
+    rarest = deal(able.select("hub", "id", "c", "open", "need", "v").mapInArrow(_deal_members(n), _PACKED).unionByName(useful), n).mapInArrow(_rarest_keys(n), _PACKED)
+    return settle(deal(rarest, n).mapInArrow(_meet(), "a long, b long").distinct())
 
 
 def link(table: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(id, component) of the sets in table (id, n, packed) that link with another, found by shared signatures."""
     n = tasks(table.sparkSession)
+    table = settle(screened(table, k))
     found = settle(deal(table.mapInArrow(_sign(n, k), _PACKED), n).mapInArrow(_groups(), "a long, b long, c long, g long"))
     pairs = settle(found.filter("g is null").groupBy("a", "b").agg(F.sum("c").alias("c")))
     members = found.filter("g is not null").select("g", F.col("a").alias("id")).distinct()
