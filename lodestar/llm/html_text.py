@@ -2,14 +2,17 @@
 
 A page is cut into blocks at block-level tags. First every block is judged alone by
 length, link density and stop-word density: good, bad or ambiguous. Then ambiguous
-blocks inherit the label of the nearest decided neighbours. Markup that says what a
-block is (navigation, footers, adverts, forms, comments) decides before the rules.
+blocks inherit the label of the nearest decided neighbours. Tags and roles that say what a
+block is (navigation, footers, forms) decide before the rules. Class and id names are a
+feature of the rules: a name of boilerplate words alone makes a block bad, as long as
+the page has a good block elsewhere; where all its prose is so named, names tell nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split(
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer disqus footer footnav form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popular promo promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tagcloud tags toolbar topbar widget widgets".split()
 )
+#: Words that may stand beside a boilerplate word in a name that says what an element holds; any other word (tags-politics, market-share-report) makes it a name of something else.
+HOLDER_NAMES = frozenset("area articles bar block body bottom box button buttons col column container content count cta entry footer group heading icon icons inner item items label left link links list main media module msg message outer page panel post posts primary right row secondary section site slot stories story text thread title top unit wrap wrapper".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a head may hold; any other start tag ends it. Tags of HTML that end an unclosed drawing or formula, unless inside one of its text parts.
@@ -48,39 +53,91 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 #: Share of characters inside links from which a block is bad.
 MOST_LINKED = 0.5
+#: Good characters of a page whose prose all has boilerplate names from which the names are not believed.
+MISNAMED = 600
+#: Share of a page's good characters that its article and main elements must hold to be all that is kept.
+MOST_INSIDE = 0.5
 #: Shares of stop words: plausible, and good at once.
 STOP_LOW, STOP_HIGH = 0.12, 0.25
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+# Group 4 is what ended the scan of a tag; without > it is text, and what was scanned is not scanned again.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_PART = re.compile(r"[A-Za-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    """Text of one block, its linked characters, and whether it lies in boilerplate or in the article."""
+    """Text of one block, its linked characters, whether tags or names call it boilerplate, and whether it lies in an article."""
 
-    __slots__ = ("text", "linked", "out", "inside")
+    __slots__ = ("text", "linked", "out", "named", "inside", "rule")
 
-    def __init__(self, text: str, linked: int, out: bool, inside: bool):
-        self.text, self.linked, self.out, self.inside = text, linked, out, inside
+    def __init__(self, text: str, linked: int, out: bool, named: bool, inside: bool):
+        self.text, self.linked, self.out, self.named, self.inside = text, linked, out, named, inside
+        self.rule = None
 
 
-def _marked(attributes: str) -> bool:
-    """Whether names or roles in a tag say that its content is not the article."""
+def _says(name: str) -> bool:
+    """Whether one class or id is made of boilerplate and holder words alone."""
+    words = [w.lower() for w in _PART.findall(name)]
+    return name.lower() in BOILERPLATE_NAMES or bool(words) and any(w in BOILERPLATE_NAMES for w in words) and all(w in BOILERPLATE_NAMES or w in HOLDER_NAMES for w in words)
+
+
+def _marked(attributes: str) -> tuple[bool, bool]:
+    """Whether roles and states of a tag, and whether its names, say that its content is not the article."""
+    out = named = False
     if not attributes:
-        return False
+        return out, named
     for m in _NAMED.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name == "role" and value in BOILERPLATE_ROLES:
-            return True
-        if name in ("class", "id") and any(p in BOILERPLATE_NAMES for p in _PART.findall(value)):
-            return True
-    return False
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        low = value.lower()
+        out |= name == "hidden" or name == "aria-hidden" and low == "true" or name == "style" and "display:none" in low.replace(" ", "") or name == "role" and low in BOILERPLATE_ROLES
+        named |= name in ("class", "id") and any(map(_says, value.split()))
+    return out, named
+
+
+class _Open:
+    """Open elements by depth: those that count for blocks, with their marks, and between them the others."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate by tag, by name, article
+        self.inline: list[Counter] = [Counter()]
+        self.count: Counter = Counter()  # of all open tags
+
+    def push(self, *entry) -> None:
+        self.stack.append(entry)
+        self.inline.append(Counter())
+        self.count[entry[0]] += 1
+
+    def add(self, tag: str) -> None:
+        self.inline[-1][tag] += 1
+        self.count[tag] += 1
+
+    def here(self, tag: str) -> bool:
+        """Whether an end tag closes something around the current place."""
+        return bool(self.count[tag]) and (bool(self.inline[-1][tag]) or any(x[0] == tag for x in self.stack))
+
+    def drop(self, tag: str) -> None:
+        """Closes the innermost other element of a tag."""
+        for held in reversed(self.inline) if self.count[tag] else ():
+            if held[tag]:
+                held[tag] -= 1
+                self.count[tag] -= 1
+                return
+
+    def close(self, tag: str) -> int | None:
+        """The depth of the innermost block element of a tag."""
+        return next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag), None) if self.count[tag] else None
+
+    def cut(self, k: int) -> None:
+        for x in self.stack[k:]:
+            self.count[x[0]] -= 1
+        for held in self.inline[k + 1 :]:
+            self.count.subtract(held)
+        del self.stack[k:], self.inline[k + 1 :]
+
+    def marks(self) -> tuple[bool, bool, bool]:
+        return self.stack[-1][1:] if self.stack else (False, False, False)
 
 
 def blocks(page: str) -> list[Block]:
@@ -90,31 +147,42 @@ def blocks(page: str) -> list[Block]:
     title of the body hides the rest of the page, as in HTML.
     """
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
-    inline: list[tuple[str, int]] = []  # other open tags, with the length of the stack
+    opened = _Open()
     inner: list[str] = []  # open tags inside what is skipped
     parts: list[tuple[str, bool]] = []
     at, skip, links = 0, "", 0
-    out = inside = False
+    out = named = inside = False
+    endless: set[str] = set()  # raw tags that no end tag follows
 
     def close():
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 linked = sum(len(html.unescape(p).strip()) for p, is_link in parts if is_link)
-                found.append(Block(text, linked, out, inside))
+                found.append(Block(text, linked, out, named, inside))
             parts.clear()
 
+    def raw_end(tag: str) -> int:
+        """Where the content of a raw tag ends, 0 if nowhere."""
+        if tag not in endless:
+            m = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if m:
+                return m.end()
+            endless.add(tag)
+        return 0
+
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
+        tag = (m[2] or "").lower()
+        if tag and not m[4]:
+            continue
         if m.start() > at:
             if skip == "head" and not inner and page[at : m.start()].strip():
                 skip = ""
             if not skip:
                 parts.append((page[at : m.start()], links > 0))
         at = m.end()
-        tag = (m[2] or "").lower()
         if not tag:
             continue
         if skip:
@@ -127,14 +195,14 @@ def blocks(page: str) -> list[Block]:
                     skip = ""
                     inner.clear()
                     continue
-                if (tag, len(stack)) not in inline and all(s[0] != tag for s in stack) and not (skip == "head" and tag in ("body", "html")):
+                if not opened.here(tag) and not (skip == "head" and tag in ("body", "html")):
                     continue
             elif skip == "head" and tag not in HEAD_TAGS and "template" not in inner or skip in DRAWING_TAGS and tag in BREAKOUT_TAGS and DRAWING_TEXT.isdisjoint(inner):
                 pass
             else:
-                raw = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if tag in RAW_TAGS and not m[3].endswith("/") else None
+                raw = raw_end(tag) if tag in RAW_TAGS and not m[3].endswith("/") else 0
                 if raw:
-                    at = raw.end()
+                    at = raw
                 elif tag == skip == "select":  # acts as its end tag
                     skip = ""
                     inner.clear()
@@ -149,43 +217,36 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 links = max(0, links - 1)
             if tag not in BLOCK_TAGS:
-                for k in range(len(inline) - 1, -1, -1):
-                    if inline[k][0] == tag:
-                        del inline[k]
-                        break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close()
-                    del stack[k:]
-                    while inline and inline[-1][1] > k:
-                        inline.pop()
-                    out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    break
+                opened.drop(tag)
+            k = opened.close(tag)
+            if k is not None:
+                close()
+                opened.cut(k)
+                out, named, inside = opened.marks()
             continue
         if tag in SKIPPED_TAGS and tag not in VOID_TAGS and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if tag in RAW_TAGS else None
             if tag in RAW_TAGS:
-                at = end.end() if end else len(page)
+                at = raw_end(tag) or len(page)
             else:
                 skip = tag
             continue
         if tag == "a":
             links += 1
-            inline.append((tag, len(stack)))
+            opened.add(tag)
             continue
         if tag in VOID_TAGS or m[3].endswith("/"):
             continue
-        header = tag == "header" and not inside
-        now_out = out or header or tag in BOILERPLATE_TAGS or tag not in ("html", "body", "main", "article") and _marked(m[3])
-        now_inside = inside or tag in ("article", "main")
-        if tag in BLOCK_TAGS or now_out != out:
+        marked, says = (False, False) if tag in ("html", "body", "main", "article") else _marked(m[3])
+        now_out = out or marked or tag in BOILERPLATE_TAGS or tag == "header" and not inside
+        now_named, now_inside = named or says, inside or tag in ("article", "main")
+        if tag in BLOCK_TAGS or (now_out, now_named) != (out, named):
             close()
-            stack.append((tag, now_out, now_inside))
-            out, inside = now_out, now_inside
+            opened.push(tag, now_out, now_named, now_inside)
+            out, named, inside = now_out, now_named, now_inside
             if tag in BLOCK_TAGS:
                 links = 0
         else:
-            inline.append((tag, len(stack)))
+            opened.add(tag)
     if at < len(page) and (not skip or skip == "head" and not inner and page[at:].strip()):
         parts.append((page[at:], links > 0))
     close()
@@ -197,12 +258,20 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 def alone(b: Block) -> int:
     """First pass: the label of a block by itself."""
-    if b.out or b.linked > MOST_LINKED * len(b.text):
+    if b.out or b.named:
+        return BAD
+    if b.rule is None:
+        b.rule = _rule(b)
+    return b.rule
+
+
+def _rule(b: Block) -> int:
+    if b.linked > MOST_LINKED * len(b.text):
         return BAD
     if len(b.text) < SHORT:
         return OPEN
     words = _LETTERS.findall(b.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    density = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
     if density >= STOP_HIGH or density >= STOP_LOW and len(b.text) >= LONG:
         return GOOD
     if density >= STOP_LOW or b.inside:
@@ -224,7 +293,7 @@ def judge(found: list[Block]) -> list[bool]:
         for i in order:
             b = found[i]
             into[i] = last.get(b.inside)
-            if labels[i] != OPEN and not b.out:
+            if labels[i] != OPEN and not b.out and not b.named:
                 last[b.inside] = (i, labels[i])
     keep = []
     for i, b in enumerate(found):
@@ -242,11 +311,24 @@ def judge(found: list[Block]) -> list[bool]:
     return keep
 
 
+def _good(found: list[Block]) -> int:
+    return sum(len(b.text) for b in found if alone(b) == GOOD)
+
+
 def main_text(page: str | None) -> str:
-    """The article's blocks joined by one space; where a page marks an article, only that is kept."""
+    """The article's blocks joined by one space.
+
+    Where the page marks an article, only that is kept, unless most of the good text is
+    elsewhere, as with a teaser. Names are not believed where they cover all the prose.
+    """
     found = blocks(page or "")
-    if any(b.inside and not b.out for b in found):
-        found = [b for b in found if b.inside]
+    if not _good(found):
+        unnamed = [Block(b.text, b.linked, b.out, False, b.inside) for b in found]
+        if _good(unnamed) >= MISNAMED:
+            found = unnamed
+    inside = [b for b in found if b.inside]
+    if any(not b.out and not b.named for b in inside) and _good(inside) >= MOST_INSIDE * _good(found):
+        found = inside
     return " ".join(b.text for b, good in zip(found, judge(found), strict=True) if good)
 
 

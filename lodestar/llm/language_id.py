@@ -139,14 +139,10 @@ class Model:
         model.least = float(np.quantile(x @ model.usual, LEAST_SHARE)) - SLACK
         return model
 
-    def familiarity(self, text_bytes: np.ndarray) -> float:
-        """Mean log frequency, in the training documents, of a text's n-grams."""
-        return float(profile(text_bytes) @ self.usual)
-
-    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Signed margins of every machine for every row."""
-        n = len(offsets) - 1
-        sums, total = np.zeros((n, len(self.jobs))), 3.0 * np.maximum(1, np.diff(offsets))
+    def margins(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signed margins of every machine for every row, and the mean log frequency, in the training documents, of the row's n-grams."""
+        n, tables = len(offsets) - 1, np.column_stack([self.tables, self.usual])
+        sums, total = np.zeros((n, len(self.jobs) + 1)), 3.0 * np.maximum(1, np.diff(offsets))
         for i in range(0, len(data), CHUNK):
             part, stop = data[i : i + CHUNK + 2], min(len(data), i + CHUNK)
             ends = offsets[1:][np.diff(offsets) > 0] - 1 - i
@@ -154,17 +150,19 @@ class Model:
             lo, hi = int(np.searchsorted(offsets, i, "right")) - 1, int(np.searchsorted(offsets, stop, "left"))
             at = np.clip(offsets[lo : hi + 1] - i, 0, stop - i)
             full = np.flatnonzero(np.diff(at) > 0)
-            for k in range(len(self.jobs)):
-                table = self.tables[:, k]
+            for k in range(sums.shape[1]):
+                table = np.ascontiguousarray(tables[:, k])
                 each = table[grams[0]] + table[grams[1]] + table[grams[2]]
                 sums[lo + full, k] += np.add.reduceat(each, at[full])
-        return sums / total[:, None] + self.bias
+        sums /= total[:, None]
+        return sums[:, :-1] + self.bias, sums[:, -1]
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, confidence, and whether the n-grams are as usual as those of the training documents; machines are sure of any text, of unknown languages too."""
         n = len(offsets) - 1
         if not self.langs:
-            return [UNKNOWN] * n, np.zeros(n)
-        m = self.margins(data, offsets)
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
+        m, usual = self.margins(data, offsets)
         sure = 1 / (1 + np.exp(-np.clip(m * self.slopes, -60, 60)))
         first = [k for k, j in enumerate(self.jobs) if j[0] == "family"]
         family, score = (m[:, first].argmax(1), sure[:, first].max(1)) if first else (np.zeros(n, int), np.ones(n))
@@ -182,7 +180,7 @@ class Model:
             best = max(group, key=lambda i: 0) if len(group) == 1 else None
             pick[rows] = best if best is not None else np.array(group)[(votes + chance)[:, group].argmax(1)]
             score[rows] *= chance[np.arange(len(rows)), pick[rows]]
-        return [self.langs[i] for i in pick], score
+        return [self.langs[i] for i in pick], score, usual >= self.least - SPREAD / np.sqrt(np.maximum(1, np.diff(offsets)))
 
 
 def _sample(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -219,7 +217,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def identify(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with held_out, lang_pred and score.
+    """docs with held_out, lang_pred, score and familiar (whether the text reads like the learned languages).
 
     lang_pred is a learned language, or `und` with score 0 where the text is null or has
     no letter, or nothing could be learned. A null key counts as not held out. Clashing
@@ -227,34 +225,23 @@ def identify(docs: DataFrame, model: Model | None = None, key: str = "doc_id", t
     """
     model = model or fit(docs, key, text, lang)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,familiar:boolean>")
     def of(t: pa.Array) -> pa.Array:
         data, at = utf8(t)
-        langs, scores = [], [np.zeros(0)]
+        langs, scores, known = [], [np.zeros(0)], [np.zeros(0, bool)]
         for i, j in parts(at, CHUNK):
             span = data[at[i] : at[j]]
-            got, sure = model.predict(span, at[i : j + 1] - at[i])
+            got, sure, usual = model.predict(span, at[i : j + 1] - at[i])
             letters = prefix_letters(span, at[i : j + 1] - at[i])
             for k in np.flatnonzero(~letters):
                 if not any(c.isalpha() for c in bytes(data[at[i + k] : at[i + k + 1]]).decode("utf-8", "replace")):
                     got[k], sure[k] = UNKNOWN, 0.0
             langs += got
             scores.append(sure)
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
-
-    return docs.withColumn("held_out", held_out(F.col(key))).withColumn("_l", of(F.col(text))).withColumns({"lang_pred": F.col("_l.lang_pred"), "score": F.col("_l.score")}).drop("_l")
-
-
-def familiar(text: Column, model: Model) -> Column:
-    """Whether a text's n-grams are as usual as those of the training documents; machines are sure of any text, of unknown languages too."""
-
-    @F.arrow_udf("boolean")
-    def of(t: pa.Array) -> pa.Array:
-        data, at = utf8(t)
-        texts = (data[at[i] : at[i + 1]] for i in range(len(at) - 1))
-        return pa.array([model.familiarity(x) >= model.least - SPREAD / max(1, len(x)) ** 0.5 for x in texts], pa.bool_())
+            known.append(usual)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(known))], ["lang_pred", "score", "familiar"])
 
-    return of(text)
+    return docs.withColumn("held_out", held_out(F.col(key))).withColumn("_l", of(F.col(text))).withColumns({c: F.col(f"_l.{c}") for c in ("lang_pred", "score", "familiar")}).drop("_l")
 
 
 _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])

@@ -1,4 +1,12 @@
-"""Mixing sources to target weights with Pareto order sampling."""
+"""Mixing sources to target weights with Pareto order sampling.
+
+Every document first gets the whole copies that its source's ratio of target to size
+contains. For the rest of the target the source's documents are ranked by random odds
+over inclusion odds, u/(1-u) : p/(1-p), and taken in that order until the sample has its
+size, which is fixed in words as the targets are. A document's inclusion odds are those of
+its source over 1 + size / LONG, so that no few long documents decide what a mix
+holds; the odds of a source are where its cut falls, the same for all its documents.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 #: Steps into which the random numbers of a source are counted before its cut is sought.
 STEPS = 65536
+#: Words of a document that has half the inclusion odds of a very short one.
+LONG = 4096
 #: A round of the filling reads, from where the last one ended, steps that hold so many times the words left open, or so many rows; rounds go on to the last row.
 ROUND_WORDS, ROUND_ROWS = 4, 1 << 18
 STATE = "c string, room double, at int, segs array<struct<lo:double,hi:double,most:long>>, over double, over_u double, over_size long"
@@ -29,6 +39,12 @@ def chance(key: Column, text: Column, seed: int) -> Column:
     return ((F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, text), 12)).cast("double") + 0.5) / float(1 << 52)
 
 
+def rank(u: Column, size: Column) -> Column:
+    """Pareto order: random odds over inclusion odds without the source's factor, as a number in (0, 1)."""
+    ratio = u / (F.lit(1.0) - u) * (F.lit(1.0) + size / F.lit(float(LONG)))
+    return ratio / (F.lit(1.0) + ratio)
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """sources (source, source_size) with target: water filling of all sizes by weight below the caps.
 
@@ -125,12 +141,11 @@ def filled(units: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def plan(sized: DataFrame) -> DataFrame:
-    """One row a source: whole copies of each document, the cut of the sample's random odds, and segments filled after it.
+    """One row a source: whole copies of each document, the cut of the ranks, and segments filled after it.
 
-    sized: source, size, u. Within a source all inclusion odds are equal, so the
-    Pareto ratio u/(1-u) : f/(1-f) ranks as u does; between sources f differs.
+    sized: source, size, u, where u is the rank.
     """
-    # Rows of equal u are one unit: they are repeated rows, taken together or not at all.
+    # Rows of equal rank are one unit: they are repeated rows, taken together or not at all.
     units = settle(sized.filter("size > 0").groupBy("source", "u").agg(F.sum("size").alias("words"), F.max("size").alias("size")).withColumn("step", F.floor(F.col("u") * STEPS).cast("int")))
     counted = settle(units.groupBy("source", "step").agg(F.sum("words").alias("words")))
     empty = sized.select("source").distinct().withColumn("source_size", F.lit(0).cast("long"))
@@ -150,12 +165,13 @@ def mix(docs: DataFrame, seed: int = 8, key: str = "doc_id", text: str = "text",
 
     Every document gets the whole copies that its source's ratio of target to size
     contains; the rest of the target is a Pareto order sample of the source's documents
-    by permanent random numbers, cut where the words reach it. A document that does not
-    fit is skipped, and all later ones that still fit fill the gap. No document has more than three copies. Null texts
+    by permanent random numbers, cut where the words reach it. Long documents have lesser
+    odds. A document that does not fit is skipped, and all later ones that still fit fill the
+    gap. No document has more than three copies. Null texts
     and empty texts have size 0 and no copy beyond the whole ones; a null source is a
     source, the last. Repeated rows are taken together. Clashing columns are replaced.
     """
-    sized = docs.withColumns({"size": size_of(F.col(text)), "_u": chance(F.col(key), F.col(text), seed)})
+    sized = docs.withColumn("size", size_of(F.col(text))).withColumn("_u", rank(chance(F.col(key), F.col(text), seed), F.col("size")))
     planned = plan(sized.select(F.col(source).cast("string").alias("source"), "size", F.col("_u").alias("u")))
     planned = planned.select([F.col(c).alias(f"_p_{c}") for c in planned.columns])
     joined = sized.drop("source_size", "target", "copies", "taken").join(small_side(planned, BROADCAST_SOURCES), F.col(source).cast("string").eqNullSafe(F.col("_p_source")))

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -82,7 +83,7 @@ def test_mixing_is_no_worse_than_first_fit(spark, rows):
     rows += rows[:300] + rows[:100] + [(9000 + i, "w " * 3, "s1") for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for seed in (1, 2):
-        got = mixing.mix(df, seed).withColumn("u", mixing.chance(F.col("doc_id"), F.col("text"), seed)).collect()
+        got = mixing.mix(df, seed).withColumn("u", mixing.rank(mixing.chance(F.col("doc_id"), F.col("text"), seed), F.col("size"))).collect()
         for s in ("s0", "s1", "s2", "s3"):
             mine = sorted((x for x in got if x["source"] == s), key=lambda x: x["u"])
             target, base = mine[0]["target"], min(x["copies"] for x in mine)
@@ -97,6 +98,28 @@ def test_mixing_is_no_worse_than_first_fit(spark, rows):
             assert abs(sum(x["taken"] for x in mine) - target) <= room + 1e-6
 
 
+def test_mixing_is_a_pareto_order_sample(spark):
+    rows = [(i, "w " * n, "a") for i, n in enumerate([100] * 600 + [2000] * 60 + [12000] * 10)] + [(1000, "w " * 200000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took, seeds = defaultdict(list), range(12)
+    for seed in seeds:
+        got = [r for r in mixing.mix(df, seed).withColumn("u", mixing.chance(F.col("doc_id"), F.col("text"), seed)).collect() if r["source"] == "a"]
+        # By brute force: random odds over odds that fall with the length, in order, until the words of the rest of the target are reached.
+        base = min(r["copies"] for r in got)
+        rest = got[0]["target"] - base * got[0]["source_size"]
+        order = sorted(got, key=lambda r: r["u"] / (1 - r["u"]) * (1 + r["size"] / mixing.LONG))
+        words = np.cumsum([r["size"] for r in order])
+        whole = int(np.searchsorted(words, rest, "right"))
+        early = [r["copies"] - base for r in order[:whole]]
+        assert 0 < whole < len(order) and all(early)
+        for r in got:
+            took[r["size"]].append(r["copies"] - base)
+    share = {n: np.mean(v) for n, v in took.items()}
+    odds = lambda p: p / (1 - p)
+    assert share[100] > share[2000] > share[12000]
+    assert odds(share[100]) / odds(share[2000]) == pytest.approx((1 + 2000 / mixing.LONG) / (1 + 100 / mixing.LONG), rel=0.2)
+
+
 def test_decontamination(spark):
     v = h.vocabulary(4)
     item = " ".join(v[:40])
@@ -213,9 +236,9 @@ def test_a_prediction_depends_on_its_own_text_alone(spark):
     texts = [x["text"] for x in docs.limit(150).collect()] + ["".join(r.choice(list("abcdeinorst é"), int(r.integers(0, 9)))) for _ in range(300)]
     data = [t.encode() for t in texts]
     at = np.append(0, np.cumsum([len(b) for b in data]))
-    langs, scores = model.predict(np.frombuffer(b"".join(data), np.uint8), at)
+    langs, scores, _ = model.predict(np.frombuffer(b"".join(data), np.uint8), at)
     for b, lang, score in zip(data, langs, scores, strict=True):
-        assert model.predict(np.frombuffer(b, np.uint8), np.array([0, len(b)])) == ([lang], [score])
+        assert model.predict(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[:2] == ([lang], [score])
     rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     one, other = ({(x["doc_id"], x["lang_pred"], x["score"]) for x in language_id.identify(rows.repartition(n), model).collect()} for n in (1, 7))
     assert one == other
@@ -227,3 +250,27 @@ def test_a_long_text_is_read_over_chunk_borders(monkeypatch):
     for chunk in (7, len(text) - 2, len(text) - 1, len(text)):
         monkeypatch.setattr(language_id, "CHUNK", chunk)
         assert np.allclose(language_id.profile(text), whole)
+
+
+def test_html_names_are_no_switch():
+    two = f"{SAID} {SAID}"
+    assert html_text.main_text(f'<div class="post tags-politics"><p>{SAID}</p><p>{SAID}</p></div>') == two
+    assert html_text.main_text(f'<div class="market-share-report" id="social-study"><p>{SAID}<p>{SAID}</div>') == two
+    assert html_text.main_text(f"<article>{SAID[:90]}</article><div><p>{SAID}</p><p>{SAID}</p></div>").endswith(two)
+    assert html_text.main_text(f'<p>{SAID}</p><p>{SAID}</p><div class="commentList"><p>I think that {SAID}</p></div><div id="related-posts"><p>{SAID}</p></div><p class="cookie-notice">{SAID}</p>') == two
+    long = " ".join([SAID] * 8)
+    assert html_text.main_text(f'<div class="widget"><p>{long}</p></div><div role="navigation"><p>{long}</p></div>') == long
+    assert html_text.main_text(f'<div class="cookie-notice"><p>{SAID}</p></div>') == ""
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "<a" ', "<div>", "</p>", "<u><b></i>", "<svg><title>", "<script>", "<p class='x\" ", "<!--", "&amp"])
+def test_html_takes_time_in_proportion(unit):
+    began = time.time()
+    html_text.main_text(unit * 100000)
+    assert time.time() - began < 10
+
+
+def test_html_long_page_and_empty_table(spark):
+    page = "<body>" + f"<p>{SAID}</p>" * 5000
+    assert html_text.main_text(page) == " ".join([SAID] * 5000)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
             assert out.columns == COLUMNS
         before, after = _rows(docs), _rows(out)
         if name == "language_id":
-            want = {(r["doc_id"], r["text"]) for r in language_id.identify(docs).collect() if r["lang_pred"] != "und" and r["score"] >= pipeline.LEAST_SCORE}
+            want = {(r["doc_id"], r["text"]) for r in language_id.identify(docs).collect() if r["lang_pred"] != "und" and r["score"] >= pipeline.LEAST_SCORE and r["familiar"]}
             assert after == Counter({r: n for r, n in before.items() if (r[0], r[1]) in want})
         elif name == "near_duplicates":
             classes = {d: c for d, _, c in h.near_classes([(r[0], r[1]) for r in before])}
