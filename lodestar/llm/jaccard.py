@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._spark import deal, settle, tasks
 from ._text import mix, parts, utf8, windows, words
 from .graph import components
-from .substrings import _PACKED, _keys, _table, by_part, document_part, hash_part
+from .substrings import _PACKED, _keys, _table, by_part, hash_part
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -40,6 +40,9 @@ CHUNK = 1 << 21
 SUBPARTS = 3
 #: Members of a signature group up to which its pairs are listed; larger groups meet through a hub.
 SMALL = 8
+#: Sizes of sets in the screens: whole steps of a logarithm to this base, and how far apart those of sets that link can be.
+SIZE_BASE = 1.01
+SIZE_STEPS = int(np.log(100 / PERCENT) / np.log(SIZE_BASE)) + 1
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE):
@@ -71,6 +74,36 @@ def shared_in_prefix(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, n // 5)
 
 
+def size_code(n: np.ndarray) -> np.ndarray:
+    return (np.log(np.maximum(n, 1)) / np.log(SIZE_BASE)).astype(np.uint16)
+
+
+def screen_rows(out: list, part: int, sets_of: np.ndarray, codes: np.ndarray, owner: np.ndarray, h: np.ndarray) -> None:
+    """Adds the hashes of one range as packed rows: sets, how many hashes of each and their size codes, and 32 bits of every hash.
+
+    Sets may meet by chance on 32 bits, so the screens keep no fewer of them than they should.
+    """
+    docs, count = np.unique(owner, return_counts=True)
+    for i in range(0, int(count.max()), 65535):  # more of a set's in one range are told apart
+        have = np.clip(count - i, 0, 65535)
+        pick = have > 0
+        first = np.cumsum(count) - count + i
+        rows = np.concatenate([np.arange(a, a + n) for a, n in zip(first[pick], have[pick], strict=True)]) if i or count.max() > 65535 else slice(None)
+        out.append((part, 0, sets_of[docs[pick]].tobytes(), None, np.concatenate([have[pick].astype(np.uint16), codes[docs[pick]]]).tobytes(), h[rows].astype(np.uint32).tobytes()))
+
+
+def read_screen(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(set, size code, hash) from packed rows."""
+    ds, hs, ns = [], [], []
+    for b in batches:
+        for d, n, x in zip(*(b.column(c).to_pylist() for c in (2, 4, 5)), strict=True):
+            count, code = np.frombuffer(n, np.uint16).reshape(2, -1)
+            ds.append(np.repeat(np.frombuffer(d, np.int64), count))
+            ns.append(np.repeat(code, count))
+            hs.append(np.frombuffer(x, np.uint32))
+    return (np.concatenate(ds), np.concatenate(ns), np.concatenate(hs)) if hs else None
+
+
 def _distinct(f1, f2, d):
     """Rows of distinct fingerprints, each that of the smallest key."""
     order = np.lexsort((d, f2, f1))
@@ -101,56 +134,43 @@ def _prefixes(n_parts: int, k: int):
             if not len(owner):
                 continue
             first = np.repeat(np.cumsum(take) - take, take)
-            h = win[np.arange(len(owner)) - first + np.repeat(at[rows], take)]
-            out = []
-            for p, pick in by_part(hash_part(mix(h), n_parts), n_parts):
-                docs, count = np.unique(owner[pick], return_counts=True)
-                out.append((p, 0, f1[rows[docs]].tobytes(), f2[rows[docs]].tobytes(), np.concatenate([count, size[docs]]).astype(np.uint32).tobytes(), h[pick].tobytes()))
+            h = mix(win[np.arange(len(owner)) - first + np.repeat(at[rows], take)])
+            out, codes = [], size_code(size)
+            for p, pick in by_part(hash_part(h, n_parts), n_parts):
+                screen_rows(out, p, f1[rows], codes, owner[pick], h[pick])
             yield _table(out)
 
     return run
 
 
-def held_by_another(h: np.ndarray, size: np.ndarray, owner: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (one a hash of a set) in order of hash and size, repeated ones once, and whether another set that could link by its size has the hash too."""
-    order = np.lexsort((*owner[::-1], size, h))
-    h, size = h[order], size[order]
-    fresh = np.append(True, (h[1:] != h[:-1]) | np.any([o[order][1:] != o[order][:-1] for o in owner], 0)) if len(h) else np.zeros(0, bool)
-    order, h, size = order[fresh], h[fresh], size[fresh]
-    near = (h[1:] == h[:-1]) & (100 * size[:-1] >= PERCENT * size[1:])
+def held_by_another(sets_of: np.ndarray, code: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets and how many of their hashes another set, of a size with which it could link, has too."""
+    # Copies of a set come from many chunks: each set counts once.
+    order = np.lexsort((sets_of, code, h))
+    d, n, h = sets_of[order], code[order].astype(np.int32), h[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
+    d, n, h = d[fresh], n[fresh], h[fresh]
+    near = (h[1:] == h[:-1]) & (n[1:] - n[:-1] <= SIZE_STEPS)
     dup = np.zeros(len(h), bool)
     dup[1:] = near
     dup[:-1] |= near
-    return order, dup
+    return np.unique(d[dup], return_counts=True)
+
+
+def set_part(sets_of: np.ndarray, n_parts: int) -> np.ndarray:
+    return (mix(sets_of.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
 
 
 def _shared(n_parts: int):
-    """Prefix hashes of a range to how many of each set's are held by another set as well."""
+    """Hashes of a range to how many of each set's are held by another set as well, by set."""
 
     def run(batches):
-        fs, gs, hs, ns = [], [], [], []
-        for b in batches:
-            for d, h, n, x in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True):
-                count, size = np.frombuffer(n, np.uint32).reshape(2, -1)
-                fs.append(np.repeat(np.frombuffer(d, np.int64), count))
-                gs.append(np.repeat(np.frombuffer(h, np.int64), count))
-                ns.append(np.repeat(size, count))
-                hs.append(np.frombuffer(x, np.uint64))
-        if not hs:
-            return
-        f, g, h, size = np.concatenate(fs), np.concatenate(gs), np.concatenate(hs), np.concatenate(ns).astype(np.int64)
-        del fs, gs, hs, ns
-        # Copies of a set come from many chunks: each set counts once.
-        order, dup = held_by_another(h, size, [f])
-        f, g = f[order[dup]], g[order[dup]]
-        order = np.argsort(f, kind="stable")
-        f, first, count = np.unique(f[order], return_index=True, return_counts=True)
-        g = g[order][first]
-        out = []
-        for p, pick in by_part(document_part(f, g, n_parts).astype(np.int64), n_parts):
-            out.append((p, 1, f[pick].tobytes(), g[pick].tobytes(), count[pick].astype(np.uint32).tobytes(), None))
-        if out:
-            yield _table(out)
+        rows = read_screen(batches)
+        if rows:
+            d, count = held_by_another(*rows)
+            out = [(p, 1, d[pick].tobytes(), None, count[pick].astype(np.uint32).tobytes(), None) for p, pick in by_part(set_part(d, n_parts), n_parts)]
+            if out:
+                yield _table(out)
 
     return run
 
@@ -163,7 +183,7 @@ def _texts(n_parts: int, k: int):
             rows = _distinct(f1, f2, d)
             rows = rows[(n[rows] >= 3) & ~null[rows]]
             out, size = [], np.diff(off)
-            for p, pick in by_part(document_part(f1[rows], f2[rows], n_parts).astype(np.int64), n_parts):
+            for p, pick in by_part(set_part(f1[rows], n_parts), n_parts):
                 r = rows[pick]
                 head = np.concatenate([d[r], n[r].astype(np.int64), size[r].astype(np.int64)])
                 out.append((p, 2, f1[r].tobytes(), f2[r].tobytes(), head.tobytes(), squeeze.compress(b"".join(span[off[i] : off[i + 1]].tobytes() for i in r))))
@@ -304,45 +324,31 @@ def _every(n_parts: int, k: int):
                 part = b.slice(i, 512)
                 ids = part.column(0).to_numpy()
                 h, at = sets(*_unpack(part.column(2)), k)
-                size = np.diff(at)
-                owner = np.repeat(np.arange(len(size)), size)
+                size, h = np.diff(at), mix(h)
+                owner, codes = np.repeat(np.arange(len(size)), size), size_code(size)
                 out = []
-                for p, pick in by_part(hash_part(mix(h), n_parts), n_parts):
-                    docs, count = np.unique(owner[pick], return_counts=True)
-                    out.append((p, 0, ids[docs].tobytes(), None, np.concatenate([count, size[docs]]).astype(np.uint32).tobytes(), h[pick].tobytes()))
+                for p, pick in by_part(hash_part(h, n_parts), n_parts):
+                    screen_rows(out, p, ids, codes, owner[pick], h[pick])
                 if out:
                     yield _table(out)
 
     return run
 
 
-def _held():
-    """Shingles of a range to (id, c): how many of a set's are held by another set that could link by its size."""
-
-    def run(batches):
-        ids, hs, ns = [], [], []
-        for b in batches:
-            for d, n, x in zip(*(b.column(c).to_pylist() for c in (2, 4, 5)), strict=True):
-                count, size = np.frombuffer(n, np.uint32).reshape(2, -1)
-                ids.append(np.repeat(np.frombuffer(d, np.int64), count))
-                ns.append(np.repeat(size, count))
-                hs.append(np.frombuffer(x, np.uint64))
-        if not hs:
-            return
-        i, h, size = np.concatenate(ids), np.concatenate(hs), np.concatenate(ns).astype(np.int64)
-        del ids, hs, ns
-        order, dup = held_by_another(h, size, [i])
-        i, c = np.unique(i[order[dup]], return_counts=True)
+def _sums(batches):
+    """Packed counts of a range of sets to (id, c)."""
+    rows = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in (2, 4)), strict=True)]
+    if rows:
+        i, back = np.unique(np.concatenate([np.frombuffer(d, np.int64) for d, _ in rows]), return_inverse=True)
+        c = np.bincount(back, np.concatenate([np.frombuffer(n, np.uint32) for _, n in rows]), len(i))
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(c.astype(np.int64))], ["id", "c"])
 
-    return run
-
 
 def screened(table: DataFrame, k: int) -> DataFrame:
     """Sets of table (id, n, packed) of which another one could hold PERCENT of the shingles; others link with nothing."""
     n = tasks(table.sparkSession)
-    held = deal(table.mapInArrow(_every(n, k), _PACKED), n).mapInArrow(_held(), "id long, c long")
-    enough = held.groupBy("id").agg(F.sum("c").alias("c"))
+    held = deal(table.mapInArrow(_every(n, k), _PACKED), n).mapInArrow(_shared(n), _PACKED)
+    enough = deal(held, n).mapInArrow(_sums, "id long, c long")
     return table.join(enough, "id").filter(100 * F.col("c") >= PERCENT * F.col("n")).select("id", "n", "packed")
 
 
@@ -669,7 +675,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, key: str = "doc_id", text
     every = settle(rows.mapInArrow(sizes, "doc_id long, n_shingles long, f1 long, f2 long"))
     same = every.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     # Only sets with copies or links need their class; their rows are few against all, and partial minima carry hot copies.
-    known = same.join(labels, "id", "left").filter("copies > 1 or component is not null").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "id").alias("component"))
+    # Settled, so that the join below is free to split the rows of a hot set.
+    known = settle(same.join(labels, "id", "left").filter("copies > 1 or component is not null").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "id").alias("component")))
     out = every.join(known, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
