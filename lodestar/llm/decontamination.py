@@ -1,22 +1,27 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items meet on shared runs of SEED words (Karp-Rabin
-fingerprints). For each such pair, the longest runs of common words that no earlier
-tile covers are marked one after another; the tiles' share of the item's words is the
-coverage. Tiles may lie in any order, so reordered passages are found as well.
+1. Runs of SEED words (seeds) have Karp-Rabin fingerprints. A bit map of the benchmark's,
+   of fixed size, tells on the executors which seeds of a document can be in an item.
+2. Documents with such seeds, equal texts once, meet the items in a shuffle join. An
+   item half covered shares a least number of seeds with a document; with its seeds
+   ordered by the documents that have them, one of the rarest, and just these join.
+3. Of each pair that met, the longest runs of common words that no earlier tile covers
+   are marked one after another; the tiles' share of the item's words is the coverage.
+   Tiles may lie in any order, so reordered passages are found as well.
+The benchmark may be of any size: nothing of it but the bit map is on the driver.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import settle, small_side
 from ._text import parts, utf8, windows, words
 
 #: Words of a seed, and least words of a tile.
@@ -25,12 +30,14 @@ SEED = 4
 COVERED = 0.5
 #: Bytes of documents handled at once.
 CHUNK = 1 << 21
-#: Benchmark rows of one block; every block is sent to all tasks, and all documents are compared with each.
-BLOCK_ITEMS, BLOCK_BYTES = 20000, 16 << 20
+#: Bits of the map of the benchmark's seeds, two set by each; a fuller map only lets more seeds through to the join.
+MAP_BITS = 24
+#: Contaminated texts that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 50000
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> int:
-    """Words of item covered by greedy tiles of at least SEED words; seeds are pairs (doc, item) where SEED words agree."""
+def tiles(length: int, seeds: list[tuple[int, int]]) -> int:
+    """Words of an item of some length covered by greedy tiles of at least SEED words; seeds are pairs (doc, item) where SEED words agree."""
     runs = []
     last: dict[int, list[int]] = {}
     for d, i in sorted(seeds):
@@ -42,7 +49,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> in
             runs.append(run)
     heap = [(-n, i, d) for d, i, n in runs]
     heapq.heapify(heap)
-    in_doc, in_item = set(), np.zeros(len(item), bool)
+    in_doc, in_item = set(), np.zeros(length, bool)
     while heap:
         n, i, d = heapq.heappop(heap)
         n = -n
@@ -65,100 +72,130 @@ def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> in
     return int(in_item.sum())
 
 
-class Probe:
-    """A block of benchmark items by the fingerprints of their seeds."""
+def _bits(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each seed in the map."""
+    return (seeds >> np.uint64(64 - MAP_BITS)).astype(np.int64), (seeds & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        data, at = utf8(pc.utf8_lower(pa.array(texts, pa.large_string())))
-        hashes, _, _, offsets = words(data, at, loose=True)
+
+def _seeds(column):
+    """(seed, place, row, words) of a column of texts: by row, a text of fewer than SEED words is one seed."""
+    data, at = utf8(pc.utf8_lower(column))
+    for i, j in parts(at, CHUNK):
+        hashes, _, _, offsets = words(data[at[i] : at[j]], at[i : j + 1] - at[i], loose=True)
         seeds, where, rows = windows(hashes, offsets, SEED, whole=True)
-        order = np.argsort(seeds, kind="stable")
-        self.ids, self.items = ids, [hashes[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
-        self.seeds, self.rows, self.where = seeds[order], rows[order], (where - offsets[rows])[order]
-        self.distinct = np.unique(self.seeds)
-        self.short = {}
-        for i, words_of in enumerate(self.items):
-            if 0 < len(words_of) < SEED:
-                self.short.setdefault(len(words_of), {}).setdefault(words_of.tobytes(), []).append(i)
-
-    def best(self, doc: np.ndarray, seeds: np.ndarray) -> tuple[int, float]:
-        """(item id, coverage) of the best covered item; the smallest id at a tie."""
-        hit = np.flatnonzero(np.isin(seeds, self.distinct))
-        pairs = defaultdict(list)
-        for d in hit:
-            lo, hi = np.searchsorted(self.seeds, seeds[d], "left"), np.searchsorted(self.seeds, seeds[d], "right")
-            for k in range(lo, hi):
-                pairs[int(self.rows[k])].append((int(d), int(self.where[k])))
-        top = (0.0, None)
-        for row, found in pairs.items():
-            item = self.items[row]
-            if len(item) < SEED:
-                continue
-            c = tiles(doc, item, found) / len(item)
-            if c > top[0] or c == top[0] and c > 0 and self.ids[row] < top[1]:
-                top = (c, self.ids[row])
-        return top[1], top[0]
-
-
-def _compare(ids: list[int], texts: list[str]):
-    """A function of texts: (coverage, minus item id, words) against one block of items."""
-    probe = Probe(ids, texts)
-
-    @F.arrow_udf("struct<coverage:double,item:long,n_words:long>")
-    def of(column: pa.Array) -> pa.Array:
-        data, at = utf8(pc.utf8_lower(column))
-        n_words, item, cover = [], [], [np.zeros(0)]
-        for i, j in parts(at, CHUNK):
-            hashes, _, _, offsets = words(data[at[i] : at[j]], at[i : j + 1] - at[i], loose=True)
-            seeds, _, rows = windows(hashes, offsets, SEED)
-            first = np.searchsorted(rows, np.arange(j - i + 1))
-            best, share = [None] * (j - i), np.zeros(j - i)
-            for k in np.unique(rows[np.isin(seeds, probe.distinct)]):
-                best[k], share[k] = probe.best(hashes[offsets[k] : offsets[k + 1]], seeds[first[k] : first[k + 1]])
-            for size, known in probe.short.items():
-                for k in np.flatnonzero(np.diff(offsets) == size):
-                    same = known.get(hashes[offsets[k] : offsets[k + 1]].tobytes())
-                    if same:
-                        best[k], share[k] = min(probe.ids[s] for s in same), 1.0
-            n_words += np.diff(offsets).tolist()
-            item += [None if v is None else -v for v in best]
-            cover.append(share)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(cover)), pa.array(item, pa.int64()), pa.array(n_words, pa.int64())], ["coverage", "item", "n_words"])
-
-    return of
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str):
-    """The benchmark in blocks of bounded rows and bytes, each on the driver in its turn."""
-    ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col(item).cast("long"), F.col(text).cast("string")).filter(F.col(item).isNotNull() & F.col(text).isNotNull()).distinct().orderBy(item, text)
-    for row in rows.toLocalIterator():
-        if ids and (len(ids) == BLOCK_ITEMS or size + len(row[1]) > BLOCK_BYTES):
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1])
-    yield ids, texts
+        yield i, j, seeds, where - offsets[rows], rows, np.diff(offsets)
+
+
+def _packed(values: list[np.ndarray]) -> pa.Array:
+    return pa.array([v.tobytes() for v in values], pa.binary())
+
+
+def _item_seeds(batches):
+    """Items (item, text) to (item, length, seeds, places), packed in order of seed and place."""
+    for b in batches:
+        for i, j, seeds, where, rows, n in _seeds(b.column(1)):
+            at = np.searchsorted(rows, np.arange(j - i + 1))
+            order = [np.lexsort((where[x:y], seeds[x:y])) + x for x, y in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), _packed([seeds[o] for o in order]), _packed([where[o].astype(np.int32) for o in order])], ["item", "length", "seeds", "places"])
+
+
+def _map(batches):
+    """Items' seeds to the map of their bits."""
+    bits = np.zeros(1 << MAP_BITS, bool)
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            for at in _bits(np.frombuffer(x, np.uint64)):
+                bits[at] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+
+def _document_seeds(bits: bytes):
+    """Documents (a, b, text) to those with seeds in the map: (a, b, seeds, places), packed as those of items."""
+
+    def run(batches):
+        known = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
+        for b in batches:
+            for i, j, seeds, where, rows, _ in _seeds(b.column(2)):
+                first, second = _bits(seeds)
+                hit = known[first] & known[second]
+                seeds, where, rows = seeds[hit], where[hit], rows[hit]
+                if not len(rows):
+                    continue
+                docs = np.unique(rows)
+                at = np.searchsorted(rows, np.append(docs, j - i))
+                order = [np.lexsort((where[x:y], seeds[x:y])) + x for x, y in zip(at[:-1], at[1:], strict=True)]
+                a, h = (b.column(c).slice(i, j - i).take(pa.array(docs)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([a, h, _packed([seeds[o] for o in order]), _packed([where[o].astype(np.int32) for o in order])], ["a", "b", "seeds", "places"])
+
+    return run
+
+
+def _one_by_one(names: list[str], each: bool):
+    """Rows with packed seeds to one row a seed: all places of items (each), or the distinct seeds of documents."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                part = b.slice(i, 2000)
+                lists = [np.frombuffer(x, np.uint64) for x in part.column("seeds").to_pylist()]
+                lists = lists if each else [np.unique(x) for x in lists]
+                row = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                yield pa.RecordBatch.from_arrays([part.column(c).take(row) for c in names] + [pa.array(np.concatenate(lists).view(np.int64))], [*names, "seed"])
+
+    return run
+
+
+def _cover(batches):
+    """Pairs of packed seeds (a, b, item, length, seeds, places, seeds, places) to the item's coverage."""
+    for batch in batches:
+        shares = []
+        for length, s, p, t, q in zip(*(batch.column(c).to_pylist() for c in range(3, 8)), strict=True):
+            s, t, p, q = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), np.frombuffer(p, np.int32), np.frombuffer(q, np.int32)
+            lo, hi = np.searchsorted(t, s, "left"), np.searchsorted(t, s, "right")
+            n = hi - lo
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            found = list(zip(q[place].tolist(), np.repeat(p, n).tolist(), strict=True))
+            shares.append((tiles(length, found) / length if length >= SEED else float(bool(found))) if length else 0.0)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(shares, pa.float64())], ["a", "b", "item", "coverage"])
+
+
+def coverages(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(a, b, item, coverage) of every text (a, b, text) and item (item, text) that it covers to COVERED; a, b stand for the text."""
+    held = settle(items.mapInArrow(_item_seeds, "item long, length long, seeds binary, places binary").filter("length > 0"))
+    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for row in held.select("seeds").mapInArrow(_map, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row[0], np.uint8)
+    docs = settle(texts.mapInArrow(_document_seeds(bits.tobytes()), "a long, b long, seeds binary, places binary").dropDuplicates(["a", "b"]))
+    seeds = docs.select("a", "b", "seeds").mapInArrow(_one_by_one(["a", "b"], False), "a long, b long, seed long")
+    held_by = seeds.groupBy("seed").agg(F.count("*").alias("df"))
+    places = held.select("item", "length", "seeds").mapInArrow(_one_by_one(["item", "length"], True), "item long, length long, seed long").join(held_by, "seed")
+    # A tile has one seed at least for SEED words. Of the seeds that documents have, an item can do without as many of the most frequent as leave it one fewer than that.
+    need = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("length") * COVERED) / SEED))
+    rare = places.withColumns({"n": F.count("*").over(Window.partitionBy("item")), "rank": F.row_number().over(Window.partitionBy("item").orderBy("df", "seed"))}).filter(F.col("rank") <= F.col("n") - need + 1)
+    pairs = seeds.join(rare.select("item", "seed").distinct(), "seed").select("a", "b", "item").distinct()
+    both = pairs.join(held.withColumnsRenamed({"seeds": "s", "places": "p"}), "item").join(docs, ["a", "b"]).select("a", "b", "item", "length", "s", "p", "seeds", "places")
+    return both.mapInArrow(_cover, "a long, b long, item long, coverage double").filter(F.col("coverage") >= COVERED)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with n_words, item_id, coverage and contaminated.
+    """docs with item_id, coverage and contaminated.
 
-    Words are runs of ASCII letters, digits and non-ASCII characters, in lower case. item_id
-    is the best covered item (null without any tile, the smallest at a tie), and
-    contaminated is whether coverage >= COVERED. Null and empty texts have coverage 0;
-    null, empty and repeated items count for nothing more. An item of fewer than SEED
+    Words are runs of ASCII letters, digits and non-ASCII characters, in lower case. A
+    document is contaminated if its tiles cover COVERED of the words of an item; item_id is the
+    best covered one (the smallest at a tie) and coverage its share, or null and 0 for
+    a clean document. Null and empty texts are clean; null, empty and repeated items
+    count for nothing more, and so do items without an id. An item of fewer than SEED
     words is covered only by a document that consists of it. Repeated documents have a
     result each; an empty benchmark leaves all clean. Clashing columns are replaced.
     """
-    found = [_compare(ids, texts)(F.col(text)) for ids, texts in _blocks(benchmark, item, item_text)]
-    out = docs.withColumns({f"_m{i}": c for i, c in enumerate(found)})
-    best = F.greatest(*[F.col(f"_m{i}") for i in range(len(found))]) if len(found) > 1 else F.col("_m0")
-    out = out.withColumn("_m", best)
-    return out.withColumns({"n_words": F.col("_m.n_words"), "item_id": -F.col("_m.item"), "coverage": F.col("_m.coverage"), "contaminated": F.col("_m.coverage") >= COVERED}).drop("_m", *[f"_m{i}" for i in range(len(found))])
+    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
+    a, b = F.xxhash64(F.lit(0), F.col(text)), F.xxhash64(F.lit(1), F.col(text))
+    found = coverages(docs.filter(F.col(text).isNotNull()).select(a.alias("a"), b.alias("b"), F.col(text).cast("string").alias("text")), items)
+    best = settle(found.groupBy("a", "b").agg(F.max(F.struct("coverage", (-F.col("item")).alias("item"))).alias("m")).select(F.col("a").alias("_a"), F.col("b").alias("_b"), (-F.col("m.item")).alias("_item"), F.col("m.coverage").alias("_coverage")))
+    out = docs.join(small_side(best, BROADCAST_ROWS), (a == F.col("_a")) & (b == F.col("_b")) & F.col(text).isNotNull(), "left")
+    return out.withColumns({"item_id": F.col("_item"), "coverage": F.coalesce("_coverage", F.lit(0.0)), "contaminated": F.col("_item").isNotNull()}).drop("_a", "_b", "_item", "_coverage")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_words", "item_id", "coverage", "contaminated")
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "item_id", "coverage", "contaminated")

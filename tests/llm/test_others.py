@@ -134,9 +134,55 @@ def test_decontamination(spark):
 
 
 def test_tiles_cover_greedily():
-    doc, item = np.array([1, 2, 3, 4, 9, 5, 6, 7, 8], np.uint64), np.array([5, 6, 7, 8, 1, 2, 3, 4], np.uint64)
-    seeds = [(0, 4), (5, 0)]
-    assert decontamination.tiles(doc, item, seeds) == 8
+    # The item 5 6 7 8 1 2 3 4 in the document 1 2 3 4 9 5 6 7 8.
+    assert decontamination.tiles(8, [(0, 4), (5, 0)]) == 8
+
+
+def _tiled(doc, item):
+    """Share of the item covered by greedy tiles, by plain search for the longest common free run."""
+    free_d, free_i, covered = [True] * len(doc), [True] * len(item), 0
+    if len(item) < decontamination.SEED:
+        return float(bool(item) and doc == item)
+    while True:
+        best = (decontamination.SEED - 1, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and free_i[i + n] and free_d[d + n] and item[i + n] == doc[d + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, d)
+        n, i, d = best
+        if n < decontamination.SEED:
+            return covered / len(item)
+        free_i[i : i + n] = free_d[d : d + n] = [False] * n
+        covered += n
+
+
+def test_decontamination_equals_plain_tiling(spark):
+    r = np.random.default_rng(2)
+    v = h.vocabulary(6, 60)
+    say = lambda n: [v[int(k)] for k in r.integers(0, 60, n)]
+    common = say(6)
+    items = {k: say(int(r.integers(1, 30))) + (common if k % 3 == 0 else []) for k in range(40)}
+    docs = []
+    for k in range(150):
+        w = say(int(r.integers(0, 25))) + (common if k % 4 == 0 else [])
+        for _ in range(int(r.integers(0, 3))):
+            item = items[int(r.integers(0, 40))]
+            cut = int(r.integers(0, len(item) + 1))
+            w += item[cut:] + say(int(r.integers(0, 3))) + item[: int(r.integers(0, cut + 1))]
+        docs.append((k, " ".join(w)))
+    docs += [docs[3], (999, None), (998, ""), (None, docs[5][1]), (997, " ".join(say(9000) + items[4]))]
+    got = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")).collect()
+    assert len(got) == len(docs) and any(x["contaminated"] for x in got)
+    for x in got:
+        if x["doc_id"] == 997:
+            assert x["contaminated"]
+            continue
+        best = max(((_tiled((x["text"] or "").split(), w), -k) for k, w in items.items()), default=(0.0, 0))
+        want = (True, -best[1], best[0]) if best[0] >= decontamination.COVERED else (False, None, 0.0)
+        assert (x["contaminated"], x["item_id"]) == want[:2] and x["coverage"] == pytest.approx(want[2])
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><p>Site of the year</p></header><nav><a href=1>Home</a></nav>
