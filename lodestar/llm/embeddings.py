@@ -25,7 +25,9 @@ BLOCKS = 4
 #: Vectors on which the rotation is fitted; it changes speed, not results.
 SAMPLE = 4096
 #: Vectors of a grid cell that are one side of a comparison; larger cells are dealt to several tasks.
-HOME = 2048
+HOME = 8192
+#: Rows of a cell compared at once with as many others.
+STEP = 2048
 _AHEAD = ((0, 1), (1, -1), (1, 0), (1, 1))
 _SLACK = 1e-6
 
@@ -34,7 +36,7 @@ class Grid:
     """Rotation, blocks, their budgets and the cell width of each."""
 
     def __init__(self, sample: np.ndarray, cosine: float):
-        dim = sample.shape[1]
+        self.dim = dim = sample.shape[1]
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         values, axes = np.linalg.eigh(np.cov(unit.T, bias=True).reshape(dim, dim) + np.eye(dim) * 1e-9)
         self.rotation = axes[:, np.argsort(-values, kind="stable")]
@@ -60,22 +62,32 @@ class Grid:
         return c if c.shape[1] == 2 else np.column_stack([c, np.ones(len(c), int)])
 
 
-def _floats(column) -> np.ndarray:
+def _floats(column, dim: int) -> np.ndarray:
     """Packed vectors of one length as a matrix."""
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.float32)
-    return flat.reshape(len(column), -1).astype(np.float64)
+    flat = b"".join(column.to_pylist())
+    return np.frombuffer(flat, np.float32 if len(flat) == 4 * dim * len(column) else np.float64).reshape(len(column), -1).astype(np.float64)
 
 
-def _prepare(batches):
-    for b in batches:
-        ids, packed, prints = b.column(0), [], []
-        for v in b.column(1).to_pylist():
-            x = None if not v or any(c is None for c in v) else np.array(v, np.float32)
-            good = x is not None and np.isfinite(x).all() and (x != 0).any() and np.linalg.norm(x.astype(np.float64)) > 0
-            packed.append(x.tobytes() if good else None)
-            prints.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if good else None)
-        packed = [p if i is not None else None for p, i in zip(packed, ids.to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary()), pa.array(prints, pa.binary()), pa.array([None if p is None else len(p) // 4 for p in packed], pa.int32())], ["vec_id", "v", "f", "dim"])
+def _prepare(kind: type):
+    """Vectors (vec_id, list) to their components of a kind, packed, a fingerprint and their length.
+
+    Components are scaled by a power of two, so that no square overflows or vanishes; the cosine stays as it is.
+    """
+
+    def run(batches):
+        for b in batches:
+            ids, packed, prints, dims = b.column(0), [], [], []
+            for i, v in zip(ids.to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = None if i is None or not v or any(c is None for c in v) else np.array(v, np.float64)
+                good = x is not None and np.isfinite(x).all() and (x != 0).any()
+                if good:
+                    x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])).astype(kind)
+                packed.append(x.tobytes() if good else None)
+                prints.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if good else None)
+                dims.append(len(x) if good else None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary()), pa.array(prints, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "v", "f", "dim"])
+
+    return run
 
 
 def _compare(grid: Grid):
@@ -84,8 +96,12 @@ def _compare(grid: Grid):
     def links(k, home, other, same):
         """Pairs (i, j) of rows that link and whose first block within budget is k."""
         hx, ox = home["turned"][:, grid.blocks[k]].astype(np.float32), other["turned"][:, grid.blocks[k]].astype(np.float32)
-        d = (hx * hx).sum(1)[:, None] + (ox * ox).sum(1)[None, :] - 2 * (hx @ ox.T)
-        i, j = np.nonzero(d <= grid.budget[k] + 1e-5)
+        found, oo = [], (ox * ox).sum(1)[None, :]
+        for s in range(0, len(hx), STEP):
+            x = hx[s : s + STEP]
+            i, j = np.nonzero((x * x).sum(1)[:, None] + oo - 2 * (x @ ox.T) <= grid.budget[k] + 1e-5)
+            found.append(np.stack([i + s, j]))
+        i, j = np.concatenate(found, 1)
         if same:
             keep = i < j
             i, j = i[keep], j[keep]
@@ -126,7 +142,7 @@ def _compare(grid: Grid):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.nulls(len(a), pa.int64()) if n is None else pa.array(n)], ["a", "b", "n"])
 
     def load(rows):
-        v = _floats(rows.column("v"))
+        v = _floats(rows.column("v"), grid.dim)
         return {"id": rows.column("id").to_numpy(), "w": rows.column("w").to_numpy(), "v": v, "norm": np.sqrt(np.einsum("ij,ij->i", v, v)), "turned": grid.turn(v).astype(np.float32).astype(np.float64)}
 
     def run(batches):
@@ -138,8 +154,8 @@ def _compare(grid: Grid):
             for s, e in zip(edges, np.append(edges[1:], len(keys)), strict=True):
                 if tuple(keys[s]) != key:
                     key, home = tuple(keys[s]), None
-                for q in range(s, e, HOME):
-                    part = load(b.slice(q, min(HOME, e - q)))
+                for q in range(s, e, STEP):
+                    part = load(b.slice(q, min(STEP, e - q)))
                     k = int(key[0])
                     if home is not None:
                         i, j = links(k, home, part, False)
@@ -152,14 +168,14 @@ def _compare(grid: Grid):
     return run
 
 
-def _join(reps: DataFrame, cosine: float) -> DataFrame:
+def _join(reps: DataFrame, cosine: float, dim: int) -> DataFrame:
     """(a, null, n): n weighted links of a found in one place; (a, b, null): an edge of the forest. reps: id, w, v of one length."""
     sample = reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v")
-    grid = Grid(_floats(sample.combine_chunks() if sample.num_chunks != 1 else sample.chunk(0)), cosine)
+    grid = Grid(_floats(sample.combine_chunks() if sample.num_chunks != 1 else sample.chunk(0), dim), cosine)
 
     def count(batches):
         for b in batches:
-            turned = grid.turn(_floats(b.column(0))).astype(np.float32).astype(np.float64)
+            turned = grid.turn(_floats(b.column(0), dim)).astype(np.float32).astype(np.float64)
             for k in range(len(grid.blocks)):
                 c = grid.cells(turned, k)
                 cell, n = np.unique(c[:, 0] * grid.across[k] + c[:, 1], return_counts=True)
@@ -171,7 +187,7 @@ def _join(reps: DataFrame, cosine: float) -> DataFrame:
 
     def spread(batches):
         for b in batches:
-            v = _floats(b.column(2))
+            v = _floats(b.column(2), dim)
             turned = grid.turn(v).astype(np.float32).astype(np.float64)
             ids = b.column(0).to_numpy()
             luck = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
@@ -210,12 +226,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     link with nothing. Vectors of different lengths never link. Equal vectors are one in
     the join and count each other; repeated rows do as well. Other columns are not read.
     """
-    rows = vectors.select(vectors[key].cast("long").alias("vec_id"), vectors[vector].cast("array<float>").alias("e"))
-    ready = settle(rows.mapInArrow(_prepare, "vec_id long, v binary, f binary, dim int"))
+    single = vectors.schema[vector].dataType.elementType.typeName() == "float"
+    rows = vectors.select(vectors[key].cast("long").alias("vec_id"), vectors[vector].cast("array<float>" if single else "array<double>").alias("e"))
+    ready = settle(rows.mapInArrow(_prepare(np.float32 if single else np.float64), "vec_id long, v binary, f binary, dim int"))
     reps = settle(ready.filter("v is not null").groupBy("f").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v"), F.first("dim").alias("dim")))
     found = None
     for row in reps.select("dim").distinct().orderBy("dim").collect():
-        one = _join(reps.filter(F.col("dim") == row["dim"]), cosine)
+        one = _join(reps.filter(F.col("dim") == row["dim"]), cosine, row["dim"])
         found = one if found is None else found.unionByName(one)
     if found is None:
         return ready.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

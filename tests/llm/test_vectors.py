@@ -53,3 +53,17 @@ def test_hot_cells_are_dealt(spark, monkeypatch):
 
 def test_no_vectors(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_double_precision_and_repeated_rows(spark):
+    rows = [(1, [1e300, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1e-300]), (4, [0.0, 5.0]), (4, [0.0, 5.0]), (6, [1.0, 1.0])]
+    got = sorted(map(tuple, embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 2, 3, True), (4, 2, 3, False), (4, 2, 3, False), (6, 0, 6, True)]
+
+
+def test_small_steps(spark, monkeypatch):
+    rows, _ = _rows()
+    monkeypatch.setattr(embeddings, "HOME", 64)
+    monkeypatch.setattr(embeddings, "STEP", 16)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, embeddings.near_vectors(df).collect())) == _brute(rows)
