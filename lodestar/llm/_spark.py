@@ -28,6 +28,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch on its way between Spark and Python, where the session has Spark's own 10000: that many whole texts, for each task and on both sides, are most of what an executor has beside its heap.
+BATCH_ROWS = 1000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Lets batches of texts be small; it changes no result."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions of an exchange of packed rows: the session's shuffle partitions, set in proportion to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import deal, tasks
+from ._spark import deal, lean_batches, tasks
 from ._text import _BYTE_BASE, _CODES, mix, parts, powers, prefix, utf8
 from .substrings import _PACKED, _documents, _keys, _pack_documents, _table, by_part, document_part, hash_part, text_hashes
 from .suffix import repeated
@@ -344,6 +344,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     another's strings; a null doc_id is no hindrance. Null texts are empty; texts shorter
     than length lose nothing. Other columns are not read.
     """
+    lean_batches(docs.sparkSession)
     n = tasks(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     documents = rows.mapInArrow(_pack_documents(n), _PACKED)

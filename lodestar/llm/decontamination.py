@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import settle, small_side
+from ._spark import lean_batches, settle, small_side
 from ._text import parts, utf8, windows, words
 
 #: Words of a seed, and least words of a tile.
@@ -189,6 +189,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     result each; an empty benchmark leaves all clean. Clashing columns are replaced.
     """
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
+    lean_batches(docs.sparkSession)
     a, b = F.xxhash64(F.lit(0), F.col(text)), F.xxhash64(F.lit(1), F.col(text))
     found = coverages(docs.filter(F.col(text).isNotNull()).select(a.alias("a"), b.alias("b"), F.col(text).cast("string").alias("text")), items)
     best = settle(found.groupBy("a", "b").agg(F.max(F.struct("coverage", (-F.col("item")).alias("item"))).alias("m")).select(F.col("a").alias("_a"), F.col("b").alias("_b"), (-F.col("m.item")).alias("_item"), F.col("m.coverage").alias("_coverage")))

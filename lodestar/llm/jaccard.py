@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import deal, settle, tasks
+from ._spark import deal, lean_batches, settle, tasks
 from ._text import mix, parts, utf8, windows, words
 from .graph import components
 from .substrings import _PACKED, _keys, _table, by_part, hash_part
@@ -662,6 +662,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, key: str = "doc_id", text
     has a null component and links with nothing. Repeated rows have a result each.
     Shingles are compared by 64-bit hashes. Other columns are not read.
     """
+    lean_batches(docs.sparkSession)
     n = tasks(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     counts = deal(rows.mapInArrow(_prefixes(n, k), _PACKED), n).mapInArrow(_shared(n), _PACKED)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import lean_batches
 from ._text import _LOWER, parts, utf8
 
 #: Hash buckets of the n-grams.
@@ -223,6 +224,7 @@ def identify(docs: DataFrame, model: Model | None = None, key: str = "doc_id", t
     no letter, or nothing could be learned. A null key counts as not held out. Clashing
     columns are replaced. Rows stay as they are, repeated ones included.
     """
+    lean_batches(docs.sparkSession)
     model = model or fit(docs, key, text, lang)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,familiar:boolean>")

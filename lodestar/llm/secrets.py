@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._spark import lean_batches
+
 #: The base patterns and the least lengths of what they must hold.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -229,6 +231,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     A null or empty text has no spans. Each repeated row has its own result. Other
     columns are not read, so their names cannot clash.
     """
+    lean_batches(docs.sparkSession)
     net = network()
 
     def run(batches):

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import deal, tasks
+from ._spark import deal, lean_batches, tasks
 from ._text import mix, parts, utf8, windows, words
 
 WINDOW = 20
@@ -255,6 +255,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, key: str = "doc_i
     are ordered by the start alone. A null or empty text has no words. Equality of
     windows is equality of their 64-bit hashes. Other columns are not read.
     """
+    lean_batches(docs.sparkSession)
     n = tasks(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     hashed = deal(rows.mapInArrow(_hash_windows(n, window), _PACKED), n)
