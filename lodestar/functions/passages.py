@@ -26,7 +26,7 @@ def pack(pieces: list[str], most: int) -> list[list[str]]:
     return groups
 
 
-def split(text: str | None, most: int = 300, least: int = 40) -> list[str]:
+def split(text: str | None, most: int = 500, least: int = 40) -> list[str]:
     """Paragraphs; short ones join the passage before them (or are lost at the start), long ones break at sentences, else at words."""
     out: list[str] = []
     for part in re.split(r"\n\s*\n", text or ""):
@@ -47,12 +47,12 @@ def split(text: str | None, most: int = 300, least: int = 40) -> list[str]:
     return out
 
 
-def passages(text: Column) -> Column:
+def passages(text: Column, most: int = 500) -> Column:
     """split() of every text; sentences depend on what stands before them, so this is Python, in Arrow batches."""
 
     @F.pandas_udf("array<string>")
     def of(column: pd.Series) -> pd.Series:
-        return column.map(split)
+        return column.map(lambda t: split(t, most))
 
     return of(text)
 

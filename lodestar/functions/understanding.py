@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and word lists whose results must agree with earlier engines.
@@ -46,10 +46,33 @@ SYNONYMS = {
     "performance": ["speed", "latency", "throughput"],
 }
 DOMAIN_CATEGORIES = {"tech-docs": ["docs.", "documentation", "readthedocs", "devdocs", "developer.", "api."], "news": ["news", "bbc", "reuters", "cnn", "nytimes"], "academic": ["arxiv", "scholar", "academic", "ieee", "springer", "pubmed"]}
-#: Keywords by language and their English terms, in order; the engine takes any such table.
-TRANSLATIONS = {"tr": {"kurulum": "install", "hata": "error", "ayarlar": "configuration", "arama": "search", "dosya": "file", "sunucu": "server"}, "id": {"instalasi": "install", "kesalahan": "error", "pengaturan": "configuration", "pencarian": "search", "berkas": "file"}}
-#: English words without weight for matching.
-STOP_WORDS_EN = "a an the is are was were be been being have has had do does did will would shall should may might must can could of in to for on with at by from as into about and or but if not no so it its this that i you he she we they me him her us them my your his our their what which who how when where why".split()
+#: Keywords by language and their English terms, in order; the engine takes any such table.
+TRANSLATIONS = {
+    "ko": {"설치": "install", "사용법": "usage", "오류": "error", "설정": "configuration", "검색": "search", "파일": "file", "서버": "server", "데이터베이스": "database", "네트워크": "network", "보안": "security", "성능": "performance", "테스트": "test", "배포": "deploy", "업데이트": "update", "삭제": "delete"},
+    "ja": {"インストール": "install", "エラー": "error", "設定": "configuration", "検索": "search", "ファイル": "file", "サーバー": "server", "データベース": "database", "ネットワーク": "network", "セキュリティ": "security"},
+    "zh": {"安装": "install", "错误": "error", "配置": "configuration", "搜索": "search", "文件": "file", "服务器": "server", "数据库": "database", "网络": "network", "安全": "security", "性能": "performance"},
+    "ar": {"تثبيت": "install", "خطأ": "error", "إعدادات": "configuration", "بحث": "search", "ملف": "file", "خادم": "server", "قاعدة بيانات": "database", "شبكة": "network", "أمان": "security"},
+    "hi": {"स्थापित": "install", "त्रुटि": "error", "सेटिंग": "configuration", "खोज": "search", "फ़ाइल": "file", "सर्वर": "server", "डेटाबेस": "database", "नेटवर्क": "network", "सुरक्षा": "security"},
+    "th": {"ติดตั้ง": "install", "ข้อผิดพลาด": "error", "การตั้งค่า": "configuration", "ค้นหา": "search", "ไฟล์": "file", "เซิร์ฟเวอร์": "server", "ฐานข้อมูล": "database", "เครือข่าย": "network"},
+    "tr": {"kurulum": "install", "hata": "error", "ayarlar": "configuration", "arama": "search", "dosya": "file", "sunucu": "server", "veritabanı": "database", "ağ": "network", "güvenlik": "security"},
+    "vi": {"cài đặt": "install", "lỗi": "error", "cấu hình": "configuration", "tìm kiếm": "search", "tập tin": "file", "máy chủ": "server", "cơ sở dữ liệu": "database", "mạng": "network", "bảo mật": "security"},
+    "id": {"instalasi": "install", "kesalahan": "error", "pengaturan": "configuration", "pencarian": "search", "berkas": "file", "server": "server", "basis data": "database", "jaringan": "network", "keamanan": "security"},
+}
+#: English words without weight for matching. For other languages frequent_words finds such words in the corpus.
+STOP_WORDS_EN = (
+    "a an the and or but in on at to for of with by from is are was were be been being have has had do does did will would could should may might shall can "
+    "this that these those it its i me my we our you your he she him her they them their what which who whom how when where why if then so no not as up about into through during before after above below "
+    "between same than too very just also more most other some such only own each every all any both few many much over under again further once here there out off"
+).split()
+
+
+def frequent_words(docs: DataFrame, least: float = 0.5, lang: str = "lang", text: str = "text") -> DataFrame:
+    """lang, word, share: the words that at least a share of a language's documents hold, which say little about any of them."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1))
+    rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), words.alias("w"))
+    n = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    found = rows.select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("held"))
+    return found.join(F.broadcast(n), "lang").select("lang", "word", (F.col("held") / F.col("n")).alias("share")).filter(F.col("share") >= least)  # one row a language
 
 
 def intent3(q: Column) -> Column:

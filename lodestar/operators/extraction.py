@@ -15,12 +15,21 @@ CITATIONS = [
 ]
 TECH = "Python JavaScript TypeScript Rust Go Java Ruby Swift Kotlin React Vue Angular Django Flask FastAPI Docker Kubernetes PostgreSQL MySQL Redis MongoDB SQLite AWS Azure GCP Linux macOS Windows GitHub GitLab npm pip cargo".split()
 NAMES = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
+# Languages that their script tells have no words here.
 COMMON_WORDS = {
     "en": "the is are was were have has been will would could should can this that with from they which not but for and".split(),
-    "es": "el la de en los las un una por con es que del para".split(),
-    "fr": "le la les des un une est dans pour que qui sur pas avec".split(),
-    "de": "der die das und ist ein eine nicht mit auf für den von zu".split(),
+    "es": "el la de en los las un una por con es que del para como más fue pero".split(),
+    "de": "der die das und ist von den mit ein eine auf dem für nicht auch sich als noch".split(),
+    "fr": "le la les des de un une du est et en que qui dans pour pas sur par avec".split(),
+    "pt": "de da do em os as um uma que por com para foi mais não como mas seu sua".split(),
+    "ru": "и в на с не что он как это по но из от за для все был она так его".split(),
+    "tr": "bir ve bu da de için ile olan gibi daha çok var ama olarak sonra kadar".split(),
+    "vi": "của và là có trong được cho không này với các những một để từ đã".split(),
+    "id": "dan di yang untuk dengan ini itu dari pada adalah atau tidak juga akan ke oleh".split(),
 }
+# Character ranges of the scripts, and language and confidence of those that tell it.
+SCRIPTS = {"CJK": "\u4e00-\u9fff\u3400-\u4dbf\u3001-\u303f", "Hangul": "\uac00-\ud7af\u1100-\u11ff\u3130-\u318f", "Kana": "\u3040-\u30ff", "Cyrillic": "\u0400-\u04ff", "Arabic": "\u0600-\u06ff", "Devanagari": "\u0900-\u097f", "Thai": "\u0e00-\u0e7f"}
+BY_SCRIPT = {"Hangul": ("ko", 0.95), "Kana": ("ja", 0.95), "Arabic": ("ar", 0.90), "Devanagari": ("hi", 0.90), "Thai": ("th", 0.95)}
 TYPE_ORDER = {name: i for i, (name, _) in enumerate(CITATIONS)}
 
 
@@ -38,16 +47,32 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(F.concat(tech, names))).groupBy("doc_id", "type", "name").agg(F.count("*").alias("n"))
 
 
-def language(words: Column, n_chars: Column) -> tuple[Column, Column]:
-    """Language and confidence by common words; the first language wins a tie, short texts are English without confidence."""
-    seen = F.array_distinct(words)
-    least = F.least(F.size(words), F.lit(50))
-    lists = F.array(*[F.array(*[F.lit(w) for w in v]) for v in COMMON_WORDS.values()])
-    hits = F.transform(lists, lambda v: F.size(F.array_intersect(seen, v)))
-    top = F.array_max(hits)
-    best = F.element_at(F.array(*[F.lit(k) for k in COMMON_WORDS]), F.array_position(hits, top).cast("int"))
-    score = F.when(least > 0, top / least).otherwise(0.0)
-    return F.when(n_chars < 20, "en").otherwise(best), F.when(n_chars < 20, 0.0).otherwise(F.round(F.least(score * 5, F.lit(0.95)), 3))
+def language(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with language, confidence and script.
+
+    The most frequent script decides where it tells the language, with kana for Japanese;
+    else common words do, the first language at a tie. Short texts are English without confidence.
+    """
+    t = F.col(text)
+    letters = {name: F.regexp_count(t, F.lit(f"[{r}]")) for name, r in SCRIPTS.items()} | {"Latin": F.regexp_count(t, F.lit(f"[\\p{{L}}&&[^{''.join(SCRIPTS.values())}]]"))}
+    # Most texts hold Latin letters alone, which one search tells.
+    plain = ~F.rlike(t, F.lit(f"[{''.join(SCRIPTS.values())}]"))
+    out = docs.withColumn("_n", F.when(plain, F.lit(None)).otherwise(F.array(*letters.values())))
+    names = F.array(*map(F.lit, letters))
+    some = F.when(F.array_max("_n") > 0, F.element_at(names, F.array_position("_n", F.array_max("_n")).cast("int"))).otherwise("Unknown")
+    out = out.withColumn("script", F.when(F.length(t) < 20, "Unknown").when(plain, F.when(F.rlike(t, F.lit(r"\p{L}")), "Latin").otherwise("Unknown")).otherwise(some))
+    out = out.withColumn("_w", F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+)"), 1))
+    out = out.withColumns({"_d": F.array_distinct("_w"), "_least": F.least(F.size("_w"), F.lit(50))})
+    lists = F.array(*[F.array(*map(F.lit, v)) for v in COMMON_WORDS.values()])
+    out = out.withColumn("_h", F.transform(lists, lambda v: F.size(F.array_intersect(F.col("_d"), v))))
+    out = out.withColumn("_top", F.array_max("_h"))
+    best = F.element_at(F.array(*map(F.lit, COMMON_WORDS)), F.array_position("_h", F.col("_top")).cast("int"))
+    lang, sure = F.when(F.length(t) < 20, "en"), F.when(F.length(t) < 20, 0.0)
+    for name, (code, confidence) in BY_SCRIPT.items():
+        lang, sure = lang.when(F.col("script") == name, code), sure.when(F.col("script") == name, confidence)
+    lang = lang.when(F.col("script") == "CJK", F.when(F.rlike(t, F.lit("[" + SCRIPTS["Kana"] + "]")), "ja").otherwise("zh")).when(F.size("_w") == 0, "en").otherwise(best)
+    sure = sure.when(F.col("script") == "CJK", 0.85).when(F.size("_w") == 0, 0.1).otherwise(F.round(F.least(F.col("_top") / F.col("_least") * 5, F.lit(0.95)), 3))
+    return out.withColumns({"language": lang, "confidence": sure}).drop("_n", "_w", "_d", "_least", "_h", "_top")
 
 
 def meta_tags(html: Column) -> dict[str, Column]:

@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Damping, rounds, weight of links inside a domain.
 DAMPING, ROUNDS, SELF_WEIGHT = 0.85, 20, 0.1
 
 
+#: Endings of targets that are no pages.
+SKIPPED = ".pdf .jpg .jpeg .png .gif .svg .webp .mp3 .mp4 .avi .mov .zip .tar .gz .exe .dmg .iso .css .js .woff .woff2".split()
+
+
+def resolved(link: Column, page: Column) -> Column:
+    """The absolute form of a link on a page: dot segments are followed, fragments dropped; null if it is no address."""
+    scheme = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
+    base = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(page, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/?(.*/)?[^/]*$", 1))
+    bare = F.regexp_replace(link, "#.*$", "")
+    own, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"(\?.*)$", 1)
+    full = F.when(own == "", path).when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    steps = F.split(F.regexp_replace(full, "^/", ""), "/")
+    last = F.element_at(steps, -1)
+    walk = lambda done, x: F.when(x == "..", F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    flat = F.concat(F.lit("/"), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"))
+    flat = F.when(last.isin("..", ".") & ~flat.endswith("/"), F.concat(flat, F.lit("/"))).otherwise(flat)
+    return (
+        F.when(F.rlike(bare, F.lit("^(?i)https?://")), bare)
+        .when(F.rlike(bare, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), None)
+        .when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare))
+        .when(F.rlike(base, F.lit("^(?i)https?://.")), F.concat(base, flat, query))
+    )
+
+
 def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """source_url, target_url, source_domain, target_domain: distinct http links, resolved against the page, fragments dropped."""
-    href = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#]*)"""), 1)
-    base = F.regexp_extract(F.col(url), r"^([a-zA-Z]+://[^/?#]+)", 1)
-    rows = pages.select(F.col(url).alias("source_url"), base.alias("base"), F.explode(F.array_distinct(href)).alias("h"))
-    full = F.when(F.rlike("h", F.lit("^(?i)https?://")), F.col("h")).when(F.col("h").startswith("//"), F.concat(F.lit("https:"), "h")).when(F.col("h").startswith("/"), F.concat("base", "h"))
-    skipped = F.rlike(F.lower("h"), F.lit(r"\.(jpg|jpeg|png|gif|svg|css|js|pdf|zip|gz|mp3|mp4|ico)$"))
-    rows = rows.filter(~skipped).select("source_url", full.alias("target_url")).filter("target_url is not null").distinct()
+    href = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#][^"']*)"""), 1)
+    rows = pages.select(F.col(url).alias("source_url"), F.explode(F.array_distinct(href)).alias("h"))
+    rows = rows.select("source_url", resolved(F.trim("h"), F.col("source_url")).alias("target_url")).filter("target_url is not null").distinct()
+    path = F.lower(F.regexp_extract("target_url", "://[^/?#]*([^?#]*)", 1))
     host = lambda c: F.lower(F.regexp_extract(c, "://([^/?#]*)", 1))
+    rows = rows.filter(~F.rlike(path, F.lit("(" + "|".join(x.replace(".", r"\.") for x in SKIPPED) + ")$")))
     return rows.withColumns({"source_domain": host(F.col("source_url")), "target_domain": host(F.col("target_url"))}).filter("target_domain <> ''")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -44,21 +44,50 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "doc_id").agg(F.sum(gain * F.col("times")).alias("score"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).filter("held = n_terms").select("query_id", "doc_id", "score")
 
 
+def keep(language: str | None = None, date_from: float | None = None, date_to: float | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
+    """The condition of a search's filters on documents; dates count on both ends, scores stay those of the whole corpus."""
+    out = F.lit(True)
+    if language:
+        out = out & (F.col("lang") == language)
+    if date_from is not None:
+        out = out & (F.col("crawled_at") >= date_from)
+    if date_to is not None:
+        out = out & (F.col("crawled_at") <= date_to)
+    if include:
+        out = out & F.col("domain").isin(include)
+    if exclude:
+        out = out & ~F.col("domain").isin(exclude)
+    return out
+
+
+def page(rows: DataFrame, order: list, limit: int, offset: int = 0, most: int = 10000) -> DataFrame:
+    """Rows offset to offset + limit in an order; the limit is held between 1 and most."""
+    return rows.orderBy(*order).offset(max(0, min(offset, 10000))).limit(max(1, min(limit, most)))
+
+
 def top_k(rows: DataFrame, k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
     """The k best of every query_id with their rank; Spark cuts each partition to k before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), tie))).filter(F.col("rank") <= k)
 
 
-def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float) -> DataFrame:
-    """Two-stage search: 2 * limit candidates by BM25, re-ranked by the combined score."""
+def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float, authority: DataFrame | None = None, trust: DataFrame | None = None) -> DataFrame:
+    """Two-stage search: 2 * limit candidates by BM25, re-ranked by the combined score.
+
+    authority (domain, authority) and trust (peer, trust) are joined to the candidates alone;
+    a domain without authority has 0, a peer without trust, or any without a table, one half.
+    """
     best = top_k(bm25(docs, queries).withColumn("r6", F.round("score", 6)), 2 * limit, "r6").withColumnRenamed("rank", "bm25_rank")
-    rows = best.join(queries, "query_id").join(docs.select("doc_id", "title", "url", "crawled_at"), "doc_id")
+    rows = best.join(queries, "query_id").join(docs.select("doc_id", "title", "url", "crawled_at", "source"), "doc_id")
+    if authority is not None:
+        rows = rows.withColumn("_d", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))).join(authority.withColumnRenamed("domain", "_d"), "_d", "left")
+    if trust is not None:
+        rows = rows.join(trust.withColumnRenamed("peer", "source"), "source", "left")
     q = text.ascii_tokens(F.col("query"))
     signals = {
         "bm25": scores.normal_bm25(F.col("score"), F.max("score").over(Window.partitionBy("query_id"))),
         "freshness": scores.freshness(F.col("crawled_at"), now),
-        "trust": F.lit(scores.LOCAL_TRUST),
-        "authority": F.lit(0.0),
+        "trust": F.lit(scores.LOCAL_TRUST) if trust is None else F.coalesce("trust", F.lit(scores.LOCAL_TRUST)),
+        "authority": F.lit(0.0) if authority is None else F.coalesce("authority", F.lit(0.0)),
         "title": scores.token_share(q, text.ascii_tokens(F.col("title"))),
         "url": scores.path_share(q, F.col("url")),
     }

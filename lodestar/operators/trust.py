@@ -55,12 +55,6 @@ def interval_cv(log: DataFrame) -> DataFrame:
     return rows.select("peer", "n", F.round(cv, 6).alias("cv"), F.coalesce(cv < LEAST_CV, F.lit(True)).alias("regular"))
 
 
-def nth(sorted_values: Column, p: float) -> Column:
-    """The value at index int(n * p), at most the last: no interpolation."""
-    n = F.size(sorted_values)
-    return F.element_at(sorted_values, F.least((n * p).cast("int"), n - 1) + 1)
-
-
 def isolation(audits: DataFrame, least: int = 3) -> DataFrame:
     """peer, worst run of failures in a row, and whether it reached the isolation threshold; audits: peer, event_id, ts, passed."""
     w = Window.partitionBy("peer").orderBy("ts", "event_id")

@@ -49,17 +49,28 @@ def entities(spark, sf_dir):
     return extraction.entities(texts(spark, sf_dir))
 
 
-_SCORES = ", ".join(f"CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(list_distinct(w), [{', '.join(repr(x) for x in v)}])) / least(len(w), 50)::DOUBLE END AS {k}_" for k, v in extraction.COMMON_WORDS.items())
+_SPOKEN = [
+    "한국어로 쓴 문장은 스무 글자보다 길어야 합니다 그렇죠", "これは日本語のテキストです。ひらがなとカタカナがあります", "这是一个用中文写的句子它应该比二十个字符更长一些才可以", "日本語漢字漢字漢字漢字漢字漢字漢字漢字漢字漢字漢字の", "это предложение на русском языке и оно не короткое", "هذه جملة مكتوبة باللغة العربية الفصحى",
+    "यह हिंदी में लिखा गया एक वाक्य है जो छोटा नहीं", "นี่คือประโยคภาษาไทยที่ยาวกว่ายี่สิบตัวอักษร", "123 456 789 101112 131415 1617", "!!! ... ??? --- ;;; ::: ((( )))", "bu bir cümle ve çok uzun değil ama için yeterli", "não foi mais do que uma coisa para os seus dias", "short", "dengan ini adalah untuk yang tidak dari pada", "một người không có được các điều này trong đời",
+]
+_SPOKEN_SQL = "spoken AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}::BIGINT, '{t}')" for i, t in enumerate(_SPOKEN)) + ") v(doc_id, text))"
+_SCORES = ", ".join(f"len(list_intersect(d, [{', '.join(repr(x) for x in v)}])) AS {k}_" for k, v in extraction.COMMON_WORDS.items())
 _TOP = "greatest(" + ", ".join(f"{k}_" for k in extraction.COMMON_WORDS) + ")"
+_COUNTED = ", ".join(f"len(regexp_extract_all(text, '[{r}]')) AS n_{k}" for k, r in extraction.SCRIPTS.items())
+_ALL = "".join(extraction.SCRIPTS.values())
+_MOST = "greatest(n_Latin, " + ", ".join(f"n_{k}" for k in extraction.SCRIPTS) + ")"
 
 
 @query(
     "lang_detect",
-    f"WITH s AS (SELECT doc_id, length(text) AS n, {text.words_sql('text')} AS w, {_SCORES} FROM documents) SELECT doc_id, CASE WHEN n < 20 THEN 'en' {' '.join(f'WHEN {k}_ = {_TOP} THEN {k!r}' for k in extraction.COMMON_WORDS)} END AS language, CASE WHEN n < 20 THEN 0::DOUBLE ELSE round(least({_TOP} * 5, 0.95::DOUBLE), 3) END AS confidence FROM s",
+    f"""WITH {_SPOKEN_SQL}, c AS (SELECT doc_id, text, length(text) AS n, {text.words_sql('text')} AS w, list_distinct({text.words_sql('text')}) AS d, {_COUNTED}, len(regexp_extract_all(regexp_replace(text, '[{_ALL}]', '', 'g'), '\p{{L}}')) AS n_Latin FROM spoken),
+ s AS (SELECT *, {_SCORES}, CASE WHEN n < 20 OR {_MOST} = 0 THEN 'Unknown' {' '.join(f"WHEN n_{k} = {_MOST} THEN '{k}'" for k in extraction.SCRIPTS)} ELSE 'Latin' END AS script FROM c)
+ SELECT doc_id, script, CASE WHEN n < 20 THEN 'en' {' '.join(f"WHEN script = '{k}' THEN '{code}'" for k, (code, _) in extraction.BY_SCRIPT.items())} WHEN script = 'CJK' THEN CASE WHEN n_Kana > 0 THEN 'ja' ELSE 'zh' END WHEN len(w) = 0 THEN 'en' {' '.join(f'WHEN {k}_ = {_TOP} THEN {k!r}' for k in extraction.COMMON_WORDS)} END AS language,
+ CASE WHEN n < 20 THEN 0::DOUBLE {' '.join(f"WHEN script = '{k}' THEN {sure}::DOUBLE" for k, (_, sure) in extraction.BY_SCRIPT.items())} WHEN script = 'CJK' THEN 0.85::DOUBLE WHEN len(w) = 0 THEN 0.1::DOUBLE ELSE round(least({_TOP} / least(len(w), 50)::DOUBLE * 5, 0.95::DOUBLE), 3) END AS confidence FROM s""",
 )
 def lang_detect(spark, sf_dir):
-    lang, sure = extraction.language(text.words(F.col("text")), F.length("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", lang.alias("language"), sure.alias("confidence"))
+    spoken = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(_SPOKEN)], "doc_id long, text string")
+    return extraction.language(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spoken)).select("doc_id", "script", "language", "confidence")
 
 
 _VISIBLE = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer|head|aside|form)[^>]*>.*?</(script|style|nav|footer|head|aside|form)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"

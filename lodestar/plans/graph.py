@@ -8,16 +8,34 @@ from pyspark.sql import functions as F
 from ..functions import quality, text
 from ..operators import graph
 from ..registry import query
+from ..sources.literal import Literal
 from ..sources.tables import DOCUMENTS_SQL, NOW, documents, table
+from .quality import JS_SQL
 
-LINKS_SQL = r"""hr AS (SELECT url AS source_url, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) AS base, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#]*)', 1))) AS h FROM pages),
-fu AS (SELECT DISTINCT source_url, CASE WHEN regexp_matches(h, '^(?i)https?://') THEN h WHEN starts_with(h, '//') THEN 'https:' || h WHEN starts_with(h, '/') THEN base || h END AS target_url FROM hr WHERE NOT regexp_matches(lower(h), '\.(jpg|jpeg|png|gif|svg|css|js|pdf|zip|gz|mp3|mp4|ico)$')),
-links AS (SELECT *, lower(regexp_extract(source_url, '://([^/?#]*)', 1)) AS source_domain, lower(regexp_extract(target_url, '://([^/?#]*)', 1)) AS target_domain FROM fu WHERE target_url IS NOT NULL AND lower(regexp_extract(target_url, '://([^/?#]*)', 1)) <> '')"""
+_LINKED = Literal("linked", "url string, html string", (
+    ("https://a.example/x/y/z.html", '<a href="b.html">1</a><a href="../c?d=1#e">2</a><a class=k href=\'./\'>3</a><a href="//h.example/q">4</a><a href="mailto:a@b.c">5</a><a href="#top">6</a><a href="../../../up">7</a><a href="?p=2">8</a>'),
+    ("http://b.example", '<a href="one/two">1</a><a href="/three/../four/.">2</a><a href="HTTP://C.example/File.PDF">3</a><a href="javascript:void(0)">4</a><a href="song.mp3?x=1">5</a><a href="page.pdf.html">6</a>'),
+))
+# Dot segments go one by one in the twin: first single dots, then the first pair of a name and two dots, often enough for the pages.
+_STEPS = "regexp_replace(regexp_replace(full_path, '/(\\./)+', '/', 'g'), '/\\.$', '/')"
+for _ in range(8):
+    _STEPS = f"regexp_replace(regexp_replace(regexp_replace({_STEPS}, '^(/\\.\\.)+(/|$)', '/'), '/[^/]+/\\.\\.(/)', '/'), '/[^/]+/\\.\\.$', '/')"
+LINKS_SQL = rf"""{_LINKED.sql}, hr AS (SELECT url AS source_url, trim(unnest(list_distinct(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#][^"'']*)', 1)))) AS h FROM (SELECT url, html FROM pages UNION ALL SELECT * FROM linked)),
+pt AS (SELECT source_url, regexp_replace(h, '#.*$', '') AS h, regexp_extract(source_url, '^([a-zA-Z]+://[^/?#]*)', 1) AS base, regexp_extract(source_url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM hr),
+fp AS (SELECT *, regexp_extract(h, '(\?.*)$', 1) AS q, CASE WHEN regexp_extract(h, '^([^?]*)', 1) = '' THEN path WHEN starts_with(h, '/') THEN regexp_extract(h, '^([^?]*)', 1) ELSE '/' || regexp_extract(path, '^/?(.*/)?[^/]*$', 1) || regexp_extract(h, '^([^?]*)', 1) END AS full_path FROM pt),
+fu AS (SELECT DISTINCT source_url, CASE WHEN regexp_matches(h, '^(?i)https?://') THEN h WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL WHEN starts_with(h, '//') THEN regexp_extract(source_url, '^([a-zA-Z]+):', 1) || ':' || h WHEN base <> '' THEN base || CASE WHEN full_path = '' THEN '/' ELSE {_STEPS} END || q END AS target_url FROM fp),
+links AS (SELECT *, lower(regexp_extract(source_url, '://([^/?#]*)', 1)) AS source_domain, lower(regexp_extract(target_url, '://([^/?#]*)', 1)) AS target_domain FROM fu WHERE target_url IS NOT NULL AND lower(regexp_extract(target_url, '://([^/?#]*)', 1)) <> ''
+ AND NOT regexp_matches(lower(regexp_extract(target_url, '://[^/?#]*([^?#]*)', 1)), '({"|".join(x.replace(".", chr(92) + ".") for x in graph.SKIPPED)})$'))"""
+
+
+def linked(spark, sf_dir):
+    """All pages, and two literal ones with links of every kind."""
+    return table(spark, sf_dir, "pages").select("url", "html").unionByName(_LINKED.frame(spark))
 
 
 @query("extract_links", f"WITH {LINKS_SQL} SELECT source_url, target_url FROM links")
 def extract_links(spark, sf_dir):
-    return graph.links(table(spark, sf_dir, "pages")).select("source_url", "target_url")
+    return graph.links(linked(spark, sf_dir)).select("source_url", "target_url")
 
 
 #: Pages link only within their host, so every page also votes for the next page's host here.
@@ -29,7 +47,7 @@ def cited(spark, sf_dir):
     host = lambda c: F.lower(F.regexp_extract(c, "://([^/?#]*)", 1))
     a = p.select(host(F.col("url")).alias("source_domain"), ((F.col("page_id") * 7) % 50).alias("k"))
     b = p.select(host(F.col("url")).alias("target_domain"), F.col("page_id").alias("k"))
-    return graph.links(p).select("source_domain", "target_domain").unionByName(a.join(b, "k").select("source_domain", "target_domain"))
+    return graph.links(linked(spark, sf_dir)).select("source_domain", "target_domain").unionByName(a.join(b, "k").select("source_domain", "target_domain"))
 
 
 @query(
@@ -67,10 +85,18 @@ def top_domains(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(7)
 
 
-@query("js_domains", "WITH p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS domain, regexp_matches(html, 'track\\((?:[0-9]*[05])\\)')::INT AS js FROM pages) SELECT domain, count(*) AS n, sum(js) AS n_js, round(sum(js) / count(*)::DOUBLE, 6) AS ratio FROM p GROUP BY domain HAVING sum(js) > 0")
+_SCRIPTED = Literal("scripted", "url string, html string", (
+    ("https://app.example/1", "<html><body><div id='root'></div><script>var a = 1; var b = 2; var c = 3; document.write(a + b + c); document.title = 'x';</script></body></html>"),
+    ("https://app.example/2", "<html><body><p>This page has a lot of plain text that anybody can read without any script at all, and then some more of it.</p></body></html>"),
+    ("https://spa.example/", "<html><body><div id='app'></div><noscript>You need to enable JavaScript to run this app.</noscript></body></html>"),
+))
+
+
+@query("js_domains", f"WITH {_SCRIPTED.sql}, {JS_SQL.replace('page_id', 'url').replace('FROM pages', 'FROM (SELECT url, html FROM pages UNION ALL SELECT * FROM scripted)')}, p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS domain, (confidence >= 0.5)::INT AS js FROM s) SELECT domain, count(*) AS n, sum(js) AS n_js, round(sum(js) / count(*)::DOUBLE, 6) AS ratio FROM p GROUP BY domain HAVING sum(js) > 0")
 def js_domains(spark, sf_dir):
-    """Share of script-dependent pages by domain; a page counts as such by a mark in its script."""
-    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("domain"), F.rlike("html", F.lit(r"track\((?:[0-9]*[05])\)")).cast("int").alias("js"))
+    """Share of the pages of a domain that need JavaScript."""
+    pages = table(spark, sf_dir, "pages").select("url", "html").unionByName(_SCRIPTED.frame(spark))
+    p = pages.select(F.regexp_extract("url", "://([^/]*)", 1).alias("domain"), (quality.js_score(F.col("html")) >= 0.5).cast("int").alias("js"))
     return p.groupBy("domain").agg(F.count("*").alias("n"), F.sum("js").alias("n_js"), F.round(F.avg("js"), 6).alias("ratio")).filter("n_js > 0")
 
 

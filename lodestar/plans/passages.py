@@ -22,7 +22,7 @@ def split_passages(spark, sf_dir):
 def best_passage(spark, sf_dir):
     """The passage of each document that fits a fixed query best, the first at a tie; without any, the start of the text."""
     want = text.ascii_tokens(F.lit("the of tion"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode_outer(ps.passages(F.col("text"))).alias("pos", "passage"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode_outer(ps.passages(F.col("text"), 300)).alias("pos", "passage"))
     score = F.coalesce(scores.passage_score(text.ascii_tokens(F.col("passage")), want), F.lit(0.0))
     best = rows.withColumn("score", score).groupBy("doc_id").agg(F.max_by(F.struct("passage", "score", "text"), F.struct("score", -F.coalesce("pos", F.lit(0)))).alias("b"))
     return best.select("doc_id", F.when(F.col("b.score") > 0, F.substring("b.passage", 1, 300)).otherwise(F.substring("b.text", 1, 200)).alias("passage"), F.round("b.score", 6).alias("score"))

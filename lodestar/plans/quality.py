@@ -32,13 +32,13 @@ def _vis(e: str) -> str:
 _ROOT = q.SPA_ROOT.replace("'", "''")
 
 
-@query(
-    "js_detect",
-    f"""WITH f AS (SELECT page_id, html, length({_vis('html')}) / length(html)::DOUBLE AS ratio, length({_vis("regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1)")}) AS body,
+JS_SQL = f"""f AS (SELECT page_id, html, length({_vis('html')}) / length(html)::DOUBLE AS ratio, length({_vis("regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1)")}) AS body,
  array_to_string(regexp_extract_all(html, '(?is)<noscript[^>]*>(.*?)</noscript>', 1), chr(10)) AS notes FROM pages),
  s AS (SELECT page_id, round(least(1.0::DOUBLE, CASE WHEN regexp_matches(html, '{_ROOT}') THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(html, '{q.SPA_DATA}') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(notes, '{q.NEEDS_JS}') THEN 0.3::DOUBLE ELSE 0 END
- + CASE WHEN ratio < 0.02 THEN 0.35::DOUBLE WHEN ratio < 0.05 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN body < 50 THEN 0.3::DOUBLE ELSE 0 END), 2) AS confidence FROM f) SELECT page_id, confidence, confidence >= 0.5 AS js_required FROM s""",
-)
+ + CASE WHEN ratio < 0.02 THEN 0.35::DOUBLE WHEN ratio < 0.05 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN body < 50 THEN 0.3::DOUBLE ELSE 0 END), 2) AS confidence FROM f)"""
+
+
+@query("js_detect", f"WITH {JS_SQL} SELECT page_id, confidence, confidence >= 0.5 AS js_required FROM s")
 def js_detect(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", q.js_score(F.col("html")).alias("confidence")).withColumn("js_required", F.col("confidence") >= 0.5)
 

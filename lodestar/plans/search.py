@@ -30,10 +30,11 @@ def bm25_search(spark, sf_dir):
 _TITLE = text.ascii_tokens_sql("title")
 _QUERY = text.ascii_tokens_sql("query")
 _PATH = "array_to_string(regexp_extract_all(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '([a-z0-9]+)', 1), ' ')"
-RANKED_SQL = f"""{BM25_SQL},
+FEATURES_SQL = f"""{BM25_SQL},
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS bm25_rank FROM bm) WHERE bm25_rank <= {2 * LIMIT}),
 feat AS (SELECT c.*, d.url, d.crawled_at, max(score) OVER (PARTITION BY query_id) AS top, list_distinct({_QUERY}) AS q, {_TITLE} AS t, {_PATH} AS p
- FROM cand c JOIN queries USING (query_id) JOIN docs d USING (doc_id)),
+ FROM cand c JOIN queries USING (query_id) JOIN docs d USING (doc_id))"""
+RANKED_SQL = f"""{FEATURES_SQL},
 comb AS (SELECT *, round(0.40::DOUBLE * (score / (score + top)) + 0.15::DOUBLE * {scores.freshness_sql("crawled_at", NOW)} + 0.05::DOUBLE
  + 0.15::DOUBLE * CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END
  + 0.05::DOUBLE * CASE WHEN len(q) = 0 OR p = '' THEN 0 ELSE len(list_filter(q, lambda x: contains(p, x))) / len(q) END, 6) AS combined FROM feat),
@@ -123,15 +124,13 @@ def highlight(spark, sf_dir):
 
 @query(
     "related_searches",
-    f"""WITH t AS (SELECT conv_id, list_distinct({_TOKENS}) AS w FROM conversations WHERE role = 'user'), e AS (SELECT conv_id, unnest(list_filter(w, lambda x: len(x) > 3)) AS term FROM t),
- d AS (SELECT DISTINCT conv_id, term FROM e), n AS (SELECT conv_id FROM d GROUP BY conv_id HAVING count(*) <= 64)
- SELECT a.term AS term_a, b.term AS term_b, count(*) AS times FROM d a JOIN n USING (conv_id) JOIN d b ON a.conv_id = b.conv_id AND a.term < b.term GROUP BY ALL HAVING count(*) > 1""",
+    f"""WITH t AS (SELECT row_number() OVER () AS turn, list_distinct({_TOKENS}) AS w FROM conversations WHERE role = 'user'), e AS (SELECT turn, unnest(w) AS term FROM t), o AS (SELECT term FROM e GROUP BY term HAVING count(*) > 1), d AS (SELECT * FROM e SEMI JOIN o USING (term))
+ SELECT a.term AS term_a, b.term AS term_b, count(*) AS times FROM d a JOIN d b ON a.turn = b.turn AND a.term < b.term GROUP BY ALL HAVING count(*) > 1""",
 )
 def related_searches(spark, sf_dir):
     """Term pairs that more than one query shares; every user turn is a query, all its distinct terms count.
 
     A term of one query only cannot be in a shared pair, so those go before terms are paired.
-    The SQL twin still leaves out terms of three letters or fewer and conversations of more than 64 terms.
     """
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.array_distinct(text.ascii_tokens(F.col("text"))).alias("w"))
     return search.shared_pairs(turns, "w")

@@ -198,12 +198,12 @@ def audit_outliers(spark, sf_dir):
 
 @query(
     "reformulations",
-    f"WITH {EVENTS_SQL}, q AS (SELECT event_id, ts - lag(ts) OVER (PARTITION BY peer, event_type ORDER BY ts, event_id) AS gap FROM ev WHERE event_type = 'view') SELECT event_id, round(gap, 3) AS gap FROM q WHERE gap <= 3600",
+    f"WITH {EVENTS_SQL}, q AS (SELECT event_id, ts - lag(ts) OVER (PARTITION BY peer, event_type ORDER BY ts, event_id) AS gap FROM ev WHERE event_type = 'view') SELECT event_id, round(gap, 3) AS gap FROM q WHERE gap <= 60",
 )
 def reformulations(spark, sf_dir):
-    """Views repeated by the same user within an hour."""
+    """Views repeated by the same user within a minute."""
     w = Window.partitionBy("peer", "event_type").orderBy("ts", "event_id")
-    return events(spark, sf_dir).filter("event_type = 'view'").withColumn("gap", F.col("ts") - F.lag("ts").over(w)).filter("gap <= 3600").select("event_id", F.round("gap", 3).alias("gap"))
+    return events(spark, sf_dir).filter("event_type = 'view'").withColumn("gap", F.col("ts") - F.lag("ts").over(w)).filter("gap <= 60").select("event_id", F.round("gap", 3).alias("gap"))
 
 
 @query(

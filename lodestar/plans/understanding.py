@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions import understanding as u
 from ..registry import query
+from ..sources.literal import Literal
 from ..sources.tables import NOW, table
 
 ASKED = [
@@ -98,14 +99,23 @@ def remove_stop_words(spark, sf_dir):
     return asked(spark, sf_dir).select("id", F.array_join(F.filter(text.chunks_of_space(F.col("q")), lambda w: ~F.array_contains(stop, F.lower(w))), " ").alias("kept"))
 
 
+@query("stop_words_by_language", f"WITH t AS (SELECT doc_id, lang, unnest(list_distinct({text.words_sql('text')})) AS word FROM documents WHERE lang IS NOT NULL), n AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang) SELECT lang, word, round(count(*) / any_value(n)::DOUBLE, 6) AS share FROM t JOIN n USING (lang) GROUP BY lang, word HAVING count(*) / any_value(n)::DOUBLE >= 0.5")
+def stop_words_by_language(spark, sf_dir):
+    """Stop words of every language of the corpus, by rule."""
+    return u.frequent_words(table(spark, sf_dir, "documents")).withColumn("share", F.round("share", 6))
+
+
 _TERMS = [(lang, i, term, english) for lang, terms in u.TRANSLATIONS.items() for i, (term, english) in enumerate(terms.items())]
 
 
-@query("translate_terms", f"WITH {ASKED_SQL}, terms AS (SELECT * FROM (VALUES {', '.join(map(str, _TERMS))}) v(lang, pos, term, english)) SELECT id, lang, string_agg(english, ',' ORDER BY pos) AS english FROM asked JOIN terms ON contains(q, term) GROUP BY id, lang")
+_FOREIGN = Literal("foreign_asked", "id long, q string", ((-201, "서버 설치 오류"), (-202, "服务器安装错误"), (-203, "cài đặt máy chủ"), (-204, "データベースの設定エラー"), (-205, "خطأ خادم"), (-206, "keamanan basis data"), (-207, "การตั้งค่า ไฟล์")))
+
+
+@query("translate_terms", f"WITH {ASKED_SQL}, {_FOREIGN.sql}, every AS (SELECT * FROM asked UNION ALL SELECT * FROM foreign_asked), terms AS (SELECT * FROM (VALUES {', '.join(map(str, _TERMS))}) v(lang, pos, term, english)) SELECT id, lang, string_agg(english, ',' ORDER BY pos) AS english FROM every JOIN terms ON contains(q, term) GROUP BY id, lang")
 def translate_terms(spark, sf_dir):
     """English terms of the keywords of a language that a query contains, in the table's order."""
     terms = {lang: [(t, e) for k, _, t, e in _TERMS if k == lang] for lang in u.TRANSLATIONS}
-    rows = asked(spark, sf_dir)
+    rows = asked(spark, sf_dir).unionByName(_FOREIGN.frame(spark))
     found = F.array(*[F.struct(F.lit(k).alias("lang"), F.array_join(F.array_compact(F.array(*[F.when(F.contains(F.col("q"), F.lit(t)), e) for t, e in v])), ",").alias("english")) for k, v in terms.items()])
     return rows.select("id", F.inline(found)).filter("english <> ''")
 
