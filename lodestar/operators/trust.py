@@ -13,14 +13,21 @@ BOOST_DECAY, BOOST = 0.95, {"fetch": 1.0, "skip": -0.3, "cite": 2.0}
 BURST_SECONDS, BURST_COUNT, LEAST_CV, CV_ROWS = 300.0, 30, 0.15, 10
 
 
-def fold(rows: DataFrame, keys: list[str], value: str, start: float, step, order: list[str]) -> DataFrame:
-    """keys, n, result: step(state, value) over the values of a key in order. One ordered array a key."""
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))).alias("a"))
-    return grouped.select(*keys, F.size("a").alias("n"), F.aggregate(F.col("a"), F.lit(start), lambda s, x: step(s, x["v"])).alias("result"))
+def decayed(rows: DataFrame, key: str, value: str, order: list[str], decay: float) -> DataFrame:
+    """key, n, total (the sum of the key's values, each decayed once by every later one) and first (the first value, so decayed).
 
+    The closed form of a running recurrence: a window gives ranks, sums stay partial, and no key's rows are ever gathered in an array.
+    """
+    ago = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])) - 1
+    weighed = rows.withColumn("_ago", ago).withColumn("_w", F.pow(F.lit(decay), F.col("_ago")) * F.col(value))
+    return weighed.groupBy(key).agg(F.count("*").alias("n"), F.sum("_w").alias("total"), F.max_by("_w", "_ago").alias("first"))
 
-def ema(rows: DataFrame, key: str, value: str, order: list[str], alpha: float = EMA_ALPHA, start: float = EMA_START) -> DataFrame:
-    return fold(rows, [key], value, start, lambda s, v: s * (1 - alpha) + v * alpha, order)
+
+def ema(rows: DataFrame, key: str, value: str, order: list[str], alpha: float = EMA_ALPHA, start: float | None = EMA_START) -> DataFrame:
+    """key, n, result: the exponential average of a key's values in order from a start, or from the first value without one."""
+    d = decayed(rows, key, value, order, 1 - alpha)
+    base = F.pow(F.lit(1 - alpha), F.col("n")) * start if start is not None else (1 - alpha) * F.col("first")
+    return d.select(key, "n", (alpha * F.col("total") + base).alias("result"))
 
 
 def trust_score(uptime: Column, contribution: Column, audit_rate: Column, summary: Column) -> Column:

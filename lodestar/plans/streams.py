@@ -28,13 +28,49 @@ def stream_sessions(spark, sf_dir):
 
 @query("stream_unseen", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_unseen(spark, sf_dir):
-    """Keys first seen; one replayed file is one batch, within which each key passes once."""
-    out = st.run_to_end(st.unseen(st.replay(spark, sf_dir), ["user_id", "event_type"]), "append")
-    return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    """Keys that pass as first seen; a key passes again once the watermark has left it behind, so each is told once here."""
+    out = st.run_to_end(st.unseen(st.replay(spark, sf_dir), ["user_id", "event_type"]))
+    return out.select("user_id", "event_type").distinct().withColumn("n", F.lit(1).cast("long"))
 
 
 @query("stream_ema", "SELECT user_id, n, round(pow(0.7::DOUBLE, n) * 0.5::DOUBLE + sum(0.3::DOUBLE * pow(0.7::DOUBLE, n - i) * v), 6) AS ema FROM (SELECT user_id, least(value / 100.0, 1.0) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id, n")
 def stream_ema(spark, sf_dir):
     """The last update of each user."""
-    out = st.run_to_end(st.running_ema(st.replay(spark, sf_dir)), "update")
+    out = st.run_to_end(st.running_ema(st.replay(spark, sf_dir)))
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("ema", "n"), 6).alias("ema"))
+
+
+_AUDITS = "au AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IN ('error', 'click')), ru AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY user_id ORDER BY i) AS run FROM au), rl AS (SELECT user_id, run, sum(bad::INT) AS l FROM ru GROUP BY ALL)"
+
+
+@query("stream_failures", f"WITH {_AUDITS} SELECT user_id, max(l)::BIGINT AS worst, max(l) >= 3 AS isolated FROM rl GROUP BY user_id")
+def stream_failures(spark, sf_dir):
+    """Longest run of failed audits of each user, and whether it isolates the user."""
+    out = st.run_to_end(st.failures_in_a_row(st.replay(spark, sf_dir)))
+    return out.groupBy("user_id").agg(F.max("worst").alias("worst")).withColumn("isolated", F.col("worst") >= 3)
+
+
+def _admitted_sql(most: int, seconds: float) -> str:
+    inside = f"len(list_filter(acc, lambda x: t - x < {seconds}))"
+    times = f"list_reduce(list(epoch_us(ts) / 1e6 ORDER BY ts, event_id), lambda acc, t: CASE WHEN {inside} < {most} THEN list_append(acc, t) ELSE acc END, []::DOUBLE[])"
+    return f"SELECT user_id, len({times})::BIGINT AS n FROM events GROUP BY user_id"
+
+
+@query("stream_load_guard", _admitted_sql(2, 86400.0))
+def stream_load_guard(spark, sf_dir):
+    """Events let through by a guard of two a user and trailing day."""
+    out = st.run_to_end(st.admitted(st.replay(spark, sf_dir), 2, 86400.0))
+    return out.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("stream_locks", _admitted_sql(1, 300.0))
+def stream_locks(spark, sf_dir):
+    """Acquisitions of a lock that lives for five minutes; users stand for its keys."""
+    out = st.run_to_end(st.admitted(st.replay(spark, sf_dir), 1, 300.0))
+    return out.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("stream_summaries", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total, max(value) AS most FROM events GROUP BY ALL")
+def stream_summaries(spark, sf_dir):
+    """Daily metrics; the day of the last event, which ends the replay, has no kind."""
+    return st.run_to_end(st.summaries(st.replay(spark, sf_dir))).filter("event_type is not null").withColumn("total", F.round("total", 6))

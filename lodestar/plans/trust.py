@@ -133,7 +133,12 @@ def url_boosts(spark, sf_dir):
     """Decayed sum of feedback on a result (here the user's page): views fetch, errors skip, purchases cite."""
     kind = F.when(F.col("event_type") == "view", trust.BOOST["fetch"]).when(F.col("event_type") == "error", trust.BOOST["skip"]).otherwise(trust.BOOST["cite"])
     rows = events(spark, sf_dir).filter("event_type in ('view', 'error', 'purchase')").withColumn("v", kind)
-    return trust.fold(rows, ["peer"], "v", 0.0, lambda s, v: s * trust.BOOST_DECAY + v, ["ts", "event_id"]).select(F.col("peer").alias("url_id"), F.round("result", 6).alias("boost"))
+    return trust.decayed(rows, "peer", "v", ["ts", "event_id"], trust.BOOST_DECAY).select(F.col("peer").alias("url_id"), F.round("total", 6).alias("boost"))
+
+
+@query("top_boosted", f"WITH {EVENTS_SQL}, d AS (SELECT peer, CASE event_type WHEN 'view' THEN 1.0 WHEN 'error' THEN -0.3 ELSE 2.0 END AS v, count(*) OVER (PARTITION BY peer) - row_number() OVER (PARTITION BY peer ORDER BY ts, event_id) AS ago FROM ev WHERE event_type IN ('view', 'error', 'purchase')), b AS (SELECT peer AS url_id, round(sum(v * pow(0.95::DOUBLE, ago)), 6) AS boost FROM d GROUP BY peer) SELECT * FROM b WHERE boost > 0 ORDER BY boost DESC, url_id LIMIT 50")
+def top_boosted(spark, sf_dir):
+    return url_boosts(spark, sf_dir).filter("boost > 0").orderBy(F.desc("boost"), "url_id").limit(50)
 
 
 @query("search_analytics", f"WITH {EVENTS_SQL} SELECT event_type, count(*) AS n, round(avg(value), 1) AS avg_latency FROM ev GROUP BY event_type")
@@ -218,8 +223,7 @@ def peer_profile(spark, sf_dir):
     ev = events(spark, sf_dir)
     last = Window.partitionBy("peer").orderBy(F.desc("ts"), F.desc("event_id"))
     ok = ev.filter("event_type <> 'error'")
-    ordered = ok.groupBy("peer").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("a"))
-    averages = ordered.select("peer", F.aggregate(F.slice("a", 2, 2**30), F.col("a")[0]["value"], lambda s, x: s * 0.7 + x["value"] * 0.3).alias("ema"))
+    averages = trust.ema(ok, "peer", "value", ["ts", "event_id"], 0.3, None).select("peer", F.col("result").alias("ema"))
     high = ok.withColumn("r", F.row_number().over(last)).filter("r <= 100").groupBy("peer").agg(F.expr("percentile(value, 0.95)").alias("p95"))
     rate = ev.withColumn("r", F.row_number().over(last)).groupBy("peer").agg(F.count("*").alias("n"), F.avg(F.when(F.col("r") <= 100, (F.col("event_type") != "error").cast("int"))).alias("success"))
     rows = rate.join(averages, "peer", "left").join(high, "peer", "left")

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LATE = "10 minutes"
+#: Days without events after which a key's state goes.
+IDLE_DAYS = 60
+#: The user of the event that ends a replay: it moves the watermark past all others and is in no result.
+END = -1
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
@@ -26,38 +31,114 @@ def sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
 
 
+def summaries(events: DataFrame) -> DataFrame:
+    """Count, sum and largest value of each kind and day: histograms of metrics."""
+    return events.withWatermark("ts", LATE).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most")).select(F.col("window.start").alias("day"), "event_type", "n", "total", "most")
+
+
 def unseen(events: DataFrame, keys: list[str]) -> DataFrame:
     """First event of every key within the watermark: unseen feed items, crawl dedup."""
     return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
 
 
+def by_user(events: DataFrame, out: str, state: str, start: tuple, step: Callable) -> DataFrame:
+    """Rows that step(values of the state, rows of a user in order) -> (new state, frame) makes of each micro-batch.
+
+    A user's state is given up after IDLE_DAYS without events.
+    """
+
+    def run(key, batches, held):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        values, frame = step(held.get if held.exists else start, rows)
+        held.update(values)
+        if key[0] != END:
+            # Never before the watermark, as that is not allowed.
+            last = max(int(rows["ts"].max().timestamp() * 1000), held.getCurrentWatermarkMs())
+            held.setTimeoutTimestamp(last + IDLE_DAYS * 86400000)
+            yield frame
+
+    return events.withWatermark("ts", LATE).groupBy("user_id").applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
+
+
 def running_ema(events: DataFrame, alpha: float = 0.3, start: float = 0.5) -> DataFrame:
     """user_id, n, ema after each micro-batch; the state is one count and one number a user."""
 
-    def step(key, batches, state):
-        n, value = state.get if state.exists else (0, start)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    def step(held, rows):
+        n, value = held
         for v in rows["value"]:
             value = value * (1 - alpha) + min(v / 100.0, 1.0) * alpha
+        return (n + len(rows), value), pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [n + len(rows)], "ema": [value]})
+
+    return by_user(events, "user_id long, n long, ema double", "n long, ema double", (0, start), step)
+
+
+def failures_in_a_row(events: DataFrame) -> DataFrame:
+    """user_id, n, run, worst after each micro-batch: failed audits (errors) since the last passed one (click), and the longest such run so far."""
+
+    def step(held, rows):
+        n, run, worst = held
+        for kind in rows["event_type"]:
+            run = run + 1 if kind == "error" else 0
+            worst = max(worst, run)
         n += len(rows)
-        state.update((n, value))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "ema": [value]})
+        return (n, run, worst), pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [n], "run": [run], "worst": [worst]})
+
+    return by_user(events.filter(F.col("event_type").isin("error", "click") | (F.col("user_id") == END)), "user_id long, n long, run long, worst long", "n long, run long, worst long", (0, 0, 0), step)
+
+
+def admitted(events: DataFrame, most: int = 1, seconds: float = 60.0) -> DataFrame:
+    """event_id, user_id of the events let through: at most so many of a user in the trailing seconds, refused ones not counted.
+
+    With one and the time to live of a lock, these are the acquisitions of a lock a key.
+    """
+
+    def step(held, rows):
+        kept, out = [float(x) for x in held[0].split()], []
+        for i, t in zip(rows["event_id"], rows["ts"], strict=True):
+            now = t.timestamp()
+            kept = [x for x in kept if now - x < seconds]
+            if len(kept) < most:
+                kept.append(now)
+                out.append(i)
+        return (" ".join(map(repr, kept)),), pd.DataFrame({"event_id": out, "user_id": [rows["user_id"].iloc[0]] * len(out)}).astype({"event_id": "int64", "user_id": "int64"})
+
+    return by_user(events, "event_id long, user_id long", "kept string", ("",), step)
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{folder.rstrip('/')}/lodestar/stream-{uuid.uuid4().hex}"
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, ema double", "n long, ema double", "update", "NoTimeout")
 
+def replay(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
+    """The events as a stream of files in order of time, one a micro-batch, and at last one event a year later by user END."""
+    base = f"{shared(spark)}/in"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    span = (hi - lo) / steps if lo else None
+    for i in range(steps if lo else 0):
+        part = events.filter(F.col("ts") >= F.lit(lo + i * span)) if i else events
+        (part.filter(F.col("ts") < F.lit(lo + (i + 1) * span)) if i < steps - 1 else part).coalesce(1).write.parquet(f"{base}/{i}")
+    last = events.limit(1).select([(F.lit(END).cast(t) if c in ("user_id", "event_id") else F.col("ts") if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in events.dtypes])
+    last.withColumn("ts", F.lit(hi).cast("timestamp") + F.expr("INTERVAL 365 DAYS")).coalesce(1).write.parquet(f"{base}/{steps}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
 
-def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event file as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Runs a stream over all there is, in append mode, and returns what it wrote to the shared folder.
 
-def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all there is and returns its last complete output, or all its updates, from the shared folder."""
+    Each micro-batch has a folder by its number and writes it over when it is tried again, so no row comes twice.
+    """
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestar-shared"
-    base = f"{folder.rstrip('/')}/lodestar/stream-{uuid.uuid4().hex}"
-    write = lambda df, i: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
-    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(write).start()
+    base = shared(spark)
+    write = lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/{i:09d}")
+    q = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    out = spark.read.schema(stream.schema).parquet(f"{base}/out/*")
+    return out.filter(F.col("user_id") != END) if "user_id" in out.columns else out

@@ -77,7 +77,7 @@ def test_passages_split_and_merge():
     long = "First sentence here is long. " * 20
     assert passages.split("") == [] and passages.split(None) == []
     parts = passages.split("A paragraph that is long enough to stand alone here.\n\nshort\n\n" + long)
-    assert parts[0].endswith("short") and all(len(p) <= 300 for p in parts[1:])
+    assert parts[0].endswith("short") and all(len(p) <= 500 for p in parts[1:])
 
 
 def test_wide_grams():
