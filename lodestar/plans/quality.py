@@ -106,11 +106,11 @@ def recrawl_interval(spark, sf_dir):
 _NUMBERS = "regexp_extract_all({}, '(\\b\\d+(?:\\.\\d+)?\\b)', 1)"
 
 
-@query("novel_numbers", f"WITH d AS (SELECT doc_id, text, substr(text, 1, length(text) // 2) AS head FROM documents) SELECT doc_id, len(list_filter(list_distinct({_NUMBERS.format('text')}), lambda x: NOT list_contains({_NUMBERS.format('head')}, x))) AS novel FROM d")
+@query("novel_numbers", f"WITH d AS (SELECT doc_id, text, array_to_string(list_filter(string_split(text, chr(10)), lambda _, i: i % 2 = 1), chr(10)) AS head FROM documents) SELECT doc_id, len(list_filter(list_distinct({_NUMBERS.format('text')}), lambda x: NOT list_contains({_NUMBERS.format('head')}, x))) AS novel FROM d")
 def novel_numbers(spark, sf_dir):
-    """Distinct numbers of a text that its first half lacks."""
+    """Distinct numbers of a text that its summary, here every other line, lacks."""
     n = lambda c: F.regexp_extract_all(c, F.lit(r"(\b\d+(?:\.\d+)?\b)"), 1)
-    head = F.expr("substring(text, 1, length(text) div 2)")
+    head = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: i % 2 == 0), "\n")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_except(n(F.col("text")), n(head))).cast("long").alias("novel"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
+
 LATE = "10 minutes"
 #: Days without events after which a key's state goes.
 IDLE_DAYS = 60
@@ -108,17 +109,9 @@ def admitted(events: DataFrame, most: int = 1, seconds: float = 60.0) -> DataFra
     return by_user(events, "event_id long, user_id long", "kept string", ("",), step)
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{folder.rstrip('/')}/lodestar/stream-{uuid.uuid4().hex}"
-
-
 def replay(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
     """The events as a stream of files in order of time, one a micro-batch, and at last one event a year later by user END."""
-    base = f"{shared(spark)}/in"
+    base = new_path(spark, "replay")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
     span = (hi - lo) / steps if lo else None
@@ -136,7 +129,7 @@ def run_to_end(stream: DataFrame) -> DataFrame:
     Each micro-batch has a folder by its number and writes it over when it is tried again, so no row comes twice.
     """
     spark = stream.sparkSession
-    base = shared(spark)
+    base = new_path(spark, "stream")
     write = lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/{i:09d}")
     q = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(write).start()
     q.awaitTermination()
