@@ -1,31 +1,13 @@
-"""Where intermediate tables go, and how packed rows are dealt to tasks."""
+"""How batches and packed rows travel between tasks."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import settle
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set, as in tests."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    if have:
-        return have
-    have = os.path.join(tempfile.gettempdir(), "lodestar-shared")
-    spark.conf.set("spark.checkpoint.dir", have)
-    return have
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lodestar/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["deal", "lean_batches", "settle", "small_side", "tasks"]
 
 
 #: Rows of a batch on its way between Spark and Python, where the session has Spark's own 10000: that many whole texts, for each task and on both sides, are most of what an executor has beside its heap.
