@@ -10,15 +10,15 @@ from ..storage import settle
 __all__ = ["deal", "lean_batches", "settle", "small_side", "tasks"]
 
 
-#: Rows of a batch on its way between Spark and Python, where the session has Spark's own 10000: that many whole texts, for each task and on both sides, are most of what an executor has beside its heap.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch on its way between Spark and Python, where the session has Spark's own 10000 and 64 MB: batches of whole texts, for each task and on both sides, are most of what an executor has beside its heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def lean_batches(spark: SparkSession) -> None:
     """Lets batches of texts be small; it changes no result."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    for name, (usual, lean) in BATCH.items():
+        if spark.conf.get(name, None) == usual:
+            spark.conf.set(name, lean)
 
 
 def tasks(spark: SparkSession) -> int:

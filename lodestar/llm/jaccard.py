@@ -40,6 +40,8 @@ CHUNK = 1 << 21
 SUBPARTS = 3
 #: Members of a signature group up to which its pairs are listed; larger groups meet through a hub.
 SMALL = 8
+#: Sets, or pairs of them, unpacked at once.
+SLICE = 128
 #: Sizes of sets in the screens: whole steps of a logarithm to this base, and how far apart those of sets that link can be.
 SIZE_BASE = 1.01
 SIZE_STEPS = int(np.log(100 / PERCENT) / np.log(SIZE_BASE)) + 1
@@ -299,8 +301,8 @@ def _unpack(column) -> tuple[np.ndarray, np.ndarray]:
 def _sign(n_parts: int, k: int):
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
                 ids = part.column(0).to_numpy()
                 sig, rows = signatures(*sets(*_unpack(part.column(2)), k))
                 out = []
@@ -320,8 +322,8 @@ def _every(n_parts: int, k: int):
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
                 ids = part.column(0).to_numpy()
                 h, at = sets(*_unpack(part.column(2)), k)
                 size, h = np.diff(at), mix(h)
@@ -405,8 +407,8 @@ def _linked(k: int):
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
                 x, x_at = sets(*_unpack(part.column(2)), k)
                 y, y_at = sets(*_unpack(part.column(3)), k)
                 nx, ny = np.diff(x_at), np.diff(y_at)
@@ -444,8 +446,8 @@ def _differences(k: int):
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
                 x, x_at = sets(*_unpack(part.column(2)), k)
                 y, y_at = sets(*_unpack(part.column(3)), k)
                 nx, ny = np.diff(x_at), np.diff(y_at)
@@ -477,8 +479,8 @@ def _deal_keys(n_parts: int):
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
                 lists, who = part.column(5), _member(part)
                 keys, size = lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
                 owner, c, is_open = np.repeat(np.arange(len(size)), size), part.column(2).to_numpy(), part.column(3).to_numpy(zero_copy_only=False)
