@@ -57,7 +57,7 @@ def encode_at(text: str, s: int, e: int) -> np.ndarray:
 
 
 def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of labelled findings: random keys in settings, headers and prose, some of them behind or before paths and slugs; and look-alikes such as words, paths, numbers, dates and rules.
+    """Pieces of labelled findings: random keys in settings, headers and prose, some of them behind or before paths and slugs; and look-alikes such as words in either case, paths, numbers, dates and rules.
 
     Of a key it is the piece that holds most of it, of a look-alike any.
     """
@@ -69,7 +69,7 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         secret = bool(r.random() < 0.5)
         lead, tail = "", ""
         if secret:
-            chars = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_uppercase + string.digits, "0123456789ABCDEF"][int(r.integers(5))]
+            chars = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", string.ascii_uppercase + string.digits, "0123456789ABCDEF", "0123456789abcdef"][int(r.integers(6))]
             candidate = pick(chars, int(r.integers(20, 65))) + ("=" * int(r.integers(0, 3)) if "+" in chars else "")
             if r.random() < 0.3:
                 candidate = str(r.choice(["ghp_", "sk-", "xoxb-", "glpat-", "AIza", "sk_live_"])) + candidate
@@ -78,7 +78,7 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
                 slug = "".join(word() + joint for _ in range(int(r.integers(1, 20))))
                 lead, tail = (slug, "") if r.random() < 0.8 else ("", joint + slug)
         else:
-            kind = int(r.integers(7))
+            kind = int(r.integers(9))
             if kind == 0:
                 candidate = "".join(word() for _ in range(5))
             elif kind == 1:
@@ -91,9 +91,13 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
                 candidate = "-".join([pick(string.digits, 4), pick(string.digits, 2), pick(string.digits, 2)]) + "_" + word() + "_" + word()
             elif kind == 5:
                 candidate = (str(r.choice(["_", "-"]))).join(word() for _ in range(int(r.integers(3, 20 if r.random() < 0.3 else 6))))
-            else:
+            elif kind == 6:
                 candidate = "".join(word().capitalize() for _ in range(4))
-            candidate = candidate.ljust(16, "e")
+            elif kind == 7:
+                candidate = "".join(word() for _ in range(int(r.integers(2, 5)))).upper()
+            else:
+                candidate = "_".join(word() for _ in range(int(r.integers(2, 6)))).upper()
+            candidate = candidate.ljust(16, "E" if candidate.isupper() else "e")
         setting = str(r.choice(["key", "Authorization: Bearer", "auth", "credential", "private_key", "access", "signature", "pwd"]))
         before = " ".join(word() for _ in range(6)) + " "
         if r.random() < (0.7 if secret else 0.1):
@@ -184,7 +188,7 @@ class Network:
 def network() -> Network:
     """The trained network; a fixed seed gives the same weights everywhere."""
     net = Network()
-    net.train(*labelled(2000, 1))
+    net.train(*labelled(4000, 1))
     net.calibrate(*labelled(1500, 2))
     return net
 
