@@ -46,7 +46,8 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "t
     """
     k = F.xxhash64(F.col(key))
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    part = F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(PARTS)).cast("int")
+    # By key and text, so that rows of one key, or of none, spread over the parts as well.
+    part = F.pmod(F.xxhash64(F.lit(1), F.col(key), F.col(text)), F.lit(PARTS)).cast("int")
     named = docs.withColumns({"size": (F.octet_length(data) + 16).cast("long"), "text_crc32": F.crc32(data), "law": F.lit("key"), "shard": jump_hash(k, shards), "grown_shard": jump_hash(k, shards + 1), "_part": part})
     # The numbers of earlier rows come from counts: shards x PARTS rows at most, hence safe to broadcast.
     counts = docs.select(jump_hash(k, shards).alias("shard"), part.alias("_part")).groupBy("shard", "_part").agg(F.count("*").alias("_n"))
