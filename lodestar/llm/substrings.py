@@ -7,7 +7,9 @@
 3. The documents, compressed, meet their repeated windows; windows merge into maximal
    removal intervals.
 Packed rows hold many windows of one chunk of documents each, so a window, document or
-source that holds a third of all rows weighs no more than its bytes.
+source that holds a third of all rows weighs no more than its bytes. Windows that a sample
+shows to be so frequent that even their bytes would crowd one task are not dealt: their first
+occurrences, from minima of every chunk, are known to all tasks, which judge them on the spot.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from ._text import mix, parts, utf8, windows, words
 WINDOW = 20
 #: Bytes of documents handled at once.
 CHUNK = 1 << 21
+#: Occurrences, as estimated from one document in SAMPLE, from which a window is not dealt. So few windows can have as many that they are bounded by the number of tasks.
+HOT_ROWS, SAMPLE = 1 << 18, 64
 _NULL = -(1 << 63)
 _PACKED = "part int, kind int, d binary, h binary, n binary, x binary"
 
@@ -76,39 +81,94 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "kind", "d", "h", "n", "x"])
 
 
-def _hash_windows(n_parts: int, window: int):
-    """Documents to packed window hashes: of a chunk and a hash range, the documents, how many windows of each, their starts and hashes."""
+def _chunk_windows(batches, window: int):
+    """Documents with windows by chunk: keys, text hashes, and of every window its hash, row and start in the row."""
+    for b in batches:
+        data, at = utf8(b.column(1))
+        for i, j in parts(at, CHUNK):
+            span, off = data[at[i] : at[j]], at[i : j + 1] - at[i]
+            hashes, _, _, offsets = words(span, off)
+            win, where, rows = windows(hashes, offsets, window)
+            if len(win):
+                yield _keys(b, i, j), span, off, win, rows, where - offsets[rows]
 
+
+def _counts(window: int):
     def run(batches):
-        for b in batches:
-            data, at = utf8(b.column(1))
-            for i, j in parts(at, CHUNK):
-                span, off = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                hashes, _, _, offsets = words(span, off)
-                win, where, rows = windows(hashes, offsets, window)
-                if not len(win):
-                    continue
-                d, h = _keys(b, i, j), text_hashes(span, off)
-                local = where - offsets[rows]
-                out = []
-                for p, pick in by_part(hash_part(win, n_parts), n_parts):
-                    docs, first, n = np.unique(rows[pick], return_index=True, return_counts=True)
-                    start = local[pick] + 0
-                    gaps = np.diff(start, prepend=0)
-                    gaps[first] = start[first]
-                    out.append((p, 0, d[docs].tobytes(), h[docs].tobytes(), n.astype(np.uint32).tobytes() + pack_gaps(np.cumsum(gaps)), win[pick].tobytes()))
+        for _, _, _, win, _, _ in _chunk_windows(batches, window):
+            w, n = np.unique(win, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
+
+    return run
+
+
+def _firsts(window: int, hot: np.ndarray):
+    """The first occurrence in each chunk of each of the hot windows."""
+
+    def run(batches):
+        for d, _, _, win, rows, local in _chunk_windows(batches, window):
+            pick = np.flatnonzero(np.isin(win, hot))
+            order = pick[np.lexsort((local[pick], d[rows[pick]], win[pick]))]
+            w, first = np.unique(win[order], return_index=True)
+            order = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(d[rows[order]]), pa.array(local[order].astype(np.int64))], ["w", "d", "p"])
+
+    return run
+
+
+def hot_windows(rows: DataFrame, window: int) -> np.ndarray:
+    """Hot windows in order, and beside them the doc_id and start of their first occurrence: an array of three rows."""
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(SAMPLE)) == 0)
+    least = max(2, HOT_ROWS // SAMPLE)
+    found = sample.mapInArrow(_counts(window), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("w").toArrow()
+    hot = np.sort(found.column("w").to_numpy().view(np.uint64))
+    if not len(hot):
+        return np.zeros((3, 0), np.int64)
+    first = rows.mapInArrow(_firsts(window, hot), "w long, d long, p long").groupBy("w").agg(F.min(F.struct("d", "p")).alias("m")).select("w", "m.d", "m.p").toArrow()
+    out = np.stack([first.column(c).to_numpy() for c in ("w", "d", "p")])
+    return out[:, np.argsort(out[0].view(np.uint64))]
+
+
+def _hash_windows(n_parts: int, window: int, hot: np.ndarray):
+    """Documents to packed window hashes: of a chunk and a hash range, the documents, how many windows of each, their starts and hashes. Hot windows that are not the first go by document."""
+
+    def run(batches):
+        for keys, span, off, win, rows, local in _chunk_windows(batches, window):
+            d, h = keys, text_hashes(span, off)
+            out = []
+            if hot.shape[1]:
+                known = hot[0].view(np.uint64)
+                at = np.minimum(np.searchsorted(known, win), len(known) - 1)
+                is_hot = known[at] == win
+                later = is_hot & ((d[rows] != hot[1][at]) | (local != hot[2][at]))
+                for p, pick in by_part(document_part(d[rows[later]], h[rows[later]], n_parts).astype(np.int64), n_parts):
+                    r, start = rows[later][pick], local[later][pick]
+                    out.append((p, 1, d[r].tobytes(), h[r].tobytes(), None, start.astype(np.uint32).tobytes()))
+                win, rows, local = win[~is_hot], rows[~is_hot], local[~is_hot]
+            for p, pick in by_part(hash_part(win, n_parts), n_parts):
+                docs, first, n = np.unique(rows[pick], return_index=True, return_counts=True)
+                start = local[pick] + 0
+                gaps = np.diff(start, prepend=0)
+                gaps[first] = start[first]
+                out.append((p, 0, d[docs].tobytes(), h[docs].tobytes(), n.astype(np.uint32).tobytes() + pack_gaps(np.cumsum(gaps)), win[pick].tobytes()))
+            if out:
                 yield _table(out)
 
     return run
 
 
 def _later(n_parts: int):
-    """Packed window hashes of a hash range to packed occurrences that are not the first, dealt by document."""
+    """Packed window hashes of a hash range to packed occurrences that are not the first, dealt by document; rows that are such already pass."""
 
     def run(batches):
         ds, hs, ps, ws = [], [], [], []
         for b in batches:
-            for d, h, n, x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+            done = pa.compute.equal(b.column(1), 1)
+            if pa.compute.any(done).as_py():
+                yield b.filter(done)
+            for kind, d, h, n, x in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4, 5)), strict=True):
+                if kind == 1:
+                    continue
                 docs = len(d) // 8
                 counts = np.frombuffer(n, np.uint32, docs).astype(np.int64)
                 run_of = unpack_gaps(n[4 * docs :])
@@ -258,7 +318,7 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, key: str = "doc_i
     lean_batches(docs.sparkSession)
     n = tasks(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    hashed = deal(rows.mapInArrow(_hash_windows(n, window), _PACKED), n)
+    hashed = deal(rows.mapInArrow(_hash_windows(n, window, hot_windows(rows, window)), _PACKED), n)
     later = hashed.mapInArrow(_later(n), _PACKED)
     both = deal(rows.mapInArrow(_pack_documents(n), _PACKED).unionByName(later), n)
     return both.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, begins array<long>, ends array<long>, kept string")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import byte_strings, jaccard, substrings, suffix
 
@@ -74,3 +75,16 @@ def test_window_cover_and_gaps():
     assert begin.tolist() == [0, 30] and end.tolist() == [10, 35]
     v = np.array([0, 3, 3, 900, 901, 100000])
     assert substrings.unpack_gaps(substrings.pack_gaps(v)).tolist() == v.tolist()
+
+
+def test_hot_windows_are_judged_on_the_spot(spark, monkeypatch):
+    rows = h.documents(4)
+    r = random.Random(2)
+    line = " ".join(h.vocabulary(9, 40)[:25])
+    rows += [(5000 + i, f"{i} {r.random()} " * r.randint(0, 9) + line + f" {i}", None, None, *rows[0][4:]) for i in range(60)] + [(None, line, None, None, *rows[0][4:])]
+    monkeypatch.setattr(substrings, "HOT_ROWS", 20)
+    monkeypatch.setattr(substrings, "SAMPLE", 1)
+    frame = h.frame(spark, rows)
+    assert substrings.hot_windows(frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 20).shape[1] >= 6
+    got = Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.repeated_substrings(frame).collect())
+    assert got == h.substring_removal([(x[0], x[1]) for x in rows])
