@@ -101,3 +101,30 @@ def subnet(ip: Column) -> Column:
     # Trailing zero groups are left out, as in the shortest form.
     six = F.concat(F.regexp_replace(F.array_join(short, ":"), "(:0)+$", ""), F.lit("::/48"))
     return F.when(F.contains(ip, F.lit(":")), F.when(F.array_join(short, ":") == "0:0:0", "::/48").otherwise(six)).otherwise(four)
+
+
+def merged_parts(text_score: Column, vector_score: Column, fused: Column) -> Column:
+    """The scores of a result of two searches as text; a search that missed it is left out."""
+    parts = F.array_compact(F.array(F.when(text_score.isNotNull(), F.format_string("BM25=%.3f", F.round(text_score, 3))), F.when(vector_score.isNotNull(), F.format_string("sim=%.3f", F.round(vector_score, 3)))))
+    return F.concat(F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise("N/A"), F.format_string(" (RRF=%.4f)", F.round(fused, 4)))
+
+
+def answer_text(results: Column, elapsed_ms: Column, source: Column, local: Column | None = None, remote: Column | None = None) -> Column:
+    """A whole answer as text: a head of what was found where, then the results; one line without any."""
+    head = F.format_string("Found %d results (%.0fms, %s)", F.size(results), elapsed_ms, source)
+    if local is not None:
+        head = F.concat(head, F.format_string("\n  Local: %d, Remote: %d\n", local, remote))
+    else:
+        head = F.concat(head, F.lit(":\n"))
+    return F.when(F.size(results) == 0, "No results found.").otherwise(F.concat(head, F.lit("\n"), F.array_join(results, "\n")))
+
+
+def window_snippet(text: Column, terms: Column, size: int = 40, before: int = 5) -> Column:
+    """The words around the first one that holds a term, terms marked, dots where the text goes on; the start of a text without any."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    # The case and the marks around a word do not matter.
+    plain = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
+    first = F.coalesce(F.array_min(F.transform(F.filter(F.transform(plain, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(terms, x["w"])), lambda x: x["i"])), F.lit(0))
+    start = F.greatest(first - before, F.lit(0))
+    shown = F.zip_with(F.slice(words, start + 1, size), F.slice(plain, start + 1, size), lambda w, x: F.when(F.array_contains(terms, x), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+    return F.concat(F.when(start > 0, "...").otherwise(""), F.array_join(shown, " "), F.when(F.size(words) > start + size, "...").otherwise(""))

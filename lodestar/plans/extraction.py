@@ -44,7 +44,12 @@ def citations(spark, sf_dir):
 _TECH = "|".join(extraction.TECH)
 
 
-@query("entities")
+# The twin's word borders know ASCII alone, so other letters, which no name here holds, become word characters that it knows.
+_ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g')"
+_CAPITALS = f"regexp_extract_all({_ASCII}, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1)"
+
+
+@query("entities", f"WITH {CITED_SQL}, f AS (SELECT doc_id, 'TECH' AS type, unnest(regexp_extract_all({_ASCII}, '\\b({_TECH})\\b', 1)) AS name FROM texts UNION ALL SELECT doc_id, 'NAME', unnest(list_filter({_CAPITALS}, lambda x: length(x) < 30)) FROM texts) SELECT doc_id, type, name, count(*) AS n FROM f GROUP BY ALL")
 def entities(spark, sf_dir):
     return extraction.entities(texts(spark, sf_dir))
 

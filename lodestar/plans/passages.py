@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import passages as ps
 from ..functions import quality, scores, text
 from ..registry import query
+from ..sources.literal import Literal
 from ..sources.tables import DOCUMENTS_SQL, documents, table
 from .search import RANKED_SQL, ranked_search
 
@@ -28,9 +29,31 @@ def best_passage(spark, sf_dir):
     return best.select("doc_id", F.when(F.col("b.score") > 0, F.substring("b.passage", 1, 300)).otherwise(F.substring("b.text", 1, 200)).alias("passage"), F.round("b.score", 6).alias("score"))
 
 
-@query("cjk_ngrams")
+_WIDE = Literal("wide", "doc_id long, text string", ((-1, "日本語のテキスト abc x1 한"), (-2, "한국어 문장 and words"), (-3, "字"), (-4, ""), (-5, "ไทย ภาษา")))
+_RUNS = "regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}\\x{20000}-\\x{2a6df}\\x{3000}-\\x{303f}\\x{ff00}-\\x{ffef}\\x{ac00}-\\x{d7af}\\x{1100}-\\x{11ff}\\x{3130}-\\x{318f}\\x{3040}-\\x{309f}\\x{30a0}-\\x{30ff}\\x{0e00}-\\x{0e7f}]+|[A-Za-z0-9]+')"
+
+
+@query(
+    "cjk_ngrams",
+    f"WITH {_WIDE.sql}, t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM wide), g AS (SELECT doc_id, flatten(list_transform({_RUNS}, lambda r: CASE WHEN ord(r) < 3584 OR length(r) < 2 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)) AS g FROM t) SELECT doc_id, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS pos FROM g",
+)
 def cjk_ngrams(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ps.wide_bigrams(F.col("text"))).alias("pos", "gram"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(_WIDE.frame(spark))
+    return rows.select("doc_id", F.posexplode(ps.wide_bigrams(F.col("text"))).alias("pos", "gram"))
+
+
+_WIDE_SHARE = f"len(regexp_extract_all(text, '{quality.CJK}')) / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0)::DOUBLE"
+
+
+@query(
+    "query_tokens",
+    f"WITH {_WIDE.sql}, t AS (SELECT doc_id, text FROM (SELECT item_id AS doc_id, text FROM benchmark UNION ALL SELECT * FROM wide)), g AS (SELECT doc_id, CASE WHEN coalesce({_WIDE_SHARE}, 0) >= 0.2 THEN flatten(list_transform({_RUNS}, lambda r: CASE WHEN ord(r) < 3584 OR length(r) < 2 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)) ELSE {text.chunks_of_space_sql('text')} END AS g FROM t) SELECT doc_id, array_to_string(g, ' ') AS tokens FROM g",
+)
+def query_tokens(spark, sf_dir):
+    """Tokens of queries: bigrams where enough characters are wide ones, else pieces between blanks. The same stands in for the segmentation of Korean and Chinese."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text").unionByName(_WIDE.frame(spark))
+    share = F.regexp_count("text", F.lit(quality.CJK)) / F.nullif(F.length(F.regexp_replace("text", r"\s", "")), F.lit(0))
+    return rows.select("doc_id", F.array_join(F.when(F.coalesce(share, F.lit(0.0)) >= 0.2, ps.wide_bigrams(F.col("text"))).otherwise(text.chunks_of_space(F.col("text"))), " ").alias("tokens"))
 
 
 @query("rag_chunks", "SELECT doc_id, (i // 500)::INT AS chunk, substr(text, (i + 1)::BIGINT, 500) AS body FROM (SELECT doc_id, text, unnest(range(0, greatest(1, length(text)), 500)) AS i FROM documents)")

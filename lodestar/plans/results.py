@@ -190,3 +190,35 @@ def snippet_enhanced(spark, sf_dir):
     fits = F.arrays_overlap(text.ascii_tokens(F.col("title")), text.ascii_tokens(F.lit("the of")))
     passage = F.substring("text", 1, 200)
     return docs.select("doc_id", F.when((F.length("title") >= 80) & fits, F.col("title")).when(F.length(passage) > F.length("title"), passage).otherwise(F.col("title")).alias("snippet"))
+
+
+_WORDS = text.chunks_of_space_sql("text")
+
+
+@query(
+    "window_snippet",
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS p FROM w),
+ f AS (SELECT *, greatest(coalesce(least(nullif(list_position(p, 'the'), 0), nullif(list_position(p, 'tion'), 0)), 1) - 1 - 5, 0) AS start FROM p)
+ SELECT doc_id, CASE WHEN start > 0 THEN '...' ELSE '' END || array_to_string(list_transform(list_slice(w, start + 1, start + 40), lambda x, i: CASE WHEN p[start + i] IN ('the', 'tion') THEN '<b>' || x || '</b>' ELSE x END), ' ') || CASE WHEN len(w) > start + 40 THEN '...' ELSE '' END AS snippet FROM f""",
+)
+def window_snippet(spark, sf_dir):
+    """Forty words of each document around the first that a fixed query asks for."""
+    terms = F.array(F.lit("the"), F.lit("tion"))
+    return table(spark, sf_dir, "documents").select("doc_id", shaping.window_snippet(F.col("text"), terms).alias("snippet"))
+
+
+_MERGED = Literal("merged", "id long, fts double, vec double, rrf double", ((1, 0.25, 0.5, 0.03125), (2, None, 0.75, 0.015), (3, 1.5, None, 0.016), (4, None, None, 0.0)))
+
+
+@query("merged_scores", f"WITH {_MERGED.sql} SELECT id, coalesce(nullif(concat_ws(', ', CASE WHEN fts IS NOT NULL THEN format('BM25={{:.3f}}', fts) END, CASE WHEN vec IS NOT NULL THEN format('sim={{:.3f}}', vec) END), ''), 'N/A') || format(' (RRF={{:.4f}})', round(rrf, 4)) AS shown FROM merged")
+def merged_scores(spark, sf_dir):
+    """Scores of hybrid results as text."""
+    return _MERGED.frame(spark).select("id", shaping.merged_parts(F.col("fts"), F.col("vec"), F.col("rrf")).alias("shown"))
+
+
+@query("answer_text", f"WITH {RANKED_SQL}, g AS (SELECT query_id, list(url ORDER BY rank) AS l, count(*) AS n FROM ranked GROUP BY query_id) SELECT query_id, 'Found ' || n || ' results (12ms, local)' || chr(10) || '  Local: ' || n || ', Remote: 0' || chr(10) || chr(10) || array_to_string(l, chr(10)) AS answer FROM g")
+def answer_text(spark, sf_dir):
+    """The whole answer to each query; its results are their addresses here."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"])
+    rows = ranked_search(spark, sf_dir).groupBy("query_id").agg(listed.alias("l"))  # ten results at most
+    return rows.select("query_id", shaping.answer_text(F.col("l"), F.lit(12.3), F.lit("local"), F.size("l"), F.lit(0)).alias("answer"))

@@ -74,3 +74,31 @@ def stream_locks(spark, sf_dir):
 def stream_summaries(spark, sf_dir):
     """Daily metrics; the day of the last event, which ends the replay, has no kind."""
     return st.run_to_end(st.summaries(st.replay(spark, sf_dir))).filter("event_type is not null").withColumn("total", F.round("total", 6))
+
+
+@query("stream_submissions", "SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT doc_id FROM labels) AND event_type = 'purchase' GROUP BY user_id")
+def stream_submissions(spark, sf_dir):
+    """Submissions of the peers that an access list allows: a stream joined with a table; labelled ids stand for the list."""
+    allowed = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("user_id")).distinct()
+    taken = st.replay(spark, sf_dir).filter("event_type = 'purchase'").join(allowed, "user_id", "left_semi")
+    return st.run_to_end(taken).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+_KEPT = "list_reduce(list({'t': epoch_us(ts) / 1e6, 'hits': 0::BIGINT} ORDER BY ts, event_id), lambda a, x: CASE WHEN x.t - a.t < 43200 THEN {'t': a.t, 'hits': a.hits + 1} ELSE {'t': x.t, 'hits': a.hits} END, {'t': -1e12::DOUBLE, 'hits': 0::BIGINT}).hits"
+
+
+@query("stream_cache", f"SELECT user_id, count(*) AS n, {_KEPT} AS hits FROM events GROUP BY user_id")
+def stream_cache(spark, sf_dir):
+    """Hits of a cache whose entries live half a day from when they were made; users stand for its keys."""
+    out = st.run_to_end(st.cached(st.replay(spark, sf_dir), 43200.0))
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("hits").alias("hits"))
+
+
+_BUCKET = "list_reduce(list({'t': epoch_us(ts) / 1e6, 'v': value::DOUBLE, 'level': 0.0::DOUBLE, 'ok': 0::BIGINT} ORDER BY ts, event_id), lambda a, x: CASE WHEN least(100.0::DOUBLE, a.level + greatest(0.0::DOUBLE, x.t - a.t) * 0.001::DOUBLE) >= x.v THEN {'t': x.t, 'v': x.v, 'level': least(100.0::DOUBLE, a.level + greatest(0.0::DOUBLE, x.t - a.t) * 0.001::DOUBLE) - x.v, 'ok': a.ok + 1} ELSE {'t': x.t, 'v': x.v, 'level': least(100.0::DOUBLE, a.level + greatest(0.0::DOUBLE, x.t - a.t) * 0.001::DOUBLE), 'ok': a.ok} END, {'t': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'level': 100.0::DOUBLE, 'ok': 0::BIGINT}).ok"
+
+
+@query("stream_bandwidth", f"SELECT user_id, count(*) AS n, {_BUCKET} AS allowed FROM events GROUP BY user_id")
+def stream_bandwidth(spark, sf_dir):
+    """Transfers (their values) that a bucket of 100 tokens, refilled by one each 1000 seconds, lets through."""
+    out = st.run_to_end(st.bucket(st.replay(spark, sf_dir), 100.0, 0.001))
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("allowed").alias("allowed"))

@@ -109,6 +109,39 @@ def admitted(events: DataFrame, most: int = 1, seconds: float = 60.0) -> DataFra
     return by_user(events, "event_id long, user_id long", "kept string", ("",), step)
 
 
+def cached(events: DataFrame, seconds: float) -> DataFrame:
+    """user_id, n, hits after each micro-batch: requests of a key, and those that its entry, made so many seconds ago at most, answers."""
+
+    def step(held, rows):
+        n, hits, made = held
+        for t in rows["ts"]:
+            now = t.timestamp()
+            if now - made < seconds:
+                hits += 1
+            else:
+                made = now
+        n += len(rows)
+        return (n, hits, made), pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [n], "hits": [hits]})
+
+    return by_user(events, "user_id long, n long, hits long", "n long, hits long, made double", (0, 0, -1e12), step)
+
+
+def bucket(events: DataFrame, size: float, rate: float) -> DataFrame:
+    """user_id, n, allowed after each micro-batch: a token bucket for each user, a value's worth of tokens for each event let through."""
+
+    def step(held, rows):
+        n, allowed, level, last = held
+        for t, v in zip(rows["ts"], rows["value"], strict=True):
+            now = t.timestamp()
+            level, last = min(size, level + max(0.0, now - last) * rate), now
+            if level >= v:
+                level, allowed = level - v, allowed + 1
+        n += len(rows)
+        return (n, allowed, level, last), pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [n], "allowed": [allowed]})
+
+    return by_user(events, "user_id long, n long, allowed long", "n long, allowed long, level double, last double", (0, 0, size, 0.0), step)
+
+
 def replay(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
     """The events as a stream of files in order of time, one a micro-batch, and at last one event a year later by user END."""
     base = new_path(spark, "replay")
