@@ -113,3 +113,22 @@ def summary_rejection(trust: float, n_chars: int, running: int, pending: int, id
     """Why a peer's request for a summary is refused, the first reason in order; None lets it through. Generation itself is the caller's."""
     reasons = [("untrusted", trust < least_trust), ("too_long", n_chars > most_chars or n_chars <= 0 or math.isnan(n_chars)), ("busy", running >= capacity), ("queue_full", pending >= queue), ("cooldown", idle < cooldown)]
     return next((name for name, refused in reasons if refused), None)
+
+
+class VectorStore:
+    """Vectors (vec_id, embedding) under keys, added to and searched."""
+
+    def __init__(self, vectors: DataFrame):
+        self.vectors = vectors.select("vec_id", "embedding")
+
+    def add(self, vectors: DataFrame) -> None:
+        """Adds rows; one of a known key takes the old one's place."""
+        new = vectors.select("vec_id", "embedding")
+        self.vectors = self.vectors.join(new.select("vec_id"), "vec_id", "left_anti").unionByName(new)
+
+    def search(self, probes: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
+        """query_id, doc_id, score, rank: the nearest to each probe (query_id, probe)."""
+        return search.vector_top_k(self.vectors, probes, k, least)
+
+    def count(self) -> int:
+        return self.vectors.count()

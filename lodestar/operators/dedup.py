@@ -10,21 +10,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import settle
-
 from ..functions import text
+from ..storage import settle
 
 # Query parameters that do not identify a page; shingle width; most differing bits.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid mc_cid mc_eid ref source".split()
 SHINGLE, MOST_BITS = 3, 3
 
 
+def _decoded(x: Column) -> Column:
+    """Percent signs and plus signs of a query part read; what cannot be read stays."""
+    return F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+
+
+def _encoded(x: Column) -> Column:
+    """A query part as form encoding writes it: letters, digits and _.-~ as they are, blanks as plus signs."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalize_url(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, no tracking parameters, the rest sorted, no trailing slash."""
+    """Scheme and host in lower case, no fragment, no tracking parameters, the rest sorted by key and encoded anew, no trailing slash."""
     head = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
-    pairs = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & p.contains("=") & ~F.split_part(p, F.lit("="), F.lit(1)).isin(TRACKING))
-    query = F.array_join(F.array_sort(pairs), "&")
+    parts = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: p != "")
+    pairs = F.transform(parts, lambda p, i: F.struct(_decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), i.alias("i"), _decoded(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(TRACKING)))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     return F.concat(head, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 

@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import dedup
 from ..registry import query
+from ..sources.literal import Literal
 from ..sources.tables import DOCUMENTS_SQL, documents, table
 
 _TRACK = ", ".join(f"'{t}'" for t in dedup.TRACKING)
 _NORM = f"""lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)) || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END"""
+_READ = lambda e: f"url_decode(replace({e}, '+', ' '))"
+_WRITE = lambda e: f"replace(url_encode({e}), '%20', '+')"
 _PARTS = f"""SELECT {{key}}, url, regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS p,
- list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND contains(x, '=') AND split_part(x, '=', 1) NOT IN ({_TRACK}))) AS q FROM"""
+ list_transform(list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x, i: {{{{'k': {_READ("split_part(x, '=', 1)")}, 'i': i, 'v': {_READ("regexp_extract(x, '=(.*)$', 1)")}}}}}), lambda x: lower(x.k) NOT IN ({_TRACK}))), lambda x: {_WRITE("x.k")} || '=' || {_WRITE("x.v")}) AS q FROM"""
 
+_RAW_URLS = Literal("raw_urls", "page_id long, url string", ((-1, "HTTP://A.com/b/?z=1&utm_source=x&a=2#f"), (-2, "http://a.com"), (-3, "https://a.com/p?b=x+y&a=%C3%A9&a=1&flag&c=a%2Bb~*"), (-4, "https://a.com/p//?UTM_Medium=1&=v"), (-5, "https://a.com/x?q=a=b&ref=1")))
 
-@query("normalize_url", f"WITH x AS ({_PARTS.format(key='page_id')} pages) SELECT page_id, {_NORM} AS normal FROM x")
+
+@query("normalize_url", f"WITH {_RAW_URLS.sql}, x AS ({_PARTS.format(key='page_id')} (SELECT page_id, url FROM pages UNION ALL SELECT * FROM raw_urls)) SELECT page_id, {_NORM} AS normal FROM x")
 def normalize_url(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", dedup.normalize_url(F.col("url")).alias("normal"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url").unionByName(_RAW_URLS.frame(spark))
+    return rows.select("page_id", dedup.normalize_url(F.col("url")).alias("normal"))
 
 
 @query("exact_dedup", "SELECT sha256(text) AS text_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")

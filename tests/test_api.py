@@ -167,3 +167,35 @@ def test_a_late_event_is_left_out(spark, tmp_path):
         spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / str(i)))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "*"))
     assert sorted(r["n"] for r in st.run_to_end(st.hourly_counts(stream)).collect()) == [1, 1, 1]
+
+
+def test_files_from_outside(spark, tmp_path):
+    import gzip
+
+    from lodestar.sources import records
+
+    record = lambda i: f"WARC/1.0\nWARC-Type: conversion\nWARC-Target-URI: http://a/{i}\nContent-Type: text/plain\n\n{'word ' * 30}{i}\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.wet.gz").write_bytes(gzip.compress((record(1) + record(2)).encode()))
+    (tmp_path / "in" / "b.wet").write_text(record(3))
+    assert sorted(r["target"] for r in records.wet(spark, str(tmp_path / "in")).collect()) == ["http://a/1", "http://a/2", "http://a/3"]
+    assert records.whole_files(spark, str(tmp_path / "in"), 10).count() == 0 and records.whole_files(spark, str(tmp_path / "in")).count() == 2
+    (tmp_path / "seeds").mkdir()
+    (tmp_path / "seeds" / "news.txt").write_text("# c\nhttps://a.example/\nno\n")
+    (tmp_path / "seeds" / "tech.txt").write_text("http://b.example\n\n")
+    assert sorted(r["url"] for r in records.seeds(spark, str(tmp_path / "seeds")).collect()) == ["http://b.example", "https://a.example/"]
+    assert [r["url"] for r in records.seeds(spark, str(tmp_path / "seeds"), "tech").collect()] == ["http://b.example"]
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
+    assert records.compact(spark, str(tmp_path / "many"), str(tmp_path / "few")) == 1 and spark.read.parquet(str(tmp_path / "few")).count() == 100
+    pages = spark.createDataFrame([(1, "http://a/", "<p>é</p>")], "page_id long, url string, html string")
+    records.write_warc(pages, str(tmp_path / "out"), "2024-01-31T00:00:00Z")
+    assert "Content-Length: 9" in spark.read.text(str(tmp_path / "out"), wholetext=True).first()[0]
+
+
+def test_vector_store_replaces_known_keys(spark):
+    from lodestar.api.client import VectorStore
+
+    store = VectorStore(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>"))
+    store.add(spark.createDataFrame([(2, [1.0, 1.0]), (3, [1.0, 0.1])], "vec_id long, embedding array<float>"))
+    got = store.search(spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, probe array<float>"), 2).orderBy("rank").collect()
+    assert store.count() == 3 and [r["doc_id"] for r in got] == [1, 3]
