@@ -33,7 +33,9 @@ def seeds(spark: SparkSession, path: str, category: str | None = None) -> DataFr
 
 def write_warc(pages: DataFrame, path: str, date: str) -> None:
     """Pages (page_id, url, html) as gzipped archive files, a record after the other."""
-    extraction.warc_records(pages, date).select("record").write.mode("overwrite").option("lineSep", "").option("compression", "gzip").text(path)
+    # The last line end of a record is the writer's.
+    records = extraction.warc_records(pages, date).select(F.regexp_replace("record", "\r\n\\z", "").alias("record"))
+    records.write.mode("overwrite").option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def compact(spark: SparkSession, path: str, to: str, bytes_a_file: int = 128 << 20) -> int:
