@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import settle
 
-__all__ = ["deal", "lean_batches", "settle", "small_side", "tasks"]
+__all__ = ["deal", "frugal", "lean_batches", "settle", "small_side", "tasks"]
+
+#: Bytes from which a worker's arrays are mapped apart, so that freed ones go back to the machine at once.
+MAPPED = 4 << 20
 
 
 #: Rows and bytes of a batch on its way between Spark and Python, where the session has Spark's own 10000 and 64 MB: batches of whole texts, for each task and on both sides, are most of what an executor has beside its heap.
@@ -21,6 +29,30 @@ def lean_batches(spark: SparkSession) -> None:
             spark.conf.set(name, lean)
 
 
+@functools.cache
+def _trim() -> Callable:
+    """Sets the allocator of this process up, once, and returns what gives its free memory back; neither can be had everywhere."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD
+        return functools.partial(libc.malloc_trim, 0)
+    except (OSError, AttributeError):
+        return lambda: None
+
+
+def frugal(run: Callable) -> Callable:
+    """A function from batches to batches whose worker holds no free memory when it is done, as workers stay for later tasks."""
+
+    @functools.wraps(run)
+    def trimmed(batches):
+        trim = _trim()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim()
+
+    return trimmed
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions of an exchange of packed rows: the session's shuffle partitions, set in proportion to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

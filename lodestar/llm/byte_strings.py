@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import deal, lean_batches, tasks
+from ._spark import deal, frugal, lean_batches, tasks
 from ._text import _BYTE_BASE, _CODES, mix, parts, powers, prefix, utf8
 from .substrings import _PACKED, _documents, _keys, _pack_documents, _table, by_part, document_part, hash_part, text_hashes
 from .suffix import repeated
@@ -96,6 +96,7 @@ def runs(flags: np.ndarray):
 
 
 def _anchors(n_parts: int):
+    @frugal
     def run(batches):
         for b in batches:
             data, at = utf8(b.column(1))
@@ -126,6 +127,7 @@ def _read(batches, kinds=None):
 def _repeated_anchors(n_parts: int):
     """Anchors of a range to the stretches of those that occur more than once, dealt by document."""
 
+    @frugal
     def run(batches):
         rows = [r for _, r in _read(batches)]
         if not rows:
@@ -164,6 +166,7 @@ class _Places:
 def _cut(n_parts: int, length: int):
     """Documents and their repeated anchors to stretches of bytes, dealt by anchor."""
 
+    @frugal
     def run(batches):
         rows = _read(batches)
         places = _Places([r for k, r in rows if k == 1])
@@ -228,6 +231,7 @@ def _again(contents: list[bytes], times: np.ndarray, length: int) -> np.ndarray:
 def _match(n_parts: int, length: int):
     """Stretches of an anchor range to the repeated starts among them, dealt by document."""
 
+    @frugal
     def run(batches):
         grow = zstandard.ZstdDecompressor()
         anchors: dict[int, dict[bytes, list]] = {}
@@ -304,6 +308,7 @@ def _match(n_parts: int, length: int):
 
 
 def _remove(length: int):
+    @frugal
     def run(batches):
         rows = _read(batches)
         places, out = _Places([r for k, r in rows if k == 1]), []

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import lean_batches, settle, small_side
+from ._spark import frugal, lean_batches, settle, small_side
 from ._text import parts, utf8, windows, words
 
 #: Words of a seed, and least words of a tile.
@@ -112,6 +112,7 @@ def _map(batches):
 def _document_seeds(bits: bytes):
     """Documents (a, b, text) to those with seeds in the map: (a, b, seeds, places), packed as those of items."""
 
+    @frugal
     def run(batches):
         known = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
         for b in batches:
@@ -133,6 +134,7 @@ def _document_seeds(bits: bytes):
 def _one_by_one(names: list[str], each: bool):
     """Rows with packed seeds to one row a seed: all places of items (each), or the distinct seeds of documents."""
 
+    @frugal
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 2000):

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._spark import lean_batches
+from ._spark import frugal, lean_batches
 
 # Tags that cut blocks, tags whose content is never text, and tags and name parts that mark boilerplate.
 BLOCK_TAGS = frozenset(
@@ -340,6 +340,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     Repeated rows have a result each; other columns are not read.
     """
 
+    @frugal
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 200):

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import deal, lean_batches, settle, tasks
+from ._spark import deal, frugal, lean_batches, settle, tasks
 from ._text import mix, parts, utf8, windows, words
 from .graph import components
 from .substrings import _PACKED, _keys, _table, by_part, hash_part
@@ -35,7 +35,7 @@ from .substrings import _PACKED, _keys, _table, by_part, hash_part
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Second-level parts, of which one may differ.
 SUBPARTS = 3
 #: Members of a signature group up to which its pairs are listed; larger groups meet through a hub.
@@ -125,6 +125,7 @@ def _chunks(batches, k: int):
 
 
 def _prefixes(n_parts: int, k: int):
+    @frugal
     def run(batches):
         for d, null, _, _, win, at, f1, f2 in _chunks(batches, k):
             n = np.diff(at)
@@ -166,6 +167,7 @@ def set_part(sets_of: np.ndarray, n_parts: int) -> np.ndarray:
 def _shared(n_parts: int):
     """Hashes of a range to how many of each set's are held by another set as well, by set."""
 
+    @frugal
     def run(batches):
         rows = read_screen(batches)
         if rows:
@@ -178,6 +180,7 @@ def _shared(n_parts: int):
 
 
 def _texts(n_parts: int, k: int):
+    @frugal
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for d, null, span, off, _, at, f1, f2 in _chunks(batches, k):
@@ -198,6 +201,7 @@ def _texts(n_parts: int, k: int):
 def _survivors():
     """Sets with enough shared prefix shingles: (id, n, text), once each, id being the smallest key."""
 
+    @frugal
     def run(batches):
         counts, docs = [], []
         for b in batches:
@@ -299,6 +303,7 @@ def _unpack(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(n_parts: int, k: int):
+    @frugal
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
@@ -320,6 +325,7 @@ def _sign(n_parts: int, k: int):
 def _every(n_parts: int, k: int):
     """All shingles of the sets in a table (id, n, packed), by hash."""
 
+    @frugal
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
@@ -357,6 +363,7 @@ def screened(table: DataFrame, k: int) -> DataFrame:
 def _groups():
     """Signatures of a range to pairs (a, b, count) of ids and, for large groups, their members."""
 
+    @frugal
     def run(batches):
         ws, ids = [], []
         for b in batches:
@@ -405,6 +412,7 @@ def _groups():
 def _linked(k: int):
     """Pairs with their packed texts to those that link."""
 
+    @frugal
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
@@ -444,6 +452,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _differences(k: int):
     """Pairs (hub, id) with their packed texts to the shingles that only one of both has, keyed by hub, the hub's size and how many are the hub's (p) and the member's (q)."""
 
+    @frugal
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
@@ -477,6 +486,7 @@ def _member(b: pa.RecordBatch) -> np.ndarray:
 def _deal_keys(n_parts: int):
     """Members (hub, id, c, open, need, d) to their keys by range."""
 
+    @frugal
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
@@ -497,6 +507,7 @@ def _deal_keys(n_parts: int):
 def _useful_keys(n_parts: int):
     """Keys of a range to those that could tell of a link (an open member has it, and one of another component), with how many members have them, by member."""
 
+    @frugal
     def run(batches):
         who, cs, opens, ks = [], [], [], []
         for b in batches:
@@ -524,6 +535,7 @@ def _useful_keys(n_parts: int):
 
 
 def _deal_members(n_parts: int):
+    @frugal
     def run(batches):
         for b in batches:
             who = _member(b)
@@ -538,6 +550,7 @@ def _deal_members(n_parts: int):
 def _rarest_keys(n_parts: int):
     """Members and their useful keys to the rarest ones, of which any partner has at least one among its rarest."""
 
+    @frugal
     def run(batches):
         keys, members = [], []
         for b in batches:
@@ -565,6 +578,7 @@ def _rarest_keys(n_parts: int):
 def _meet():
     """Rarest keys of a range to the pairs (a, b) of an open member and one of another component that may share enough from that key on."""
 
+    @frugal
     def run(batches):
         rows = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)]
         if not rows:
@@ -671,6 +685,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, key: str = "doc_id", text
     table = settle(deal(rows.mapInArrow(_texts(n, k), _PACKED).unionByName(counts), n).mapInArrow(_survivors(), "id long, n long, packed binary"))
     labels = link(table, k)
 
+    @frugal
     def sizes(batches):
         for d, null, _, _, _, at, f1, f2 in _chunks(batches, k):
             yield pa.RecordBatch.from_arrays([pa.array(d, mask=null), pa.array(np.diff(at).astype(np.int64)), pa.array(f1), pa.array(f2)], ["doc_id", "n_shingles", "f1", "f2"])

@@ -21,8 +21,8 @@ from ._text import _LOWER, parts, utf8
 #: Hash buckets of the n-grams.
 BITS = 12
 DIM = 1 << BITS
-#: Most labelled documents of a language that the classifier is fitted on, and of all languages together: the bound of the sample. Many languages share the latter, none is left out.
-PER_LANG, SAMPLE = 250, 16000
+#: Most labelled documents of a language that the classifier is fitted on, and of all languages together: the bound of the sample. Many languages share the latter, with about LEAST_PER_LANG each at least, as none is left out.
+PER_LANG, SAMPLE, LEAST_PER_LANG = 250, 16000, 20
 #: One in so many sampled documents of a language is kept from the machines and sets the slopes that turn margins to chances.
 CALIBRATE = 5
 #: Bytes of text handled at once.
@@ -188,7 +188,7 @@ def _sample(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """About PER_LANG labelled training rows of each language (fewer where SAMPLE is shared by many), chosen by hash of the key, short rows too."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
     counts = known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()
-    most = min(PER_LANG, SAMPLE / max(1, len(counts)))
+    most = max(LEAST_PER_LANG, min(PER_LANG, SAMPLE / max(1, len(counts))))
     u = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     if not counts:
         return known

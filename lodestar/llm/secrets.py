@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._spark import lean_batches
+from ._spark import frugal, lean_batches
 
 #: The base patterns and the least lengths of what they must hold.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -238,6 +238,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     lean_batches(docs.sparkSession)
     net = network()
 
+    @frugal
     def run(batches):
         for b in batches:
             kept, n = [], b.num_rows

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import deal, lean_batches, tasks
+from ._spark import deal, frugal, lean_batches, tasks
 from ._text import mix, parts, utf8, windows, words
 
 WINDOW = 20
@@ -94,6 +94,7 @@ def _chunk_windows(batches, window: int):
 
 
 def _counts(window: int):
+    @frugal
     def run(batches):
         for _, _, _, win, _, _ in _chunk_windows(batches, window):
             w, n = np.unique(win, return_counts=True)
@@ -105,6 +106,7 @@ def _counts(window: int):
 def _firsts(window: int, hot: np.ndarray):
     """The first occurrence in each chunk of each of the hot windows."""
 
+    @frugal
     def run(batches):
         for d, _, _, win, rows, local in _chunk_windows(batches, window):
             pick = np.flatnonzero(np.isin(win, hot))
@@ -132,6 +134,7 @@ def hot_windows(rows: DataFrame, window: int) -> np.ndarray:
 def _hash_windows(n_parts: int, window: int, hot: np.ndarray):
     """Documents to packed window hashes: of a chunk and a hash range, the documents, how many windows of each, their starts and hashes. Hot windows that are not the first go by document."""
 
+    @frugal
     def run(batches):
         for keys, span, off, win, rows, local in _chunk_windows(batches, window):
             d, h = keys, text_hashes(span, off)
@@ -160,6 +163,7 @@ def _hash_windows(n_parts: int, window: int, hot: np.ndarray):
 def _later(n_parts: int):
     """Packed window hashes of a hash range to packed occurrences that are not the first, dealt by document; rows that are such already pass."""
 
+    @frugal
     def run(batches):
         ds, hs, ps, ws = [], [], [], []
         for b in batches:
@@ -216,6 +220,7 @@ def _later(n_parts: int):
 def _pack_documents(n_parts: int):
     """Documents as packed rows: keys, sizes and the compressed bytes of those of a chunk with the same part."""
 
+    @frugal
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
@@ -273,6 +278,7 @@ class Marks:
 
 
 def _remove(window: int):
+    @frugal
     def run(batches):
         marks, docs = [], []
         for b in batches:

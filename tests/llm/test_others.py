@@ -320,3 +320,69 @@ def test_html_long_page_and_empty_table(spark):
     page = "<body>" + f"<p>{SAID}</p>" * 5000
     assert html_text.main_text(page) == " ".join([SAID] * 5000)
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, score string, spans string, coverage string, held_out string, size string"
+
+
+def _odd(spark, texts):
+    rows = [(i, t, "en" if i % 2 else None, "s", "a", "b", "c", "d", "e") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[0], rows[0], (None, texts[0], None, None, None, None, None, None, None)], ODD)
+
+
+def test_language_id_repeats_rows_and_replaces_clashing_columns(spark):
+    long = "the quick brown fox and the lazy dog are in the house of the king " * 30000
+    df = _odd(spark, ["the house of the king is on the hill", long, "", None, "123 456", "x"])
+    got = language_id.identify(df).collect()
+    assert len(got) == 9 and sorted(df.columns + ["lang_pred", "familiar"]) == sorted(got[0].asDict()) and {type(r["score"]) for r in got} == {float}
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["text"] and r["text"].startswith("the house")}) == 1
+    assert [r["lang_pred"] for r in got if r["text"] == long] == ["en"]
+    model = language_id.fit(df)
+    assert model.predict(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))[1][0] == next(r["score"] for r in got if r["text"] == long)
+
+
+def test_language_id_leaves_no_language_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 90)
+    r = np.random.default_rng(3)
+    spell = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(70)}
+    rows = [(i * 70 + k, "".join(r.choice(c, 60)), name) for i in range(8) for k, (name, c) in enumerate(spell.items())]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len({x["lang_pred"] for x in got}) > 64 and np.mean([x["lang_pred"] == x["lang"] for x in got]) > 0.9
+
+
+def test_decontamination_of_odd_rows(spark):
+    v = h.vocabulary(4)
+    item = " ".join(v[:30])
+    long = " ".join(v[60:] * 400) + " " + item + " " + " ".join(v[60:] * 400)
+    df = _odd(spark, [long, "", None, "clean words", item])
+    got = decontamination.decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert len(got) == 8 and all(r["contaminated"] == (r["text"] in (long, item)) and (r["coverage"] == 1.0) == r["contaminated"] for r in got)
+
+
+def test_secrets_of_odd_rows(spark):
+    key = "sK9dQ2mX7pLw4RtZ8vBn3HyJ6cFgA1"
+    long = "words of text " * 40000 + f"token = {key} " + "x" * 70000
+    df = _odd(spark, [f"Bearer: {key} end", long, "", None])
+    got = secrets.find_secrets(df).collect()
+    assert len(got) == 7 and secrets.find_secrets(df.limit(0)).count() == 0
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["spans"])
+    assert all(len(s) == 1 for s in by.values()) and by[2] == by[3] == {""} and by[None] == by[0] != {""}
+    start = long.index("token")
+    assert f"assign:{start}:{start + 8 + len(key)}" in by[1].pop()
+
+
+def test_secret_network_agrees_with_the_findings_of_a_corpus(spark):
+    net = secrets.network()
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    kept = {True: [], False: []}
+    for t in texts:
+        base = [(s, e) for s, k, e in secrets.base_spans(t) if k != 2]
+        added = {(s, e) for s, _, e in secrets.scan([t], net)[0][1]}
+        for s, e in secrets.candidates(t):
+            if any(a < e and s < b for a, b in base):
+                kept[True].append((s, e) in added)
+            elif t[s:e].isalpha():
+                kept[False].append((s, e) in added)
+    assert np.mean(kept[True]) > 0.9 and np.mean(kept[False] or [0]) < 0.05

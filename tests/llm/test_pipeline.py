@@ -1,5 +1,6 @@
 """Each stage against a plain version of it, on its own input."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -73,3 +74,52 @@ def test_text_of_no_learned_language_goes(spark):
     other = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(OTHERS)], known.schema)
     kept = {r["doc_id"] for r in pipeline.identify_language(spark, known.unionByName(other), "").collect()}
     assert kept == {r["doc_id"] for r in known.filter("text rlike '[a-zA-Z]'").collect()}
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, coverage string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string").write.parquet(str(tmp_path / "empty" / "benchmark.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    long = "the house of the king is on the hill and the people are in it " * 20000
+    rows = [(i, f"the house number {i} of the king is on the hill and the people of the town are in it", "en", f"s{i % 3}", 1, "x", "y", "z") for i in range(40)]
+    rows += [(100, long, "en", "s0", 1, "x", "y", "z"), (101, None, "en", None, 1, None, None, None), (None, rows[0][1], "en", None, 1, "p", "q", "r")]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path / "empty"))
+        assert out.columns == docs.columns, name
+        kept = {tuple(r) for r in out.collect()}
+        assert kept <= set(rows) and all(r[1] is not None for r in kept) and any(r[1] == long for r in kept), name
+        docs = spark.createDataFrame(sorted(kept, key=str), schema)
+
+
+def test_decontamination_and_mixing_by_plain_versions(spark, tmp_path):
+    from .test_others import _tiled
+
+    v = h.vocabulary(11, 80)
+    r = random.Random(4)
+    items = [" ".join(r.choice(v) for _ in range(20)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        words = [r.choice(v) for _ in range(r.randint(5, 60))]
+        if i % 4 == 0:
+            item = r.choice(items).split()
+            cut = r.randint(0, 20)
+            words += item[cut:] + item[: r.randint(0, cut)]
+        rows.append((i, " ".join(words), "en", f"s{i % 4}", 1))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    kept = _rows(pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)))
+    want = Counter(x for x in rows if all(_tiled(x[1].split(), i.split()) < decontamination.COVERED for i in items))
+    assert kept == want and 0 < len(want) < len(rows)
+    mixed = _rows(pipeline.mix_sources(spark, docs, str(tmp_path)))
+    sizes = Counter()
+    for x in rows:
+        sizes[x[3]] += len(x[1].split())
+    taken, longest = Counter(), {s: max(len(x[1].split()) for x in rows if x[3] == s) for s in sizes}
+    for x, n in mixed.items():
+        assert x in rows and n <= 3
+        taken[x[3]] += n * len(x[1].split())
+    # Weights 1, 2, 3, 1 share all words, no source's share being over three times its own here.
+    share = {s: sum(sizes.values()) * w / 7 for s, w in zip(sorted(sizes), (1, 2, 3, 1), strict=True)}
+    assert all(share[s] <= 3 * sizes[s] and abs(taken[s] - share[s]) <= longest[s] / 2 + 1 for s in sizes)
