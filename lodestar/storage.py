@@ -39,7 +39,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, lost executors lose nothing, and what is used twice is made once."""
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
