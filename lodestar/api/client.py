@@ -15,7 +15,7 @@ from .plugins import Plugins, Point
 
 @dataclass
 class Client:
-    """docs: doc_id, text, lang, source, title, url, domain, crawled_at. Every call builds one plan over the whole collection."""
+    """docs: doc_id, text, lang, source, title, url, domain, crawled_at. Every call builds one plan over the whole collection, or over the index at a path."""
 
     spark: SparkSession
     docs: DataFrame
@@ -23,6 +23,7 @@ class Client:
     plugins: Plugins | None = None
     authority: DataFrame | None = None
     trust: DataFrame | None = None
+    index: str | None = None
 
     def _run(self, point: Point, df: DataFrame) -> DataFrame:
         return self.plugins.run(point, df) if self.plugins else df
@@ -31,8 +32,8 @@ class Client:
         """query_id, query, rank, doc_id, url, title, snippet, combined of every query; filters are those of operators.search.keep."""
         asked = [queries] if isinstance(queries, str) else queries
         q = self._run(Point.PRE_SEARCH, self.spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"))
-        docs = self._run(Point.PRE_RANK, self.docs.filter(search.keep(**filters)) if filters else self.docs)
-        hits = search.ranked(docs, q, limit + offset, self.now, self.authority, self.trust)
+        docs = self._run(Point.PRE_RANK, self.docs)
+        hits = search.ranked(docs, q, limit + offset, self.now, self.authority, self.trust, self.index, search.keep(**filters) if filters else None)
         hits = self._run(Point.POST_RANK, hits)
         if self.plugins:
             hits = hits.withColumn("combined", self.plugins.score(F.col("combined")))

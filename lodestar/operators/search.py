@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -37,23 +37,54 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return t.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of the documents that hold all terms of a query; a repeated term counts as often.
-
-    The texts are read once: the postings of the query terms, few against the texts, are settled.
-    """
-    terms = query_terms(queries)
-    every = settle(postings(docs, terms))
-    found = every.filter("term is not null")
+def scored(found: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """query_id, doc_id, score from postings of the terms of queries and the one row of corpus statistics."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, 1e-6).otherwise(idf)
     tf = F.col("tf")
     gain = weight * tf * (scores.K1 + 1) / (tf + scores.K1 * (1 - scores.B + scores.B * F.col("len") / F.col("avg_len")))
-    rows = found.join(terms.join(df, "term"), "term").crossJoin(F.broadcast(corpus(every)))  # one row
+    rows = found.join(terms.join(df, "term"), "term").crossJoin(F.broadcast(stats))  # one row
     return rows.groupBy("query_id", "doc_id").agg(F.sum(gain * F.col("times")).alias("score"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).filter("held = n_terms").select("query_id", "doc_id", "score")
 
 
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of the documents that hold all terms of a query; a repeated term counts as often.
+
+    The texts are read once: the postings of the query terms, few against the texts, are
+    settled. For many calls over one collection, build an index.
+    """
+    terms = query_terms(queries)
+    every = settle(postings(docs, terms))
+    return scored(every.filter("term is not null"), terms, corpus(every))
+
+
+def build_index(docs: DataFrame, path: str, buckets: int = 64, slices: int = 8) -> None:
+    """Writes the postings of docs by bucket of the term, and the corpus statistics.
+
+    A bucket's rows are dealt by document to so many tasks, hence files, so a term of all
+    documents is no task of its own, neither here nor when it is read.
+    """
+    posts = postings(docs).withColumn("bucket", _bucket(buckets))
+    posts.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths = docs.select(F.size(text.index_tokens(F.concat_ws(" ", "title", "text"))).alias("len"))
+    lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """bm25() from an index: only the buckets of the query terms are read, at most as many as there are."""
+    stats = spark.read.parquet(f"{path}/corpus")
+    buckets = stats.first()["buckets"]
+    terms = query_terms(queries)
+    wanted = [r["b"] for r in terms.select(_bucket(buckets).alias("b")).distinct().collect()]  # buckets
+    found = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted)).drop("bucket").join(terms.select("term").distinct(), "term", "left_semi")
+    return scored(found, terms, stats.select("n_docs", "avg_len"))
+
+
 def keep(language: str | None = None, date_from: float | None = None, date_to: float | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
     """The condition of a search's filters on documents; dates count on both ends, scores stay those of the whole corpus."""
     out = F.lit(True)
@@ -80,13 +111,17 @@ def top_k(rows: DataFrame, k: int, score: str = "score", tie: str = "doc_id") ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), tie))).filter(F.col("rank") <= k)
 
 
-def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float, authority: DataFrame | None = None, trust: DataFrame | None = None) -> DataFrame:
+def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float, authority: DataFrame | None = None, trust: DataFrame | None = None, index: str | None = None, wanted: Column | None = None) -> DataFrame:
     """Two-stage search: 2 * limit candidates by BM25, re-ranked by the combined score.
 
     authority (domain, authority) and trust (peer, trust) are joined to the candidates alone;
     a domain without authority has 0, a peer without trust, or any without a table, one half.
+    index is the path of an index of docs; wanted, a filter such as keep() gives, counts before the cut.
     """
-    best = top_k(bm25(docs, queries).withColumn("r6", F.round("score", 6)), 2 * limit, "r6").withColumnRenamed("rank", "bm25_rank")
+    hits = bm25(docs, queries) if index is None else bm25_indexed(docs.sparkSession, index, queries)
+    if wanted is not None:
+        hits = hits.join(docs.filter(wanted).select("doc_id"), "doc_id", "left_semi")
+    best = top_k(hits.withColumn("r6", F.round("score", 6)), 2 * limit, "r6").withColumnRenamed("rank", "bm25_rank")
     rows = best.join(queries, "query_id").join(docs.select("doc_id", "title", "url", "crawled_at", "source"), "doc_id")
     if authority is not None:
         rows = rows.withColumn("_d", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))).join(authority.withColumnRenamed("domain", "_d"), "_d", "left")

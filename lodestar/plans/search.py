@@ -8,6 +8,7 @@ from ..functions import scores, text
 from ..operators import search
 from ..registry import query
 from ..sources.tables import DOCUMENTS_SQL, NOW, QUERIES_SQL, documents, queries, table
+from ..storage import new_path
 
 LIMIT = 10
 BM25_SQL = f"""{DOCUMENTS_SQL}, {QUERIES_SQL},
@@ -46,6 +47,14 @@ def ranked_search(spark, sf_dir):
     return search.ranked(documents(spark, sf_dir), queries(spark, sf_dir), LIMIT, NOW)
 
 
+@query("indexed_search", f"WITH {RANKED_SQL} SELECT * FROM ranked")
+def indexed_search(spark, sf_dir):
+    """ranked_search from a written index, which is built first."""
+    docs, path = documents(spark, sf_dir), new_path(spark, "index")
+    search.build_index(docs, path)
+    return search.ranked(docs, queries(spark, sf_dir), LIMIT, NOW, index=path)
+
+
 @query(
     "suggest",
     f"WITH {DOCUMENTS_SQL} SELECT title, max(crawled_at) AS crawled_at FROM docs WHERE contains(lower(title), 'tion') AND title <> '' GROUP BY title ORDER BY crawled_at DESC, title LIMIT 10",

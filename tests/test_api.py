@@ -35,6 +35,11 @@ def test_client_pages_and_filters(client):
     docs = {r["doc_id"]: r["lang"] for r in client.docs.select("doc_id", "lang").collect()}
     fr = client.search("de", 10, language="fr").collect()
     assert fr and {docs[r["doc_id"]] for r in fr} == {"fr"}
+    path = storage.new_path(client.spark, "index")
+    search.build_index(client.docs, path, buckets=7, slices=2)
+    indexed = Client(client.spark, client.docs, NOW, index=path)
+    for given in ({}, {"language": "fr"}):
+        assert [tuple(r) for r in indexed.search("de la", 10, **given).orderBy("rank").collect()] == [tuple(r) for r in client.search("de la", 10, **given).orderBy("rank").collect()]
     assert [d.metadata["doc_id"] for d in Retriever(client, 3).invoke("the of")] == [r["doc_id"] for r in client.search("the of", 3).orderBy("rank").collect()]
     assert [r["rank"] for r in client.search("the of", 3, 5).orderBy("rank").collect()] == [1, 2, 3]
 
