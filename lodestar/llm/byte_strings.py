@@ -11,6 +11,11 @@ SEED-byte pieces, so equal strings have equal anchors at equal places.
    common prefixes show which strings occur elsewhere.
 4. The documents meet their repeated strings, which merge into removed runs.
 A string starts in exactly one stretch, so stretches never match themselves.
+
+A piece of SEED bytes that a sample shows to be very frequent is an anchor only of strings that
+have no other piece, so the many surroundings of a passage in a third of all documents do not
+crowd one task. Strings of such pieces alone that the sample holds twice are known to be
+repeated, by their fingerprints, and are not dealt at all.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +41,9 @@ SEED = 32
 CHUNK, POSITION = 1 << 19, 20
 #: Bytes of stretches sorted at once; the stretches of one anchor stay together.
 SORTED = 4 << 20
+#: Occurrences, as estimated from one document in SAMPLE, from which an anchor is avoided.
+HOT_ROWS, SAMPLE = 1 << 18, 64
+_NONE = np.zeros(0, np.uint64)
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -49,38 +58,117 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED):
-    """(row, first start, last start, anchor) of the maximal runs of starts that have one anchor at one place.
+def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each number is among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+class _Pieces:
+    """Texts in overlapping pieces of CHUNK starts: of each the fingerprints of its seeds, and every start's row, anchor and string."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, seed: int, hot: np.ndarray):
+        self.data, self.offsets, self.length, self.seed, self.hot = data, offsets, length, seed, hot
+        self.inverse = pow(_BYTE_BASE, -1, 1 << 64)
+
+    def __iter__(self):
+        for base in range(0, len(self.data) - self.length + 1, CHUNK):
+            piece = self.data[base : base + CHUNK + self.length - 1]
+            self.sums = prefix(_CODES[piece] * powers(_BYTE_BASE, len(piece)))
+            self.h = self._prints(np.arange(len(piece) - self.seed + 1), self.seed)
+            # Hot seeds come after all others, by the top bit.
+            order = self.h >> np.uint64(1) | _among(self.hot, self.h).astype(np.uint64) << np.uint64(63)
+            key = (order >> np.uint64(POSITION) << np.uint64(POSITION)) | np.arange(len(self.h), dtype=np.uint64)
+            self.low = _window_min(key, self.length - self.seed + 1)
+            self.at = np.arange(base, base + len(self.low))
+            self.row = np.searchsorted(self.offsets, self.at, "right") - 1
+            self.inside = self.at + self.length <= self.offsets[self.row + 1]
+            yield self
+
+    def _prints(self, starts: np.ndarray, n: int) -> np.ndarray:
+        return mix((self.sums[starts + n] - self.sums[starts]) * powers(self.inverse, len(self.sums))[starts])
+
+    def anchors(self, starts: np.ndarray) -> np.ndarray:
+        return self.h[(self.low[starts] & np.uint64((1 << POSITION) - 1)).astype(np.int64)]
+
+    def all_hot(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of strings of hot seeds alone, and the strings' fingerprints."""
+        starts = np.flatnonzero((self.low >> np.uint64(63) == 1) & self.inside)
+        return starts, self._prints(starts, self.length)
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED, hot: np.ndarray = _NONE, known: np.ndarray = _NONE):
+    """(row, first start, last start, anchor) of the maximal runs of starts that have one anchor at one place; and (row, first, last) of those of known strings.
 
     Starts are counted in the row. Long rows are taken in overlapping pieces; a piece
     border only splits a run when its anchors are equal on both sides, which is as good.
     """
-    rows, begins, ends, anchors = [], [], [], []
-    if len(data) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
-    inverse = pow(_BYTE_BASE, -1, 1 << 64)
-    step = CHUNK
-    for base in range(0, len(data) - length + 1, step):
-        stop = min(len(data), base + step + length - 1)
-        piece = data[base:stop]
-        sums = prefix(_CODES[piece] * powers(_BYTE_BASE, len(piece)))
-        h = mix((sums[seed:] - sums[:-seed]) * powers(inverse, len(piece) - seed + 1))
-        key = (h >> np.uint64(POSITION) << np.uint64(POSITION)) | np.arange(len(h), dtype=np.uint64)
-        low = _window_min(key, length - seed + 1)
-        at = np.arange(base, base + len(low))
-        row = np.searchsorted(offsets, at, "right") - 1
-        inside = at + length <= offsets[row + 1]
-        fresh = np.ones(len(low), bool)
-        fresh[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
-        first = np.flatnonzero(fresh & inside)
-        last_of = np.append(np.flatnonzero(fresh | ~inside)[1:], len(low)) - 1
-        marks = np.flatnonzero(fresh | ~inside)
-        last = last_of[np.searchsorted(marks, first)]
-        rows.append(row[first])
-        begins.append(at[first] - offsets[row[first]])
-        ends.append(at[last] - offsets[row[first]])
-        anchors.append(h[(low[first] & np.uint64((1 << POSITION) - 1)).astype(np.int64)])
-    return np.concatenate(rows), np.concatenate(begins), np.concatenate(ends), np.concatenate(anchors)
+    z = np.zeros(0, np.int64)
+    rows, begins, ends, anchors, done = [z], [z], [z], [_NONE], [np.zeros((3, 0), np.int64)]
+    for p in _Pieces(data, offsets, length, seed, hot):
+        use = p.inside.copy()
+        if len(known):
+            starts, prints = p.all_hot()
+            starts = starts[_among(known, prints)]
+            use[starts] = False
+            if len(starts):
+                first = np.flatnonzero(np.append(True, (np.diff(starts) > 1) | (np.diff(p.row[starts]) > 0)))
+                last = np.append(first[1:], len(starts)) - 1
+                row = p.row[starts[first]]
+                done.append(np.stack([row, p.at[starts[first]] - offsets[row], p.at[starts[last]] - offsets[row]]))
+        fresh = np.ones(len(p.low), bool)
+        fresh[1:] = (p.low[1:] != p.low[:-1]) | (p.row[1:] != p.row[:-1]) | ~use[:-1]
+        first = np.flatnonzero(fresh & use)
+        marks = np.flatnonzero(fresh | ~use)
+        last = (np.append(marks[1:], len(p.low)) - 1)[np.searchsorted(marks, first)]
+        rows.append(p.row[first])
+        begins.append(p.at[first] - offsets[p.row[first]])
+        ends.append(p.at[last] - offsets[p.row[first]])
+        anchors.append(p.anchors(first))
+    return np.concatenate(rows), np.concatenate(begins), np.concatenate(ends), np.concatenate(anchors), np.concatenate(done, 1)
+
+
+def _counted(count):
+    """Texts to what count(data, offsets) finds in each chunk, with how often."""
+
+    @frugal
+    def run(batches):
+        for b in batches:
+            data, at = utf8(b.column(1))
+            for i, j in parts(at, 4 * CHUNK):
+                x, n = np.unique(count(data[at[i] : at[j]], at[i : j + 1] - at[i]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["x", "n"])
+
+    return run
+
+
+def hot_seeds(rows: DataFrame, length: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Very frequent seeds, and the strings of such seeds alone that occur again for certain; both in order, from a sample of the documents."""
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(SAMPLE)) == 0)
+    least = max(2, HOT_ROWS // SAMPLE)
+
+    def frequent(count, n: int) -> np.ndarray:
+        found = sample.mapInArrow(_counted(count), "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).filter(F.col("n") >= n).select("x").toArrow()
+        return np.sort(found.column("x").to_numpy().view(np.uint64))
+
+    anchors = frequent(lambda data, at: stretches(data, at, length, seed)[3], least)
+    if not len(anchors):
+        return _NONE, _NONE
+
+    def around(data, at):
+        out = [_NONE]
+        for p in _Pieces(data, at, length, seed, _NONE):
+            starts = np.flatnonzero(p.inside)
+            starts = starts[_among(anchors, p.anchors(starts))]
+            depth = np.zeros(len(p.h) + 1, np.int64)
+            np.add.at(depth, starts, 1)
+            np.add.at(depth, starts + length - seed + 1, -1)
+            out.append(p.h[np.cumsum(depth)[:-1] > 0])
+        return np.concatenate(out)
+
+    hot = frequent(around, least)
+    return hot, frequent(lambda data, at: np.concatenate([_NONE, *(p.all_hot()[1] for p in _Pieces(data, at, length, seed, hot))]), 2)
 
 
 def anchor_part(anchors: np.ndarray, n_parts: int) -> np.ndarray:
@@ -95,18 +183,23 @@ def runs(flags: np.ndarray):
     return zip(edge[::2], edge[1::2], strict=True)
 
 
-def _anchors(n_parts: int):
+def _anchors(n_parts: int, length: int, hot: np.ndarray, known: np.ndarray):
+    """Documents to their stretches by anchor, and the runs of known strings by document."""
+
     @frugal
     def run(batches):
         for b in batches:
             data, at = utf8(b.column(1))
             for i, j in parts(at, 4 * CHUNK):
                 span, off = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                row, begin, end, anchor = stretches(span, off)
-                if not len(row):
+                row, begin, end, anchor, done = stretches(span, off, length, SEED, hot, known)
+                if not len(row) and not done.shape[1]:
                     continue
                 d, h = _keys(b, i, j), text_hashes(span, off)
                 out = []
+                for p, pick in by_part(document_part(d[done[0]], h[done[0]], n_parts).astype(np.int64), n_parts):
+                    r = done[0][pick]
+                    out.append((p, KNOWN, d[r].tobytes(), h[r].tobytes(), done[1:, pick].astype(np.uint32).tobytes(), np.zeros(len(r), np.uint64).tobytes()))
                 for p, pick in by_part(anchor_part(anchor, n_parts), n_parts):
                     where = np.stack([begin[pick], end[pick]]).astype(np.uint32)
                     out.append((p, 0, d[row[pick]].tobytes(), h[row[pick]].tobytes(), where.tobytes(), anchor[pick].tobytes()))
@@ -115,13 +208,17 @@ def _anchors(n_parts: int):
     return run
 
 
-def _read(batches, kinds=None):
-    out = []
+#: Kind of the packed rows of known strings, which pass all steps to the last.
+KNOWN = 3
+
+
+def _passing(batches, out: list):
+    """Appends (kind, row) of the packed rows to out, but for those that pass, which are yielded."""
     for b in batches:
-        for kind, *row in zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4, 5)), strict=True):
-            if kinds is None or kind in kinds:
-                out.append((kind, row))
-    return out
+        known = pa.compute.equal(b.column(1), KNOWN)
+        if pa.compute.any(known).as_py():
+            yield b.filter(known)
+        out += [(kind, row) for kind, *row in zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4, 5)), strict=True) if kind != KNOWN]
 
 
 def _repeated_anchors(n_parts: int):
@@ -129,7 +226,9 @@ def _repeated_anchors(n_parts: int):
 
     @frugal
     def run(batches):
-        rows = [r for _, r in _read(batches)]
+        read: list = []
+        yield from _passing(batches, read)
+        rows = [r for _, r in read]
         if not rows:
             return
         d, h, anchor = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((0, np.int64), (1, np.int64), (3, np.uint64)))
@@ -168,7 +267,8 @@ def _cut(n_parts: int, length: int):
 
     @frugal
     def run(batches):
-        rows = _read(batches)
+        rows: list = []
+        yield from _passing(batches, rows)
         places = _Places([r for k, r in rows if k == 1])
         squeeze = zstandard.ZstdCompressor(level=3)
         held: dict[int, list] = {}
@@ -235,7 +335,9 @@ def _match(n_parts: int, length: int):
     def run(batches):
         grow = zstandard.ZstdDecompressor()
         anchors: dict[int, dict[bytes, list]] = {}
-        for _, (d, h, head, x) in _read(batches):
+        read: list = []
+        yield from _passing(batches, read)
+        for _, (d, h, head, x) in read:
             d, h = np.frombuffer(d, np.int64).tolist(), np.frombuffer(h, np.int64).tolist()
             n = len(d)
             begin, end = np.frombuffer(head, np.uint32, 2 * n).reshape(2, -1).tolist()
@@ -310,8 +412,8 @@ def _match(n_parts: int, length: int):
 def _remove(length: int):
     @frugal
     def run(batches):
-        rows = _read(batches)
-        places, out = _Places([r for k, r in rows if k == 1]), []
+        rows = [(kind, row) for b in batches for kind, *row in zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4, 5)), strict=True)]
+        places, out = _Places([r for k, r in rows if k in (1, KNOWN)]), []
         for d, h, null, text in _documents([r for k, r in rows if k == 2]):
             w = places.w[:, places.of(d, h)]
             spans: list[list[int]] = []
@@ -353,7 +455,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     n = tasks(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     documents = rows.mapInArrow(_pack_documents(n), _PACKED)
-    places = deal(rows.mapInArrow(_anchors(n), _PACKED), n).mapInArrow(_repeated_anchors(n), _PACKED)
+    hot, known = hot_seeds(rows, length)
+    places = deal(rows.mapInArrow(_anchors(n, length, hot, known), _PACKED), n).mapInArrow(_repeated_anchors(n), _PACKED)
     cut = deal(documents.unionByName(places), n).mapInArrow(_cut(n, length), _PACKED)
     starts = deal(cut, n).mapInArrow(_match(n, length), _PACKED)
     return deal(documents.unionByName(starts), n).mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, begins array<long>, ends array<long>, kept binary")

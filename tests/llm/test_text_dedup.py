@@ -88,3 +88,23 @@ def test_hot_windows_are_judged_on_the_spot(spark, monkeypatch):
     assert substrings.hot_windows(frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 20).shape[1] >= 6
     got = Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.repeated_substrings(frame).collect())
     assert got == h.substring_removal([(x[0], x[1]) for x in rows])
+
+
+def test_hot_anchors_are_avoided(spark, monkeypatch):
+    r = random.Random(5)
+    v = h.vocabulary(12, 200)
+    say = lambda n: " ".join(r.choice(v) for _ in range(n))
+    passage, other = say(150), say(90)
+    rows = [(i, say(r.randint(0, 60)) + " " + (passage if i % 3 else passage[: r.randint(380, len(passage))]) + " " + say(r.randint(0, 60)) + (other if i % 10 == 0 else ""), *[None] * 10) for i in range(60)]
+    rows += [(100, passage, *[None] * 10), (101, other, *[None] * 10), (None, passage + passage, *[None] * 10), (102, None, *[None] * 10), rows[4]]
+    monkeypatch.setattr(byte_strings, "HOT_ROWS", 15)
+    monkeypatch.setattr(byte_strings, "SAMPLE", 1)
+    frame = spark.createDataFrame(rows, h.SCHEMA).repartition(5)
+    hot, known = byte_strings.hot_seeds(frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 400)
+    assert len(hot) > 100 and len(known) > 100
+    got = Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in byte_strings.repeated_bytes(frame).collect())
+    assert got == h.byte_removal([(x[0], x[1]) for x in rows])
+    # With a sparser sample, only some of the strings are known; the rest go the usual way.
+    monkeypatch.setattr(byte_strings, "SAMPLE", 3)
+    got = Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in byte_strings.repeated_bytes(frame).collect())
+    assert got == h.byte_removal([(x[0], x[1]) for x in rows])
