@@ -46,6 +46,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each number is among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and its len + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import deal, frugal, lean_batches, tasks
-from ._text import _BYTE_BASE, _CODES, mix, parts, powers, prefix, utf8
+from ._text import _BYTE_BASE, _CODES, among, mix, parts, powers, prefix, utf8
 from .substrings import _PACKED, _documents, _keys, _pack_documents, _table, by_part, document_part, hash_part, text_hashes
 from .suffix import repeated
 
@@ -58,13 +58,6 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Whether each number is among the sorted known ones."""
-    if not len(known):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
 class _Pieces:
     """Texts in overlapping pieces of CHUNK starts: of each the fingerprints of its seeds, and every start's row, anchor and string."""
 
@@ -78,7 +71,7 @@ class _Pieces:
             self.sums = prefix(_CODES[piece] * powers(_BYTE_BASE, len(piece)))
             self.h = self._prints(np.arange(len(piece) - self.seed + 1), self.seed)
             # Hot seeds come after all others, by the top bit.
-            order = self.h >> np.uint64(1) | _among(self.hot, self.h).astype(np.uint64) << np.uint64(63)
+            order = self.h >> np.uint64(1) | among(self.hot, self.h).astype(np.uint64) << np.uint64(63)
             key = (order >> np.uint64(POSITION) << np.uint64(POSITION)) | np.arange(len(self.h), dtype=np.uint64)
             self.low = _window_min(key, self.length - self.seed + 1)
             self.at = np.arange(base, base + len(self.low))
@@ -110,7 +103,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed:
         use = p.inside.copy()
         if len(known):
             starts, prints = p.all_hot()
-            starts = starts[_among(known, prints)]
+            starts = starts[among(known, prints)]
             use[starts] = False
             if len(starts):
                 first = np.flatnonzero(np.append(True, (np.diff(starts) > 1) | (np.diff(p.row[starts]) > 0)))
@@ -160,7 +153,7 @@ def hot_seeds(rows: DataFrame, length: int, seed: int = SEED) -> tuple[np.ndarra
         out = [_NONE]
         for p in _Pieces(data, at, length, seed, _NONE):
             starts = np.flatnonzero(p.inside)
-            starts = starts[_among(anchors, p.anchors(starts))]
+            starts = starts[among(anchors, p.anchors(starts))]
             depth = np.zeros(len(p.h) + 1, np.int64)
             np.add.at(depth, starts, 1)
             np.add.at(depth, starts + length - seed + 1, -1)

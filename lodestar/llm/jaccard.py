@@ -23,12 +23,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import deal, frugal, lean_batches, settle, tasks
-from ._text import mix, parts, utf8, windows, words
+from ._text import among, mix, parts, utf8, windows, words
 from .graph import components
 from .substrings import _PACKED, _keys, _table, by_part, hash_part
 
@@ -42,6 +43,8 @@ SUBPARTS = 3
 SMALL = 8
 #: Sets, or pairs of them, unpacked at once.
 SLICE = 128
+#: Sets, as estimated from one document in SAMPLE, from which a shingle that they hold is taken as held by others and not dealt; this only lets more sets pass the screens.
+HOT_SETS, SAMPLE = 1 << 18, 64
 #: Sizes of sets in the screens: whole steps of a logarithm to this base, and how far apart those of sets that link can be.
 SIZE_BASE = 1.01
 SIZE_STEPS = int(np.log(100 / PERCENT) / np.log(SIZE_BASE)) + 1
@@ -124,24 +127,59 @@ def _chunks(batches, k: int):
             yield _keys(b, i, j), np.array(b.column(0).slice(i, j - i).is_null()), span, off, win, set_at, f1, f2
 
 
-def _prefixes(n_parts: int, k: int):
+def _prefix_hashes(batches, k: int):
+    """The prefixes of the distinct sets of each chunk: sets, sizes, and of every hash its set and itself."""
+    for d, null, _, _, win, at, f1, f2 in _chunks(batches, k):
+        n = np.diff(at)
+        rows = _distinct(f1, f2, d)
+        rows = rows[(n[rows] >= 3) & ~null[rows]]
+        size = n[rows]
+        take = size - least_overlap(size) + shared_in_prefix(size)
+        owner = np.repeat(np.arange(len(rows)), take)
+        if len(owner):
+            first = np.repeat(np.cumsum(take) - take, take)
+            yield f1[rows], size, owner, mix(win[np.arange(len(owner)) - first + np.repeat(at[rows], take)])
+
+
+def hot_shingles(rows: DataFrame, k: int) -> np.ndarray:
+    """Hashes, in order, of the shingles that very many sets hold in their prefixes, by a sample of the documents."""
+
     @frugal
     def run(batches):
-        for d, null, _, _, win, at, f1, f2 in _chunks(batches, k):
-            n = np.diff(at)
-            rows = _distinct(f1, f2, d)
-            rows = rows[(n[rows] >= 3) & ~null[rows]]
-            size = n[rows]
-            take = size - least_overlap(size) + shared_in_prefix(size)
-            owner = np.repeat(np.arange(len(rows)), take)
-            if not len(owner):
-                continue
-            first = np.repeat(np.cumsum(take) - take, take)
-            h = mix(win[np.arange(len(owner)) - first + np.repeat(at[rows], take)])
+        for _, _, _, h in _prefix_hashes(batches, k):
+            x, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], ["x", "n"])
+
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(SAMPLE)) == 0)
+    found = sample.mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, HOT_SETS // SAMPLE)).select("x").toArrow()
+    return np.sort(found.column("x").to_numpy().view(np.uint64))
+
+
+def _held_rows(sets_of: np.ndarray, count: np.ndarray, n_parts: int) -> list[tuple]:
+    """Packed rows of how many hashes of each set are held by another, by set."""
+    return [(p, 1, sets_of[pick].tobytes(), None, count[pick].astype(np.uint32).tobytes(), None) for p, pick in by_part(set_part(sets_of, n_parts), n_parts)]
+
+
+def _without_hot(out: list, hot: np.ndarray, n_parts: int, sets_of: np.ndarray, owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """owner and h without hot hashes, which count as held."""
+    is_hot = among(hot, h)
+    if is_hot.any():
+        count = np.bincount(owner[is_hot], minlength=len(sets_of))
+        have = np.flatnonzero(count)
+        out += _held_rows(sets_of[have], count[have], n_parts)
+    return owner[~is_hot], h[~is_hot]
+
+
+def _prefixes(n_parts: int, k: int, hot: np.ndarray):
+    @frugal
+    def run(batches):
+        for sets_of, size, owner, h in _prefix_hashes(batches, k):
             out, codes = [], size_code(size)
+            owner, h = _without_hot(out, hot, n_parts, sets_of, owner, h)
             for p, pick in by_part(hash_part(h, n_parts), n_parts):
-                screen_rows(out, p, f1[rows], codes, owner[pick], h[pick])
-            yield _table(out)
+                screen_rows(out, p, sets_of, codes, owner[pick], h[pick])
+            if out:
+                yield _table(out)
 
     return run
 
@@ -165,14 +203,20 @@ def set_part(sets_of: np.ndarray, n_parts: int) -> np.ndarray:
 
 
 def _shared(n_parts: int):
-    """Hashes of a range to how many of each set's are held by another set as well, by set."""
+    """Hashes of a range to how many of each set's are held by another set as well, by set; rows that tell it already pass."""
 
     @frugal
     def run(batches):
-        rows = read_screen(batches)
+        dealt = []
+        for b in batches:
+            done = pa.compute.equal(b.column(1), 1)
+            if pa.compute.any(done).as_py():
+                yield b.filter(done)
+                b = b.filter(pa.compute.invert(done))
+            dealt.append(b)
+        rows = read_screen(dealt)
         if rows:
-            d, count = held_by_another(*rows)
-            out = [(p, 1, d[pick].tobytes(), None, count[pick].astype(np.uint32).tobytes(), None) for p, pick in by_part(set_part(d, n_parts), n_parts)]
+            out = _held_rows(*held_by_another(*rows), n_parts)
             if out:
                 yield _table(out)
 
@@ -322,7 +366,7 @@ def _sign(n_parts: int, k: int):
     return run
 
 
-def _every(n_parts: int, k: int):
+def _every(n_parts: int, k: int, hot: np.ndarray):
     """All shingles of the sets in a table (id, n, packed), by hash."""
 
     @frugal
@@ -333,8 +377,8 @@ def _every(n_parts: int, k: int):
                 ids = part.column(0).to_numpy()
                 h, at = sets(*_unpack(part.column(2)), k)
                 size, h = np.diff(at), mix(h)
-                owner, codes = np.repeat(np.arange(len(size)), size), size_code(size)
-                out = []
+                out, codes = [], size_code(size)
+                owner, h = _without_hot(out, hot, n_parts, ids, np.repeat(np.arange(len(size)), size), h)
                 for p, pick in by_part(hash_part(h, n_parts), n_parts):
                     screen_rows(out, p, ids, codes, owner[pick], h[pick])
                 if out:
@@ -352,10 +396,10 @@ def _sums(batches):
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(c.astype(np.int64))], ["id", "c"])
 
 
-def screened(table: DataFrame, k: int) -> DataFrame:
+def screened(table: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
     """Sets of table (id, n, packed) of which another one could hold PERCENT of the shingles; others link with nothing."""
     n = tasks(table.sparkSession)
-    held = deal(table.mapInArrow(_every(n, k), _PACKED), n).mapInArrow(_shared(n), _PACKED)
+    held = deal(table.mapInArrow(_every(n, k, hot), _PACKED), n).mapInArrow(_shared(n), _PACKED)
     enough = deal(held, n).mapInArrow(_sums, "id long, c long")
     return table.join(enough, "id").filter(100 * F.col("c") >= PERCENT * F.col("n")).select("id", "n", "packed")
 
@@ -639,10 +683,10 @@ def _past_hubs(hubs: DataFrame, table: DataFrame, labels: DataFrame, k: int) ->
     return settle(deal(rarest, n).mapInArrow(_meet(), "a long, b long").distinct())
 
 
-def link(table: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(id, component) of the sets in table (id, n, packed) that link with another, found by shared signatures."""
+def link(table: DataFrame, k: int = SHINGLE, hot: np.ndarray | None = None) -> DataFrame:
+    """(id, component) of the sets in table (id, n, packed) that link with another, found by shared signatures; hot are the hashes of very frequent shingles."""
     n = tasks(table.sparkSession)
-    table = settle(screened(table, k))
+    table = settle(screened(table, k, np.zeros(0, np.uint64) if hot is None else hot))
     found = settle(deal(table.mapInArrow(_sign(n, k), _PACKED), n).mapInArrow(_groups(), "a long, b long, c long, g long"))
     pairs = settle(found.filter("g is null").groupBy("a", "b").agg(F.sum("c").alias("c")))
     members = found.filter("g is not null").select("g", F.col("a").alias("id")).distinct()
@@ -681,9 +725,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, key: str = "doc_id", text
     lean_batches(docs.sparkSession)
     n = tasks(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    counts = deal(rows.mapInArrow(_prefixes(n, k), _PACKED), n).mapInArrow(_shared(n), _PACKED)
+    hot = hot_shingles(rows, k)
+    counts = deal(rows.mapInArrow(_prefixes(n, k, hot), _PACKED), n).mapInArrow(_shared(n), _PACKED)
     table = settle(deal(rows.mapInArrow(_texts(n, k), _PACKED).unionByName(counts), n).mapInArrow(_survivors(), "id long, n long, packed binary"))
-    labels = link(table, k)
+    labels = link(table, k, hot)
 
     @frugal
     def sizes(batches):

@@ -108,3 +108,22 @@ def test_hot_anchors_are_avoided(spark, monkeypatch):
     monkeypatch.setattr(byte_strings, "SAMPLE", 3)
     got = Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in byte_strings.repeated_bytes(frame).collect())
     assert got == h.byte_removal([(x[0], x[1]) for x in rows])
+
+
+def test_hot_shingles_change_no_class(spark, monkeypatch):
+    rows = h.documents(6, near=60)
+    want = h.near_classes([(x[0], x[1]) for x in rows])
+    monkeypatch.setattr(jaccard, "HOT_SETS", 4)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    frame = h.frame(spark, rows)
+    assert len(jaccard.hot_shingles(frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 5)) > 5
+    assert Counter(map(tuple, jaccard.near_duplicates(frame).collect())) == want
+
+
+def test_many_hashes_of_one_set_in_one_range():
+    out = []
+    owner = np.repeat([0, 1, 2], [3, 70000, 5])
+    jaccard.screen_rows(out, 0, np.array([7, 8, 9]), jaccard.size_code(np.array([3, 70000, 5])), owner, np.arange(len(owner), dtype=np.uint64))
+    d, code, x = jaccard.read_screen([substrings._table(out)])
+    order = np.argsort(x)
+    assert (d[order] == np.array([7, 8, 9])[owner]).all() and (x[order] == np.arange(len(owner))).all() and len(set(zip(d, code))) == 3
