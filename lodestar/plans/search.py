@@ -64,29 +64,30 @@ def suggest(spark, sf_dir):
 
 
 _COSINE = "round(list_dot_product(embedding::DOUBLE[], probe::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(probe::DOUBLE[], probe::DOUBLE[])), 4)"
-VECTOR_SQL = f"""probes AS (SELECT vec_id AS query_id, embedding AS probe FROM embeddings WHERE vec_id < 5),
+VECTOR_SQL = f"""probes AS (SELECT vec_id AS query_id, embedding AS probe FROM embeddings WHERE vec_id % 100 = 0),
 near AS (SELECT query_id, vec_id AS doc_id, {_COSINE} AS score FROM embeddings, probes WHERE vec_id <> query_id),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near WHERE score >= 0) WHERE rank <= {LIMIT})"""
 
 
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return search.vector_top_k(e, e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe")), LIMIT)
+    return search.vector_top_k(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe")), LIMIT)
 
 
 @query("vector_topk", f"WITH {VECTOR_SQL} SELECT query_id, doc_id, score, rank FROM vec")
 def vector_topk(spark, sf_dir):
+    """Every vector whose id is divisible by 100 is a query against all."""
     return _vectors(spark, sf_dir)
 
 
 @query(
     "rrf_hybrid",
-    f"""WITH {RANKED_SQL}, {VECTOR_SQL}, f AS (SELECT query_id + 5 AS query_id, doc_id, rank AS fr FROM ranked), g AS (SELECT query_id, doc_id, rank AS vr FROM vec)
+    f"""WITH {RANKED_SQL}, {VECTOR_SQL}, f AS (SELECT (query_id + 5) * 100 AS query_id, doc_id, rank AS fr FROM ranked), g AS (SELECT query_id, doc_id, rank AS vr FROM vec)
  SELECT query_id, doc_id, CASE WHEN vr IS NULL THEN 'fts' WHEN fr IS NULL THEN 'vector' ELSE 'hybrid' END AS source,
  round(coalesce(1.0::DOUBLE / (60 + fr), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0), 6) AS combined_score FROM f FULL JOIN g USING (query_id, doc_id)""",
 )
 def rrf_hybrid(spark, sf_dir):
-    hits = ranked_search(spark, sf_dir).withColumn("query_id", F.col("query_id") + 5)
+    hits = ranked_search(spark, sf_dir).withColumn("query_id", (F.col("query_id") + 5) * 100)
     return search.rrf(hits, _vectors(spark, sf_dir))
 
 
