@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import ledger, peers
 from ..registry import query
 from ..sources.tables import EVENTS_SQL, events, table
 from .trust import TRUST_SQL, trust_of
@@ -23,16 +23,16 @@ def _id_sql(c: str) -> str:
 
 
 def _peers(spark, sf_dir):
-    """One row: the array of all peers and their numbers."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("p")).distinct().agg(F.array_sort(F.collect_list(F.struct(_id(F.col("p")).alias("id"), "p"))).alias("peers"))
+    """p, id: all peers and their numbers."""
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("p")).distinct().withColumn("id", _id(F.col("p")))
 
 
 @query("url_owner", f"WITH p AS (SELECT DISTINCT source AS p FROM documents) SELECT page_id, arg_min(p, xor({_id_sql('url')}, {_id_sql('p')})) AS owner FROM pages, p GROUP BY page_id")
 def url_owner(spark, sf_dir):
     """The peer whose number is closest to the URL's by exclusive or."""
-    rows = table(spark, sf_dir, "pages").select("page_id", _id(F.col("url")).alias("u")).crossJoin(F.broadcast(_peers(spark, sf_dir)))  # one row of peers
-    near = F.array_min(F.transform("peers", lambda x: F.struct(x["id"].bitwiseXOR(F.col("u")).alias("d"), x["p"].alias("p"))))
-    return rows.select("page_id", near["p"].alias("owner"))
+    keys = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), _id(F.col("url")).alias("u"))
+    near = peers.candidates(keys, _peers(spark, sf_dir), 1)
+    return near.groupBy(F.col("key").alias("page_id")).agg(F.min(F.struct("d", "p"))["p"].alias("owner"))
 
 
 @query(
@@ -40,10 +40,12 @@ def url_owner(spark, sf_dir):
     f"WITH p AS (SELECT DISTINCT source AS p FROM documents), d AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY xor({_id_sql('sha256(text)')}, {_id_sql('p')}), p) AS r FROM documents, p WHERE p <> source) SELECT doc_id, string_agg(p, ',' ORDER BY r) AS replicas FROM d WHERE r <= 3 GROUP BY doc_id",
 )
 def replica_set(spark, sf_dir):
-    """The three closest other peers to the hash of each document's hash."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", _id(F.sha2("text", 256)).alias("u")).crossJoin(F.broadcast(_peers(spark, sf_dir)))  # one row of peers
-    near = F.array_sort(F.transform(F.filter("peers", lambda x: x["p"] != F.col("source")), lambda x: F.struct(x["id"].bitwiseXOR(F.col("u")).alias("d"), x["p"].alias("p"))))
-    return rows.select("doc_id", F.array_join(F.transform(F.slice(near, 1, 3), lambda x: x["p"]), ",").alias("replicas"))
+    """The three peers closest to a document's number, its own left out."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), _id(F.sha2("text", 256)).alias("u"), "source")
+    near = peers.candidates(docs.select("key", "u"), _peers(spark, sf_dir), 4).join(docs.select("key", "source"), "key").filter("p <> source")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("d", "p"))).filter("r <= 3")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("r", "p"))), lambda x: x["p"])
+    return best.groupBy(F.col("key").alias("doc_id")).agg(F.array_join(listed, ",").alias("replicas"))
 
 
 @query(
