@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +36,29 @@ def normalize_url(url: Column) -> Column:
     return F.concat(head, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
+#: Bits of a counter, of which a long holds two.
+COUNTER = 31
+
+
 def simhash(docs: DataFrame, value: str = "text", key: str = "doc_id") -> DataFrame:
     """key, simhash over runs of SHINGLE words: bit i is set when the shingles' hashes (first 8 bytes of MD5) have it at least as often as not.
 
-    A shorter text is one shingle, an empty one gives 0. Hashes and bits are counted with
-    hashlib and numpy in Arrow batches, inside the row; nothing is shuffled.
+    A shorter text is one shingle, an empty one gives 0. Each long sums two bits' counters
+    at once, and sums are partial before rows are dealt.
     """
-
-    @F.pandas_udf("long")
-    def fold(words: pd.Series) -> pd.Series:
-        out = np.zeros(len(words), np.int64)
-        for i, w in enumerate(words):
-            n = 0 if w is None else len(w)
-            if n:
-                runs = [" ".join(w[k : k + SHINGLE]) for k in range(max(1, n - SHINGLE + 1))]
-                raw = b"".join(hashlib.md5(r.encode()).digest()[:8] for r in runs)
-                bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0)
-                out[i] = np.packbits(bits * 2 >= len(runs)).view(">i8")[0]
-        return pd.Series(out)
-
-    return docs.select(key, fold(text.words(F.col(value))).alias("simhash"))
+    words = docs.select(key, text.words(F.col(value)).alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, SHINGLE), " "))
+    rows = words.select(key, F.explode_outer(F.when(F.size("w") > 0, runs)).alias("s"))
+    rows = rows.select(key, F.conv(F.substring(F.md5("s"), 1, 16), 16, -10).cast("long").alias("h"))
+    bit = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))
+    packed = [bit(2 * c) + F.shiftleft(bit(2 * c + 1), COUNTER) for c in range(32)]
+    sums = rows.groupBy(key).agg(F.count("h").alias("n"), *[F.sum(x).alias(f"c{c}") for c, x in enumerate(packed)])
+    count = lambda b: F.shiftrightunsigned(f"c{b // 2}", COUNTER * (b % 2)).bitwiseAND(F.lit((1 << COUNTER) - 1))
+    signed = lambda b: (1 << b) - (1 << 64 if b == 63 else 0)
+    out = F.lit(0).cast("long")
+    for b in range(64):
+        out = out.bitwiseOR(F.when(2 * count(b) >= F.col("n"), F.lit(signed(b))).otherwise(F.lit(0).cast("long")))
+    return sums.select(key, F.when(F.col("n") > 0, out).otherwise(F.lit(0).cast("long")).alias("simhash"))
 
 
 def near_pairs(hashes: DataFrame, key: str = "doc_id", most: int = MOST_BITS, agree: int = 3) -> DataFrame:
