@@ -23,7 +23,7 @@ _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 _POWERS: dict[int, np.ndarray] = {}
 #: Bytes of text whose hashes are computed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:
