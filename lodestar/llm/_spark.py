@@ -18,8 +18,12 @@ __all__ = ["deal", "frugal", "lean_batches", "settle", "small_side", "tasks"]
 MAPPED = 4 << 20
 
 
-#: Rows and bytes of a batch on its way between Spark and Python, where the session has Spark's own 10000 and 64 MB: batches of whole texts, for each task and on both sides, are most of what an executor has beside its heap.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+#: Rows and bytes of batches of texts between Spark and Python, and rows of those that are read from Parquet, where the session has Spark's own 10000, 64 MB and 4096: such batches, for each task and on all sides, are most of what an executor has beside its tables, and large arrays leave its heap in pieces.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "256"),
+}
 
 
 def lean_batches(spark: SparkSession) -> None:
