@@ -29,7 +29,7 @@ BATCH = {
 def lean_batches(spark: SparkSession) -> None:
     """Lets batches of texts be small; it changes no result."""
     for name, (usual, lean) in BATCH.items():
-        if spark.conf.get(name, None) == usual:
+        if spark.conf.get(name) == usual:  # without a default, which would hide what Spark has
             spark.conf.set(name, lean)
 
 

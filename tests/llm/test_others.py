@@ -386,3 +386,13 @@ def test_secret_network_agrees_with_the_findings_of_a_corpus(spark):
             elif t[s:e].isalpha():
                 kept[False].append((s, e) in added)
     assert np.mean(kept[True]) > 0.9 and np.mean(kept[False] or [0]) < 0.05
+
+
+def test_lean_batches_are_set_where_nobody_has_set_others(spark):
+    from lodestar.llm._spark import BATCH, lean_batches
+
+    session = spark.newSession()
+    first, *rest = BATCH
+    session.conf.set(first, "77")
+    lean_batches(session)
+    assert session.conf.get(first) == "77" and all(session.conf.get(name) == BATCH[name][1] for name in rest)
