@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_strings, decontamination, embeddings, html_text, jaccard, language_id, mixing, negatives, ogg, secrets, sharding, substrings
+from . import byte_strings, decontamination, embeddings, html_text, jaccard, language_id, lexical, mixing, negatives, ogg, secrets, sharding, substrings
 
 QUERIES = {
     "op1_substrings": substrings.op1,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_byte_strings": byte_strings.op9,
     "op10_secrets": secrets.op10,
     "op11_negatives": negatives.op11,
+    "op12_lexical": lexical.op12,
     "op13_ogg": ogg.op13,
 }
 
-ORACLES: dict[str, str] = {"op11_negatives": negatives.OP11_SQL}
+ORACLES: dict[str, str] = {"op11_negatives": negatives.OP11_SQL, "op12_lexical": lexical.OP12_SQL}
