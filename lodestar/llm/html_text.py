@@ -62,6 +62,12 @@ MOST_INSIDE = 0.5
 #: Shares of stop words: plausible, and good at once.
 STOP_LOW, STOP_HIGH = 0.12, 0.25
 
+#: What ends a sentence, in any script, with what may close behind it, and signs that are a word or half of one.
+_ENDS = re.compile(r"[.!?\u2026](?=[\"'\u2019\u201d\u00bb)\]]*(?:\s|\Z))|[\u0589\u061f\u06d4\u0700\u0964\u0965\u104b\u1362\u1367\u17d4\u3002\uff01\uff1f\uff0e\uff61]")
+_SIGNS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Characters that a sign of such a script counts for, and characters of prose in which a sentence ends.
+SIGN, SENTENCE = 3, 400
+
 # Group 4 is what ended the scan of a tag; without > it is text, and what was scanned is not scanned again.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -272,8 +278,8 @@ def _rule(b: Block) -> int:
         return BAD
     if len(b.text) < SHORT:
         return OPEN
-    words = _LETTERS.findall(b.text.lower())
-    density = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
+    stops, n = _density(b.text)
+    density = stops / n if n else 0.0
     if density >= STOP_HIGH or density >= STOP_LOW and len(b.text) >= LONG:
         return GOOD
     if density >= STOP_LOW or b.inside:
@@ -281,6 +287,30 @@ def _rule(b: Block) -> int:
     return BAD
 
 
+def _density(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _LETTERS.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
+
+
+def _listed(found: list[Block]) -> bool:
+    """Whether the stop words are those of a page's language: they are as frequent as in plausible prose in what could be such."""
+    counts = [_density(b.text) for b in found if not b.out and not b.named and b.linked <= MOST_LINKED * len(b.text) and len(b.text) >= SHORT]
+    return sum(s for s, _ in counts) >= STOP_LOW * max(1, sum(n for _, n in counts))
+
+
+def _unlisted_rule(b: Block) -> int:
+    """First pass for languages without stop words: length and links as ever, and sentences in place of density."""
+    if b.linked > MOST_LINKED * len(b.text):
+        return BAD
+    size = len(b.text) + (SIGN - 1) * len(_SIGNS.findall(b.text))
+    if size < SHORT:
+        return OPEN
+    ends = len(_ENDS.findall(b.text))
+    letters = sum(map(str.isalpha, b.text))
+    return GOOD if ends and ends * SENTENCE >= size and 2 * letters >= len(b.text) else OPEN if ends or b.inside else BAD
+
+
 def judge(found: list[Block]) -> list[bool]:
     """Second pass: an ambiguous block takes the label its nearest decided neighbours agree on.
 
@@ -322,12 +352,17 @@ def main_text(page: str | None) -> str:
 
     Where the page marks an article, only that is kept, unless most of the good text is
     elsewhere, as with a teaser. Names are not believed where they cover all the prose.
+    Stop words are not asked where no block has enough of them to be good and the page as
+    a whole has fewer than prose of their languages has.
     """
     found = blocks(page or "")
     if not _good(found):
         unnamed = [Block(b.text, b.linked, b.out, False, b.inside) for b in found]
         if _good(unnamed) >= MISNAMED:
             found = unnamed
+    if not _good(found) and not _listed(found):
+        for b in found:
+            b.rule = _unlisted_rule(b)
     inside = [b for b in found if b.inside]
     if any(not b.out and not b.named for b in inside) and _good(inside) >= MOST_INSIDE * _good(found):
         found = inside
