@@ -12,10 +12,10 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import lean_batches
+from ._spark import lean_batches, settle, small_side
 from ._text import _LOWER, parts, utf8
 
 #: Hash buckets of the n-grams.
@@ -184,36 +184,62 @@ class Model:
         return [self.langs[i] for i in pick], score, usual >= self.least - SPREAD / np.sqrt(np.maximum(1, np.diff(offsets)))
 
 
+def _lowest(most: int):
+    """Rows (lang, h) to the `most` lowest different h of each language of a task."""
+
+    def run(batches):
+        low: dict[str, np.ndarray] = {}
+        for b in batches:
+            names, at = np.unique(np.array(b.column(0).to_pylist(), object).astype(str), return_inverse=True)
+            h = b.column(1).to_numpy()
+            for i, name in enumerate(names.tolist()):
+                low[name] = np.unique(np.append(low.get(name, h[:0]), h[at == i]))[:most]
+        for name, h in low.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h)], ["lang", "h"])
+
+    return run
+
+
 def _sample(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """About PER_LANG labelled training rows of each language (fewer where SAMPLE is shared by many), chosen by hash of the key, short rows too."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    counts = known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()
-    most = max(LEAST_PER_LANG, min(PER_LANG, SAMPLE / max(1, len(counts))))
-    u = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    if not counts:
-        return known
-    share = F.create_map(*[F.lit(x) for row in counts for x in (row["l"], min(1.0, most / row["n"]))])
-    return known.filter(u < share[F.col(lang)])
+    """lang, h, text of at most PER_LANG different labelled training documents of each language (fewer where SAMPLE is shared by many), those of the lowest hash of key and text.
+
+    Copies of a chosen document, rows of equal key and text, come as often as they are;
+    no language is left out, whatever its keys are.
+    """
+    named = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    known = named.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("k"))).select("lang", F.xxhash64(F.lit(5), "k", "text").alias("h"), "text")
+    langs = known.select("lang").distinct().count()
+    most = int(max(LEAST_PER_LANG, min(PER_LANG, SAMPLE / max(1, langs))))
+    low = known.select("lang", "h").mapInArrow(_lowest(most), "lang string, h long").distinct()
+    # A task has at most `most` rows of a language, and the window's own limit cuts them again before they meet.
+    chosen = settle(low.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("i") <= most).select("lang", "h"))
+    return known.join(small_side(chosen, SAMPLE + LEAST_PER_LANG * 1000), ["lang", "h"])
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The classifier, from a bounded hash sample of the rows outside the held-out fold.
 
-    Sampled texts are profiled whole, on the executors; the driver gets one vector of
-    DIM numbers a sampled row.
+    Sampled texts are profiled whole, on the executors, the copies of one only once in a
+    task; the driver gets one vector of DIM numbers a sampled document.
     """
 
     def profiles(batches):
+        seen = set()
         for b in batches:
-            data, at = utf8(b.column(0))
-            rows = [profile(data[at[i] : at[i + 1]]).tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["x", "lang"])
-
-    rows = _sample(docs, key, text, lang).select(F.col(text), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("o")).mapInArrow(lambda bs: profiles(pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["t", "l"]) for b in bs), "x binary, lang string").toArrow()
+            data, at = utf8(b.column(2))
+            new = []
+            for i, k in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            rows = [profile(data[at[i] : at[i + 1]]).tobytes() for i in new]
+            took = pa.array(new, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(took), b.column(1).take(took), pa.array(rows, pa.binary())], ["lang", "h", "x"])
+
+    rows = _sample(docs, key, text, lang).select("lang", "h", "text").mapInArrow(profiles, "lang string, h long, x binary").dropDuplicates(["lang", "h"]).toArrow()
     if rows.num_rows == 0:
         return Model.fit(np.zeros((0, DIM), np.float32), [])
-    labels = rows.column("lang").to_pylist()
-    raw = sorted(zip(labels, rows.column("x").to_pylist(), strict=True))
+    raw = sorted(zip(rows.column("lang").to_pylist(), rows.column("x").to_pylist(), strict=True))
     return Model.fit(np.stack([np.frombuffer(v, np.float32) for _, v in raw]), [label for label, _ in raw])
 
 

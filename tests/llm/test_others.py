@@ -396,3 +396,37 @@ def test_lean_batches_are_set_where_nobody_has_set_others(spark):
     session.conf.set(first, "77")
     lean_batches(session)
     assert session.conf.get(first) == "77" and all(session.conf.get(name) == BATCH[name][1] for name in rest)
+
+
+#: The same three sentences, a menu and a notice in languages without a word list.
+FOREIGN = {
+    "ru": (["Городской совет утвердил новый план развития набережной после долгого обсуждения.", "Жители просили сохранить старые деревья и открыть проход к воде.", "Работы начнутся весной и займут около двух лет."], ["Главная", "Новости", "Контакты"], "Мы используем файлы для улучшения работы сайта."),
+    "zh": (["市议会在长时间讨论之后通过了滨水区的新发展计划，居民们要求保留老树。", "工程将于明年春天开始，预计需要两年时间才能全部完成。", "反对者认为费用过高，应当先修缮旧桥。"], ["首页", "新闻", "联系我们"], "本网站使用小型文本文件来改善服务。"),
+    "pl": (["Rada miasta przyjęła nowy projekt zagospodarowania nabrzeża po długiej dyskusji.", "Mieszkańcy prosili, aby zachować stare drzewa oraz otworzyć przejście nad wodę.", "Prace rozpoczną się wiosną, potrwają około dwóch lat."], ["Strona główna", "Wiadomości", "Kontakt"], "Używamy plików, aby ulepszyć działanie serwisu."),
+    "ar": (["وافق مجلس المدينة على الخطة الجديدة لتطوير الواجهة البحرية بعد نقاش طويل.", "طلب السكان الحفاظ على الأشجار القديمة وفتح ممر إلى الماء.", "هل تبدأ الأعمال في الربيع؟ ستستغرق نحو عامين كما قال رئيس اللجنة."], ["الرئيسية", "الأخبار", "اتصل بنا"], "نستخدم ملفات لتحسين عمل الموقع."),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(FOREIGN))
+@pytest.mark.parametrize("tag", ["div", "p"])
+def test_html_of_languages_without_a_word_list(lang, tag):
+    said, menu, notice = FOREIGN[lang]
+    links = "".join(f'<li><a href="/{i}">{m}</a></li>' for i, m in enumerate(menu))
+    body = "".join(f"<{tag}>{s} {s}</{tag}>" for s in said)
+    page = f'<html><body><div><ul>{links}</ul></div><div>{body}</div><div class="cookie-notice">{notice} {notice}</div><div><a href="/a">{" ".join(menu * 12)}</a></div></body></html>'
+    assert html_text.main_text(page) == " ".join(f"{s} {s}" for s in said)
+
+
+@pytest.mark.parametrize("keys", ["null", "equal", "every"])
+def test_language_sample_is_bounded_for_any_keys(spark, keys):
+    r = np.random.default_rng(8)
+    spell = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
+    text = lambda c: " ".join("".join(r.choice(list(c), 5)) for _ in range(12))
+    hard = [(None if keys == "null" else 9 if keys == "equal" else i, text(spell["aa"]), "aa") for i in range(3000)]
+    rows = hard + [(5000 + i, text(spell[c]), c) for i in range(400) for c in ("bb", "cc")] + [(7001, "yz zy", "dd")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    sample = language_id._sample(df, "doc_id", "text", "lang").collect()
+    per = {c: len({x["h"] for x in sample if x["lang"] == c}) for c in ("aa", "bb", "cc", "dd")}
+    assert per["aa"] == 250 and per["bb"] <= 250 and per["cc"] <= 250 and per["dd"] == 1
+    got = language_id.identify(df).collect()
+    assert all(x["lang_pred"] == x["lang"] for x in got if x["lang"] != "dd")
