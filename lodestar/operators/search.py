@@ -67,13 +67,14 @@ def build_index(docs: DataFrame, path: str, buckets: int = 64, slices: int = 8)
     A bucket's rows are dealt by document to so many tasks, hence files, so a term of all
     documents is no task of its own, neither here nor when it is read.
     """
-    posts = postings(docs).withColumn("bucket", _bucket(buckets))
+    posts = postings(docs).withColumn("bucket", bucket_of(buckets))
     posts.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     lengths = docs.select(F.size(text.index_tokens(F.concat_ws(" ", "title", "text"))).alias("len"))
     lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
-def _bucket(buckets: int) -> Column:
+def bucket_of(buckets: int) -> Column:
+    """The bucket of the column term."""
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
@@ -82,7 +83,7 @@ def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame) -> DataFram
     stats = spark.read.parquet(f"{path}/corpus")
     buckets = stats.first()["buckets"]
     terms = query_terms(queries)
-    wanted = [r["b"] for r in terms.select(_bucket(buckets).alias("b")).distinct().collect()]  # buckets
+    wanted = [r["b"] for r in terms.select(bucket_of(buckets).alias("b")).distinct().collect()]  # buckets
     found = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted)).drop("bucket").join(terms.select("term").distinct(), "term", "left_semi")
     return scored(found, terms, stats.select("n_docs", "avg_len"))
 
@@ -113,14 +114,14 @@ def top_k(rows: DataFrame, k: int, score: str = "score", tie: str = "doc_id") ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), tie))).filter(F.col("rank") <= k)
 
 
-def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float, authority: DataFrame | None = None, trust: DataFrame | None = None, index: str | None = None, wanted: Column | None = None) -> DataFrame:
+def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float, authority: DataFrame | None = None, trust: DataFrame | None = None, index=None, wanted: Column | None = None) -> DataFrame:
     """Two-stage search: 2 * limit candidates by BM25, re-ranked by the combined score.
 
     authority (domain, authority) and trust (peer, trust) are joined to the candidates alone;
     a domain without authority has 0, a peer without trust, or any without a table, one half.
-    index is the path of an index of docs; wanted, a filter such as keep() gives, counts before the cut.
+    index is the path of an index of docs, or a segments.Index of them; wanted, a filter such as keep() gives, counts before the cut.
     """
-    hits = bm25(docs, queries) if index is None else bm25_indexed(docs.sparkSession, index, queries)
+    hits = bm25(docs, queries) if index is None else bm25_indexed(docs.sparkSession, index, queries) if isinstance(index, str) else index.bm25(queries)
     if wanted is not None:
         hits = hits.join(docs.filter(wanted).select("doc_id"), "doc_id", "left_semi")
     best = top_k(hits.withColumn("r6", F.round("score", 6)), 2 * limit, "r6").withColumnRenamed("rank", "bm25_rank")

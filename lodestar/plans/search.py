@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import search
+from ..operators import search, segments
 from ..registry import query
 from ..sources.tables import DOCUMENTS_SQL, NOW, QUERIES_SQL, documents, queries, table
 from ..storage import new_path
@@ -55,6 +55,35 @@ def indexed_search(spark, sf_dir):
     return search.ranked(docs, queries(spark, sf_dir), LIMIT, NOW, index=path)
 
 
+_LIVING = BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))")
+
+
+def _changed_index(spark, sf_dir):
+    """An index with a history: the titles of all documents, then four crawls of their texts, of which each replaces its titles, then the toxic ones deleted."""
+    docs = documents(spark, sf_dir)
+    index = segments.Index(spark, new_path(spark, "segments"), buckets=16, slices=2)
+    index.add(docs.withColumn("text", F.lit("")))
+    for crawl in range(4):
+        index.add(docs.filter(F.pmod("doc_id", F.lit(4)) == crawl))
+    index.delete(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"))
+    return index
+
+
+@query("segmented_search", f"WITH {_LIVING} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
+def segmented_search(spark, sf_dir):
+    """BM25 over all segments of an index with updates and deletions equals that over the documents left."""
+    return _changed_index(spark, sf_dir).bm25(queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query("merged_search", f"WITH {_LIVING} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
+def merged_search(spark, sf_dir):
+    """The same after segments of like size are merged and the dead ones of the old versions are gone."""
+    index = _changed_index(spark, sf_dir)
+    index.merge()
+    index.vacuum()
+    return index.bm25(queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 @query(
     "suggest",
     f"WITH {DOCUMENTS_SQL} SELECT title, max(crawled_at) AS crawled_at FROM docs WHERE contains(lower(title), 'tion') AND title <> '' GROUP BY title ORDER BY crawled_at DESC, title LIMIT 10",

@@ -43,6 +43,46 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder, nothing if there is none."""
+    fs, at = _at(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_new(spark: SparkSession, path: str, content: str) -> bool:
+    """Writes a small file that is not there yet; False if it is, whoever made it."""
+    fs, at = _at(spark, path)
+    fs.mkdirs(at.getParent())
+    try:
+        out = fs.create(at, False)
+    except Exception:
+        if fs.exists(at):
+            return False
+        raise
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or a folder with all it holds."""
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
 def clean() -> None:
     """Deletes what this application has settled. Frames that read it can be read no longer."""
     spark = SparkSession.getActiveSession()
