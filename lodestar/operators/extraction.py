@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import pages as markup
+
 # Citation patterns in their order of precedence, technology names, and common words of languages.
 CITATIONS = [
     ("doi", r"\b(10\.\d{4,}/[^\s]+)\b"),
@@ -87,6 +90,32 @@ def meta_tags(html: Column) -> dict[str, Column]:
     }
 
 
+#: Characters below which a page says nothing, and confidence above which a guessed language counts.
+LEAST_TEXT, SURE = 50, 0.3
+
+
+def page_contents(pages: DataFrame) -> DataFrame:
+    """page_id, url, title, language, text, raw_hash, text_hash and alts of every page that says at least LEAST_TEXT characters.
+
+    The language is that of the page's root element, else the detected one where it is
+    sure enough, else null. Null and empty pages say nothing; repeated rows have a result each.
+    """
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 100):
+                part = b.slice(i, 100)
+                found = [markup.parse(x) for x in part.column(2).to_pylist()]
+                columns = [pa.array([f[c] for f in found], pa.list_(pa.string()) if c == "alts" else pa.string()) for c in ("title", "lang", "text", "alts")]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *columns], ["page_id", "url", "raw_hash", "title", "lang", "text", "alts"])
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2("html", 256).alias("raw_hash"))
+    parsed = rows.mapInArrow(run, "page_id long, url string, raw_hash string, title string, lang string, text string, alts array<string>").filter(F.length("text") >= LEAST_TEXT)
+    guessed = F.when(F.col("confidence") > SURE, F.col("language"))
+    told = language(parsed).withColumn("language", F.coalesce(F.nullif("lang", F.lit("")), guessed))
+    return told.select("page_id", "url", "title", "language", "text", "raw_hash", F.sha2("text", 256).alias("text_hash"), "alts")
+
+
 def feed_items(feeds: DataFrame) -> DataFrame:
     """url, title, link, summary of the items or entries of feeds (url, xml); items without a link go, summaries end at 500."""
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"<[^>]+>", ""))

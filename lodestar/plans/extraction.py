@@ -89,6 +89,12 @@ def html_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.alias("text")).withColumn("n_chars", F.length("text")).filter("n_chars >= 50")
 
 
+@query("page_content")
+def page_content(spark, sf_dir):
+    """Title, language, own text, digests and image texts of every page, by a scan of its tags with a stack of open elements."""
+    return extraction.page_contents(table(spark, sf_dir, "pages"))
+
+
 @query(
     "feed_items",
     f"""WITH {DOCUMENTS_SQL} SELECT url, 0 AS pos, regexp_replace(title, '<[^>]+>', '', 'g') AS title, url || '/item' AS link, trim(substr(trim(regexp_replace(text, '<[^>]+>', '', 'g')), 1, 500)) AS summary FROM docs WHERE NOT contains(text, ']]>') AND NOT contains(text, '<')""",
