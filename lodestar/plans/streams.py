@@ -10,12 +10,12 @@ from ..streaming import operators as st
 
 @query("stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_hourly_counts(spark, sf_dir):
-    return st.run_to_end(st.hourly_counts(st.replay(spark, sf_dir)))
+    return st.replayed(st.replay(spark, sf_dir), st.hourly_counts)
 
 
 @query("stream_bursts", "WITH m AS (SELECT user_id, unnest(range(0, 5)) AS k, ts FROM events) SELECT date_trunc('minute', ts) - to_minutes(k::INT) AS start, user_id, count(*) AS n FROM m GROUP BY ALL HAVING count(*) >= 2")
 def stream_bursts(spark, sf_dir):
-    return st.run_to_end(st.bursts(st.replay(spark, sf_dir)))
+    return st.replayed(st.replay(spark, sf_dir), st.bursts)
 
 
 @query(
@@ -23,20 +23,20 @@ def stream_bursts(spark, sf_dir):
     "WITH g AS (SELECT user_id, ts, (coalesce(ts - lag(ts) OVER w > INTERVAL 1 HOUR, false))::INT AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS id FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", user_id, count(*) AS n FROM s GROUP BY user_id, id",
 )
 def stream_sessions(spark, sf_dir):
-    return st.run_to_end(st.sessions(st.replay(spark, sf_dir)))
+    return st.replayed(st.replay(spark, sf_dir), st.sessions)
 
 
 @query("stream_unseen", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_unseen(spark, sf_dir):
     """Keys that pass as first seen; a key passes again once the watermark has left it behind, so each is told once here."""
-    out = st.run_to_end(st.unseen(st.replay(spark, sf_dir), ["user_id", "event_type"]))
+    out = st.replayed(st.replay(spark, sf_dir), lambda e: st.unseen(e, ["user_id", "event_type"]))
     return out.select("user_id", "event_type").distinct().withColumn("n", F.lit(1).cast("long"))
 
 
 @query("stream_ema", "SELECT user_id, n, round(pow(0.7::DOUBLE, n) * 0.5::DOUBLE + sum(0.3::DOUBLE * pow(0.7::DOUBLE, n - i) * v), 6) AS ema FROM (SELECT user_id, least(value / 100.0, 1.0) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id, n")
 def stream_ema(spark, sf_dir):
     """The last update of each user."""
-    out = st.run_to_end(st.running_ema(st.replay(spark, sf_dir)))
+    out = st.replayed(st.replay(spark, sf_dir), st.running_ema)
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("ema", "n"), 6).alias("ema"))
 
 
@@ -46,7 +46,7 @@ _AUDITS = "au AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER
 @query("stream_failures", f"WITH {_AUDITS} SELECT user_id, max(l)::BIGINT AS worst, max(l) >= 3 AS isolated FROM rl GROUP BY user_id")
 def stream_failures(spark, sf_dir):
     """Longest run of failed audits of each user, and whether it isolates the user."""
-    out = st.run_to_end(st.failures_in_a_row(st.replay(spark, sf_dir)))
+    out = st.replayed(st.replay(spark, sf_dir), st.failures_in_a_row)
     return out.groupBy("user_id").agg(F.max("worst").alias("worst")).withColumn("isolated", F.col("worst") >= 3)
 
 
@@ -59,29 +59,28 @@ def _admitted_sql(most: int, seconds: float) -> str:
 @query("stream_load_guard", _admitted_sql(2, 86400.0))
 def stream_load_guard(spark, sf_dir):
     """Events let through by a guard of two a user and trailing day."""
-    out = st.run_to_end(st.admitted(st.replay(spark, sf_dir), 2, 86400.0))
+    out = st.replayed(st.replay(spark, sf_dir), lambda e: st.admitted(e, 2, 86400.0))
     return out.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("stream_locks", _admitted_sql(1, 300.0))
 def stream_locks(spark, sf_dir):
     """Acquisitions of a lock that lives for five minutes; users stand for its keys."""
-    out = st.run_to_end(st.admitted(st.replay(spark, sf_dir), 1, 300.0))
+    out = st.replayed(st.replay(spark, sf_dir), lambda e: st.admitted(e, 1, 300.0))
     return out.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("stream_summaries", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total, max(value) AS most FROM events GROUP BY ALL")
 def stream_summaries(spark, sf_dir):
-    """Daily metrics; the day of the last event, which ends the replay, has no kind."""
-    return st.run_to_end(st.summaries(st.replay(spark, sf_dir))).filter("event_type is not null").withColumn("total", F.round("total", 6))
+    """Daily metrics of each kind of event."""
+    return st.replayed(st.replay(spark, sf_dir), st.summaries).withColumn("total", F.round("total", 6))
 
 
 @query("stream_submissions", "SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT doc_id FROM labels) AND event_type = 'purchase' GROUP BY user_id")
 def stream_submissions(spark, sf_dir):
     """Submissions of the peers that an access list allows: a stream joined with a table; labelled ids stand for the list."""
     allowed = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("user_id")).distinct()
-    taken = st.replay(spark, sf_dir).filter("event_type = 'purchase'").join(allowed, "user_id", "left_semi")
-    return st.run_to_end(taken).groupBy("user_id").agg(F.count("*").alias("n"))
+    return st.replayed(st.replay(spark, sf_dir), lambda e: e.filter("event_type = 'purchase'").join(allowed, "user_id", "left_semi")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 _KEPT = "list_reduce(list({'t': epoch_us(ts) / 1e6, 'hits': 0::BIGINT} ORDER BY ts, event_id), lambda a, x: CASE WHEN x.t - a.t < 43200 THEN {'t': a.t, 'hits': a.hits + 1} ELSE {'t': x.t, 'hits': a.hits} END, {'t': -1e12::DOUBLE, 'hits': 0::BIGINT}).hits"
@@ -90,7 +89,7 @@ _KEPT = "list_reduce(list({'t': epoch_us(ts) / 1e6, 'hits': 0::BIGINT} ORDER BY
 @query("stream_cache", f"SELECT user_id, count(*) AS n, {_KEPT} AS hits FROM events GROUP BY user_id")
 def stream_cache(spark, sf_dir):
     """Hits of a cache whose entries live half a day from when they were made; users stand for its keys."""
-    out = st.run_to_end(st.cached(st.replay(spark, sf_dir), 43200.0))
+    out = st.replayed(st.replay(spark, sf_dir), lambda e: st.cached(e, 43200.0))
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("hits").alias("hits"))
 
 
@@ -100,5 +99,5 @@ _BUCKET = "list_reduce(list({'t': epoch_us(ts) / 1e6, 'v': value::DOUBLE, 'level
 @query("stream_bandwidth", f"SELECT user_id, count(*) AS n, {_BUCKET} AS allowed FROM events GROUP BY user_id")
 def stream_bandwidth(spark, sf_dir):
     """Transfers (their values) that a bucket of 100 tokens, refilled by one each 1000 seconds, lets through."""
-    out = st.run_to_end(st.bucket(st.replay(spark, sf_dir), 100.0, 0.001))
+    out = st.replayed(st.replay(spark, sf_dir), lambda e: st.bucket(e, 100.0, 0.001))
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("allowed").alias("allowed"))

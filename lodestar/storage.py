@@ -77,6 +77,15 @@ def write_new(spark: SparkSession, path: str, content: str) -> bool:
     return True
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a file or a folder to a place that does not exist yet."""
+    fs, at = _at(spark, path)
+    there = _at(spark, to)[1]
+    fs.mkdirs(there.getParent())
+    if not fs.rename(at, there):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a file or a folder with all it holds."""
     fs, at = _at(spark, path)

@@ -5,63 +5,82 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..storage import new_path
 
 LATE = "10 minutes"
 #: Days without events after which a key's state goes.
 IDLE_DAYS = 60
-#: The user of the event that ends a replay: it moves the watermark past all others and is in no result.
-END = -1
+#: The column of a replay that marks its last event, which moves the watermark past all others and is in no result.
+CLOSING = "closing"
+
+
+def timed(events: DataFrame, late: str = LATE) -> DataFrame:
+    """events behind a watermark, without the one that closes a replay.
+
+    The condition names the time, as one that does not would be moved before the watermark.
+    """
+    out = events.withWatermark("ts", late)
+    return out.filter(~F.col(CLOSING) | F.col("ts").isNull()) if CLOSING in events.columns else out
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
     """Events of each user, kind and clock hour: the fixed-window rate limit."""
-    return events.withWatermark("ts", LATE).groupBy(F.window("ts", "1 hour"), "user_id", "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "user_id", "event_type", "n")
+    return timed(events).groupBy(F.window("ts", "1 hour"), "user_id", "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "user_id", "event_type", "n")
 
 
 def bursts(events: DataFrame, least: int = 2) -> DataFrame:
     """Sliding five-minute windows, every minute, in which a user has at least `least` events."""
-    return events.withWatermark("ts", LATE).groupBy(F.window("ts", "5 minutes", "1 minute"), "user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("window.start").alias("start"), "user_id", "n")
+    return timed(events).groupBy(F.window("ts", "5 minutes", "1 minute"), "user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.col("window.start").alias("start"), "user_id", "n")
 
 
 def sessions(events: DataFrame, gap: str = "1 hour") -> DataFrame:
     """Sessions of each user that end after a gap without events."""
-    return events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
+    return timed(events).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
 
 
 def summaries(events: DataFrame) -> DataFrame:
     """Count, sum and largest value of each kind and day: histograms of metrics."""
-    return events.withWatermark("ts", LATE).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most")).select(F.col("window.start").alias("day"), "event_type", "n", "total", "most")
+    return timed(events).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most")).select(F.col("window.start").alias("day"), "event_type", "n", "total", "most")
 
 
 def unseen(events: DataFrame, keys: list[str]) -> DataFrame:
     """First event of every key within the watermark: unseen feed items, crawl dedup."""
-    return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
+    return timed(events).dropDuplicatesWithinWatermark(keys)
 
 
-def by_user(events: DataFrame, out: str, state: str, start: tuple, step: Callable) -> DataFrame:
-    """Rows that step(values of the state, rows of a user in order) -> (new state, frame) makes of each micro-batch.
+def by_key(events: DataFrame, keys: list[str], out: str, state: str, start: tuple, step: Callable, order: list[str], idle: float = IDLE_DAYS * 86400.0) -> DataFrame:
+    """Rows that step(values of the state, rows of a key in order) -> (new state, frame) makes of each micro-batch.
 
-    A user's state is given up after IDLE_DAYS without events.
+    A key's state is given up after so many seconds without events. Keys may be null.
     """
 
     def run(key, batches, held):
         if held.hasTimedOut:
             held.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(batches)).sort_values(order)
         values, frame = step(held.get if held.exists else start, rows)
         held.update(values)
-        if key[0] != END:
-            # Never before the watermark, as that is not allowed.
-            last = max(int(rows["ts"].max().timestamp() * 1000), held.getCurrentWatermarkMs())
-            held.setTimeoutTimestamp(last + IDLE_DAYS * 86400000)
-            yield frame
+        # Never before the watermark, as that is not allowed.
+        last = max(int(rows["ts"].max().timestamp() * 1000), held.getCurrentWatermarkMs())
+        held.setTimeoutTimestamp(last + int(idle * 1000))
+        yield frame
+
+    return timed(events).groupBy(*keys).applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
+
+
+def by_user(events: DataFrame, out: str, state: str, start: tuple, step: Callable) -> DataFrame:
+    return by_key(events, ["user_id"], out, state, start, step, ["ts", "event_id"])
+
 
-    return events.withWatermark("ts", LATE).groupBy("user_id").applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
+def _user(rows: pd.DataFrame, n: int = 1) -> pd.Series:
+    """The user of a group's rows, null or not, so many times."""
+    user = rows["user_id"].iloc[0]
+    return pd.Series([None if pd.isna(user) else int(user)] * n, dtype="Int64")
 
 
 def running_ema(events: DataFrame, alpha: float = 0.3, start: float = 0.5) -> DataFrame:
@@ -71,7 +90,7 @@ def running_ema(events: DataFrame, alpha: float = 0.3, start: float = 0.5) -> Da
         n, value = held
         for v in rows["value"]:
             value = value * (1 - alpha) + min(v / 100.0, 1.0) * alpha
-        return (n + len(rows), value), pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [n + len(rows)], "ema": [value]})
+        return (n + len(rows), value), pd.DataFrame({"user_id": _user(rows), "n": [n + len(rows)], "ema": [value]})
 
     return by_user(events, "user_id long, n long, ema double", "n long, ema double", (0, start), step)
 
@@ -85,9 +104,9 @@ def failures_in_a_row(events: DataFrame) -> DataFrame:
             run = run + 1 if kind == "error" else 0
             worst = max(worst, run)
         n += len(rows)
-        return (n, run, worst), pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [n], "run": [run], "worst": [worst]})
+        return (n, run, worst), pd.DataFrame({"user_id": _user(rows), "n": [n], "run": [run], "worst": [worst]})
 
-    return by_user(events.filter(F.col("event_type").isin("error", "click") | (F.col("user_id") == END)), "user_id long, n long, run long, worst long", "n long, run long, worst long", (0, 0, 0), step)
+    return by_user(events.filter(F.coalesce(F.col("event_type").isin("error", "click"), F.lit(False)) | closing(events)), "user_id long, n long, run long, worst long", "n long, run long, worst long", (0, 0, 0), step)
 
 
 def admitted(events: DataFrame, most: int = 1, seconds: float = 60.0) -> DataFrame:
@@ -104,7 +123,7 @@ def admitted(events: DataFrame, most: int = 1, seconds: float = 60.0) -> DataFra
             if len(kept) < most:
                 kept.append(now)
                 out.append(i)
-        return (" ".join(map(repr, kept)),), pd.DataFrame({"event_id": out, "user_id": [rows["user_id"].iloc[0]] * len(out)}).astype({"event_id": "int64", "user_id": "int64"})
+        return (" ".join(map(repr, kept)),), pd.DataFrame({"event_id": out, "user_id": _user(rows, len(out))}).astype({"event_id": "int64"})
 
     return by_user(events, "event_id long, user_id long", "kept string", ("",), step)
 
@@ -121,7 +140,7 @@ def cached(events: DataFrame, seconds: float) -> DataFrame:
             else:
                 made = now
         n += len(rows)
-        return (n, hits, made), pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [n], "hits": [hits]})
+        return (n, hits, made), pd.DataFrame({"user_id": _user(rows), "n": [n], "hits": [hits]})
 
     return by_user(events, "user_id long, n long, hits long", "n long, hits long, made double", (0, 0, -1e12), step)
 
@@ -137,34 +156,53 @@ def bucket(events: DataFrame, size: float, rate: float) -> DataFrame:
             if level >= v:
                 level, allowed = level - v, allowed + 1
         n += len(rows)
-        return (n, allowed, level, last), pd.DataFrame({"user_id": [rows["user_id"].iloc[0]], "n": [n], "allowed": [allowed]})
+        return (n, allowed, level, last), pd.DataFrame({"user_id": _user(rows), "n": [n], "allowed": [allowed]})
 
     return by_user(events, "user_id long, n long, allowed long", "n long, allowed long, level double, last double", (0, 0, size, 0.0), step)
 
 
-def replay(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
-    """The events as a stream of files in order of time, one a micro-batch, and at last one event a year later by user END."""
+def closing(events: DataFrame) -> Column:
+    """Whether an event closes a replay; a filter before the watermark must let it pass."""
+    return F.col(CLOSING) if CLOSING in events.columns else F.lit(False)
+
+
+def replayed(events: DataFrame, operator: Callable, steps: int = 3) -> DataFrame:
+    """What operator makes of events (with ts) as a stream: they come in so many steps in order of time, and at last one event a year later.
+
+    The stream ends after every step and starts again from its checkpoint with the next,
+    as after a restart. A step is read by as many tasks as it was written by.
+    """
+    spark = events.sparkSession
     base = new_path(spark, "replay")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    rows = events.withColumns({"ts": F.col("ts").cast("timestamp"), CLOSING: F.lit(False)})
+    lo, hi = rows.agg(F.min("ts"), F.max("ts")).first()
     span = (hi - lo) / steps if lo else None
     for i in range(steps if lo else 0):
-        part = events.filter(F.col("ts") >= F.lit(lo + i * span)) if i else events
-        (part.filter(F.col("ts") < F.lit(lo + (i + 1) * span)) if i < steps - 1 else part).coalesce(1).write.parquet(f"{base}/{i}")
-    last = events.limit(1).select([(F.lit(END).cast(t) if c in ("user_id", "event_id") else F.col("ts") if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in events.dtypes])
-    last.withColumn("ts", F.lit(hi).cast("timestamp") + F.expr("INTERVAL 365 DAYS")).coalesce(1).write.parquet(f"{base}/{steps}")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
+        part = rows.filter(F.col("ts") >= F.lit(lo + i * span)) if i else rows  # what has no time comes first
+        (part.filter((F.col("ts") < F.lit(lo + (i + 1) * span)) | F.col("ts").isNull()) if i < steps - 1 else part).write.parquet(f"{base}/step/{i}")
+    last = spark.range(1).select(*[(F.lit(True) if c == CLOSING else F.lit(hi).cast("timestamp") + F.expr("INTERVAL 365 DAYS") if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in rows.dtypes])
+    last.write.parquet(f"{base}/step/{steps}")
+    stream = operator(spark.readStream.schema(rows.schema).parquet(f"{base}/in/*"))
+    out = f"{base}/out"
+    for step in storage.names(spark, f"{base}/step"):
+        storage.move(spark, f"{base}/step/{step}", f"{base}/in/{step}")
+        run(stream, out, f"{base}/state")
+    return spark.read.schema(stream.schema).parquet(f"{out}/*")
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
-    """Runs a stream over all there is, in append mode, and returns what it wrote to the shared folder.
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table, for replayed()."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
-    Each micro-batch has a folder by its number and writes it over when it is tried again, so no row comes twice.
-    """
-    spark = stream.sparkSession
-    base = new_path(spark, "stream")
-    write = lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/{i:09d}")
-    q = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(write).start()
-    q.awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{base}/out/*")
-    return out.filter(F.col("user_id") != END) if "user_id" in out.columns else out
+
+def run(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Runs a stream over all there is, in append mode. Each micro-batch has a folder by its number and writes it over when it is tried again, so no row comes twice."""
+    write = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{i:09d}")
+    stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
+
+
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Runs a stream once and returns what it wrote to the shared folder."""
+    base = new_path(stream.sparkSession, "stream")
+    run(stream, f"{base}/out", f"{base}/state")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out/*")

@@ -154,7 +154,7 @@ def test_a_page_of_results_is_bounded(spark):
 
 
 def test_stream_guard_equals_a_plain_loop(spark):
-    got = {(r["user_id"], r["event_id"]) for r in st.run_to_end(st.admitted(st.replay(spark, SF), 2, 86400.0)).collect()}
+    got = {(r["user_id"], r["event_id"]) for r in st.replayed(st.replay(spark, SF), lambda e: st.admitted(e, 2, 86400.0)).collect()}
     held, want = {}, set()
     for r in spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).orderBy("ts", "event_id").collect():
         now = r["ts"].timestamp()
