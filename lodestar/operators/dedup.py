@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +63,48 @@ def simhash(docs: DataFrame, value: str = "text", key: str = "doc_id") -> DataFr
     return sums.select(key, F.when(F.col("n") > 0, out).otherwise(F.lit(0).cast("long")).alias("simhash"))
 
 
+def fingerprint(value: Column) -> Column:
+    """simhash() of a text by itself, for streams and filters, where no rows are grouped."""
+
+    @F.arrow_udf("long")
+    def voted(hashes: pa.Array) -> pa.Array:
+        """The bits that at least half of each row's hashes have; no hashes give 0."""
+        flat, sizes = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        out, some = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[some]
+        for b in range(64 if len(some) else 0):
+            votes = np.add.reduceat((flat >> np.uint64(b) & np.uint64(1)).astype(np.int64), starts)
+            out[some] |= (2 * votes >= sizes[some]).astype(np.uint64) << np.uint64(b)
+        return pa.array(out.view(np.int64))
+
+    w = text.words(F.coalesce(value, F.lit("")))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))
+    hashed = F.transform(F.when(F.size(w) > 0, runs).otherwise(F.array().cast("array<string>")), lambda s: F.conv(F.substring(F.md5(s), 1, 16), 16, -10).cast("long"))
+    return voted(hashed)
+
+
+def choices(simhash: Column, most: int = MOST_BITS, agree: int = 3) -> Column:
+    """(choice, part): the bits of a fingerprint in each choice of `agree` of most + agree bands. Fingerprints at most `most` bits apart share one."""
+    borders = [round(64 * i / (most + agree)) for i in range(most + agree + 1)]
+    masks = [sum(((1 << (borders[i + 1] - borders[i])) - 1) << borders[i] for i in chosen) for chosen in itertools.combinations(range(most + agree), agree)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return F.array(*[F.struct(F.lit(i).alias("choice"), simhash.bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(masks)])
+
+
+def members(hashes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, a: the row that stands for each row's fingerprint in near_pairs(), itself included."""
+    return hashes.join(hashes.groupBy("simhash").agg(F.min(key).alias("a")), "simhash").select(key, "a")
+
+
 def near_pairs(hashes: DataFrame, key: str = "doc_id", most: int = MOST_BITS, agree: int = 3) -> DataFrame:
     """Pairs (a, b) of different fingerprints at most `most` bits apart, with the distance.
 
     Of most + agree bands, such fingerprints agree in `agree` at least, so they meet under one
     choice of so many: half of the bits with three of six, enough for any number of rows.
-    Equal fingerprints are joined as one, the smallest key standing for them.
+    Equal fingerprints are joined as one, the smallest key standing for them; members() tells for which rows.
     """
-    borders = [round(64 * i / (most + agree)) for i in range(most + agree + 1)]
-    masks = [sum(((1 << (borders[i + 1] - borders[i])) - 1) << borders[i] for i in chosen) for chosen in itertools.combinations(range(most + agree), agree)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
     reps = settle(hashes.groupBy("simhash").agg(F.min(key).alias("k")))
-    choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("simhash").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(masks)])
-    rows = reps.select("k", "simhash", F.inline(choices))
+    rows = reps.select("k", "simhash", F.inline(choices(F.col("simhash"), most, agree)))
     x, y = rows.alias("x"), rows.alias("y")
     d = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash")))
     both = x.join(y, (F.col("x.choice") == F.col("y.choice")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.k") < F.col("y.k")) & (d <= most))

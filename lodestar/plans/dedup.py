@@ -38,17 +38,17 @@ def ingest_dedup(spark, sf_dir):
 
 _WORDS = text.words_sql("text")
 _SHINGLES = """CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END"""
-_SIM_SQL = f"""wd AS (SELECT doc_id, {_WORDS} AS w FROM documents), sh AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM wd), hx AS (SELECT doc_id, ('0x' || substr(md5(s), 1, 16))::UBIGINT AS h FROM sh),
+SIMHASH_SQL = f"""wd AS (SELECT doc_id, {_WORDS} AS w FROM documents), sh AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM wd), hx AS (SELECT doc_id, ('0x' || substr(md5(s), 1, 16))::UBIGINT AS h FROM sh),
  sim AS (SELECT doc_id, {' + '.join(f"(CASE WHEN 2 * sum((h >> {i}) & 1) >= count(*) THEN {1 << i}::HUGEINT ELSE 0 END)" for i in range(64))} AS u FROM hx GROUP BY doc_id),
  simhash AS (SELECT doc_id, CASE WHEN u IS NULL THEN 0 WHEN u >= 9223372036854775808 THEN (u - 18446744073709551616::HUGEINT)::BIGINT ELSE u::BIGINT END AS simhash FROM documents LEFT JOIN sim USING (doc_id))"""
 
 
-@query("simhash", f"WITH {_SIM_SQL} SELECT doc_id, simhash FROM simhash")
+@query("simhash", f"WITH {SIMHASH_SQL} SELECT doc_id, simhash FROM simhash")
 def simhash(spark, sf_dir):
     return dedup.simhash(table(spark, sf_dir, "documents"))
 
 
-@query("simhash_pairs", f"WITH near_docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, text || ' end' FROM documents), {_SIM_SQL.replace('FROM documents', 'FROM near_docs')}, r AS (SELECT simhash, min(doc_id) AS k FROM simhash GROUP BY simhash) SELECT a.k AS a, b.k AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM r a JOIN r b ON a.k < b.k AND bit_count(xor(a.simhash, b.simhash)) <= 3")
+@query("simhash_pairs", f"WITH near_docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, text || ' end' FROM documents), {SIMHASH_SQL.replace('FROM documents', 'FROM near_docs')}, r AS (SELECT simhash, min(doc_id) AS k FROM simhash GROUP BY simhash) SELECT a.k AS a, b.k AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM r a JOIN r b ON a.k < b.k AND bit_count(xor(a.simhash, b.simhash)) <= 3")
 def simhash_pairs(spark, sf_dir):
     """Near pairs among all documents and, as few small corpora have any, the documents with a word put to their end."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,6 +56,12 @@ def simhash_pairs(spark, sf_dir):
     return dedup.near_pairs(dedup.simhash(docs.unionByName(longer)))
 
 
+@query("simhash_classes", f"WITH {SIMHASH_SQL} SELECT doc_id, min(doc_id) OVER (PARTITION BY simhash) AS a FROM simhash")
+def simhash_classes(spark, sf_dir):
+    """The document that stands for each document's fingerprint in pairs of near duplicates."""
+    return dedup.members(dedup.simhash(table(spark, sf_dir, "documents")))
+
+
 @query("jaccard", f"WITH t AS (SELECT doc_id, list_distinct({_WORDS}) AS w FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END, 6) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
 def jaccard(spark, sf_dir):
     """Word-set similarity of each document with the next."""

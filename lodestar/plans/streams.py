@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.tables import NOW, documents
+from ..storage import settle
 from ..streaming import operators as st
+from ..streaming import state
+from .dedup import SIMHASH_SQL
+from .trust import PARTITION_SQL
 
 
 @query("stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -101,3 +106,57 @@ def stream_bandwidth(spark, sf_dir):
     """Transfers (their values) that a bucket of 100 tokens, refilled by one each 1000 seconds, lets through."""
     out = st.replayed(st.replay(spark, sf_dir), lambda e: st.bucket(e, 100.0, 0.001))
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("allowed").alias("allowed"))
+
+
+_CRAWLED = f"cr AS (SELECT doc_id, simhash, {NOW}::DOUBLE - doc_id * 3600.0::DOUBLE AS t FROM simhash)"
+
+
+@query("stream_near_seen", f"WITH {SIMHASH_SQL}, {_CRAWLED} SELECT a.doc_id, min(bit_count(xor(a.simhash, b.simhash)))::INT AS distance FROM cr a JOIN cr b ON b.t < a.t AND a.t - b.t < {state.REMEMBERED * 3600} AND bit_count(xor(a.simhash, b.simhash)) <= 3 GROUP BY a.doc_id")
+def stream_near_seen(spark, sf_dir):
+    """Documents that resemble one crawled in the thirty days before; the crawl is restarted between steps."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.timestamp_seconds("crawled_at").alias("ts"))
+    return st.replayed(docs, state.near_seen).groupBy("doc_id").agg(F.min("distance").alias("distance"))
+
+
+@query("stream_lru")
+def stream_lru(spark, sf_dir):
+    """Sixteen nodes keep the sessions of five users each for a day, the least recent ones going first."""
+    rows = st.replay(spark, sf_dir).withColumn("node", F.pmod("user_id", F.lit(16)).cast("string"))
+    out = st.replayed(rows, lambda e: state.lru(e, "node", "user_id", 5, 86400.0))
+    return out.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "hits", "expired", "evicted")])
+
+
+_RANKS = (0.5, 0.95, 0.99)
+
+
+@query("stream_quantiles", "SELECT date_trunc('day', ts) AS start, event_type, count(value) AS n, true AS within FROM events GROUP BY ALL UNION ALL SELECT NULL, event_type, count(value), true FROM events GROUP BY event_type")
+def stream_quantiles(spark, sf_dir):
+    """Median, 95th and 99th percentile of each day and kind by sketches, and of all days by their merge: whether each is within two hundredths of its rank.
+
+    The sketches come from the stream; exact ranks are counted beside them from the events.
+    """
+    days = settle(st.replayed(st.replay(spark, sf_dir), state.quantile_sketches))
+    whole = days.groupBy("event_type").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(state.SKETCH)).alias("sketch")).withColumn("start", F.lit(None).cast("timestamp"))
+    told = days.unionByName(whole).withColumn("q", state.quantiles(F.col("sketch"), _RANKS)).drop("sketch")
+    values = st.replay(spark, sf_dir).select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), "event_type", "value")
+    values = values.unionByName(values.withColumn("start", F.lit(None).cast("timestamp")))
+    both = told.alias("a").join(values.alias("v"), F.col("a.start").eqNullSafe(F.col("v.start")) & F.col("a.event_type").eqNullSafe(F.col("v.event_type")))
+    below = [F.count_if(F.col("value") < F.col("q")[i]) for i in range(len(_RANKS))]
+    upto = [F.count_if(F.col("value") <= F.col("q")[i]) for i in range(len(_RANKS))]
+    near = [(b <= (r + 0.02) * F.first("n")) & (u >= (r - 0.02) * F.first("n")) for r, b, u in zip(_RANKS, below, upto, strict=True)]
+    return both.groupBy(F.col("a.start").alias("start"), F.col("a.event_type").alias("event_type")).agg(F.first("n").alias("n"), (near[0] & near[1] & near[2]).alias("within"))
+
+
+@query("stream_peer_drops", PARTITION_SQL)
+def stream_peer_drops(spark, sf_dir):
+    """partition_alert as two streams: the second reads what the first has written."""
+    return st.replayed(st.replay(spark, sf_dir), state.hourly_peers, then=state.drop_alerts)
+
+
+@query(
+    "stream_flapping",
+    "WITH c AS (SELECT event_id, user_id, ts, (coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), false))::INT AS changed FROM events), t AS (SELECT *, sum(changed) OVER w - first_value(changed) OVER w AS changes FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)) SELECT event_id, user_id, changes::BIGINT AS changes, changes >= 3 AS suspicious FROM t",
+)
+def stream_flapping(spark, sf_dir):
+    """Changes of the claimed zone, here the event type, in the day up to each claim."""
+    return st.replayed(st.replay(spark, sf_dir), state.flapping)

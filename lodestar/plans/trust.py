@@ -164,11 +164,11 @@ def slo_status(spark, sf_dir):
 _HOURS = "h AS (SELECT floor(ts / 3600)::BIGINT AS hour, count(DISTINCT peer) AS peers FROM ev GROUP BY 1)"
 
 
-@query(
-    "partition_alert",
-    f"""WITH {EVENTS_SQL}, {_HOURS}, b AS (SELECT hour, peers, avg(peers) OVER w AS base, count(*) OVER w AS n FROM h WINDOW w AS (ORDER BY hour ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING))
- SELECT hour, peers, CASE WHEN n < 3 OR base < 3 THEN 'none' WHEN 1 - peers / base >= 0.8 THEN 'critical' WHEN 1 - peers / base >= 0.5 THEN 'warning' ELSE 'none' END AS alert FROM b""",
-)
+PARTITION_SQL = f"""WITH {EVENTS_SQL}, {_HOURS}, b AS (SELECT hour, peers, avg(peers) OVER w AS base, count(*) OVER w AS n FROM h WINDOW w AS (ORDER BY hour ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING))
+ SELECT hour, peers, CASE WHEN n < 3 OR base < 3 THEN 'none' WHEN 1 - peers / base >= 0.8 THEN 'critical' WHEN 1 - peers / base >= 0.5 THEN 'warning' ELSE 'none' END AS alert FROM b"""
+
+
+@query("partition_alert", PARTITION_SQL)
 def partition_alert(spark, sf_dir):
     """Drop of the hour's distinct peers against the mean of up to nine hours before; one row an hour, so one window partition is small."""
     w = Window.orderBy("hour").rowsBetween(-9, -1)

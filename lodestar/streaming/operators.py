@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 import pandas as pd
@@ -166,11 +167,12 @@ def closing(events: DataFrame) -> Column:
     return F.col(CLOSING) if CLOSING in events.columns else F.lit(False)
 
 
-def replayed(events: DataFrame, operator: Callable, steps: int = 3) -> DataFrame:
+def replayed(events: DataFrame, operator: Callable, steps: int = 3, then: Callable | None = None) -> DataFrame:
     """What operator makes of events (with ts) as a stream: they come in so many steps in order of time, and at last one event a year later.
 
     The stream ends after every step and starts again from its checkpoint with the next,
-    as after a restart. A step is read by as many tasks as it was written by.
+    as after a restart. A step is read by as many tasks as it was written by. then is an
+    operator on what the stream writes, a stream of its own: it runs after every step, too.
     """
     spark = events.sparkSession
     base = new_path(spark, "replay")
@@ -180,14 +182,17 @@ def replayed(events: DataFrame, operator: Callable, steps: int = 3) -> DataFrame
     for i in range(steps if lo else 0):
         part = rows.filter(F.col("ts") >= F.lit(lo + i * span)) if i else rows  # what has no time comes first
         (part.filter((F.col("ts") < F.lit(lo + (i + 1) * span)) | F.col("ts").isNull()) if i < steps - 1 else part).write.parquet(f"{base}/step/{i}")
+    hi = hi or datetime.datetime(1970, 1, 1)
     last = spark.range(1).select(*[(F.lit(True) if c == CLOSING else F.lit(hi).cast("timestamp") + F.expr("INTERVAL 365 DAYS") if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in rows.dtypes])
     last.write.parquet(f"{base}/step/{steps}")
     stream = operator(spark.readStream.schema(rows.schema).parquet(f"{base}/in/*"))
-    out = f"{base}/out"
+    after = then(spark.readStream.schema(stream.schema).parquet(f"{base}/out/*")) if then else None
     for step in storage.names(spark, f"{base}/step"):
         storage.move(spark, f"{base}/step/{step}", f"{base}/in/{step}")
-        run(stream, out, f"{base}/state")
-    return spark.read.schema(stream.schema).parquet(f"{out}/*")
+        run(stream, f"{base}/out", f"{base}/state")
+        if then:
+            run(after, f"{base}/then", f"{base}/state-then")
+    return spark.read.schema(after.schema).parquet(f"{base}/then/*") if then else spark.read.schema(stream.schema).parquet(f"{base}/out/*")
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
