@@ -8,14 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import passages, quality, scores, shaping, text
+from ..functions import passages, quality, requests, shaping
 from ..operators import extraction, graph, maintenance, ranking, search
+from ..storage import settle
 from .plugins import Plugins, Point
 
 
 @dataclass
 class Client:
-    """docs: doc_id, text, lang, source, title, url, domain, crawled_at. Every call builds one plan over the whole collection, or over the index at a path."""
+    """docs: doc_id, text, lang, source, title, url, domain, crawled_at. Every call builds one plan over the whole collection, or over an index, a path or a segments.Index. profile names the weights of the ranking signals; an unknown one is the default."""
 
     spark: SparkSession
     docs: DataFrame
@@ -23,17 +24,26 @@ class Client:
     plugins: Plugins | None = None
     authority: DataFrame | None = None
     trust: DataFrame | None = None
-    index: str | None = None
+    index: object = None
+    profile: str = "default"
 
     def _run(self, point: Point, df: DataFrame) -> DataFrame:
         return self.plugins.run(point, df) if self.plugins else df
 
+    @property
+    def weights(self) -> dict[str, float]:
+        return requests.PROFILES.get(self.profile, requests.PROFILES["default"])
+
+    def _ranked(self, docs: DataFrame, q: DataFrame, limit: int, filters: dict, explain: bool = False) -> DataFrame:
+        tokens_of = self.plugins.tokenizer if self.plugins else None
+        return search.ranked(docs, q, limit, self.now, self.authority, self.trust, self.index, search.keep(**filters) if filters else None, self.weights, tokens_of, explain)
+
     def search(self, queries: str | list[str], limit: int = 10, offset: int = 0, **filters) -> DataFrame:
         """query_id, query, rank, doc_id, url, title, snippet, combined of every query; filters are those of operators.search.keep."""
         asked = [queries] if isinstance(queries, str) else queries
         q = self._run(Point.PRE_SEARCH, self.spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"))
         docs = self._run(Point.PRE_RANK, self.docs)
-        hits = search.ranked(docs, q, limit + offset, self.now, self.authority, self.trust, self.index, search.keep(**filters) if filters else None)
+        hits = self._ranked(docs, q, limit + offset, filters)
         hits = self._run(Point.POST_RANK, hits)
         if self.plugins:
             hits = hits.withColumn("combined", self.plugins.score(F.col("combined")))
@@ -61,11 +71,10 @@ class Client:
         return graph.links(pages)
 
     def explain(self, query: str, limit: int = 10) -> DataFrame:
-        """The parts of the results' scores that can be told from the documents alone."""
-        hits = self.search(query, limit).join(self.docs.select("doc_id", "crawled_at"), "doc_id")
-        q = text.ascii_tokens(F.lit(query))
-        signals = {"bm25": F.lit(0.5), "freshness": scores.freshness(F.col("crawled_at"), self.now), "trust": F.lit(scores.LOCAL_TRUST), "authority": F.lit(0.0), "title": scores.token_share(q, text.ascii_tokens(F.col("title"))), "url": scores.path_share(q, F.col("url"))}
-        return hits.select("rank", "doc_id", "combined", *[c.alias(n) for n, c in shaping.explanation(signals).items()])
+        """The weighted parts of the results' scores, before any scorer of a plugin: the signals that ranked them."""
+        q = self._run(Point.PRE_SEARCH, self.spark.createDataFrame([(0, query)], "query_id long, query string"))
+        hits = self._ranked(self._run(Point.PRE_RANK, self.docs), q, limit, {}, True)
+        return hits.select("rank", "doc_id", "combined", *[c.alias(n) for n, c in shaping.explanation({n: F.col(f"signals.{n}") for n in self.weights}, self.weights).items()])
 
     def chunks(self, query: str, limit: int = 5, size: int = 500) -> DataFrame:
         """The results' texts in pieces, as a model reads them."""
@@ -117,15 +126,26 @@ def summary_rejection(trust: float, n_chars: int, running: int, pending: int, id
 
 
 class VectorStore:
-    """Vectors (vec_id, embedding) under keys, added to and searched."""
+    """Vectors (vec_id, embedding) under keys, added to, deleted and searched."""
+
+    #: Changes after which the vectors are written anew, so that no plan grows with them.
+    CHANGES = 8
 
     def __init__(self, vectors: DataFrame):
-        self.vectors = vectors.select("vec_id", "embedding")
+        self.vectors, self._changes = vectors.select("vec_id", "embedding"), 0
+
+    def _changed(self, vectors: DataFrame) -> None:
+        self._changes += 1
+        self.vectors = settle(vectors) if self._changes % self.CHANGES == 0 else vectors
 
     def add(self, vectors: DataFrame) -> None:
         """Adds rows; one of a known key takes the old one's place."""
         new = vectors.select("vec_id", "embedding")
-        self.vectors = self.vectors.join(new.select("vec_id"), "vec_id", "left_anti").unionByName(new)
+        self._changed(self.vectors.join(new.select("vec_id"), "vec_id", "left_anti").unionByName(new))
+
+    def delete(self, keys: DataFrame) -> None:
+        """Deletes the vectors of keys (vec_id); unknown ones do nothing."""
+        self._changed(self.vectors.join(keys.select("vec_id"), "vec_id", "left_anti"))
 
     def search(self, probes: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
         """query_id, doc_id, score, rank: the nearest to each probe (query_id, probe)."""

@@ -87,6 +87,11 @@ class Plugins:
         """The last registered tokenizer's tokens, else the default ones."""
         return (self._hooks[Point.CUSTOM_TOKENIZER] or [default_tokens])[-1](text)
 
+    @property
+    def tokenizer(self) -> Callable | None:
+        """The last registered tokenizer, None without one."""
+        return (self._hooks[Point.CUSTOM_TOKENIZER] or [None])[-1]
+
     def score(self, combined: Column) -> Column:
         """The combined score after all registered scorers."""
         for f in self._hooks[Point.CUSTOM_SCORER]:

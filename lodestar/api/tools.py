@@ -11,8 +11,8 @@ from ..functions import requests, text
 from ..operators import search
 from .client import Client
 
-#: Rows of an answer; arguments ask for fewer.
-MOST = 50
+#: Rows of an answer, the next of which its argument `page` asks for, and queries of a batch.
+MOST, BATCH = 50, 10
 
 
 def filters_of(args: dict, now: float) -> dict:
@@ -53,7 +53,9 @@ class Tools:
             return json.dumps({"error": f"bad arguments: {e}"})
         self.history.append((name, args.get("query")))
         if isinstance(answer, DataFrame):
-            answer = {"results": [r.asDict(recursive=True) for r in answer.limit(MOST).collect()]}
+            page = max(0, int(args.get("page") or 0))
+            rows = [r.asDict(recursive=True) for r in answer.offset(page * MOST).limit(MOST + 1).collect()]
+            answer = {"results": rows[:MOST]} | ({"next_page": page + 1} if len(rows) > MOST else {})
         return json.dumps(answer, ensure_ascii=False, default=str)
 
     @staticmethod
@@ -95,7 +97,10 @@ class Tools:
         return self.client.suggest(args.get("prefix", ""), self._limit(args))
 
     def tool_batch_search(self, args):
-        return self.client.search(list(args["queries"])[:10], self._limit(args, 5)).orderBy("query_id", "rank")
+        queries = list(args["queries"])
+        if len(queries) > BATCH:
+            raise ValueError(f"{len(queries)} queries, at most {BATCH} in one call")
+        return self.client.search(queries, self._limit(args, 5)).orderBy("query_id", "rank")
 
     def tool_search_rag(self, args):
         return self.client.chunks(args["query"], self._limit(args, 5), int(args.get("chunk_size", 500))).orderBy("rank", "chunk")

@@ -25,9 +25,9 @@ def normal_bm25(score: Column, top: Column) -> Column:
     return F.when(score <= 0, 0.0).otherwise(score / (score + top))
 
 
-def combined(**signals: Column) -> Column:
+def combined(weights: dict[str, float] | None = None, **signals: Column) -> Column:
     total = F.lit(0.0)
-    for name, weight in WEIGHTS.items():
+    for name, weight in (weights or WEIGHTS).items():
         total = total + weight * signals[name]
     return total
 

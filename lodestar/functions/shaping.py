@@ -19,9 +19,9 @@ NOTES = [
 ]
 
 
-def explanation(signals: dict[str, Column]) -> dict[str, Column]:
+def explanation(signals: dict[str, Column], weights: dict[str, float] | None = None) -> dict[str, Column]:
     """The weighted parts of a combined score, the largest of them and notes."""
-    weighted = {n: F.round(c * scores.WEIGHTS[n], 6) for n, c in signals.items()}
+    weighted = {n: F.round(c * (weights or scores.WEIGHTS)[n], 6) for n, c in signals.items()}
     parts = F.array(*[F.struct(w.alias("w"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, (n, w) in enumerate(weighted.items())])
     notes = [F.when(signals[n] > at if op == ">" else signals[n] < at, F.lit(text)) for n, op, at, text in NOTES]
     return {**{f"w_{n}": w for n, w in weighted.items()}, "dominant": F.array_max(parts)["n"], "notes": F.array_join(F.array_compact(F.array(*notes)), "; ")}
@@ -39,10 +39,15 @@ def result_text(rank: Column, title: Column, url: Column, snippet: Column, score
     return F.format_string("[%d] %s\n    Source: %s\n    Domain: %s\n    Score: %.4f (%s)\n    %s\n", rank, title, url, F.regexp_extract(url, "://([^/]*)", 1), F.round(score, 4), listed, F.substring(snippet, 1, most))
 
 
+def _fixed(number: Column, pattern: str) -> Column:
+    """A number by a pattern; what lies halfway goes to the even digit, as the number is and not as it is written."""
+    return F.call_function("format_number", number.cast("double"), F.lit(pattern))
+
+
 def fetched_text(title: Column, url: Column, text: Column, crawled_at: Column, now: float, ttl: float = 604800.0) -> Column:
     """A cached page with what a reader should know of it."""
     age = F.lit(now) - crawled_at
-    head = F.format_string("# %s\nSource: %s\nDomain: %s\nis_cached: true\ncache_age: %.1f days\ncrawl_timestamp: %.0f\n", title, url, F.regexp_extract(url, "://([^/]*)", 1), age / 86400, crawled_at)
+    head = F.format_string("# %s\nSource: %s\nDomain: %s\nis_cached: true\ncache_age: %s days\ncrawl_timestamp: %s\n", title, url, F.regexp_extract(url, "://([^/]*)", 1), _fixed(age / 86400, "0.0"), _fixed(crawled_at, "0"))
     return F.concat(head, F.when(age > ttl, "stale_warning: true (cached content older than TTL)\n").otherwise(""), F.lit("\n"), text)
 
 
@@ -119,6 +124,21 @@ def answer_text(results: Column, elapsed_ms: Column, source: Column, local: Colu
     return F.when(F.size(results) == 0, "No results found.").otherwise(F.concat(head, F.lit("\n"), F.array_join(results, "\n")))
 
 
+def hits(text: Column, terms: Column) -> Column:
+    """(pos, term) of the words of a text that are among terms, without case and marks, in order."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    plain = F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "").alias("term")))
+    return F.filter(plain, lambda x: F.array_contains(terms, x["term"]))
+
+
+def shown_window(text: Column, terms: Column, start: Column, size: int) -> Column:
+    """`size` words from one on, terms marked, dots where the text goes on."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    part = F.slice(words, start + 1, size)
+    marked = F.transform(part, lambda w: F.when(F.array_contains(terms, F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+    return F.concat(F.when(start > 0, "...").otherwise(""), F.array_join(marked, " "), F.when(F.size(words) > start + size, "...").otherwise(""))
+
+
 def window_snippet(text: Column, terms: Column, size: int = 40, before: int = 5) -> Column:
     """The words around the first one that holds a term, terms marked, dots where the text goes on; the start of a text without any."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -124,3 +124,61 @@ def content_diff(old: Column, new: Column) -> dict[str, Column]:
     full = lambda x: F.size(F.filter(x, lambda v: F.trim(v) != ""))
     added, removed = full(F.array_except(b, a)), full(F.array_except(a, b))
     return {"added": added, "removed": removed, "ratio": F.round((added + removed) / F.greatest(F.lit(1), F.size(F.array_union(a, b))), 3)}
+
+
+def _leaf(digest: Column) -> Column:
+    return F.sha2(F.concat(F.lit("leaf:"), digest), 256)
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with pos, their place from 0 in an order: a range partitioning and the counts of its parts, no window over all rows."""
+    ranged = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("base"))
+    # A row a partition.
+    before = sizes.select(F.col("_p"), "base", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("before"))
+    return ranged.join(F.broadcast(before), "_p").withColumn("pos", F.col("_i") - F.col("base") + F.col("before")).drop("_p", "_i", "base", "before")
+
+
+def _levels(leaves: DataFrame, n: int) -> list[DataFrame]:
+    """(pos, h) of every level of a hash tree, the leaves first; the pairs of one level are the nodes of the next, a last single one is paired with itself."""
+    out = [leaves]
+    while n > 1:
+        pairs = out[-1].groupBy(F.expr("pos div 2").alias("up")).agg(F.min_by("h", "pos").alias("l"), F.max_by("h", "pos").alias("r"))
+        out.append(pairs.select(F.col("up").alias("pos"), F.sha2(F.concat("l", "r"), 256).alias("h")))
+        n = (n + 1) // 2
+    return out
+
+
+def merkle_root(rows: DataFrame, order: str, leaf: str) -> DataFrame:
+    """One row, root, over the digests `leaf` of rows in an order; no rows give none."""
+    leaves = numbered(rows.select(order, leaf), [order, leaf]).select("pos", _leaf(F.col(leaf)).alias("h"))
+    return _levels(leaves, leaves.count())[-1].select(F.col("h").alias("root"))
+
+
+def merkle_proofs(rows: DataFrame, order: str, leaf: str) -> DataFrame:
+    """order, leaf, pos, path, root: for every row the siblings from its leaf to the root, (h, left) each.
+
+    Levels are settled, twice the rows in all. From the root down, the children of a node
+    take its path and each other's digest, so a level is joined once, and a row with the
+    paths of its own level alone.
+    """
+    named = settle(numbered(rows.select(order, leaf), [order, leaf]))
+    n = named.count()
+    levels = [named.select("pos", _leaf(F.col(leaf)).alias("h"))]
+    while n > 1:
+        levels.append(settle(_levels(levels[-1], 2)[1]))
+        n = (n + 1) // 2
+    step = "array<struct<h:string,left:boolean>>"
+    paths = levels[-1].select("pos", F.array().cast(step).alias("path"))
+    for level in reversed(levels[:-1]):
+        pairs = level.groupBy(F.expr("pos div 2").alias("up")).agg(F.min_by("h", "pos").alias("l"), F.max_by("h", "pos").alias("r"), F.count("*").alias("n"))
+        both = pairs.join(paths.withColumnRenamed("pos", "up"), "up")
+        child = lambda side, sibling, left: F.struct((F.col("up") * 2 + side).alias("pos"), F.concat(F.array(F.struct(F.col(sibling).alias("h"), F.lit(left).alias("left"))), F.col("path")).alias("path"))
+        paths = settle(both.select(F.inline(F.when(F.col("n") == 2, F.array(child(0, "r", False), child(1, "l", True))).otherwise(F.array(child(0, "l", False))))))
+    root = levels[-1].select(F.col("h").alias("root"))
+    return named.join(paths, "pos").crossJoin(F.broadcast(root))  # one row
+
+
+def proof_holds(leaf: Column, path: Column, root: Column) -> Column:
+    """Whether a path leads from the digest of a row to the root."""
+    return F.aggregate(path, _leaf(leaf), lambda h, s: F.sha2(F.when(s["left"], F.concat(s["h"], h)).otherwise(F.concat(h, s["h"])), 256)) == root

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import shaping
+
 #: Share of words from which two results are the same to a reader.
 ALIKE = 0.7
 
@@ -36,10 +38,27 @@ def without_look_alikes(hits: DataFrame, alike: float = ALIKE) -> DataFrame:
 
 
 def mismatches(rows: DataFrame, subject: str, key: str, words: str, least: float) -> DataFrame:
-    """a, b (a < b): rows of one subject whose sets of words share less than `least`; an empty set shares nothing."""
+    """s (the subject), a, b (a < b): rows of one subject whose sets of words share less than `least`; an empty set shares nothing."""
     a, b = (rows.select(F.col(subject).alias("s"), F.col(key).alias(k), F.col(words).alias(f"w{k}")) for k in ("a", "b"))
     shared = F.when((F.size("wa") == 0) | (F.size("wb") == 0), 0.0).otherwise(F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")))
-    return a.join(b, "s").filter((F.col("a") < F.col("b")) & (shared < least)).select("a", "b")
+    return a.join(b, "s").filter((F.col("a") < F.col("b")) & (shared < least)).select("s", "a", "b")
+
+
+def dense_snippets(rows: DataFrame, keys: list[str], size: int = 40) -> DataFrame:
+    """keys, n_terms, start, snippet of rows (keys, text, terms): the window of `size` words that holds the most different terms, the first of such.
+
+    Every best window can begin at a term, so the terms' places are rows and each looks
+    ahead. Words that the window has to spare go half before its first term. Without a
+    term it is the start of the text.
+    """
+    places = rows.select(*keys, F.inline(shaping.hits(F.col("text"), F.col("terms"))))
+    ahead = Window.partitionBy(*keys).orderBy("pos").rangeBetween(0, size - 1)
+    seen = places.select(*keys, "pos", F.size(F.collect_set("term").over(ahead)).alias("n"), F.max("pos").over(ahead).alias("last"))
+    best = seen.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("pos")).alias("back"), "last")).alias("b"))
+    first = -F.col("b.back")
+    best = best.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("b.n").alias("n_terms"), F.greatest(first - F.floor((size - (F.col("b.last") - first + 1)) / 2), F.lit(0)).cast("int").alias("start"))
+    both = rows.join(best, F.expr(" and ".join(f"{k} <=> _{k}" for k in keys)), "left").withColumns({"start": F.coalesce("start", F.lit(0)), "n_terms": F.coalesce("n_terms", F.lit(0))})
+    return both.select(*keys, "n_terms", "start", shaping.shown_window(F.col("text"), F.col("terms"), F.col("start"), size).alias("snippet"))
 
 
 def packed(rows: DataFrame, most: int) -> DataFrame:

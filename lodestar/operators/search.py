@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,13 +13,13 @@ from ..functions import scores, text
 from ..storage import settle
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """doc_id, term, tf and len over title and text; only of the given terms if there are any.
+def postings(docs: DataFrame, terms: DataFrame | None = None, tokens_of: Callable = text.index_tokens) -> DataFrame:
+    """doc_id, term, tf and len over title and text; only of the given terms if there are any. tokens_of is the tokenizer.
 
     The terms filter the exploded tokens before they are shuffled. Then every document also
     has one row of a null term, from which the corpus is counted in the same pass.
     """
-    tokens = text.index_tokens(F.concat_ws(" ", "title", "text"))
+    tokens = tokens_of(F.concat_ws(" ", "title", "text"))
     rows = docs.select("doc_id", tokens.alias("tokens"))
     if terms is None:
         rows = rows.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
@@ -33,9 +35,9 @@ def corpus(found: DataFrame) -> DataFrame:
     return found.filter("term is null").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, tokens_of: Callable = text.index_tokens) -> DataFrame:
     """query_id, term, times and the query's number of distinct terms."""
-    t = queries.select("query_id", F.explode(text.index_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    t = queries.select("query_id", F.explode(tokens_of(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     return t.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 
 
@@ -50,14 +52,14 @@ def scored(found: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "doc_id").agg(F.sum(gain * F.col("times")).alias("score"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).filter("held = n_terms").select("query_id", "doc_id", "score")
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, tokens_of: Callable = text.index_tokens) -> DataFrame:
     """query_id, doc_id, score of the documents that hold all terms of a query; a repeated term counts as often.
 
     The texts are read once: the postings of the query terms, few against the texts, are
     settled. For many calls over one collection, build an index.
     """
-    terms = query_terms(queries)
-    every = settle(postings(docs, terms))
+    terms = query_terms(queries, tokens_of)
+    every = settle(postings(docs, terms, tokens_of))
     return scored(every.filter("term is not null"), terms, corpus(every))
 
 
@@ -114,14 +116,15 @@ def top_k(rows: DataFrame, k: int, score: str = "score", tie: str = "doc_id") ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), tie))).filter(F.col("rank") <= k)
 
 
-def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float, authority: DataFrame | None = None, trust: DataFrame | None = None, index=None, wanted: Column | None = None) -> DataFrame:
+def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float, authority: DataFrame | None = None, trust: DataFrame | None = None, index=None, wanted: Column | None = None, weights: dict[str, float] | None = None, tokens_of: Callable | None = None, explain: bool = False) -> DataFrame:
     """Two-stage search: 2 * limit candidates by BM25, re-ranked by the combined score.
 
     authority (domain, authority) and trust (peer, trust) are joined to the candidates alone;
     a domain without authority has 0, a peer without trust, or any without a table, one half.
     index is the path of an index of docs, or a segments.Index of them; wanted, a filter such as keep() gives, counts before the cut.
+    weights are those of the signals, scores.WEIGHTS by default; tokens_of is a tokenizer in place of the index's own, so no index is read. explain adds the signals.
     """
-    hits = bm25(docs, queries) if index is None else bm25_indexed(docs.sparkSession, index, queries) if isinstance(index, str) else index.bm25(queries)
+    hits = bm25(docs, queries, tokens_of) if tokens_of else bm25(docs, queries) if index is None else bm25_indexed(docs.sparkSession, index, queries) if isinstance(index, str) else index.bm25(queries)
     if wanted is not None:
         hits = hits.join(docs.filter(wanted).select("doc_id"), "doc_id", "left_semi")
     best = top_k(hits.withColumn("r6", F.round("score", 6)), 2 * limit, "r6").withColumnRenamed("rank", "bm25_rank")
@@ -139,8 +142,10 @@ def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float, authorit
         "title": scores.token_share(q, text.ascii_tokens(F.col("title"))),
         "url": scores.path_share(q, F.col("url")),
     }
-    rows = rows.withColumn("combined", F.round(scores.combined(**signals), 6))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("combined"), "bm25_rank"))).filter(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "url", "combined")
+    rows = rows.withColumns({f"_{n}": c for n, c in signals.items()})
+    signals = {n: F.col(f"_{n}") for n in signals}
+    rows = rows.withColumn("combined", F.round(scores.combined(weights, **signals), 6))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("combined"), "bm25_rank"))).filter(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "url", "combined", *([F.struct(*[c.alias(n) for n, c in signals.items()]).alias("signals")] if explain else []))
 
 
 #: Vectors of a block.

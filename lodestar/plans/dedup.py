@@ -90,20 +90,22 @@ def content_diff(spark, sf_dir):
 ) + " SELECT h AS root FROM l20")
 def merkle_root(spark, sf_dir):
     """Root over all texts in doc_id order: the pairs of one level are the groups of the next."""
-    return merkle(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("leaf")), "doc_id", "leaf")
-
-
-def merkle(rows, order: str, leaf: str):
-    """One row, root. Positions come from a distributed range count, and each level halves the rows."""
-    ranged = rows.select(order, F.sha2(F.concat(F.lit("leaf:"), leaf), 256).alias("h")).repartitionByRange(order).sortWithinPartitions(order).withColumns({"p": F.spark_partition_id(), "i": F.monotonically_increasing_id()})
-    sizes = ranged.groupBy("p").agg(F.count("*").alias("n"), F.min("i").alias("base"))
-    from pyspark.sql import Window
-
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    level = ranged.join(F.broadcast(before.select("p", "base", "before")), "p").select((F.col("i") - F.col("base") + F.col("before")).alias("pos"), "h")
-    n = rows.count()
-    while n > 1:
-        pairs = level.groupBy(F.expr("pos div 2").alias("up")).agg(F.min_by("h", "pos").alias("l"), F.max_by("h", "pos").alias("r"))
-        level = pairs.select(F.col("up").alias("pos"), F.sha2(F.concat("l", "r"), 256).alias("h"))
-        n = (n + 1) // 2
-    return level.select(F.col("h").alias("root"))
+    return dedup.merkle_root(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("leaf")), "doc_id", "leaf")
+
+
+_LEVEL = "SELECT pos // 2 AS pos, CASE WHEN count(*) = 2 THEN sha256(min(CASE WHEN pos % 2 = 0 THEN h END) || max(CASE WHEN pos % 2 = 1 THEN h END)) ELSE sha256(min(h) || min(h)) END AS h FROM {} GROUP BY pos // 2"
+
+
+@query(
+    "merkle_proofs",
+    f"""WITH n0 AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, sha256('leaf:' || sha256(text)) AS h FROM documents), n1 AS ({_LEVEL.format("n0")}), n2 AS ({_LEVEL.format("n1")}), c AS (SELECT count(*) AS c FROM n0)
+ SELECT n0.doc_id, n0.pos, ceil(log2(c))::INT AS steps, coalesce(s0.h, n0.h) AS first, CASE WHEN c > 2 THEN coalesce(s1.h, o1.h) END AS second, true AS valid, true AS changed_fails FROM n0, c
+ LEFT JOIN n0 s0 ON s0.pos = xor(n0.pos, 1) LEFT JOIN n1 s1 ON s1.pos = xor(n0.pos // 2, 1) LEFT JOIN n1 o1 ON o1.pos = n0.pos // 2""",
+)
+def merkle_proofs(spark, sf_dir):
+    """The proof of every document: its length and first siblings, whether it holds for the text, and whether it fails for a changed one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("leaf"), F.sha2(F.concat("text", F.lit("!")), 256).alias("changed"))
+    proofs = dedup.merkle_proofs(docs.select("doc_id", "leaf"), "doc_id", "leaf").withColumnRenamed("doc_id", "d")
+    rows = docs.join(proofs.drop("leaf"), F.col("doc_id") == F.col("d"))
+    holds = lambda c: dedup.proof_holds(F.col(c), F.col("path"), F.col("root"))
+    return rows.select("doc_id", "pos", F.size("path").alias("steps"), F.get("path", 0)["h"].alias("first"), F.get("path", 1)["h"].alias("second"), holds("leaf").alias("valid"), (~holds("changed")).alias("changed_fails"))

@@ -54,10 +54,10 @@ def result_json(spark, sf_dir):
 
 
 @query("fetched_text", f"""WITH {DOCUMENTS_SQL} SELECT doc_id, format('# {{}}' || chr(10) || 'Source: {{}}' || chr(10) || 'Domain: {{}}' || chr(10) || 'is_cached: true' || chr(10) || 'cache_age: {{:.1f}} days' || chr(10) || 'crawl_timestamp: {{:.0f}}' || chr(10), title, url, domain, ({NOW}::DOUBLE - crawled_at) / 86400, crawled_at)
- || CASE WHEN {NOW}::DOUBLE - crawled_at > 604800 THEN 'stale_warning: true (cached content older than TTL)' || chr(10) ELSE '' END || chr(10) || text AS page FROM docs WHERE floor((doc_id * 10.0) / 24) = (doc_id * 10.0) / 24""")
+ || CASE WHEN {NOW}::DOUBLE - crawled_at > 604800 THEN 'stale_warning: true (cached content older than TTL)' || chr(10) ELSE '' END || chr(10) || text AS page FROM docs""")
 def fetched_text(spark, sf_dir):
-    """Cached pages as readers get them, of documents crawled a whole tenth of days ago, as halves round differently elsewhere."""
-    docs = documents(spark, sf_dir).filter((F.col("doc_id") * 10) % 24 == 0)
+    """Cached pages as readers get them."""
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", shaping.fetched_text(F.col("title"), F.col("url"), F.col("text"), F.col("crawled_at"), NOW).alias("page"))
 
 
@@ -161,11 +161,27 @@ def dedup_results(spark, sf_dir):
 _SNIP = text.chunks_of_space_sql("lower(substr(text, 1, 200))")
 
 
-@query("snippet_mismatch", f"WITH s AS (SELECT source, doc_id, list_distinct({_SNIP}) AS w FROM documents WHERE doc_id < 200) SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id WHERE CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END < 0.2")
+@query("snippet_mismatch", f"WITH {_HIT_SQL}, s AS (SELECT query_id, rank, list_distinct({_SNIP.replace('text', 'snippet')}) AS w FROM hit) SELECT a.query_id, a.rank AS a, b.rank AS b FROM s a JOIN s b ON a.query_id = b.query_id AND a.rank < b.rank WHERE CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END < 0.2")
 def snippet_mismatch(spark, sf_dir):
-    """Pairs of reports on one subject whose words hardly agree. The first 200 documents stand for the reports of peers, their sources for subjects; a subject has a report a peer."""
-    rows = table(spark, sf_dir, "documents").filter("doc_id < 200").select("source", "doc_id", F.array_distinct(text.chunks_of_space(F.lower(F.substring("text", 1, 200)))).alias("w"))
-    return results.mismatches(rows, "source", "doc_id", "w", 0.2)
+    """Pairs of results of one query, by rank, whose snippets hardly share a word: what peers report on one subject. A query has ten results at most."""
+    rows = _hits(spark, sf_dir).select("query_id", "rank", F.array_distinct(text.chunks_of_space(F.lower(F.substring("snippet", 1, 200)))).alias("w"))
+    return results.mismatches(rows, "query_id", "rank", "w", 0.2).select(F.col("s").alias("query_id"), "a", "b")
+
+
+_DENSE = f"""{_HIT_SQL}, x AS (SELECT query_id, rank, {text.chunks_of_space_sql('d.text')} AS w, {text.ascii_tokens_sql('query')} AS q FROM ranked JOIN docs d USING (doc_id, url) JOIN queries USING (query_id)),
+ p AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS p FROM x), h AS (SELECT query_id, rank, unnest(list_filter(list_transform(p, lambda v, i: {{'i': i - 1, 'v': v}}), lambda s: list_contains(q, s.v))) AS s FROM p),
+ n AS (SELECT a.query_id, a.rank, a.s.i AS i, count(DISTINCT b.s.v) AS n, max(b.s.i) AS last FROM h a JOIN h b ON a.query_id = b.query_id AND a.rank = b.rank AND b.s.i BETWEEN a.s.i AND a.s.i + 39 GROUP BY a.query_id, a.rank, a.s.i),
+ best AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY n DESC, i) = 1), spot AS (SELECT p.*, coalesce(n, 0) AS n_terms, greatest(coalesce(i - (40 - (last - i + 1)) // 2, 0), 0) AS start FROM p LEFT JOIN best USING (query_id, rank))"""
+
+
+@query(
+    "dense_snippet",
+    f"""WITH {_DENSE} SELECT query_id, rank, n_terms::INT AS n_terms, start::INT AS start, CASE WHEN start > 0 THEN '...' ELSE '' END || array_to_string(list_transform(list_slice(w, start + 1, start + 40), lambda x, i: CASE WHEN list_contains(q, p[start + i]) THEN '<b>' || x || '</b>' ELSE x END), ' ') || CASE WHEN len(w) > start + 40 THEN '...' ELSE '' END AS snippet FROM spot""",
+)
+def dense_snippet(spark, sf_dir):
+    """The forty words of each result that hold the most different terms of its query."""
+    rows = _hits(spark, sf_dir).select("query_id", "rank", "text").join(queries(spark, sf_dir).select("query_id", text.ascii_tokens(F.col("query")).alias("terms")), "query_id")
+    return results.dense_snippets(rows, ["query_id", "rank"])
 
 
 @query(

@@ -12,12 +12,11 @@ MOST_BYTES = 256 << 20
 
 
 def whole_files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """path and content of text files of at most so many bytes; Spark's codecs read .gz and others."""
-    sizes = spark.read.format("binaryFile").load(path).select("path", "length").filter(F.col("length") <= most).select("path")  # contents are not read
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
-    # One side names files as URIs, the other as paths.
-    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
-    return texts.join(sizes.select(bare(F.col("path")).alias("_p")), bare(F.col("file")) == F.col("_p"), "left_semi").select(F.col("file").alias("path"), "content")
+    """path and content of text files; Spark's codecs read .gz and others. A file of more than so many bytes is an error, as a row must fit a task: wet() reads such by record."""
+    large = spark.read.format("binaryFile").load(path).select("path", "length").filter(F.col("length") > most).orderBy(F.desc("length")).first()  # contents are not read
+    if large is not None:
+        raise ValueError(f"{large['path']} has {large['length']} bytes, more than {most}; read it by record")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def wet(spark: SparkSession, path: str) -> DataFrame:

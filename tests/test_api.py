@@ -184,7 +184,9 @@ def test_files_from_outside(spark, tmp_path):
     (tmp_path / "in" / "a.wet.gz").write_bytes(gzip.compress((record(1) + record(2)).encode()))
     (tmp_path / "in" / "b.wet").write_text(record(3))
     assert sorted(r["target"] for r in records.wet(spark, str(tmp_path / "in")).collect()) == ["http://a/1", "http://a/2", "http://a/3"]
-    assert records.whole_files(spark, str(tmp_path / "in"), 10).count() == 0 and records.whole_files(spark, str(tmp_path / "in")).count() == 2
+    assert records.whole_files(spark, str(tmp_path / "in")).count() == 2
+    with pytest.raises(ValueError, match="by record"):
+        records.whole_files(spark, str(tmp_path / "in"), 10)
     (tmp_path / "seeds").mkdir()
     (tmp_path / "seeds" / "news.txt").write_text("# c\nhttps://a.example/\nno\n")
     (tmp_path / "seeds" / "tech.txt").write_text("http://b.example\n\n")
@@ -204,3 +206,39 @@ def test_vector_store_replaces_known_keys(spark):
     store.add(spark.createDataFrame([(2, [1.0, 1.0]), (3, [1.0, 0.1])], "vec_id long, embedding array<float>"))
     got = store.search(spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, probe array<float>"), 2).orderBy("rank").collect()
     assert store.count() == 3 and [r["doc_id"] for r in got] == [1, 3]
+
+
+def test_explanations_tell_what_ranked(spark, client):
+    rows = client.explain("the of", 5).collect()
+    hits = {r["doc_id"]: r["combined"] for r in client.search("the of", 5).collect()}
+    assert {r["doc_id"] for r in rows} == set(hits)
+    for r in rows:
+        assert sum(r[f"w_{n}"] for n in ("bm25", "freshness", "trust", "authority", "title", "url")) == pytest.approx(hits[r["doc_id"]], abs=1e-5)
+
+
+def test_profiles_and_tokenizers_reach_the_search(spark, client):
+    news = Client(spark, client.docs, NOW, profile="news")
+    assert news.weights["freshness"] == 0.45 and Client(spark, client.docs, NOW, profile="none").weights == client.weights
+    assert [r["combined"] for r in news.search("the of", 3).collect()] != [r["combined"] for r in client.search("the of", 3).collect()]
+    p = Plugins()
+    p.hook(Point.CUSTOM_TOKENIZER)(lambda c: F.split(F.lower(c), ""))
+    letters = Client(spark, client.docs, NOW, p).search("zq", 50)
+    assert letters.count() > client.search("zq", 50).count()
+
+
+def test_cut_answers_say_so(spark, client):
+    t = tools.Tools(client)
+    t.tool_all = lambda args: spark.range(120).orderBy("id")
+    pages = [json.loads(t.call("all", {"page": p})) for p in range(3)]
+    assert [len(p["results"]) for p in pages] == [50, 50, 20] and [p.get("next_page") for p in pages] == [1, 2, None]
+    assert "at most" in json.loads(t.call("batch_search", {"queries": ["a"] * 11}))["error"]
+
+
+def test_vectors_are_deleted(spark):
+    from lodestar.api.client import VectorStore
+
+    store = VectorStore(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<float>"))
+    for i in range(9):
+        store.delete(spark.createDataFrame([(i,)], "vec_id long"))
+        store.add(spark.createDataFrame([(i + 10, [1.0, 0.0])], "vec_id long, embedding array<float>"))
+    assert store.count() == 9 and len(store.vectors._jdf.queryExecution().toString()) < 20000

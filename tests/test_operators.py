@@ -1,5 +1,6 @@
 """Formulas at their boundaries, oracles on a small corpus, and the lexical search against SQLite's."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -165,3 +166,36 @@ def test_oracle(spark, duck, name):
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(catalog.QUERIES) >= 112
     assert not any(re.search(r"\bLIMIT 1000\b", s) for s in catalog.ORACLES.values())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 13])
+def test_merkle_proofs_hold_and_fail(spark, n):
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(i * 3, digest(f"text {i}")) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, leaf string").repartition(4)
+    level = [digest("leaf:" + x) for _, x in rows]
+    while len(level) > 1:
+        level = [digest(level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+    proofs = dedup.merkle_proofs(df, "doc_id", "leaf")
+    assert dedup.merkle_root(df, "doc_id", "leaf").first()["root"] == level[0]
+    got = proofs.select("doc_id", "pos", "root", F.size("path").alias("n"), dedup.proof_holds(F.col("leaf"), F.col("path"), F.col("root")).alias("ok"), dedup.proof_holds(F.lit(digest("other")), F.col("path"), F.col("root")).alias("other")).collect()
+    assert sorted((r["doc_id"], r["pos"]) for r in got) == [(i * 3, i) for i in range(n)]
+    assert all(r["root"] == level[0] and r["ok"] and not r["other"] and r["n"] == (n - 1).bit_length() for r in got)
+
+
+def test_dense_snippets_try_every_window(spark):
+    import random
+
+    from lodestar.operators import results
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["A,", "b", "C!", "x", "y", "z", "w"] + ["."] * 20) for _ in range(r.randint(0, 60))) for _ in range(40)]
+    rows = [(i, t, ["a", "b", "c"]) for i, t in enumerate([*texts, "", None, "a b c"])]
+    got = results.dense_snippets(spark.createDataFrame(rows, "k long, text string, terms array<string>"), ["k"], 7).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        words = (rows[g["k"]][1] or "").split()
+        plain = [w.lower().strip(",!.") for w in words]
+        count = lambda s: len(set(plain[s : s + 7]) & {"a", "b", "c"})
+        most = max([count(s) for s in range(len(words))], default=0)
+        assert g["n_terms"] == most == count(g["start"])
