@@ -90,9 +90,14 @@ def prune_peers(spark, sf_dir):
 _CALLS = Literal("calls", "id long, tool string, api_key string, args string", ((1, "search", "k1", '{"query":"x","api_key":"k1"}'), (2, "fetch_page", "", '{"url":"https://a.example/","password":"p"}'), (3, "status", None, "{}"), (4, "search", "k2", None)))
 
 
-@query("audit_log", f"WITH {_CALLS.sql} SELECT id, tool, CASE WHEN api_key <> '' THEN substr(sha256(api_key), 1, 16) END AS key_hash, CASE id WHEN 1 THEN '{{\"query\":\"x\"}}' WHEN 2 THEN '{{\"url\":\"https://a.example/\"}}' END AS arguments FROM calls")
+@query("audit_log", f"WITH {_CALLS.sql} SELECT id, tool, CASE WHEN api_key <> '' THEN substr(sha256(api_key), 1, 16) END AS key_hash, CASE id WHEN 1 THEN '{{\"query\":\"x\"}}' WHEN 2 THEN '{{\"url\":\"https://a.example/\"}}' END AS arguments FROM calls UNION ALL SELECT -event_id - 1, event_type, CASE WHEN user_id % 3 > 0 THEN substr(sha256('k' || user_id), 1, 16) END, '{{\"query\":\"q' || event_id || '\"}}' FROM events")
 def audit_log(spark, sf_dir):
-    return _CALLS.frame(spark).select("id", *[c.alias(n) for n, c in m.audit_line(F.col("tool"), F.col("api_key"), F.col("args")).items()])
+    """What is written down of calls: some of every kind, and one an event, whose user has a key or none."""
+    e = table(spark, sf_dir, "events")
+    key = F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("k"), F.col("user_id").cast("string")))
+    args = F.format_string('{"query":"q%d","api_key":"%s"}', F.col("event_id"), F.coalesce(key, F.lit("")))
+    calls = _CALLS.frame(spark).unionByName(e.select((-F.col("event_id") - 1).alias("id"), F.col("event_type").alias("tool"), key.alias("api_key"), args.alias("args")))
+    return calls.select("id", *[c.alias(n) for n, c in m.audit_line(F.col("tool"), F.col("api_key"), F.col("args")).items()])
 
 
 @query(

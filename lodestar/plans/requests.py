@@ -96,13 +96,16 @@ def _list(new: str, old: str) -> str:
 
 @query(
     "extract_filters",
-    f"""WITH {CALLS.sql} SELECT id, nullif(json_extract_string(args, '$.language'), '') AS language, CASE WHEN json_extract_string(args, '$.recency_days') IS NOT NULL
+    f"""WITH {CALLS.sql.replace("calls AS", "few AS")}, calls AS (SELECT * FROM few UNION ALL SELECT -doc_id - 1, json_object('language', lang, 'recency_days', doc_id % 30 - 5, 'date_from', doc_id, 'include_domains', [source])::VARCHAR FROM documents) SELECT id, nullif(json_extract_string(args, '$.language'), '') AS language, CASE WHEN json_extract_string(args, '$.recency_days') IS NOT NULL
  THEN CASE WHEN TRY_CAST(json_extract_string(args, '$.recency_days') AS INT) > 0 THEN {NOW}::DOUBLE - TRY_CAST(json_extract_string(args, '$.recency_days') AS INT) * 86400.0::DOUBLE END
  ELSE json_extract_string(args, '$.date_from')::DOUBLE END AS date_from, json_extract_string(args, '$.date_to')::DOUBLE AS date_to,
  {_list('domain_allowlist', 'include_domains')} AS include, {_list('domain_blocklist', 'exclude_domains')} AS exclude FROM calls""",
 )
 def extract_filters(spark, sf_dir):
-    return CALLS.frame(spark).withColumn("f", requests.filters(F.col("args"), NOW)).select("id", "f.*")
+    """The filters of calls: some of every kind, and one for each document that asks for its language, source and age."""
+    asked_for = F.to_json(F.struct(F.col("lang").alias("language"), (F.col("doc_id") % 30 - 5).alias("recency_days"), F.col("doc_id").alias("date_from"), F.array("source").alias("include_domains")))
+    calls = CALLS.frame(spark).unionByName(table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("id"), asked_for.alias("args")))
+    return calls.withColumn("f", requests.filters(F.col("args"), NOW)).select("id", "f.*")
 
 
 _CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(substr(q, 1, 1000), '["()*{}^:]', ' ', 'g'), '(?i)\b(AND|OR|NOT|NEAR)\b', ' ', 'g'), '\s+', ' ', 'g'))"""
@@ -119,12 +122,14 @@ _WEIGHTS = Literal("profiles", "profile string, bm25 double, freshness double, t
 _WANTED = Literal("wanted", "id long, name string", ((1, "news"), (2, "tech-docs"), (3, "academic"), (4, "default"), (5, "unknown"), (6, None)))
 
 
-@query("ranking_profile", f"WITH {_WEIGHTS.sql}, {_WANTED.sql} SELECT id, p.* FROM wanted JOIN profiles p ON p.profile = CASE WHEN name IN (SELECT profile FROM profiles) THEN name ELSE 'default' END")
+@query("ranking_profile", f"WITH {_WEIGHTS.sql}, {_WANTED.sql.replace('wanted AS', 'few AS')}, wanted AS (SELECT * FROM few UNION ALL SELECT -doc_id - 1, CASE doc_id % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'academic' WHEN 2 THEN source END FROM documents) SELECT id, p.* FROM wanted JOIN profiles p ON p.profile = CASE WHEN name IN (SELECT profile FROM profiles) THEN name ELSE 'default' END")
 def ranking_profile(spark, sf_dir):
-    """The weights of a named profile, those of the default one for any other name."""
+    """The weights of a named profile, those of the default one for any other name; documents ask for one by their number or source."""
+    of = F.when(F.col("doc_id") % 4 == 0, "news").when(F.col("doc_id") % 4 == 1, "academic").when(F.col("doc_id") % 4 == 2, F.col("source"))
+    wanted = _WANTED.frame(spark).unionByName(table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("id"), of.alias("name")))
     p = F.broadcast(_WEIGHTS.frame(spark))
     name = F.when(F.col("name").isin(*requests.PROFILES), F.col("name")).otherwise("default")
-    return _WANTED.frame(spark).withColumn("profile", name).drop("name").join(p, "profile").select("id", *p.columns)
+    return wanted.withColumn("profile", name).drop("name").join(p, "profile").select("id", *p.columns)
 
 
 _LOCKED = Literal("locked", "doc_id long, text string", ((-1, "Please SUBSCRIBE to Continue reading"), (-2, "Sign in to read this"), (-3, "free account"), (-4, None)))
@@ -154,15 +159,17 @@ _LISTED = Literal("listed", "ip string, list string", (("10.0.0.1", "allow"), ("
 
 @query(
     "access",
-    f"""WITH {_USES.sql}, {_TOOLS.sql}, {_LISTED.sql} SELECT id, role IS NULL OR tool NOT IN (SELECT tool FROM tool_roles) OR EXISTS (SELECT 1 FROM tool_roles t WHERE t.tool = u.tool AND t.role = u.role) AS role_ok,
+    f"""WITH {_USES.sql.replace("uses AS", "few AS")}, {_TOOLS.sql}, {_LISTED.sql}, uses AS (SELECT * FROM few UNION ALL SELECT -event_id - 1, ['search', 'fetch_page', 'crawl_url', 'analytics', 'other'][event_id % 5 + 1], ['admin', 'reader', 'crawler', NULL][user_id % 4 + 1], '10.0.0.' || user_id % 6 FROM events) SELECT id, role IS NULL OR tool NOT IN (SELECT tool FROM tool_roles) OR EXISTS (SELECT 1 FROM tool_roles t WHERE t.tool = u.tool AND t.role = u.role) AS role_ok,
  NOT EXISTS (SELECT 1 FROM listed l WHERE l.ip = u.ip AND list = 'block') AND (NOT EXISTS (SELECT 1 FROM listed WHERE list = 'allow') OR EXISTS (SELECT 1 FROM listed l WHERE l.ip = u.ip AND list = 'allow')) AS ip_ok FROM uses u""",
 )
 def access(spark, sf_dir):
-    """Whether a call's role may use its tool, and whether its address may call: blocked ones never, others if listed or none is."""
+    """Whether a call's role may use its tool, and whether its address may call: blocked ones never, others if listed or none is. Every event is a call, its user's number tells role and address."""
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), n.cast("int"))
+    calls = table(spark, sf_dir, "events").select((-F.col("event_id") - 1).alias("id"), pick(["search", "fetch_page", "crawl_url", "analytics", "other"], F.col("event_id") % 5).alias("tool"), pick(["admin", "reader", "crawler", None], F.col("user_id") % 4).alias("role"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 6).cast("string")).alias("ip"))
     listed = _LISTED.frame(spark)
     marks = listed.groupBy("ip").agg(F.bool_or(F.col("list") == "block").alias("blocked"), F.bool_or(F.col("list") == "allow").alias("allowed"))
     none = listed.agg((F.count_if(F.col("list") == "allow") == 0).alias("all"))
-    rows = _USES.frame(spark).join(F.broadcast(marks), "ip", "left").crossJoin(F.broadcast(none))  # one row
+    rows = _USES.frame(spark).unionByName(calls).join(F.broadcast(marks), "ip", "left").crossJoin(F.broadcast(none))  # one row
     ok = ~F.coalesce("blocked", F.lit(False)) & (F.col("all") | F.coalesce("allowed", F.lit(False)))
     return rows.select("id", requests.may_use(F.col("tool"), F.col("role")).alias("role_ok"), ok.alias("ip_ok"))
 
@@ -174,11 +181,15 @@ _CHOICES = Literal("choices", "name string, choice string", tuple((k, c) for k,
 
 @query(
     "settings_checked",
-    f"""WITH {_SETTINGS.sql}, {_BOUNDS.sql}, {_CHOICES.sql} SELECT s.name, value AS given, CASE WHEN b.name IS NOT NULL AND TRY_CAST(value AS DOUBLE) IS NOT NULL THEN CASE WHEN TRY_CAST(value AS DOUBLE) BETWEEN lo AND hi THEN value ELSE greatest(lo, least(hi, TRY_CAST(value AS DOUBLE)))::VARCHAR END
+    f"""WITH {_SETTINGS.sql.replace("settings AS", "few AS")}, settings AS (SELECT * FROM few UNION ALL SELECT ['listen_port', 'cpu_nice', 'log_level', 'other'][event_id % 4 + 1], CASE event_id % 4 WHEN 2 THEN event_type ELSE (event_id % 70000)::VARCHAR END FROM events), {_BOUNDS.sql}, {_CHOICES.sql} SELECT s.name, value AS given, CASE WHEN b.name IS NOT NULL AND TRY_CAST(value AS DOUBLE) IS NOT NULL THEN CASE WHEN TRY_CAST(value AS DOUBLE) BETWEEN lo AND hi THEN value ELSE greatest(lo, least(hi, TRY_CAST(value AS DOUBLE)))::VARCHAR END
  WHEN s.name IN (SELECT name FROM choices) AND NOT EXISTS (SELECT 1 FROM choices c WHERE c.name = s.name AND choice = lower(value)) THEN NULL ELSE value END AS value FROM settings s LEFT JOIN bounds b USING (name)""",
 )
 def settings_checked(spark, sf_dir):
-    return _SETTINGS.frame(spark).select("name", F.col("value").alias("given"), requests.setting_value(F.col("name"), F.col("value")).alias("value"))
+    """Settings held to their bounds and choices: some of every kind, and one an event."""
+    name = F.get(F.array(*map(F.lit, ["listen_port", "cpu_nice", "log_level", "other"])), (F.col("event_id") % 4).cast("int"))
+    value = F.when(F.col("event_id") % 4 == 2, F.col("event_type")).otherwise((F.col("event_id") % 70000).cast("string"))
+    given = _SETTINGS.frame(spark).unionByName(table(spark, sf_dir, "events").select(name.alias("name"), value.alias("value")))
+    return given.select("name", F.col("value").alias("given"), requests.setting_value(F.col("name"), F.col("value")).alias("value"))
 
 
 @query("takedown_filter", f"WITH {DOCUMENTS_SQL}, gone AS (SELECT DISTINCT url FROM docs JOIN labels USING (doc_id) WHERE toxic = 1) SELECT doc_id, url FROM docs WHERE url NOT IN (SELECT url FROM gone)")

@@ -64,10 +64,10 @@ def fetched_text(spark, sf_dir):
 _CUT = Literal("cut", "doc_id long, text string", ((-1, "ééééé"), (-2, "日本語テキスト"), (-3, "a😀b😀c"), (-4, ""), (-5, "abcdefghijklmnop"), (-6, "ab日"), (-7, "abcé")))
 
 
-@query("truncate_bytes", "SELECT * FROM (VALUES (-1::BIGINT, 'ééé'), (-2, '日本'), (-3, 'a😀b'), (-4, ''), (-5, 'abcdefg'), (-6, 'ab日'), (-7, 'abcé')) v(doc_id, head)")
+@query("truncate_bytes", "SELECT * FROM (VALUES (-1::BIGINT, 'ééé'), (-2, '日本'), (-3, 'a😀b'), (-4, ''), (-5, 'abcdefg'), (-6, 'ab日'), (-7, 'abcé')) v(doc_id, head) UNION ALL SELECT doc_id, left(text, list_max(list_filter(range(0, 8), lambda k: strlen(left(text, k::INT)) <= 7))::INT) FROM documents")
 def truncate_bytes(spark, sf_dir):
     """At most 7 bytes of each text, no character broken."""
-    return _CUT.frame(spark).select("doc_id", shaping.truncated(F.col("text"), 7).alias("head"))
+    return _CUT.frame(spark).unionByName(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", shaping.truncated(F.col("text"), 7).alias("head"))
 
 
 @query("token_estimate", "SELECT doc_id, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents")
@@ -83,17 +83,23 @@ def query_hash(spark, sf_dir):
 _SENT = Literal("said", "doc_id long, text string", ((-1, "First one is here. Second follows it! no capital? Third says more.  Short. 这是一个比较长的中文句子哦。"), (-2, "tiny"), (-3, "")))
 
 
-@query("sentences", "SELECT * FROM (VALUES (-1::BIGINT, 'First one is here.', 0), (-1, 'Second follows it! no capital?', 19), (-1, 'Third says more.', 50), (-1, '这是一个比较长的中文句子哦。', 75)) v(doc_id, sentence, \"offset\")")
+@query("sentences", "SELECT * FROM (VALUES (-1::BIGINT, 'First one is here.', 0), (-1, 'Second follows it! no capital?', 19), (-1, 'Third says more.', 50), (-1, '这是一个比较长的中文句子哦。', 75)) v(doc_id, sentence, \"offset\") UNION ALL SELECT doc_id, sentence, start FROM (SELECT doc_id, unnest(list_transform(p, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS sentence, unnest(list_transform(p, lambda x, i: coalesce(list_sum(list_transform(p[:i - 1], lambda y: length(y))), 0)::INT)) AS start FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])(\\s+)([A-Z\\x{4e00}-\\x{9fff}])', '\\1\\2' || chr(2) || '\\3', 'g'), chr(2)) AS p FROM documents)) WHERE length(sentence) > 10")
 def sentences(spark, sf_dir):
-    return _SENT.frame(spark).select("doc_id", F.inline(shaping.sentences(F.col("text"))))
+    """Sentences of some texts and of all documents, with their places."""
+    texts = _SENT.frame(spark).unionByName(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return texts.select("doc_id", F.inline(shaping.sentences(F.col("text"))))
 
 
 _ANSWERS = Literal("answers", "id long, response string, n int", ((1, "[3, 1, 2]", 4), (2, "order: [2,2,9,0] ok", 3), (3, "none", 2), (4, "[]", 3), (5, "[ 5 ]", 2)))
 
 
-@query("rerank_order", "SELECT * FROM (VALUES (1::BIGINT, '3,1,2,4'), (2, '2,1,3'), (3, NULL), (4, '1,2,3'), (5, '1,2')) v(id, places)")
+@query("rerank_order", "SELECT * FROM (VALUES (1::BIGINT, '3,1,2,4'), (2, '2,1,3'), (3, NULL), (4, '1,2,3'), (5, '1,2')) v(id, places) UNION ALL SELECT -conv_id * 1000 - turn - 1, CASE turn WHEN 1 THEN '2,1,3' WHEN 2 THEN '3,1,2' ELSE '1,2,3' END FROM conversations")
 def rerank_order(spark, sf_dir):
-    return _ANSWERS.frame(spark).select("id", F.array_join(shaping.order_of(F.col("response"), F.col("n")), ",").alias("places"))
+    """The orders in answers: some, and one before each turn of the conversations."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.concat(F.lit("["), (F.col("turn") + 1).cast("string"), F.lit(", 1] "), "text")
+    answers = _ANSWERS.frame(spark).unionByName(c.select((-F.col("conv_id") * 1000 - F.col("turn") - 1).alias("id"), said.alias("response"), F.lit(3).alias("n")))
+    return answers.select("id", F.array_join(shaping.order_of(F.col("response"), F.col("n")), ",").alias("places"))
 
 
 @query("adaptive_timeout", f"WITH {EVENTS_SQL}, p AS (SELECT peer, avg(value) FILTER (event_type <> 'error') AS latency FROM ev GROUP BY peer) SELECT peer, round(CASE WHEN coalesce(latency, 0) = 0 THEN 2000::DOUBLE ELSE greatest(500::DOUBLE, least(2000 * latency / 200, 5000::DOUBLE)) END, 6) AS timeout FROM p")
@@ -112,9 +118,12 @@ def work_proof(spark, sf_dir):
 _IPS = Literal("ips", "ip string", (("10.1.2.3",), ("192.168.0.255",), ("2001:db8::1",), ("2001:0db8:0001:2::5",), ("::1",), ("fe80:0:0:1:2:3:4:5",)))
 
 
-@query("subnets", "SELECT * FROM (VALUES ('10.1.2.3', '10.1.2.0/24'), ('192.168.0.255', '192.168.0.0/24'), ('2001:db8::1', '2001:db8::/48'), ('2001:0db8:0001:2::5', '2001:db8:1::/48'), ('::1', '::/48'), ('fe80:0:0:1:2:3:4:5', 'fe80::/48')) v(ip, subnet)")
+@query("subnets", "SELECT * FROM (VALUES ('10.1.2.3', '10.1.2.0/24'), ('192.168.0.255', '192.168.0.0/24'), ('2001:db8::1', '2001:db8::/48'), ('2001:0db8:0001:2::5', '2001:db8:1::/48'), ('::1', '::/48'), ('fe80:0:0:1:2:3:4:5', 'fe80::/48')) v(ip, subnet) UNION ALL SELECT '2001:db8:' || printf('%x', c_custkey % 65535 + 1) || '::' || printf('%x', c_nationkey + 1), '2001:db8:' || printf('%x', c_custkey % 65535 + 1) || '::/48' FROM customer")
 def subnets(spark, sf_dir):
-    return _IPS.frame(spark).select("ip", shaping.subnet(F.col("ip")).alias("subnet"))
+    """Networks of some addresses, and of one for each customer."""
+    hexed = lambda c: F.lower(F.hex(c.cast("long")))
+    ip = F.concat(F.lit("2001:db8:"), hexed(F.col("c_custkey") % 65535 + 1), F.lit("::"), hexed(F.col("c_nationkey") + 1))
+    return _IPS.frame(spark).unionByName(table(spark, sf_dir, "customer").select(ip.alias("ip"))).select("ip", shaping.subnet(F.col("ip")).alias("subnet"))
 
 
 _REMOTE = "remote AS (SELECT query_id, 'https://remote/' || doc_id AS url, round(combined * 1.1, 6) AS score, rank FROM ranked WHERE rank % 2 = 0 UNION ALL SELECT query_id, url, 2.0, rank FROM ranked WHERE rank % 2 = 1)"
@@ -226,10 +235,12 @@ def window_snippet(spark, sf_dir):
 _MERGED = Literal("merged", "id long, fts double, vec double, rrf double", ((1, 0.25, 0.5, 0.03125), (2, None, 0.75, 0.015), (3, 1.5, None, 0.016), (4, None, None, 0.0)))
 
 
-@query("merged_scores", f"WITH {_MERGED.sql} SELECT id, coalesce(nullif(concat_ws(', ', CASE WHEN fts IS NOT NULL THEN format('BM25={{:.3f}}', fts) END, CASE WHEN vec IS NOT NULL THEN format('sim={{:.3f}}', vec) END), ''), 'N/A') || format(' (RRF={{:.4f}})', round(rrf, 4)) AS shown FROM merged")
+@query("merged_scores", f"WITH {_MERGED.sql.replace('merged AS', 'few AS')}, merged AS (SELECT * FROM few UNION ALL SELECT -event_id - 1, CASE WHEN event_id % 3 > 0 THEN floor(value) / 8 END, CASE WHEN event_id % 5 > 0 THEN (event_id % 8) / 8.0::DOUBLE END, (event_id % 16) / 16.0::DOUBLE FROM events) SELECT id, coalesce(nullif(concat_ws(', ', CASE WHEN fts IS NOT NULL THEN format('BM25={{:.3f}}', fts) END, CASE WHEN vec IS NOT NULL THEN format('sim={{:.3f}}', vec) END), ''), 'N/A') || format(' (RRF={{:.4f}})', round(rrf, 4)) AS shown FROM merged")
 def merged_scores(spark, sf_dir):
-    """Scores of hybrid results as text."""
-    return _MERGED.frame(spark).select("id", shaping.merged_parts(F.col("fts"), F.col("vec"), F.col("rrf")).alias("shown"))
+    """Scores of hybrid results as text: some, and one made of each event."""
+    e = table(spark, sf_dir, "events")
+    made = e.select((-F.col("event_id") - 1).alias("id"), F.when(F.col("event_id") % 3 > 0, F.floor("value") / 8).alias("fts"), F.when(F.col("event_id") % 5 > 0, (F.col("event_id") % 8) / 8).alias("vec"), ((F.col("event_id") % 16) / 16).alias("rrf"))
+    return _MERGED.frame(spark).unionByName(made).select("id", shaping.merged_parts(F.col("fts"), F.col("vec"), F.col("rrf")).alias("shown"))
 
 
 @query("answer_text", f"WITH {RANKED_SQL}, g AS (SELECT query_id, list(url ORDER BY rank) AS l, count(*) AS n FROM ranked GROUP BY query_id) SELECT query_id, 'Found ' || n || ' results (12ms, local)' || chr(10) || '  Local: ' || n || ', Remote: 0' || chr(10) || chr(10) || array_to_string(l, chr(10)) AS answer FROM g")
