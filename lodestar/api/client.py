@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import passages, quality, requests, shaping
-from ..operators import extraction, graph, maintenance, ranking, search
+from ..operators import extraction, graph, maintenance, ranking, search, vectors
 from ..storage import settle
 from .plugins import Plugins, Point
 
@@ -131,16 +131,16 @@ class VectorStore:
     #: Changes after which the vectors are written anew, so that no plan grows with them.
     CHANGES = 8
 
-    def __init__(self, vectors: DataFrame):
-        self.vectors, self._changes = vectors.select("vec_id", "embedding"), 0
+    def __init__(self, rows: DataFrame):
+        self.vectors, self._changes = rows.select("vec_id", "embedding"), 0
 
-    def _changed(self, vectors: DataFrame) -> None:
+    def _changed(self, rows: DataFrame) -> None:
         self._changes += 1
-        self.vectors = settle(vectors) if self._changes % self.CHANGES == 0 else vectors
+        self.vectors = settle(rows) if self._changes % self.CHANGES == 0 else rows
 
-    def add(self, vectors: DataFrame) -> None:
+    def add(self, rows: DataFrame) -> None:
         """Adds rows; one of a known key takes the old one's place."""
-        new = vectors.select("vec_id", "embedding")
+        new = rows.select("vec_id", "embedding")
         self._changed(self.vectors.join(new.select("vec_id"), "vec_id", "left_anti").unionByName(new))
 
     def delete(self, keys: DataFrame) -> None:
@@ -149,7 +149,7 @@ class VectorStore:
 
     def search(self, probes: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
         """query_id, doc_id, score, rank: the nearest to each probe (query_id, probe)."""
-        return search.vector_top_k(self.vectors, probes, k, least)
+        return vectors.nearest(self.vectors, probes, k, least)
 
     def count(self) -> int:
         return self.vectors.count()

@@ -71,7 +71,8 @@ def sentences(text: Column, least: int = 10) -> Column:
     marked = F.regexp_replace(text, r"(?<=[.!?])(\s+)(?=[A-Z\u4e00-\u9fff])", "$1\x02")
     pieces = F.split(marked, "\x02")
     starts = F.aggregate(pieces, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x))))
-    rows = F.transform(pieces, lambda x, i: F.struct(F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")).alias("sentence"), F.get(starts, i).alias("offset")))
+    # The starts are one more; what stands beside the last is null and goes.
+    rows = F.zip_with(pieces, starts, lambda x, s: F.struct(F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")).alias("sentence"), s.alias("offset")))
     return F.filter(rows, lambda r: F.length(r["sentence"]) > least)
 
 

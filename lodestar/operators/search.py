@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,59 +146,6 @@ def ranked(docs: DataFrame, queries: DataFrame, limit: int, now: float, authorit
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("combined"), "bm25_rank"))).filter(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "url", "combined", *([F.struct(*[c.alias(n) for n, c in signals.items()]).alias("signals")] if explain else []))
 
 
-#: Vectors of a block.
-BLOCK = 1024
-
-
-def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """ids, dim, data: the vectors of one length that have a direction, as unit vectors packed in blocks."""
-
-    def run(batches):
-        for b in batches:
-            by_dim: dict[int, list] = {}
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.array(v, np.float64) if i is not None and v and None not in v else np.zeros(0)
-                norm = np.sqrt(x @ x) if len(x) else 0.0
-                if norm > 0 and np.isfinite(norm):
-                    by_dim.setdefault(len(x), []).append((i, x / norm))
-            for dim, held in by_dim.items():
-                for s in range(0, len(held), BLOCK):
-                    part = held[s : s + BLOCK]
-                    yield pa.RecordBatch.from_arrays([pa.array([np.array([i for i, _ in part], np.int64).tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([np.stack([x for _, x in part]).tobytes()], pa.binary())], ["ids", "dim", "data"])
-
-    return rows.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "ids binary, dim int, data binary")
-
-
-def _nearest(k: int, least: float):
-    """Pairs of blocks (ids, dim, data, ids, data) to the k nearest of the first for each of the second."""
-
-    def run(batches):
-        for b in batches:
-            for ids, dim, data, probes, asked in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                ids, probes = np.frombuffer(ids, np.int64), np.frombuffer(probes, np.int64)
-                near = np.round(np.frombuffer(asked).reshape(-1, dim) @ np.frombuffer(data).reshape(-1, dim).T, 4)
-                near[probes[:, None] == ids[None, :]] = -np.inf
-                best = np.stack([np.lexsort((ids, -row))[:k] for row in near])
-                score = np.take_along_axis(near, best, 1)
-                keep = score >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(probes, keep.sum(1))), pa.array(ids[best[keep]]), pa.array(score[keep])], ["query_id", "doc_id", "score"])
-
-    return run
-
-
-def vector_top_k(vectors: DataFrame, probes: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """query_id, doc_id, score, rank: the k nearest vectors by cosine to each probe (query_id, probe), probes excluded.
-
-    Blocks of vectors meet blocks of probes in one matrix product each, neither side is
-    broadcast, and each pair of blocks passes on k rows a probe. Vectors without a
-    direction (null, zero or not finite) are near nothing.
-    """
-    asked = _blocks(probes, "query_id", "probe").withColumnsRenamed({"ids": "probes", "data": "asked", "dim": "d"})
-    pairs = _blocks(vectors, "vec_id", "embedding").hint("shuffle_replicate_nl").join(asked, F.col("dim") == F.col("d"))
-    rows = pairs.select("ids", "dim", "data", "probes", "asked").mapInArrow(_nearest(k, least), "query_id long, doc_id long, score double")
-    return top_k(rows, k)
-
-
 def rrf(text_hits: DataFrame, vector_hits: DataFrame, k: int = 60, text_weight: float = 1.0, vector_weight: float = 1.0) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, doc_id, rank)."""
     a = text_hits.select("query_id", "doc_id", F.col("rank").alias("fts_rank"))
@@ -226,7 +171,8 @@ def shared_pairs(rows: DataFrame, terms: str) -> DataFrame:
     # In one select the numbers would be given after the explode.
     held = rows.select(F.monotonically_increasing_id().alias("row"), terms).select("row", F.explode(terms).alias("term"))
     often = held.groupBy("term").agg(F.count("*").alias("n")).filter("n > 1").select("term")
-    sets = held.join(often, "term", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("term")).alias("w"))
-    a = sets.select("w", F.posexplode("w").alias("i", "term_a"))
-    pairs = a.select("term_a", F.explode(F.expr("slice(w, i + 2, size(w))")).alias("term_b"))
+    # The terms of a row meet in a join, which keeps none of its sets in an array and may be split where a row is long.
+    kept = settle(held.join(often, "term", "left_semi").select("row", "term"))
+    a, b = kept.select("row", F.col("term").alias("term_a")), kept.select("row", F.col("term").alias("term_b"))
+    pairs = a.join(b, "row").filter("term_a < term_b")
     return pairs.groupBy("term_a", "term_b").agg(F.count("*").alias("times")).filter("times > 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import passages as ps
 from ..functions import quality, scores, text
+from ..operators import segmentation
 from ..registry import query
 from ..sources.literal import Literal
 from ..sources.tables import DOCUMENTS_SQL, documents, table
@@ -152,3 +153,17 @@ def summary_verify(spark, sf_dir):
     rows = rows.withColumn("coverage", F.round(F.when(F.col("facts") == 0, 0.0).otherwise(F.col("found") / F.col("facts")), 4))
     passed = ((F.col("facts") < 3) | (F.col("coverage") >= 0.3)) & ~F.col("contradiction")
     return rows.select("doc_id", "coverage", "contradiction", F.when(passed, "self_verified").otherwise("unverified").alias("level"), F.round(F.when(passed, 0.5 + 0.2 * F.col("coverage")).otherwise(0.0), 4).alias("quality"))
+
+
+_SPACED, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上国个到说们为子和你地出"
+
+
+@query("segmented_words")
+def segmented_words(spark, sf_dir):
+    """Words of all documents written with a sign for each letter and without spaces, by a lexicon learned from them, and how many of the true words were found."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("spaced"))
+    signs = docs.select("doc_id", "spaced", F.translate(F.regexp_replace("spaced", " ", ""), _SPACED, _SIGNS).alias("text"))
+    tokens = segmentation.segmented(signs, segmentation.lexicon(signs)).select(F.col("doc_id").alias("d"), "tokens")
+    true = F.array_distinct(F.regexp_extract_all(F.translate("spaced", _SPACED, _SIGNS), F.lit(f"([{_SIGNS}]+)"), 1))
+    both = signs.join(tokens, F.col("doc_id") == F.col("d"))
+    return both.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("digest"), F.size(F.array_intersect(F.array_distinct("tokens"), true)).alias("n_true"))

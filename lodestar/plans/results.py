@@ -126,6 +126,17 @@ def subnets(spark, sf_dir):
     return _IPS.frame(spark).unionByName(table(spark, sf_dir, "customer").select(ip.alias("ip"))).select("ip", shaping.subnet(F.col("ip")).alias("subnet"))
 
 
+_TOLD = {"bm25": "score / (score + top)", "freshness": scores.freshness_sql("crawled_at", NOW), "trust": "0.5::DOUBLE", "authority": "0::DOUBLE", "title": "CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q)::DOUBLE END", "url": "CASE WHEN len(q) = 0 OR p = '' THEN 0 ELSE len(list_filter(q, lambda x: contains(p, x))) / len(q)::DOUBLE END"}
+
+
+@query("explained_search", f"WITH {FEATURES_SQL}, told AS (SELECT *, {', '.join(f'round({v} * {_W[n]}::DOUBLE, 6) AS w_{n}' for n, v in _TOLD.items())} FROM feat), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({' + '.join(f'{_W[n]}::DOUBLE * ({v})' for n, v in _TOLD.items())}, 6) DESC, bm25_rank) AS rank FROM told) SELECT query_id, rank, doc_id, {', '.join(f'w_{n}' for n in _W)} FROM o WHERE rank <= 10")
+def explained_search(spark, sf_dir):
+    """The weighted signals that ranked the results of each query."""
+    rows = search.ranked(documents(spark, sf_dir), queries(spark, sf_dir), 10, NOW, explain=True)
+    parts = shaping.explanation({n: F.col(f"signals.{n}") for n in _W})
+    return rows.select("query_id", "rank", "doc_id", *[parts[f"w_{n}"].alias(f"w_{n}") for n in _W])
+
+
 _REMOTE = "remote AS (SELECT query_id, 'https://remote/' || doc_id AS url, round(combined * 1.1, 6) AS score, rank FROM ranked WHERE rank % 2 = 0 UNION ALL SELECT query_id, url, 2.0, rank FROM ranked WHERE rank % 2 = 1)"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import search, segments
+from ..operators import search, segments, vectors
 from ..registry import query
 from ..sources.tables import DOCUMENTS_SQL, NOW, QUERIES_SQL, documents, queries, table
 from ..storage import new_path
@@ -100,7 +100,7 @@ vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return search.vector_top_k(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe")), LIMIT)
+    return vectors.nearest(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe")), LIMIT)
 
 
 @query("vector_topk", f"WITH {VECTOR_SQL} SELECT query_id, doc_id, score, rank FROM vec")
