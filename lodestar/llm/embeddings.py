@@ -179,10 +179,10 @@ def _join(reps: DataFrame, cosine: float, dim: int) -> DataFrame:
             for k in range(len(grid.blocks)):
                 c = grid.cells(turned, k)
                 cell, n = np.unique(c[:, 0] * grid.across[k] + c[:, 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k), pa.int32()), pa.array(cell, pa.int32()), pa.array(n, pa.int64())], ["k", "cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k), pa.int32()), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["k", "cell", "n"])
 
     # The grid bounds these rows: cells of [-1, 1] squared, for each block.
-    counted = reps.select("v").mapInArrow(count, "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).collect()
+    counted = reps.select("v").mapInArrow(count, "k int, cell long, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).collect()
     salts = {(r["k"], r["cell"]): -(-r["n"] // HOME) for r in counted}
 
     def spread(batches):
@@ -211,9 +211,9 @@ def _join(reps: DataFrame, cosine: float, dim: int) -> DataFrame:
                             salt.append(t)
                             role.append(1)
                 row = np.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k), pa.int32()), pa.array(cell, pa.int32()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row))], ["k", "cell", "salt", "role", "id", "w", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k), pa.int32()), pa.array(cell, pa.int64()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row))], ["k", "cell", "salt", "role", "id", "w", "v"])
 
-    rows = reps.select("id", "w", "v").mapInArrow(spread, "k int, cell int, salt int, role int, id long, w long, v binary")
+    rows = reps.select("id", "w", "v").mapInArrow(spread, "k int, cell long, salt int, role int, id long, w long, v binary")
     dealt = rows.repartition(tasks(reps.sparkSession), "k", "cell", "salt").sortWithinPartitions("k", "cell", "salt", "role")
     return settle(dealt.mapInArrow(_compare(grid), "a long, b long, n long"))
 

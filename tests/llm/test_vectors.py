@@ -67,3 +67,14 @@ def test_small_steps(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "STEP", 16)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, embeddings.near_vectors(df).collect())) == _brute(rows)
+
+
+def test_a_flat_axis_and_an_outlier(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    flat = [(i, [*r.normal(size=2).tolist(), 0.0, 0.0]) for i in range(60)]
+    rows = flat + [(100, [0.0, 0.0, 1.0, 0.0]), (101, [0.0, 0.0, 0.9, 1.0]), (102, [0.0, 0.0, 0.91, 1.0])]
+    monkeypatch.setattr(embeddings, "SAMPLE", 30)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, embeddings.near_vectors(df).collect())) == _brute(rows)
+    grid = embeddings.Grid(np.array([v for _, v in flat]), 0.9)
+    assert all(np.isfinite(grid.cells(grid.turn(np.array([[0.0, 0.0, 1.0, 0.0]])), k)).all() for k in range(len(grid.blocks)))
