@@ -15,7 +15,7 @@ A string starts in exactly one stretch, so stretches never match themselves.
 A piece of SEED bytes that a sample shows to be very frequent is an anchor only of strings that
 have no other piece, so the many surroundings of a passage in a third of all documents do not
 crowd one task. Strings of such pieces alone that the sample holds twice are known to be
-repeated, by their fingerprints, and are not dealt at all.
+repeated and are not dealt at all: their fingerprints find them, their bytes decide.
 """
 
 from __future__ import annotations
@@ -46,6 +46,46 @@ HOT_ROWS, SAMPLE = 1 << 18, 64
 _NONE = np.zeros(0, np.uint64)
 
 
+class Known:
+    """Strings that are repeated for certain: sorted fingerprints, and where the bytes of each stand in a book."""
+
+    def __init__(self, runs: list[bytes], length: int, prints: np.ndarray | None = None):
+        """All strings of `length` bytes in runs, or those of the given fingerprints."""
+        self.length, self.book = length, np.frombuffer(b"".join(runs), np.uint8)
+        sums = prefix(_CODES[self.book] * powers(_BYTE_BASE, len(self.book)))
+        ends = np.cumsum([len(r) for r in runs])
+        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(e - len(r), e - length + 1) for r, e in zip(runs, ends.tolist(), strict=True))])
+        found = mix((sums[at + length] - sums[at]) * powers(pow(_BYTE_BASE, -1, 1 << 64), len(sums))[at])
+        if prints is not None:
+            at, found = at[among(prints, found)], found[among(prints, found)]
+        self.prints, first = np.unique(found, return_index=True)
+        self.at = at[first]
+
+    def __len__(self) -> int:
+        return len(self.prints)
+
+    def holds(self, data: np.ndarray, starts: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """Whether the string at each of the starts, which rise, is known, byte by byte; a stretch of neighbours in both is compared at once."""
+        out = np.zeros(len(starts), bool)
+        some = np.flatnonzero(among(self.prints, prints))
+        if not len(some):
+            return out
+        here, there = starts[some], self.at[np.searchsorted(self.prints, prints[some])]
+        edges = np.flatnonzero(np.append(True, (np.diff(here) != 1) | (np.diff(there) != 1)))
+        for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(some)], strict=True):
+            n = e - s + self.length - 1
+            same = data[here[s] : here[s] + n] == self.book[there[s] : there[s] + n]
+            if same.all():
+                out[some[s:e]] = True
+            else:
+                wrong = np.append(0, np.cumsum(~same))
+                out[some[s:e]] = wrong[self.length :] == wrong[: e - s]
+        return out
+
+
+_NOTHING = Known([], 1)
+
+
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w neighbours."""
     n = len(x)
@@ -85,13 +125,19 @@ class _Pieces:
     def anchors(self, starts: np.ndarray) -> np.ndarray:
         return self.h[(self.low[starts] & np.uint64((1 << POSITION) - 1)).astype(np.int64)]
 
+    def runs(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first, last) of the runs of neighbours among starts of this piece, as places in the texts."""
+        first = np.flatnonzero(np.append(True, (np.diff(starts) > 1) | (np.diff(self.row[starts]) > 0)))
+        last = np.append(first[1:], len(starts)) - 1
+        return self.row[starts[first]], self.at[starts[first]], self.at[starts[last]]
+
     def all_hot(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts of strings of hot seeds alone, and the strings' fingerprints."""
         starts = np.flatnonzero((self.low >> np.uint64(63) == 1) & self.inside)
         return starts, self._prints(starts, self.length)
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED, hot: np.ndarray = _NONE, known: np.ndarray = _NONE):
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED, hot: np.ndarray = _NONE, known: Known = _NOTHING):
     """(row, first start, last start, anchor) of the maximal runs of starts that have one anchor at one place; and (row, first, last) of those of known strings.
 
     Starts are counted in the row. Long rows are taken in overlapping pieces; a piece
@@ -103,13 +149,11 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed:
         use = p.inside.copy()
         if len(known):
             starts, prints = p.all_hot()
-            starts = starts[among(known, prints)]
+            starts = starts[known.holds(data, p.at[starts], prints)]
             use[starts] = False
             if len(starts):
-                first = np.flatnonzero(np.append(True, (np.diff(starts) > 1) | (np.diff(p.row[starts]) > 0)))
-                last = np.append(first[1:], len(starts)) - 1
-                row = p.row[starts[first]]
-                done.append(np.stack([row, p.at[starts[first]] - offsets[row], p.at[starts[last]] - offsets[row]]))
+                row, begin, end = p.runs(starts)
+                done.append(np.stack([row, begin - offsets[row], end - offsets[row]]))
         fresh = np.ones(len(p.low), bool)
         fresh[1:] = (p.low[1:] != p.low[:-1]) | (p.row[1:] != p.row[:-1]) | ~use[:-1]
         first = np.flatnonzero(fresh & use)
@@ -136,8 +180,12 @@ def _counted(count):
     return run
 
 
-def hot_seeds(rows: DataFrame, length: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Very frequent seeds, and the strings of such seeds alone that occur again for certain; both in order, from a sample of the documents."""
+def hot_seeds(rows: DataFrame, length: int, seed: int = SEED) -> tuple[np.ndarray, Known]:
+    """Very frequent seeds, and the strings of such seeds alone that occur again for certain, from a sample of the documents.
+
+    A string is known if the sample holds its bytes twice. The driver gets the different
+    runs of such strings that the sampled documents have.
+    """
     sample = rows.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(SAMPLE)) == 0)
     least = max(2, HOT_ROWS // SAMPLE)
 
@@ -147,7 +195,7 @@ def hot_seeds(rows: DataFrame, length: int, seed: int = SEED) -> tuple[np.ndarra
 
     anchors = frequent(lambda data, at: stretches(data, at, length, seed)[3], least)
     if not len(anchors):
-        return _NONE, _NONE
+        return _NONE, _NOTHING
 
     def around(data, at):
         out = [_NONE]
@@ -161,7 +209,33 @@ def hot_seeds(rows: DataFrame, length: int, seed: int = SEED) -> tuple[np.ndarra
         return np.concatenate(out)
 
     hot = frequent(around, least)
-    return hot, frequent(lambda data, at: np.concatenate([_NONE, *(p.all_hot()[1] for p in _Pieces(data, at, length, seed, hot))]), 2)
+    twice = frequent(lambda data, at: np.concatenate([_NONE, *(p.all_hot()[1] for p in _Pieces(data, at, length, seed, hot))]), 2)
+    if not len(twice):
+        return hot, _NOTHING
+
+    def passages(batches):
+        for b in batches:
+            data, at = utf8(b.column(1))
+            for i, j in parts(at, 4 * CHUNK):
+                span, found = data[at[i] : at[j]], set()
+                for p in _Pieces(span, at[i : j + 1] - at[i], length, seed, hot):
+                    starts, prints = p.all_hot()
+                    starts = starts[among(twice, prints)]
+                    if len(starts):
+                        found |= {span[x : y + length].tobytes() for _, x, y in zip(*p.runs(starts), strict=True)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], ["x"])
+
+    runs = sample.mapInArrow(passages, "x binary").distinct().toArrow().column("x").to_pylist()
+    book = Known(sorted(runs, key=lambda r: (-len(r), r)), length, twice)
+
+    def verified(data, at):
+        out = [_NONE]
+        for p in _Pieces(data, at, length, seed, hot):
+            starts, prints = p.all_hot()
+            out.append(prints[book.holds(data, p.at[starts], prints)])
+        return np.concatenate(out)
+
+    return hot, Known(sorted(runs, key=lambda r: (-len(r), r)), length, frequent(verified, 2))
 
 
 def anchor_part(anchors: np.ndarray, n_parts: int) -> np.ndarray:
@@ -176,7 +250,7 @@ def runs(flags: np.ndarray):
     return zip(edge[::2], edge[1::2], strict=True)
 
 
-def _anchors(n_parts: int, length: int, hot: np.ndarray, known: np.ndarray):
+def _anchors(n_parts: int, length: int, hot: np.ndarray, known: Known):
     """Documents to their stretches by anchor, and the runs of known strings by document."""
 
     @frugal

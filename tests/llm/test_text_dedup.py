@@ -127,3 +127,21 @@ def test_many_hashes_of_one_set_in_one_range():
     d, code, x = jaccard.read_screen([substrings._table(out)])
     order = np.argsort(x)
     assert (d[order] == np.array([7, 8, 9])[owner]).all() and (x[order] == np.arange(len(owner))).all() and len(set(zip(d, code))) == 3
+
+
+def test_known_strings_are_compared_byte_by_byte():
+    import numpy as np
+
+    text = bytes(range(97, 123)) * 3
+    known = byte_strings.Known([text[:40], text[10:50]], 16)
+    data = np.frombuffer(b"##" + text[:40] + b"##" + text[:20] + b"!" + text[21:40], np.uint8)
+    starts = np.arange(len(data) - 15)
+    prints = np.array([known.prints[0]] * len(starts))
+    for i in range(len(starts)):  # as if the fingerprints of the changed strings were those of the unchanged
+        s = bytes(data[i : i + 16]).replace(b"!", text[20:21])
+        at = (text[:50]).find(s)
+        if at >= 0:
+            prints[i] = byte_strings.Known([s], 16).prints[0]
+    want = [bytes(data[i : i + 16]) in {text[k : k + 16] for k in range(25)} | {text[k : k + 16] for k in range(10, 35)} for i in starts]
+    assert known.holds(data, starts, prints).tolist() == want and sum(want) > 20 and not all(want)
+    assert not len(byte_strings._NOTHING) and not byte_strings._NOTHING.holds(data, starts, prints).any()
