@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-for _plan in ("search", "understanding", "quality", "ledger", "trust", "graph", "dedup", "extraction", "passages", "peers", "evaluation", "crawl", "streams", "requests", "maintenance", "web", "results", "network", "api"):
+for _plan in ("search", "understanding", "quality", "ledger", "trust", "graph", "dedup", "extraction", "passages", "peers", "evaluation", "crawl", "streams", "requests", "maintenance", "web", "results", "network", "api", "files"):
     import_module(f".plans.{_plan}", __package__)
 
 __all__ = ["ORACLES", "QUERIES"]

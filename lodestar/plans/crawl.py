@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import dedup
 from ..registry import query
 from ..sources.tables import DOCUMENTS_SQL, NOW, documents
 
@@ -42,4 +43,5 @@ def feeds_due(spark, sf_dir):
     """Feeds (sources) by priority, then most overdue; a feed never polled is due but not overdue, hence after those that are."""
     f = documents(spark, sf_dir).groupBy(F.col("source").alias("feed")).agg(F.when(F.max("doc_id") % 5 == 0, None).otherwise(F.min("crawled_at")).alias("polled"))
     rows = f.select("feed", (F.length("feed") % 3).alias("priority"), F.when(F.col("polled").isNull(), 0.0).otherwise(F.lit(NOW) - F.col("polled") - 3600).alias("overdue")).filter("overdue >= 0")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("priority", F.desc("overdue"), "feed")))  # one row a feed
+    placed = dedup.numbered(rows.withColumn("_late", -F.col("overdue")), ["priority", "_late", "feed"])
+    return placed.select("feed", "priority", "overdue", (F.col("pos") + 1).alias("place"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import digests
-from ..operators import trust
+from ..operators import peers, trust
 from ..registry import query
 from ..sources.literal import Literal
 from ..sources.tables import EVENTS_SQL, NOW, documents, events, table
@@ -30,8 +30,18 @@ def best_relay(spark, sf_dir):
 @query("peer_order", f"WITH {_LATENCY} SELECT peer, row_number() OVER (ORDER BY CASE WHEN n < 60 THEN 9999.0 ELSE round(latency, 6) END, peer) AS place FROM lat")
 def peer_order(spark, sf_dir):
     """Peers by latency, those with fewer than 60 events, hence unknown, last."""
-    key = F.when(F.col("n") < 60, 9999.0).otherwise(F.round("latency", 6))
-    return _latency(spark, sf_dir).select("peer", F.row_number().over(Window.orderBy(key, "peer")).alias("place"))
+    known = F.when(F.col("n") >= 60, F.round("latency", 6))
+    return peers.by_latency(_latency(spark, sf_dir).select("peer", known.alias("latency"))).select("peer", "place")
+
+
+_SLOW = "('0x' || substr(md5(peer::VARCHAR), 1, 8))::UBIGINT % 5"
+
+
+@query("peer_order_diverse", f"WITH {_LATENCY}, o AS (SELECT peer, row_number() OVER (ORDER BY CASE WHEN n < 60 THEN 9999.0 ELSE round(latency, 6) END, peer) AS place, count(*) OVER () AS c FROM lat), g AS (SELECT *, CASE WHEN c <= 2 OR place <= greatest(1, c // 2) THEN 0 WHEN {_SLOW} = 0 THEN 1 ELSE 2 END AS grp FROM o) SELECT peer, row_number() OVER (ORDER BY grp, place) AS place FROM g")
+def peer_order_diverse(spark, sf_dir):
+    """The faster half of the peers, then some of the slower, so that they are not starved, then the rest."""
+    known = F.when(F.col("n") >= 60, F.round("latency", 6))
+    return peers.diverse(_latency(spark, sf_dir).select("peer", known.alias("latency"))).select("peer", "place")
 
 
 @query("best_llm_node", f"WITH {TRUST_SQL} SELECT peer, trust FROM tr ORDER BY peer % 24 >= 23 OR peer % 24 < 7 DESC, trust DESC, peer LIMIT 1")
@@ -100,8 +110,24 @@ def domain_tags(spark, sf_dir):
     return best.groupBy("source").agg(F.array_join(F.transform(listed, lambda x: F.concat(x["lang"], F.lit(":"), x["n"].cast("string"))), ",").alias("tags"))
 
 
-def _auto(delay, cpu, mem):
-    return F.when((cpu > 90) | (mem > 90), F.least(delay * 1.5, F.lit(10.0))).when((cpu > 70) | (mem > 80), F.least(delay * 1.2, F.lit(10.0))).when((cpu < 30) & (mem < 50), F.greatest(delay * 0.8, F.lit(0.5))).otherwise(delay)
+def _auto(cpu, mem):
+    """What a sample does to a delay: times a factor, held between two bounds."""
+    held = lambda f, lo, hi: F.struct(F.lit(f).alias("f"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+    free = float("inf")
+    return F.when((cpu > 90) | (mem > 90), held(1.5, 0.0, 10.0)).when((cpu > 70) | (mem > 80), held(1.2, 0.0, 10.0)).when((cpu < 30) & (mem < 50), held(0.8, 0.5, free)).otherwise(held(1.0, 0.0, free))
+
+
+def _after(a, b):
+    """One such step after another is such a step as well."""
+    bound = lambda x: F.least(F.greatest(x * b["f"], b["lo"]), b["hi"])
+    return F.struct((a["f"] * b["f"]).alias("f"), bound(a["lo"]).alias("lo"), bound(a["hi"]).alias("hi"))
+
+
+def _folded(rows, keys, step):
+    """The steps of each group in order as one."""
+    none = F.struct(F.lit(1.0).alias("f"), F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(step).alias("s")))), lambda x: x["s"])
+    return rows.groupBy(*keys).agg(F.min("i").alias("i"), F.aggregate(steps, none, _after).alias(step))
 
 
 @query(
@@ -110,9 +136,12 @@ def _auto(delay, cpu, mem):
  SELECT peer, round(list_reduce(a, lambda d, x: {{'cpu': x.cpu, 'mem': x.mem, 'd': CASE WHEN x.cpu > 90 OR x.mem > 90 THEN least(d.d * 1.5::DOUBLE, 10::DOUBLE) WHEN x.cpu > 70 OR x.mem > 80 THEN least(d.d * 1.2::DOUBLE, 10::DOUBLE) WHEN x.cpu < 30 AND x.mem < 50 THEN greatest(d.d * 0.8::DOUBLE, 0.5::DOUBLE) ELSE d.d END}}, {{'cpu': 0.0::DOUBLE, 'mem': 0.0::DOUBLE, 'd': 1.0::DOUBLE}}).d, 6) AS delay FROM s""",
 )
 def autotune_delay(spark, sf_dir):
-    """Crawl delay of each node after its samples in order (events' values stand for loads); each step depends on the last, so a node's samples are folded."""
-    a = events(spark, sf_dir).groupBy("peer").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") % 101).alias("cpu"), (F.col("value") * 7 % 101).alias("mem")))).alias("a"))
-    return a.select("peer", F.round(F.aggregate("a", F.lit(1.0), lambda d, x: _auto(d, x["cpu"], x["mem"])), 6).alias("delay"))
+    """Crawl delay of each node after its samples in order (events' values stand for loads). Steps compose, so a thousand samples at a time are folded, then what they come to."""
+    i = F.row_number().over(Window.partitionBy("peer").orderBy("ts", "event_id"))
+    rows = events(spark, sf_dir).select("peer", i.alias("i"), _auto(F.col("value") % 101, F.col("value") * 7 % 101).alias("s"))
+    part = _folded(rows.withColumn("part", F.floor(F.col("i") / 1000)), ["peer", "part"], "s")
+    done = _folded(part, ["peer"], "s")
+    return done.select("peer", F.round(F.least(F.greatest(F.col("s.f"), F.col("s.lo")), F.col("s.hi")), 6).alias("delay"))
 
 
 _ZONES = Literal("zones", "slot long, zone string", ((0, "UTC"), (1, "Asia/Seoul"), (2, "America/New_York"), (3, "Europe/Berlin"), (4, "Not/AZone")))

@@ -59,10 +59,11 @@ def cross_validate(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     scores = d.groupBy(F.pmod("doc_id", F.lit(60)).alias("url_id"), F.col("source").alias("peer")).agg(F.avg(F.col("n_chars") % 100).alias("score"))
     peers = d.agg(F.count_distinct("source").alias("peers"))
-    u = scores.groupBy("url_id").agg(F.count("*").alias("seen"), F.sort_array(F.collect_list("score")).alias("s")).join(F.broadcast(peers))
-    median = F.element_at("s", (F.floor(F.col("seen") / 2) + 1).cast("int"))
-    u = u.withColumn("median", median)
-    off = F.greatest(F.array_max("s") - F.col("median"), F.col("median") - F.array_min("s")) / F.col("median")
+    by = Window.partitionBy("url_id")
+    placed = scores.withColumns({"i": F.row_number().over(by.orderBy("score")), "seen": F.count("*").over(by)})
+    middle = F.when(F.col("i") == F.floor(F.col("seen") / 2) + 1, F.col("score"))
+    u = placed.groupBy("url_id").agg(F.first("seen").alias("seen"), F.max(middle).alias("median"), F.min("score").alias("least"), F.max("score").alias("most")).join(F.broadcast(peers))  # one row
+    off = F.greatest(F.col("most") - F.col("median"), F.col("median") - F.col("least")) / F.col("median")
     verdict = F.when(F.col("peers") < 2, "unverified").when(F.col("seen") == 1, "fabricated").when(F.col("seen") / F.col("peers") < 0.1, "suspicious").when((F.col("median") > 0) & (off > 3), "suspicious").otherwise("trusted")
     return u.select("url_id", "seen", F.round("median", 6).alias("median"), verdict.alias("verdict"))
 

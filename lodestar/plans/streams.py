@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import NOW, documents
+from ..sources.tables import EVENTS_SQL, NOW, documents
 from ..storage import settle
 from ..streaming import operators as st
 from ..streaming import state
@@ -160,3 +160,24 @@ def stream_peer_drops(spark, sf_dir):
 def stream_flapping(spark, sf_dir):
     """Changes of the claimed zone, here the event type, in the day up to each claim."""
     return st.replayed(st.replay(spark, sf_dir), state.flapping)
+
+
+@query("stream_reformulations", f"WITH {EVENTS_SQL}, q AS (SELECT event_id, ts - lag(ts) OVER (PARTITION BY peer ORDER BY ts, event_id) AS gap FROM ev WHERE event_type = 'view') SELECT event_id, round(gap, 3) AS gap FROM q WHERE gap <= 3600")
+def stream_reformulations(spark, sf_dir):
+    """Views of a user within an hour of the one before, as few are within a minute."""
+    return st.replayed(st.replay(spark, sf_dir), lambda e: state.reformulations(e, "view", 3600.0)).select("event_id", F.round("gap", 3).alias("gap"))
+
+
+@query("stream_lock_release")
+def stream_lock_release(spark, sf_dir):
+    """Outcomes of requests for sixteen locks of an hour; purchases release them."""
+    rows = st.replay(spark, sf_dir).withColumn("lock", F.pmod("event_id", F.lit(16)))
+    return st.replayed(rows, lambda e: state.locks(e, "lock", "user_id", F.col("event_type") == "purchase", 3600.0))
+
+
+@query("stream_audit_files")
+def stream_audit_files(spark, sf_dir):
+    """The audit log files of sixteen nodes, which end after about 4000 bytes."""
+    rows = st.replay(spark, sf_dir).withColumn("node", F.pmod("user_id", F.lit(16)))
+    line = F.format_string('{"ts": %s, "action": "%s", "client": %d}', F.unix_micros("ts").cast("string"), F.col("event_type"), F.col("user_id"))
+    return st.replayed(rows, lambda e: state.log_files(e, "node", line, 4000))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dedup
-from .operators import LATE, _user, by_key, by_user, timed
+from .operators import LATE, _user, by_key, by_user, closing, timed
 
 #: Hours for which a crawled page is remembered.
 REMEMBERED = 720.0
@@ -143,4 +143,59 @@ def flapping(events: DataFrame, zone: str = "event_type", hours: float = 24.0, m
     return by_user(events, "event_id long, user_id long, changes long, suspicious boolean", "claims string", ("[]",), step)
 
 
-__all__ = ["LATE", "REMEMBERED", "SKETCH", "drop_alerts", "flapping", "hourly_peers", "lru", "near_seen", "quantile_sketches", "quantiles"]
+def reformulations(events: DataFrame, kind: str = "view", seconds: float = 60.0) -> DataFrame:
+    """event_id, user_id, gap: queries (events of a kind) of a user not later than so many seconds after the one before. The state is the time of the last."""
+
+    def step(held, rows):
+        last, out = held[0], []
+        for i, t in zip(rows["event_id"], rows["ts"], strict=True):
+            now = t.timestamp()
+            if last >= 0 and now - last <= seconds:
+                out.append((i, now - last))
+            last = now
+        frame = pd.DataFrame(out, columns=["event_id", "gap"]).astype({"event_id": "int64", "gap": "float64"})
+        frame.insert(1, "user_id", _user(rows, len(out)))
+        return (last,), frame
+
+    asked = events.filter(F.coalesce(F.col("event_type") == kind, F.lit(False)) | closing(events))
+    return by_key(asked, ["user_id"], "event_id long, user_id long, gap double", "last double", (-1.0,), step, ["ts", "event_id"])
+
+
+def locks(events: DataFrame, lock: str, holder: str, release: Column, seconds: float = 300.0) -> DataFrame:
+    """event_id, outcome of requests for locks: granted where the lock is free or out of time, renewed for its holder, refused for others; released by its holder, ignored from others."""
+
+    def step(held, rows):
+        owner, until = held
+        out = []
+        for i, who, t, free in zip(rows["event_id"], rows[holder], rows["ts"], rows["_release"], strict=True):
+            who, now = "" if pd.isna(who) else str(who), t.timestamp()
+            holds = now < until
+            if free:
+                out.append((i, "released" if holds and who == owner else "ignored"))
+                until = 0.0 if holds and who == owner else until
+            elif holds and who != owner:
+                out.append((i, "refused"))
+            else:
+                out.append((i, "renewed" if holds else "granted"))
+                owner, until = who, now + seconds
+        return (owner, until), pd.DataFrame(out, columns=["event_id", "outcome"])
+
+    return by_key(events.withColumn("_release", F.coalesce(release, F.lit(False))), [lock], "event_id long, outcome string", "owner string, until double", ("", 0.0), step, ["ts", "event_id"])
+
+
+def log_files(events: DataFrame, writer: str, line: Column, most: int) -> DataFrame:
+    """event_id, file: the number of the log file that each line of a writer goes to, in order of time; a file that has passed `most` bytes is followed by the next. The state is a size and a number."""
+
+    def step(held, rows):
+        file, size, out = held[0], held[1], []
+        for i, n in zip(rows["event_id"], rows["_bytes"], strict=True):
+            if size > most:
+                file, size = file + 1, 0
+            out.append((i, file))
+            size += int(n) + 1
+        return (file, size), pd.DataFrame(out, columns=["event_id", "file"])
+
+    return by_key(events.withColumn("_bytes", F.coalesce(F.octet_length(line), F.lit(0))), [writer], "event_id long, file long", "file long, size long", (0, 0), step, ["ts", "event_id"])
+
+
+__all__ = ["LATE", "REMEMBERED", "SKETCH", "drop_alerts", "flapping", "locks", "log_files", "hourly_peers", "lru", "near_seen", "quantile_sketches", "quantiles", "reformulations"]

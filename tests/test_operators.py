@@ -199,3 +199,18 @@ def test_dense_snippets_try_every_window(spark):
         count = lambda s: len(set(plain[s : s + 7]) & {"a", "b", "c"})
         most = max([count(s) for s in range(len(words))], default=0)
         assert g["n_terms"] == most == count(g["start"])
+
+
+def test_peers_in_order_and_with_diversity(spark):
+    from lodestar.operators import peers
+
+    rows = [(i, None if i % 7 == 0 else float((i * 37) % 50)) for i in range(40)]
+    df = spark.createDataFrame(rows, "peer long, latency double").repartition(5)
+    order = [p for p, _ in sorted(rows, key=lambda r: (math.inf if r[1] is None else r[1], r[0]))]
+    got = {r["place"]: r["peer"] for r in peers.by_latency(df).collect()}
+    assert [got[i + 1] for i in range(40)] == order
+    lucky = lambda p: int(hashlib.md5(str(p).encode()).hexdigest()[:8], 16) % 5 == 0
+    slow = order[20:]
+    got = {r["place"]: r["peer"] for r in peers.diverse(df).collect()}
+    assert [got[i + 1] for i in range(40)] == order[:20] + [p for p in slow if lucky(p)] + [p for p in slow if not lucky(p)]
+    assert [r["peer"] for r in peers.diverse(df.limit(0)).collect()] == []

@@ -119,3 +119,41 @@ def test_no_events(spark):
     for operator in (st.hourly_counts, state.flapping, state.quantile_sketches, lambda e: state.lru(e, "node", "user_id", 2, 60.0)):
         assert st.replayed(none, operator).count() == 0
     assert st.replayed(none, state.hourly_peers, then=state.drop_alerts).count() == 0
+
+
+@pytest.mark.parametrize("steps", [1, 3])
+def test_locks_files_and_reformulations_equal_plain_loops(spark, steps):
+    rows = _events(6)
+    frame = _frame(spark, rows)
+    got = {r["event_id"]: r["outcome"] for r in st.replayed(frame, lambda e: state.locks(e, "node", "user_id", F.col("event_type") == "b", 9000.0), steps).collect()}
+    held, want = {}, {}
+    for i, t, user, kind, _, node, _ in rows:
+        owner, until = held.get(node, (None, 0.0))
+        holds, mine = t < until, owner == ("" if user is None else user)
+        if kind == "b":
+            want[i] = "released" if holds and mine else "ignored"
+            held[node] = (owner, 0.0 if holds and mine else until)
+        elif holds and not mine:
+            want[i] = "refused"
+        else:
+            want[i] = "renewed" if holds else "granted"
+            held[node] = ("" if user is None else user, t + 9000.0)
+    assert got == want and set(want.values()) == {"released", "ignored", "refused", "renewed", "granted"}
+
+    got = {r["event_id"]: r["file"] for r in st.replayed(frame, lambda e: state.log_files(e, "node", F.format_string("%d %s", "event_id", "event_type"), 60), steps).collect()}
+    files, want = {}, {}
+    for i, _, _, kind, _, node, _ in rows:
+        file, size = files.get(node, (0, 0))
+        file, size = (file + 1, 0) if size > 60 else (file, size)
+        want[i] = file
+        files[node] = file, size + len(f"{i} {kind or 'null'}") + 1
+    assert got == want and max(want.values()) > 3
+
+    got = {r["event_id"]: (r["user_id"], round(r["gap"], 3)) for r in st.replayed(frame, lambda e: state.reformulations(e, "a", 9000.0), steps).collect()}
+    last, want = {}, {}
+    for i, t, user, kind, *_ in rows:
+        if kind == "a":
+            if user in last and t - last[user] <= 9000:
+                want[i] = (user, t - last[user])
+            last[user] = t
+    assert got.keys() == want.keys() and all(u == want[i][0] and abs(g - want[i][1]) < 0.01 for i, (u, g) in got.items()) and len(want) > 5
