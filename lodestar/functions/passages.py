@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import jaccard
+
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Zㄱ-ㆎ一-鿿])")
 _WIDE = re.compile("[一-鿿㐀-䶿豈-﫿\U00020000-\U0002a6df　-〿가-힯ᄀ-ᇿ㄰-㆏぀-ヿ฀-๿]+|[A-Za-z0-9]+")
 FIRST_WIDE = "฀"
@@ -86,3 +88,13 @@ def sentences(docs: DataFrame, text: str = "text", least: int = 10) -> DataFrame
     """doc_id, pos, sentence: pieces between full stops, question and exclamation marks of at least `least` characters."""
     rows = docs.select("doc_id", F.posexplode(F.split(text, r"[.!?]+")).alias("pos", "s"))
     return rows.select("doc_id", "pos", F.regexp_replace("s", r"^\s+|\s+$", "").alias("sentence")).filter(F.length("sentence") >= least)
+
+
+#: Mean similarity from which the summaries of peers agree with one.
+LEAST_AGREEMENT = 0.3
+
+
+def cross_checked(own: Column, peers: Column) -> Column:
+    """Mean word similarity of a summary (distinct words) to those of peers; 0 without peers."""
+    each = F.transform(peers, lambda p: jaccard(own, p))
+    return F.when(F.size(peers) == 0, 0.0).otherwise(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(peers))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import passages as ps
 from ..functions import quality, scores, text
 from ..operators import segmentation
-from ..registry import query
+from ..registry import ORACLES, query
 from ..sources.literal import Literal
 from ..sources.tables import DOCUMENTS_SQL, documents, table
 from .search import RANKED_SQL, ranked_search
@@ -155,6 +155,29 @@ def summary_verify(spark, sf_dir):
     return rows.select("doc_id", "coverage", "contradiction", F.when(passed, "self_verified").otherwise("unverified").alias("level"), F.round(F.when(passed, 0.5 + 0.2 * F.col("coverage")).otherwise(0.0), 4).alias("quality"))
 
 
+_PEERS = {"even": "i % 2 = 0", "first": "i <= 3"}
+_LINES = "array_to_string(list_filter(string_split(text, chr(10)), lambda _, i: {}), chr(10))"
+_SIMILAR = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1})))::DOUBLE END"
+
+
+@query(
+    "summary_cross_check",
+    f"""WITH s AS (SELECT doc_id, {', '.join(f"list_distinct({text.words_sql(_LINES.format(c))}) AS {n}" for n, c in {"own": "i % 2 = 1", **_PEERS}.items())} FROM documents), x AS (SELECT doc_id, ({' + '.join(_SIMILAR.format('own', n) for n in _PEERS)}) / 2 AS avg FROM s),
+ v AS (SELECT * FROM ({ORACLES["summary_verify"]}))
+ SELECT doc_id, round(avg, 4) AS similarity, CASE WHEN avg >= 0.3 AND level = 'self_verified' THEN 'cross_validated' ELSE level END AS level, round(least(1, quality + CASE WHEN avg >= 0.3 THEN 0.3::DOUBLE * avg ELSE 0 END), 3) AS quality FROM x JOIN v USING (doc_id)""",
+)
+def summary_cross_check(spark, sf_dir):
+    """Summaries against those of two peers, which have the other lines and the first three: agreement lifts the level and the quality."""
+    lines = F.split("text", "\n")
+    picked = lambda keep: F.array_distinct(text.words(F.array_join(F.filter(lines, keep), "\n")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", picked(lambda _, i: i % 2 == 0).alias("own"), F.array(picked(lambda _, i: i % 2 == 1), picked(lambda _, i: i < 3)).alias("peers"))
+    checked = ps.cross_checked(F.col("own"), F.col("peers"))
+    both = rows.select("doc_id", checked.alias("similarity")).join(summary_verify(spark, sf_dir).select("doc_id", "level", "quality"), "doc_id")
+    agrees = F.col("similarity") >= ps.LEAST_AGREEMENT
+    level = F.when(agrees & (F.col("level") == "self_verified"), "cross_validated").otherwise(F.col("level"))
+    return both.select("doc_id", F.round("similarity", 4).alias("similarity"), level.alias("level"), F.round(F.least(F.lit(1.0), F.col("quality") + F.when(agrees, 0.3 * F.col("similarity")).otherwise(0.0)), 3).alias("quality"))
+
+
 _SPACED, _SIGNS = "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上国个到说们为子和你地出"
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, shaping, text
-from ..operators import results, search
-from ..registry import query
+from ..operators import graph, results, search
+from ..registry import ORACLES, query
 from ..sources.literal import Literal
 from ..sources.tables import DOCUMENTS_SQL, EVENTS_SQL, NOW, documents, events, queries, table
+from .graph import cited
 from .search import FEATURES_SQL, RANKED_SQL, ranked_search
+from .trust import trust_of
 
 _SIGNALS_SQL = f"""sig AS (SELECT doc_id, {scores.freshness_sql('crawled_at', NOW)} AS freshness, (doc_id % 10) / 10.0::DOUBLE AS bm25, (doc_id % 7) / 7.0::DOUBLE AS trust, (doc_id % 5) / 5.0::DOUBLE AS authority, (doc_id % 4) / 4.0::DOUBLE AS title, (doc_id % 3) / 3.0::DOUBLE AS url FROM docs)"""
 _W = scores.WEIGHTS
@@ -172,6 +174,28 @@ def ranked_by_authority(spark, sf_dir):
     return search.ranked(docs, queries(spark, sf_dir), 10, NOW, authority, trust)
 
 
+_AT = "(SELECT url FROM pages WHERE page_id = doc_id % (SELECT count(*) FROM pages)) || '/' || doc_id AS url"
+_SCORED = f"""full_ AS (SELECT feat.*, coalesce(authority, 0) AS authority, coalesce(trust, 0.5) AS trust FROM feat JOIN docs USING (doc_id) LEFT JOIN auth ON auth.domain = lower(regexp_extract(feat.url, '://([^/?#]*)', 1)) LEFT JOIN tru ON tru.peer = source),
+ scored AS (SELECT *, round(0.40::DOUBLE * (score / (score + top)) + 0.15::DOUBLE * {scores.freshness_sql('full_.crawled_at', NOW)} + 0.10::DOUBLE * trust + 0.15::DOUBLE * authority
+ + 0.15::DOUBLE * CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END + 0.05::DOUBLE * CASE WHEN len(q) = 0 OR p = '' THEN 0 ELSE len(list_filter(q, lambda x: contains(p, x))) / len(q) END, 6) AS combined FROM full_)"""
+
+
+@query(
+    "ranked_by_links_and_trust",
+    f"""WITH {FEATURES_SQL.replace("'https://' || source || '/' || doc_id AS url", _AT)}, auth AS (SELECT domain, score AS authority FROM ({ORACLES["domain_authority"]})), tru AS (SELECT 'src' || peer AS peer, trust FROM ({ORACLES["trust_score"]})), {_SCORED}
+ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, bm25_rank) AS rank, doc_id, url, combined FROM scored) WHERE rank <= 10""",
+)
+def ranked_by_links_and_trust(spark, sf_dir):
+    """Two-stage search with the authority that links give the domain of a result, and the trust score of the peer that sent it; documents lie at the addresses of the pages, sources are numbered as peers."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("at"))
+    n = pages.agg(F.count("*").alias("n"))  # one row
+    docs = documents(spark, sf_dir).drop("url").crossJoin(F.broadcast(n)).withColumn("page_id", F.col("doc_id") % F.col("n"))
+    docs = docs.join(pages, "page_id", "left").withColumn("url", F.concat("at", F.lit("/"), F.col("doc_id").cast("string"))).drop("at", "n", "page_id")
+    authority = graph.authority(cited(spark, sf_dir)).withColumnRenamed("score", "authority")
+    trust = trust_of(spark, sf_dir).select(F.concat(F.lit("src"), F.col("peer").cast("string")).alias("peer"), "trust")
+    return search.ranked(docs, queries(spark, sf_dir), 10, NOW, authority, trust)
+
+
 @query("dedup_results")
 def dedup_results(spark, sf_dir):
     """The results of each query without those whose title and snippet resemble a better one."""
