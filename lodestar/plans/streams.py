@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.segments import Index
 from ..registry import query
-from ..sources.tables import EVENTS_SQL, NOW, documents
-from ..storage import settle
+from ..sources.tables import EVENTS_SQL, NOW, documents, queries
+from ..storage import new_path, settle
 from ..streaming import operators as st
-from ..streaming import state
+from ..streaming import state, submissions
 from .dedup import SIMHASH_SQL
+from .search import BM25_SQL
 from .trust import PARTITION_SQL
 
 
@@ -181,3 +183,33 @@ def stream_audit_files(spark, sf_dir):
     rows = st.replay(spark, sf_dir).withColumn("node", F.pmod("user_id", F.lit(16)))
     line = F.format_string('{"ts": %s, "action": "%s", "client": %d}', F.unix_micros("ts").cast("string"), F.col("event_type"), F.col("user_id"))
     return st.replayed(rows, lambda e: state.log_files(e, "node", line, 4000))
+
+
+_SECRET = "a secret of crawlers"
+_SENT = """sent AS (SELECT doc_id, text, CASE WHEN doc_id % 20 = 3 THEN 'peer_not_allowed' WHEN text IS NULL THEN 'incomplete' WHEN strlen(text) > 20000 THEN 'too_large' WHEN doc_id % 13 = 5 THEN 'wrong_digest' WHEN doc_id % 11 = 7 THEN 'wrong_signature' ELSE 'accepted' END AS outcome FROM documents)"""
+
+
+def _sent(spark, sf_dir):
+    """All documents as messages of twenty peers, of which one is on no list; some have a wrong digest or a wrong signature."""
+    docs = documents(spark, sf_dir).select("doc_id", "url", "title", "text", (F.col("doc_id") % 20).alias("peer"), F.timestamp_seconds("crawled_at").alias("ts"))
+    docs = docs.withColumn("text_hash", F.when(F.col("doc_id") % 13 == 5, F.sha2("title", 224)).otherwise(F.sha2("text", 256)))
+    return docs.withColumn("signature", submissions.signed(_SECRET + "!", F.col("url"), F.col("text_hash"))).withColumn("signature", F.when(F.col("doc_id") % 11 == 7, F.col("signature")).otherwise(submissions.signed(_SECRET)))
+
+
+def _received(spark, sf_dir, each=None):
+    allowed = spark.range(20).select(F.col("id").alias("peer")).filter("peer <> 3")
+    return st.replayed(_sent(spark, sf_dir), lambda e: submissions.checked(e.filter(~st.closing(e)), allowed, _SECRET, 20000), each=each)
+
+
+@query("stream_received", f"WITH {_SENT} SELECT doc_id, outcome FROM sent")
+def stream_received(spark, sf_dir):
+    """What becomes of each page that crawlers send."""
+    return _received(spark, sf_dir).select("doc_id", "outcome")
+
+
+@query("stream_received_search", f"WITH {_SENT}, " + BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT doc_id FROM sent WHERE outcome = 'accepted'))") + " SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
+def stream_received_search(spark, sf_dir):
+    """BM25 over an index that a stream of submissions has filled, a segment for each micro-batch."""
+    index = Index(spark, new_path(spark, "received"), buckets=16, slices=2)
+    _received(spark, sf_dir, submissions.into(index))
+    return index.bm25(queries(spark, sf_dir)).withColumn("score", F.round("score", 6))

@@ -167,12 +167,13 @@ def closing(events: DataFrame) -> Column:
     return F.col(CLOSING) if CLOSING in events.columns else F.lit(False)
 
 
-def replayed(events: DataFrame, operator: Callable, steps: int = 3, then: Callable | None = None) -> DataFrame:
+def replayed(events: DataFrame, operator: Callable, steps: int = 3, then: Callable | None = None, each: Callable | None = None) -> DataFrame:
     """What operator makes of events (with ts) as a stream: they come in so many steps in order of time, and at last one event a year later.
 
     The stream ends after every step and starts again from its checkpoint with the next,
     as after a restart. A step is read by as many tasks as it was written by. then is an
     operator on what the stream writes, a stream of its own: it runs after every step, too.
+    each is called with what a micro-batch has written and its number.
     """
     spark = events.sparkSession
     base = new_path(spark, "replay")
@@ -189,7 +190,7 @@ def replayed(events: DataFrame, operator: Callable, steps: int = 3, then: Callab
     after = then(spark.readStream.schema(stream.schema).parquet(f"{base}/out/*")) if then else None
     for step in storage.names(spark, f"{base}/step"):
         storage.move(spark, f"{base}/step/{step}", f"{base}/in/{step}")
-        run(stream, f"{base}/out", f"{base}/state")
+        run(stream, f"{base}/out", f"{base}/state", each)
         if then:
             run(after, f"{base}/then", f"{base}/state-then")
     return spark.read.schema(after.schema).parquet(f"{base}/then/*") if then else spark.read.schema(stream.schema).parquet(f"{base}/out/*")
@@ -200,9 +201,15 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def run(stream: DataFrame, out: str, checkpoint: str) -> None:
+def run(stream: DataFrame, out: str, checkpoint: str, each: Callable | None = None) -> None:
     """Runs a stream over all there is, in append mode. Each micro-batch has a folder by its number and writes it over when it is tried again, so no row comes twice."""
-    write = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{i:09d}")
+
+    def write(df: DataFrame, i: int) -> None:
+        path = f"{out}/{i:09d}"
+        df.write.mode("overwrite").parquet(path)
+        if each:
+            each(df.sparkSession.read.schema(df.schema).parquet(path), i)
+
     stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(write).start().awaitTermination()
 
 
