@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import shaping
+from ..functions import passages, scores, shaping, text
 
 #: Share of words from which two results are the same to a reader.
 ALIKE = 0.7
@@ -61,6 +61,24 @@ def dense_snippets(rows: DataFrame, keys: list[str], size: int = 40) -> DataFram
     return both.select(*keys, "n_terms", "start", shaping.shown_window(F.col("text"), F.col("terms"), F.col("start"), size).alias("snippet"))
 
 
+def best_passages(rows: DataFrame, keys: list[str], most: int = 300) -> DataFrame:
+    """keys, passage, score of rows (keys, text, wanted tokens): the passage of at most so many characters that fits best, the first at a tie; the start of the text where none fits."""
+    cut = rows.select(*keys, F.substring("text", 1, 200).alias("start"), "wanted", F.posexplode_outer(passages.passages(F.col("text"), most)).alias("pos", "passage"))
+    score = F.coalesce(scores.passage_score(text.ascii_tokens(F.col("passage")), F.col("wanted")), F.lit(0.0))
+    best = cut.withColumn("score", score).groupBy(*keys).agg(F.max_by(F.struct("passage", "score", "start"), F.struct("score", -F.coalesce("pos", F.lit(0)))).alias("b"))
+    return best.select(*keys, F.when(F.col("b.score") > 0, F.substring("b.passage", 1, most)).otherwise(F.col("b.start")).alias("passage"), F.col("b.score").alias("score"))
+
+
+def enhanced(rows: DataFrame, keys: list[str], long: int = 80, most: int = 300) -> DataFrame:
+    """rows (keys, text, wanted, snippet) with better snippets: a short one, or one without a wanted word, gives way to the best passage of the text if that is longer."""
+    good = (F.length("snippet") >= long) & F.arrays_overlap(text.ascii_tokens(F.col("snippet")), F.col("wanted"))
+    poor = rows.filter(~F.coalesce(good, F.lit(False)) & F.col("text").isNotNull())
+    found = best_passages(poor.select(*keys, "text", "wanted"), keys, most).select(*[F.col(k).alias(f"_{k}") for k in keys], "passage")
+    both = rows.join(found, F.expr(" and ".join(f"{k} <=> _{k}" for k in keys)), "left")
+    better = F.length("passage") > F.coalesce(F.length("snippet"), F.lit(0))
+    return both.select(*[F.when(better, F.col("passage")).otherwise(F.col(c)).alias(c) if c == "snippet" else F.col(c) for c in rows.columns])
+
+
 def packed(rows: DataFrame, most: int) -> DataFrame:
     """query_id, context: the entries (query_id, rank, entry) in order until the next would exceed so many characters."""
     used = F.sum(F.length("entry")).over(Window.partitionBy("query_id").orderBy("rank"))

@@ -252,6 +252,15 @@ def snippet_enhanced(spark, sf_dir):
     return docs.select("doc_id", F.when((F.length("title") >= 80) & fits, F.col("title")).when(F.length(passage) > F.length("title"), passage).otherwise(F.col("title")).alias("snippet"))
 
 
+@query("enhanced_snippets")
+def enhanced_snippets(spark, sf_dir):
+    """The snippets of results, and the best passages where those are short or hold no word of the query."""
+    asked = queries(spark, sf_dir).select("query_id", text.ascii_tokens(F.col("query")).alias("wanted"))
+    hits = _hits(spark, sf_dir).select("query_id", "rank", "title", "text").join(asked, "query_id")
+    rows = hits.select("query_id", "rank", "text", "wanted", F.col("title").alias("snippet"))
+    return results.enhanced(rows, ["query_id", "rank"]).select("query_id", "rank", "snippet")
+
+
 _WORDS = text.chunks_of_space_sql("text")
 
 

@@ -214,3 +214,12 @@ def test_peers_in_order_and_with_diversity(spark):
     got = {r["place"]: r["peer"] for r in peers.diverse(df).collect()}
     assert [got[i + 1] for i in range(40)] == order[:20] + [p for p in slow if lucky(p)] + [p for p in slow if not lucky(p)]
     assert [r["peer"] for r in peers.diverse(df.limit(0)).collect()] == []
+
+
+def test_poor_snippets_give_way_to_longer_passages(spark):
+    from lodestar.operators import results
+
+    body = "Nothing of note is said at first here. " * 20 + "The red fox jumps over a lazy dog and runs. " + "It ends with other words again. " * 20
+    rows = [(1, body, ["fox"], "fox"), (2, body, ["fox"], "a fox is said to be here in a snippet that is long enough to stay as it is, really so"), (3, body, ["fox"], "x" * 400), (4, None, ["fox"], "kept"), (5, "short", ["fox"], None), (6, body, ["zebra"], "z")]
+    got = {r["k"]: r["snippet"] for r in results.enhanced(spark.createDataFrame(rows, "k long, text string, wanted array<string>, snippet string"), ["k"]).collect()}
+    assert "red fox" in got[1] and len(got[1]) <= 300 and got[2] == rows[1][3] and got[3] == rows[2][3] and got[4] == "kept" and got[5] == "short" and got[6] == body[:200]
