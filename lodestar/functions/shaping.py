@@ -33,6 +33,30 @@ def result_json(url: Column, title: Column, snippet: Column, score: Column, part
     return F.to_json(F.struct(url.alias("url"), title.alias("title"), F.regexp_extract(url, "://([^/]*)", 1).alias("domain"), F.substring(snippet, 1, most).alias("snippet"), F.round(score, 4).alias("score"), inner.alias("scores")))
 
 
+def answer_json(results: Column, elapsed: Column, source: Column, local: Column | None = None, remote: Column | None = None) -> Column:
+    """A whole answer as JSON: how many results, how long it took, where they are from, and the results (structs) in order; local and remote numbers for a distributed one."""
+    counts = [] if local is None else [local.alias("local_count"), remote.alias("remote_count")]
+    return F.to_json(F.struct(F.size(results).alias("total"), F.round(elapsed, 1).alias("elapsed_ms"), source.alias("source"), *counts, results.alias("results")))
+
+
+def ranked_entry(url: Column, title: Column, snippet: Column, score: Column, signals: dict[str, Column], crawled_at: Column, peer: Column, most: int = 200) -> Column:
+    """A ranked result of an answer, with the signals that ranked it."""
+    names = {"title": "title_match", "url": "url_path"}
+    inner = F.struct(*[F.round(c, 4).alias(names.get(n, n)) for n, c in signals.items()])
+    return F.struct(url.alias("url"), title.alias("title"), F.regexp_extract(url, "://([^/]*)", 1).alias("domain"), F.substring(snippet, 1, most).alias("snippet"), F.round(score, 4).alias("score"), inner.alias("scores"), crawled_at.alias("crawled_at"), peer.alias("peer_id"))
+
+
+def merged_entry(url: Column, title: Column, snippet: Column, source: Column, fts: Column, vector: Column, rrf: Column, most: int = 200) -> Column:
+    """A fused result of an answer, with the scores that it has."""
+    scores = F.struct(F.round(fts, 4).alias("bm25"), F.round(vector, 4).alias("vector"), F.round(rrf, 4).alias("rrf"))
+    return F.struct(url.alias("url"), title.alias("title"), F.regexp_extract(url, "://([^/]*)", 1).alias("domain"), F.substring(snippet, 1, most).alias("snippet"), source.alias("source"), scores.alias("scores"))
+
+
+def work_bits(key: Column, nonce: Column) -> Column:
+    """Leading zero bits of the SHA-256 of a key (hex digits of its bytes) and a nonce of eight bytes, highest first."""
+    return leading_zero_bits(F.sha2(F.unhex(F.concat(key, F.lpad(F.hex(nonce.cast("long")), 16, "0"))), 256))
+
+
 def result_text(rank: Column, title: Column, url: Column, snippet: Column, score: Column, parts: dict[str, Column], most: int = 200) -> Column:
     """One result as lines of text."""
     listed = F.concat_ws(", ", *[F.format_string(f"{n}=%.3f", F.round(c, 3)) for n, c in parts.items()])

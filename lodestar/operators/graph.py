@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Damping, rounds, weight of links inside a domain.
@@ -80,3 +80,11 @@ def authority(edges: DataFrame, rounds: int = ROUNDS, every: int = 5) -> DataFra
             ranks = ranks.checkpoint()
     top = ranks.agg(F.max("score").alias("top"))
     return ranks.join(F.broadcast(top)).select("domain", F.round(F.col("score") / F.col("top"), 6).alias("score"))
+
+
+def merged_pointers(existing: DataFrame, new: DataFrame, limit: int) -> DataFrame:
+    """term, peer, doc_id, score, place: two lists of pointers (term, peer, doc_id, score, place) as one of a keyword's first `limit`, the new ones first; a peer and document once, as the first has it. Pointers without a peer or document go."""
+    both = new.withColumn("_old", F.lit(0)).unionByName(existing.withColumn("_old", F.lit(1))).filter("peer is not null and doc_id is not null")
+    first = both.groupBy("term", "peer", "doc_id").agg(F.min_by("score", F.struct("_old", "place")).alias("score"), F.min(F.struct("_old", "place")).alias("at"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("at", "peer", "doc_id")))
+    return placed.filter(F.col("place") <= limit).select("term", "peer", "doc_id", "score", "place")

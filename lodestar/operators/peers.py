@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import settle
@@ -47,3 +47,13 @@ def diverse(rows: DataFrame, peer: str = "peer", latency: str = "latency") -> Da
     group = F.when((F.col("place") <= max(1, n // 2)) | F.lit(n <= 2), 0).when(luck, 1).otherwise(2)
     out = numbered(placed.withColumn("_group", group), ["_group", "place"])
     return out.withColumn("place", F.col("pos") + 1).drop("pos", "_group")
+
+
+def deviations(rows: DataFrame, key: str, score: str) -> DataFrame:
+    """key, seen, median (the upper one), deviation: the largest distance of a score from the median over it. No key's scores are gathered."""
+    by = Window.partitionBy(key)
+    placed = rows.withColumns({"_i": F.row_number().over(by.orderBy(score)), "_n": F.count("*").over(by)})
+    middle = F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col(score))
+    u = placed.groupBy(key).agg(F.first("_n").alias("seen"), F.max(middle).alias("median"), F.min(score).alias("lo"), F.max(score).alias("hi"))
+    far = F.greatest(F.col("hi") - F.col("median"), F.col("median") - F.col("lo")) / F.col("median")
+    return u.select(key, "seen", "median", F.when((F.col("seen") <= 1) | (F.col("median") <= 0), 0.0).otherwise(far).alias("deviation"))

@@ -150,3 +150,17 @@ def dht_query(spark, sf_dir):
     rows = keywords(spark, sf_dir).join(F.broadcast(q), "term").withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).filter("r <= 100")
     d = documents(spark, sf_dir).select("doc_id", F.col("source").alias("peer"))
     return rows.join(d, "doc_id").groupBy("peer", "doc_id").agg(F.sum("tf").alias("score"))
+
+
+@query(
+    "dht_merge",
+    f"""WITH {KEYWORDS_SQL}, {DOCUMENTS_SQL}, p AS (SELECT term, source AS peer, doc_id, tf, doc_id AS place FROM kw JOIN docs USING (doc_id)),
+ u AS (SELECT term, peer, doc_id, tf + 1 AS score, place, 0 AS old FROM p WHERE doc_id % 3 = 0 UNION ALL SELECT term, peer, doc_id, tf, place, 1 FROM p WHERE doc_id % 2 = 0), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY term, peer, doc_id ORDER BY old, place) = 1)
+ SELECT term, peer, doc_id, score, row_number() OVER (PARTITION BY term ORDER BY old, place, peer, doc_id) AS place FROM f QUALIFY row_number() OVER (PARTITION BY term ORDER BY old, place, peer, doc_id) <= 50""",
+)
+def dht_merge(spark, sf_dir):
+    """Two lists of pointers of every keyword as one: what even documents gave, and newer ones from every third."""
+    rows = keywords(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", F.col("source").alias("peer")), "doc_id")
+    rows = rows.select("term", "peer", "doc_id", F.col("tf").alias("score"), F.col("doc_id").alias("place"))
+    new = rows.filter("doc_id % 3 = 0").withColumn("score", F.col("score") + 1)
+    return graph.merged_pointers(rows.filter("doc_id % 2 = 0"), new, 50)

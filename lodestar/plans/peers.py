@@ -163,3 +163,11 @@ def governor_level(spark, sf_dir):
     slow = F.when(F.col("cpu") > 30, F.greatest(F.lit(0.3), 1 - (F.col("cpu") - 30) / 50 * 0.7)).otherwise(1.0)
     factor = F.when(F.col("level").isin("defensive", "severe"), 0.0).when(F.col("level") == "overloaded", 0.25).when(F.col("level") == "warning", 0.5).otherwise(slow)
     return s.withColumn("level", level).select("event_id", "level", F.round(factor, 6).alias("throttle"))
+
+
+@query("score_deviation", "WITH r AS (SELECT doc_id % 60 AS url_id, source AS peer, avg(n_chars % 100) AS score FROM documents GROUP BY ALL), u AS (SELECT url_id, count(*) AS seen, list_sort(list(score))[count(*) // 2 + 1] AS median, max(score) AS hi, min(score) AS lo FROM r GROUP BY url_id) SELECT url_id, seen, round(CASE WHEN seen <= 1 OR median <= 0 THEN 0 ELSE greatest(hi - median, median - lo) / median END, 4) AS deviation FROM u")
+def score_deviation(spark, sf_dir):
+    """How far the scores of a result are from their median at most, as a share of it; 0 for one score or a median of 0."""
+    d = table(spark, sf_dir, "documents")
+    scores = d.groupBy(F.pmod("doc_id", F.lit(60)).alias("url_id"), F.col("source").alias("peer")).agg(F.avg(F.col("n_chars") % 100).alias("score"))
+    return peers.deviations(scores, "url_id", "score").select("url_id", "seen", F.round("deviation", 4).alias("deviation"))

@@ -10,7 +10,7 @@ from ..registry import ORACLES, query
 from ..sources.literal import Literal
 from ..sources.tables import DOCUMENTS_SQL, EVENTS_SQL, NOW, documents, events, queries, table
 from .graph import cited
-from .search import FEATURES_SQL, RANKED_SQL, ranked_search
+from .search import FEATURES_SQL, RANKED_SQL, VECTOR_SQL, nearest_vectors, ranked_search
 from .trust import trust_of
 
 _SIGNALS_SQL = f"""sig AS (SELECT doc_id, {scores.freshness_sql('crawled_at', NOW)} AS freshness, (doc_id % 10) / 10.0::DOUBLE AS bm25, (doc_id % 7) / 7.0::DOUBLE AS trust, (doc_id % 5) / 5.0::DOUBLE AS authority, (doc_id % 4) / 4.0::DOUBLE AS title, (doc_id % 3) / 3.0::DOUBLE AS url FROM docs)"""
@@ -196,6 +196,54 @@ def ranked_by_links_and_trust(spark, sf_dir):
     return search.ranked(docs, queries(spark, sf_dir), 10, NOW, authority, trust)
 
 
+_ENTRY = "struct<url:string,title:string,domain:string,snippet:string,score:double,scores:struct<bm25:double,freshness:double,trust:double,authority:double,title_match:double,url_path:double>,crawled_at:double,peer_id:string>"
+_SIGNED = {"bm25": "bm25", "freshness": "freshness", "trust": "trust", "authority": "authority", "title": "title_match", "url": "url_path"}
+
+
+@query(
+    "answer_json",
+    f"WITH {FEATURES_SQL}, told AS (SELECT *, {', '.join(f'{v} AS s_{n}' for n, v in _TOLD.items())} FROM feat), o AS (SELECT *, round({' + '.join(f'{_W[n]}::DOUBLE * s_{n}' for n in _TOLD)}, 6) AS combined FROM told), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, bm25_rank) AS place FROM o), l AS (SELECT * FROM k WHERE place <= 10) SELECT query_id, (count(*) OVER (PARTITION BY query_id))::INT AS total, place::INT AS place, url, regexp_extract(url, '://([^/]*)', 1) AS domain, round(combined, 4) AS score, {', '.join(f'round(s_{n}, 4)::DOUBLE AS {c}' for n, c in _SIGNED.items())}, l.crawled_at FROM l",
+)
+def answer_json(spark, sf_dir):
+    """The whole answer to each query as JSON with all signals, read again."""
+    rows = search.ranked(documents(spark, sf_dir), queries(spark, sf_dir), 10, NOW, explain=True)
+    rows = rows.join(documents(spark, sf_dir).select("doc_id", "title", "text", "crawled_at"), "doc_id")
+    entry = shaping.ranked_entry(F.col("url"), F.col("title"), F.col("text"), F.col("combined"), {n: F.col(f"signals.{n}") for n in _SIGNED}, F.col("crawled_at"), F.lit(None).cast("string"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"])  # ten at most
+    said = rows.groupBy("query_id").agg(listed.alias("l")).select("query_id", shaping.answer_json(F.col("l"), F.lit(12.34), F.lit("local")).alias("j"))
+    parsed = said.select("query_id", F.from_json("j", f"total int, elapsed_ms double, source string, results array<{_ENTRY}>").alias("a"))
+    each = parsed.select("query_id", "a.total", F.posexplode("a.results").alias("p", "r"))
+    return each.select("query_id", "total", (F.col("p") + 1).alias("place"), "r.url", "r.domain", "r.score", *[f"r.scores.{c}" for c in _SIGNED.values()], "r.crawled_at")
+
+
+@query(
+    "hybrid_json",
+    f"""WITH {RANKED_SQL}, {VECTOR_SQL}, f AS (SELECT (query_id + 5) * 100 AS query_id, doc_id, rank AS fr, combined FROM ranked), g AS (SELECT query_id, doc_id, rank AS vr, score FROM vec),
+ u AS (SELECT query_id, doc_id, CASE WHEN vr IS NULL THEN 'fts' WHEN fr IS NULL THEN 'vector' ELSE 'hybrid' END AS source, combined, score, round(coalesce(1.0::DOUBLE / (60 + fr), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0), 6) AS rrf FROM f FULL JOIN g USING (query_id, doc_id))
+ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id))::INT AS place, d.url, u.source, round(combined, 4) AS bm25, round(score, 4) AS vector, round(rrf, 4) AS rrf FROM u JOIN docs d USING (doc_id)""",
+)
+def hybrid_json(spark, sf_dir):
+    """Fused answers as JSON, with the scores that each result has, read again."""
+    hits = ranked_search(spark, sf_dir).withColumn("query_id", (F.col("query_id") + 5) * 100)
+    near = nearest_vectors(spark, sf_dir)
+    fused = search.rrf(hits, near).join(hits.select("query_id", "doc_id", F.col("combined").alias("fts")), ["query_id", "doc_id"], "left")
+    fused = fused.join(near.select("query_id", "doc_id", F.col("score").alias("vector")), ["query_id", "doc_id"], "left")
+    rows = fused.join(documents(spark, sf_dir).select("doc_id", "url", "title", "text"), "doc_id")
+    entry = shaping.merged_entry(F.col("url"), F.col("title"), F.col("text"), F.col("source"), F.col("fts"), F.col("vector"), F.col("combined_score"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("combined_score")).alias("s"), "doc_id", entry.alias("e")))), lambda x: x["e"])  # twenty at most
+    said = rows.groupBy("query_id").agg(listed.alias("l")).select("query_id", shaping.answer_json(F.col("l"), F.lit(12.34), F.lit("hybrid")).alias("j"))
+    kind = "total int, results array<struct<url:string,source:string,scores:struct<bm25:double,vector:double,rrf:double>>>"
+    each = said.select("query_id", F.from_json("j", kind).alias("a")).select("query_id", F.posexplode("a.results").alias("p", "r"))
+    return each.select("query_id", (F.col("p") + 1).alias("place"), "r.url", "r.source", "r.scores.*")
+
+
+@query("work_verified", "WITH h AS (SELECT event_id, sha256(unhex(sha256('key' || user_id) || lpad(printf('%x', event_id), 16, '0'))) AS h FROM events), z AS (SELECT event_id, length(h) - length(ltrim(h, '0')) AS n, ltrim(h, '0') AS r FROM h), b AS (SELECT event_id, (n * 4 + CASE WHEN r[1] IN ('8', '9', 'a', 'b', 'c', 'd', 'e', 'f') THEN 0 WHEN r[1] IN ('4', '5', '6', '7') THEN 1 WHEN r[1] IN ('2', '3') THEN 2 ELSE 3 END)::INT AS bits FROM z) SELECT event_id, bits, bits >= 6 AS enough FROM b")
+def work_verified(spark, sf_dir):
+    """The work in a key and a nonce: every event offers its number as a nonce for its user's key."""
+    key = F.sha2(F.concat(F.lit("key"), F.col("user_id").cast("string")), 256)
+    return table(spark, sf_dir, "events").select("event_id", shaping.work_bits(key, F.col("event_id")).alias("bits")).withColumn("enough", F.col("bits") >= 6)
+
+
 @query("dedup_results")
 def dedup_results(spark, sf_dir):
     """The results of each query without those whose title and snippet resemble a better one."""

@@ -98,7 +98,7 @@ near AS (SELECT query_id, vec_id AS doc_id, {_COSINE} AS score FROM embeddings,
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near WHERE score >= 0) WHERE rank <= {LIMIT})"""
 
 
-def _vectors(spark, sf_dir):
+def nearest_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vectors.nearest(e, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe")), LIMIT)
 
@@ -106,7 +106,7 @@ def _vectors(spark, sf_dir):
 @query("vector_topk", f"WITH {VECTOR_SQL} SELECT query_id, doc_id, score, rank FROM vec")
 def vector_topk(spark, sf_dir):
     """Every vector whose id is divisible by 100 is a query against all."""
-    return _vectors(spark, sf_dir)
+    return nearest_vectors(spark, sf_dir)
 
 
 @query(
@@ -117,7 +117,7 @@ def vector_topk(spark, sf_dir):
 )
 def rrf_hybrid(spark, sf_dir):
     hits = ranked_search(spark, sf_dir).withColumn("query_id", (F.col("query_id") + 5) * 100)
-    return search.rrf(hits, _vectors(spark, sf_dir))
+    return search.rrf(hits, nearest_vectors(spark, sf_dir))
 
 
 @query("freshness", f"WITH {DOCUMENTS_SQL} SELECT doc_id, round({scores.freshness_sql('crawled_at', NOW)}, 9) AS freshness FROM docs")
