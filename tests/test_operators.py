@@ -223,3 +223,40 @@ def test_poor_snippets_give_way_to_longer_passages(spark):
     rows = [(1, body, ["fox"], "fox"), (2, body, ["fox"], "a fox is said to be here in a snippet that is long enough to stay as it is, really so"), (3, body, ["fox"], "x" * 400), (4, None, ["fox"], "kept"), (5, "short", ["fox"], None), (6, body, ["zebra"], "z")]
     got = {r["k"]: r["snippet"] for r in results.enhanced(spark.createDataFrame(rows, "k long, text string, wanted array<string>, snippet string"), ["k"]).collect()}
     assert "red fox" in got[1] and len(got[1]) <= 300 and got[2] == rows[1][3] and got[3] == rows[2][3] and got[4] == "kept" and got[5] == "short" and got[6] == body[:200]
+
+
+def test_pointer_lists_merge_with_the_new_first(spark):
+    schema = "term string, peer string, doc_id long, score long, place long"
+    old = [("a", "p", 1, 5, 1), ("a", "q", 1, 6, 2), ("a", None, 2, 1, 3), ("b", "p", 9, 1, 1), ("a", "p", 3, 2, 4)]
+    new = [("a", "p", 3, 9, 1), ("a", "p", 3, 1, 2), ("a", "p", 1, 7, 3), ("c", "p", None, 1, 1)]
+    got = sorted(map(tuple, graph.merged_pointers(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), 2).collect()))
+    assert got == [("a", "p", 1, 7, 2), ("a", "p", 3, 9, 1), ("b", "p", 9, 1, 1)]
+
+
+def test_deviations_equal_plain_ones(spark):
+    import random
+
+    from lodestar.operators import peers
+
+    r = random.Random(3)
+    rows = [(i % 12, r.choice([0.0, 1.0, 2.5, 7.0, -1.0])) for i in range(70)] + [(100, 3.0), (101, 0.0), (101, 0.0)]
+    got = {x["k"]: (x["seen"], x["median"], round(x["deviation"], 6)) for x in peers.deviations(spark.createDataFrame(rows, "k long, s double"), "k", "s").collect()}
+    for k in {k for k, _ in rows}:
+        s = sorted(v for j, v in rows if j == k)
+        m = s[len(s) // 2]
+        assert got[k] == (len(s), m, round(0.0 if len(s) <= 1 or m <= 0 else max(abs(v - m) for v in s) / m, 6))
+
+
+def test_answers_and_work(spark):
+    import json
+
+    from lodestar.functions import shaping
+
+    entry = shaping.merged_entry(F.lit("https://a.example/x"), F.lit("t"), F.lit("s" * 300), F.lit("fts"), F.lit(0.123456), F.lit(None).cast("double"), F.lit(0.016393))
+    said = json.loads(spark.range(1).select(shaping.answer_json(F.array(entry), F.lit(1.26), F.lit("hybrid"), F.lit(1), F.lit(0))).first()[0])
+    assert said["total"] == 1 and said["elapsed_ms"] == 1.3 and said["local_count"] == 1 and said["results"][0]["scores"] == {"bm25": 0.1235, "rrf": 0.0164} and len(said["results"][0]["snippet"]) == 200
+    key = hashlib.sha256(b"key").digest()
+    for nonce in (0, 1, 255, 2**40 + 7):
+        digest = hashlib.sha256(key + nonce.to_bytes(8, "big")).digest()
+        bits = 256 - int.from_bytes(digest, "big").bit_length()
+        assert spark.range(1).select(shaping.work_bits(F.lit(key.hex()), F.lit(nonce))).first()[0] == bits
