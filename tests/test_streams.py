@@ -157,3 +157,27 @@ def test_locks_files_and_reformulations_equal_plain_loops(spark, steps):
                 want[i] = (user, t - last[user])
             last[user] = t
     assert got.keys() == want.keys() and all(u == want[i][0] and abs(g - want[i][1]) < 0.01 for i, (u, g) in got.items()) and len(want) > 5
+
+
+def test_submissions_are_checked_and_indexed(spark, tmp_path):
+    import hashlib
+    import hmac
+
+    from lodestar.operators.segments import Index
+    from lodestar.streaming import submissions
+
+    def message(i, peer, text="some words here", url="u", spoil=None):
+        digest = None if text is None else hashlib.sha256(text.encode()).hexdigest()
+        sign = hmac.new(b"k", f"{url or ''}\n{digest or ''}".encode(), hashlib.sha256).hexdigest()
+        return (i, float((i or 0) * 100), peer, url, "t", text, "0" * 64 if spoil == "digest" else digest, "bad" if spoil == "sign" else None if spoil == "none" else sign, "clash")
+
+    rows = [message(1, 7), message(2, 8), message(3, None), message(4, 7, "x" * 101), message(5, 7, spoil="digest"), message(6, 7, spoil="sign"), message(7, 7, spoil="none"), message(8, 7, None), message(9, 7, url=None), message(10, 7, "other words"), message(1, 7, "new words é")]
+    frame = spark.createDataFrame(rows, "doc_id long, ts double, peer long, url string, title string, text string, text_hash string, signature string, _peer string").drop("_peer").withColumn("ts", F.timestamp_seconds("ts"))
+    allowed = spark.createDataFrame([(7,), (7,)], "peer long")
+    index = Index(spark, str(tmp_path / "i"), buckets=2)
+    got = st.replayed(frame, lambda e: submissions.checked(e.filter(~st.closing(e)), allowed, "k", 100), 2, each=submissions.into(index)).select("doc_id", "outcome").collect()
+    want = {2: "peer_not_allowed", 3: "peer_not_allowed", 4: "too_large", 5: "wrong_digest", 6: "wrong_signature", 7: "wrong_signature", 8: "incomplete", 9: "incomplete", 10: "accepted"}
+    assert {r["doc_id"]: r["outcome"] for r in got if r["doc_id"] != 1} == want and [r["outcome"] for r in got if r["doc_id"] == 1] == ["accepted"] * 2
+    assert sorted(r["doc_id"] for r in index.ids().collect()) == [1, 10]
+    open_all = submissions.checked(frame, None, None).filter("doc_id = 2").first()
+    assert open_all["outcome"] == "accepted"
