@@ -51,9 +51,23 @@ class Index:
         return sorted(int(n[:-5]) for n in storage.names(self.spark, f"{self.path}/manifest") if n.endswith(".json"))
 
     def state(self, version: int | None = None) -> dict:
-        """The manifest of a version, the last one by default."""
-        at = self.versions()[-1] if version is None else version
-        return json.loads(storage.read_text(self.spark, f"{self.path}/manifest/{at:09d}.json"))
+        """The manifest of a version, the last whole one by default; what a writer that died has left of one is passed over."""
+        read = lambda at: json.loads(storage.read_text(self.spark, f"{self.path}/manifest/{at:09d}.json"))
+        if version is not None:
+            return read(version)
+        have = self.versions()
+        for at in reversed(have):
+            try:
+                return read(at) | {"version": have[-1]}
+            except ValueError:
+                continue
+        raise ValueError(f"{self.path} has no whole version")
+
+    def _whole(self, version: int) -> bool:
+        try:
+            return bool(self.state(version))
+        except ValueError:
+            return False
 
     def _commit(self, state: dict) -> None:
         if not storage.write_new(self.spark, f"{self.path}/manifest/{state['version']:09d}.json", json.dumps(state)):
@@ -113,6 +127,7 @@ class Index:
     def vacuum(self, keep: int = 1) -> int:
         """Deletes the files of no version but the last `keep`, and those versions; the number of folders deleted. No one may write meanwhile."""
         versions = self.versions()
+        versions = [v for v in versions if self._whole(v)]
         states = [self.state(v) for v in versions[-max(1, keep) :]]
         used = {f"segment={n}" for s in states for n in s["segments"]} | {f"mark={m}" for s in states for m in s["marks"]}
         gone = 0

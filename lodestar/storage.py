@@ -57,7 +57,8 @@ def names(spark: SparkSession, folder: str) -> list[str]:
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file, whole."""
-    return spark.read.text(path, wholetext=True).first()[0]
+    rows = spark.read.text(path, wholetext=True).collect()  # one row, none of an empty file
+    return rows[0][0] if rows else ""
 
 
 def write_new(spark: SparkSession, path: str, content: str) -> bool:

@@ -91,3 +91,15 @@ def test_odd_rows_and_ranked_search(spark, asked, tmp_path):
     full = _docs(spark, rows).withColumns({"url": F.lit("https://a/w1"), "crawled_at": F.lit(0.0), "source": F.lit("s")})
     plain, found = (search.ranked(full, asked, 5, 0.0, index=i).collect() for i in (None, index))
     assert sorted(plain) == sorted(found) and found
+
+
+@pytest.mark.parametrize("left", ["", '{"version": 2, "segm'])
+def test_what_a_dead_writer_leaves_is_passed_over(spark, asked, tmp_path, left):
+    index = segments.Index(spark, str(tmp_path / "i"), buckets=2)
+    index.add(_docs(spark, [(1, "w1", "w2 w3")]))
+    (tmp_path / "i" / "manifest" / "000000002.json").write_text(left)
+    assert {d for _, d, _ in _hits(index.bm25(asked))} == {1}
+    index.add(_docs(spark, [(2, "w1", "")]))
+    assert index.versions()[-1] == 3 and sorted(r["doc_id"] for r in index.ids().collect()) == [1, 2]
+    index.vacuum()
+    assert sorted(r["doc_id"] for r in index.ids().collect()) == [1, 2]
