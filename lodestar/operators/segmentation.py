@@ -60,30 +60,42 @@ def lexicon(docs: DataFrame, text: str = "text", longest: int = LONGEST, least:
     return {r["gram"]: -math.log(r["n"] / weight) for r in rows}
 
 
-def best_path(run: str, costs: dict[str, float], longest: int = LONGEST) -> list[str]:
-    """The words of a run whose costs add up to the least; of equal sums the path of fewer words, then that of longer first words. An unknown character is a word that costs more than any known one."""
-    unknown = max(costs.values(), default=0.0) + 1.0
-    # From the end on, so that ties go by the first words.
-    best: list[tuple[float, int, int]] = [(0.0, 0, 0)] * (len(run) + 1)
-    for i in range(len(run) - 1, -1, -1):
-        found = None
-        for k in range(min(longest, len(run) - i), 0, -1):
-            cost = costs.get(run[i : i + k], unknown if k == 1 else None)
-            if cost is None:
+#: Costs are compared as whole numbers of this part of one, so that equal sums are equal.
+UNIT = 1_000_000
+
+
+def _prices(costs: dict[str, float]) -> tuple[dict[str, int], int]:
+    """The costs as whole numbers, and that of an unknown character."""
+    prices = {w: round(c * UNIT) for w, c in costs.items()}
+    return prices, max(prices.values(), default=0) + UNIT
+
+
+def _path(run: str, prices: dict[str, int], unknown: int, longest: int) -> list[str]:
+    n = len(run)
+    total, words, step = [0] * (n + 1), [0] * (n + 1), [1] * (n + 1)
+    # From the end on, so that ties go by the first words, the longer ones first.
+    for i in range(n - 1, -1, -1):
+        best, fewest, chosen = (unknown if run[i] not in prices else 1 << 62) + total[i + 1], words[i + 1] + 1, 0
+        for k in range(min(longest, n - i), 0, -1):
+            price = prices.get(run[i : i + k])
+            if price is None:
                 continue
-            after = best[i + k]
-            way = (round(cost + after[0], 9), after[1] + 1, k)
-            if found is None or way[:2] < found[:2]:
-                found = way
-        best[i] = found
+            cost = price + total[i + k]
+            if cost < best or cost == best and (words[i + k] + 1 < fewest or not chosen):
+                best, fewest, chosen = cost, words[i + k] + 1, k
+        total[i], words[i], step[i] = best, fewest, chosen or 1
     out, i = [], 0
-    while i < len(run):
-        k = best[i][2]
-        out.append(run[i : i + k])
-        i += k
+    while i < n:
+        out.append(run[i : i + step[i]])
+        i += step[i]
     return out
 
 
+def best_path(run: str, costs: dict[str, float], longest: int = LONGEST) -> list[str]:
+    """The words of a run whose costs add up to the least; of equal sums the path of fewer words, then that of longer first words. An unknown character is a word that costs more than any known one."""
+    return _path(run, *_prices(costs), longest)
+
+
 def segmented(docs: DataFrame, costs: dict[str, float], key: str = "doc_id", text: str = "text", longest: int = LONGEST) -> DataFrame:
     """key, tokens: runs of Chinese or Korean characters by their best path, other runs of letters and digits whole and in lower case.
 
@@ -92,11 +104,13 @@ def segmented(docs: DataFrame, costs: dict[str, float], key: str = "doc_id", tex
     pattern = re.compile(f"[{HAN}]+|[{HANGUL}]+|[^\\W_{HAN}{HANGUL}]+")
     own = re.compile(f"[{HAN}{HANGUL}]")
 
+    prices, unknown = _prices(costs)
+
     def run(batches):
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                out.append([w for m in pattern.findall(t or "") for w in (best_path(m, costs, longest) if own.match(m) else [m.lower()])])
+                out.append([w for m in pattern.findall(t or "") for w in (_path(m, prices, unknown, longest) if own.match(m) else [m.lower()])])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], [key, "tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))
