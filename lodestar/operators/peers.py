@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import settle
@@ -29,6 +29,13 @@ def candidates(keys: DataFrame, peers: DataFrame, n: int) -> DataFrame:
     return deepest.join(held, ["level", "prefix"]).select("key", "p", F.col("u").bitwiseXOR(F.col("id")).alias("d"))
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of a group by a sum of decimals, so that peers of equal values have equal means, in whatever order they are summed; by doubles where one is too large, or not a number."""
+    small = F.when(F.abs(value) < 1e12, value).cast("decimal(27,12)")
+    mean = (F.try_sum(small) / F.count(small)).cast("double")
+    return F.when(F.count(small) == F.count(value), mean).otherwise(F.avg(value))
+
+
 #: Share of the slow peers that are asked before the others, so that they are measured again.
 DIVERSITY = 5
 

@@ -216,6 +216,27 @@ def test_peers_in_order_and_with_diversity(spark):
     assert [r["peer"] for r in peers.diverse(df.limit(0)).collect()] == []
 
 
+def test_means_of_equal_values_are_equal_in_any_order(spark):
+    from lodestar.operators import peers
+
+    values = [0.1, 0.2, 0.3, 56.25, 122.79, 29.27, 1e7 + 0.05, 0.07]
+    rows = [(p, i, v) for p in range(12) for i, v in enumerate([*values[p % 8 :], *values[: p % 8]])] + [(90, 0, None), (91, 0, float("nan")), (91, 1, 1.0), (92, 0, 1e300), (92, 1, -1e300)]
+    df = spark.createDataFrame(rows, "peer long, i long, value double").repartition(1).sortWithinPartitions("peer", "i")
+    got = {r["peer"]: r["m"] for r in df.groupBy("peer").agg(peers.exact_mean(F.col("value")).alias("m")).collect()}
+    assert {got[p] for p in range(12)} == {sum(round(v * 100) for v in values) / 800}
+    assert got[90] is None and math.isnan(got[91]) and got[92] == 0.0
+
+
+def test_peers_without_an_answer_come_after_unknown_ones(spark, tmp_path):
+    rows = [(p * 100 + i, p, "error" if p == 1 else "view", 5.0 + p) for p in range(5) for i in range(10 if p == 2 else 70)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("peer_order", "peer_order_diverse"):
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(db.sql(catalog.ORACLES[name]).fetchall())
+
+
 def test_poor_snippets_give_way_to_longer_passages(spark):
     from lodestar.operators import results
 
