@@ -27,10 +27,15 @@ def explanation(signals: dict[str, Column], weights: dict[str, float] | None = N
     return {**{f"w_{n}": w for n, w in weighted.items()}, "dominant": F.array_max(parts)["n"], "notes": F.array_join(F.array_compact(F.array(*notes)), "; ")}
 
 
+def _rounded(number: Column, digits: int) -> Column:
+    """A score as doubles round it: what counts is the product with the power of ten, not the digits as written."""
+    return F.round(number * 10.0**digits) / 10.0**digits
+
+
 def result_json(url: Column, title: Column, snippet: Column, score: Column, parts: dict[str, Column], most: int = 200) -> Column:
     """One result as JSON; scores are rounded to 4, snippets cut."""
-    inner = F.struct(*[F.round(c, 4).alias(n) for n, c in parts.items()])
-    return F.to_json(F.struct(url.alias("url"), title.alias("title"), F.regexp_extract(url, "://([^/]*)", 1).alias("domain"), F.substring(snippet, 1, most).alias("snippet"), F.round(score, 4).alias("score"), inner.alias("scores")))
+    inner = F.struct(*[_rounded(c, 4).alias(n) for n, c in parts.items()])
+    return F.to_json(F.struct(url.alias("url"), title.alias("title"), F.regexp_extract(url, "://([^/]*)", 1).alias("domain"), F.substring(snippet, 1, most).alias("snippet"), _rounded(score, 4).alias("score"), inner.alias("scores")))
 
 
 def answer_json(results: Column, elapsed: Column, source: Column, local: Column | None = None, remote: Column | None = None) -> Column:
@@ -42,13 +47,13 @@ def answer_json(results: Column, elapsed: Column, source: Column, local: Column
 def ranked_entry(url: Column, title: Column, snippet: Column, score: Column, signals: dict[str, Column], crawled_at: Column, peer: Column, most: int = 200) -> Column:
     """A ranked result of an answer, with the signals that ranked it."""
     names = {"title": "title_match", "url": "url_path"}
-    inner = F.struct(*[F.round(c, 4).alias(names.get(n, n)) for n, c in signals.items()])
-    return F.struct(url.alias("url"), title.alias("title"), F.regexp_extract(url, "://([^/]*)", 1).alias("domain"), F.substring(snippet, 1, most).alias("snippet"), F.round(score, 4).alias("score"), inner.alias("scores"), crawled_at.alias("crawled_at"), peer.alias("peer_id"))
+    inner = F.struct(*[_rounded(c, 4).alias(names.get(n, n)) for n, c in signals.items()])
+    return F.struct(url.alias("url"), title.alias("title"), F.regexp_extract(url, "://([^/]*)", 1).alias("domain"), F.substring(snippet, 1, most).alias("snippet"), _rounded(score, 4).alias("score"), inner.alias("scores"), crawled_at.alias("crawled_at"), peer.alias("peer_id"))
 
 
 def merged_entry(url: Column, title: Column, snippet: Column, source: Column, fts: Column, vector: Column, rrf: Column, most: int = 200) -> Column:
     """A fused result of an answer, with the scores that it has."""
-    scores = F.struct(F.round(fts, 4).alias("bm25"), F.round(vector, 4).alias("vector"), F.round(rrf, 4).alias("rrf"))
+    scores = F.struct(_rounded(fts, 4).alias("bm25"), _rounded(vector, 4).alias("vector"), _rounded(rrf, 4).alias("rrf"))
     return F.struct(url.alias("url"), title.alias("title"), F.regexp_extract(url, "://([^/]*)", 1).alias("domain"), F.substring(snippet, 1, most).alias("snippet"), source.alias("source"), scores.alias("scores"))
 
 
@@ -59,8 +64,8 @@ def work_bits(key: Column, nonce: Column) -> Column:
 
 def result_text(rank: Column, title: Column, url: Column, snippet: Column, score: Column, parts: dict[str, Column], most: int = 200) -> Column:
     """One result as lines of text."""
-    listed = F.concat_ws(", ", *[F.format_string(f"{n}=%.3f", F.round(c, 3)) for n, c in parts.items()])
-    return F.format_string("[%d] %s\n    Source: %s\n    Domain: %s\n    Score: %.4f (%s)\n    %s\n", rank, title, url, F.regexp_extract(url, "://([^/]*)", 1), F.round(score, 4), listed, F.substring(snippet, 1, most))
+    listed = F.concat_ws(", ", *[F.format_string(f"{n}=%.3f", _rounded(c, 3)) for n, c in parts.items()])
+    return F.format_string("[%d] %s\n    Source: %s\n    Domain: %s\n    Score: %.4f (%s)\n    %s\n", rank, title, url, F.regexp_extract(url, "://([^/]*)", 1), _rounded(score, 4), listed, F.substring(snippet, 1, most))
 
 
 def _fixed(number: Column, pattern: str) -> Column:

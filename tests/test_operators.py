@@ -237,6 +237,19 @@ def test_peers_without_an_answer_come_after_unknown_ones(spark, tmp_path):
         assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(db.sql(catalog.ORACLES[name]).fetchall())
 
 
+def test_scores_halfway_are_shown_as_sql_shows_them(spark):
+    from lodestar.functions import shaping
+
+    scores = [0.5005, 0.5025, 0.50051, 0.00015, 0.00145, 0.12345, 0.2575, 0.0, 1.0]
+    c = F.col("s")
+    df = spark.createDataFrame([(s,) for s in scores], "s double")
+    shown = shaping.result_text(F.lit(1), F.lit("t"), F.lit("https://a/b"), F.lit("x"), c, {"all": c})
+    score = F.from_json(shaping.result_json(F.lit("https://a/b"), F.lit("t"), F.lit("x"), c, {"all": c}), "score double")["score"]
+    got = {r["s"]: (r["t"], r["j"]) for r in df.select("s", F.regexp_extract(shown, r"Score: (.*)\n", 1).alias("t"), score.alias("j")).collect()}
+    for s in scores:
+        assert got[s] == duckdb.sql(f"SELECT format('{{:.4f}} (all={{:.3f}})', round({s!r}::DOUBLE, 4), round({s!r}::DOUBLE, 3)), round({s!r}::DOUBLE, 4)").fetchall()[0]
+
+
 def test_poor_snippets_give_way_to_longer_passages(spark):
     from lodestar.operators import results
 
