@@ -43,6 +43,10 @@ SUBPARTS = 3
 SMALL = 8
 #: Sets, or pairs of them, unpacked at once.
 SLICE = 128
+#: Packed exchanges have as many tasks as this, or this part of the shuffle partitions if those are more: what a set takes beside its hashes is sent once for each task, so tasks that grow with the data would make the bytes of each hash grow, too.
+PARTS, PARTS_SHARE = 64, 8
+#: Hashes or signatures of a task that are sorted at once.
+RANGE = 1 << 20
 #: Sets, as estimated from one document in SAMPLE, from which a shingle that they hold is taken as held by others and not dealt; this only lets more sets pass the screens.
 HOT_SETS, SAMPLE = 1 << 18, 64
 #: Sizes of sets in the screens: whole steps of a logarithm to this base, and how far apart those of sets that link can be.
@@ -50,6 +54,11 @@ SIZE_BASE = 1.01
 SIZE_STEPS = int(np.log(100 / PERCENT) / np.log(SIZE_BASE)) + 1
 
 
+def packed_parts(tasks: int) -> int:
+    """Parts of the packed exchanges for so many shuffle partitions."""
+    return min(tasks, max(PARTS, tasks // PARTS_SHARE))
+
+
 def sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE):
     """Distinct shingle hashes of each row, sorted by row and hash, and their row offsets."""
     hashes, _, _, word_at = words(data, offsets, lower=True)
@@ -97,16 +106,42 @@ def screen_rows(out: list, part: int, sets_of: np.ndarray, codes: np.ndarray, ow
         out.append((part, 0, sets_of[docs[pick]].tobytes(), None, np.concatenate([have[pick].astype(np.uint16), codes[docs[pick]]]).tobytes(), h[rows].astype(np.uint32).tobytes()))
 
 
-def read_screen(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(set, size code, hash) from packed rows."""
-    ds, hs, ns = [], [], []
-    for b in batches:
-        for d, n, x in zip(*(b.column(c).to_pylist() for c in (2, 4, 5)), strict=True):
+def _packed(batches, *columns: int) -> list[tuple]:
+    return [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
+
+
+def _ranges(packed: list[tuple], kind: type) -> range:
+    """Numbers of the ranges in which the hashes in the last column are sorted, about RANGE at once."""
+    return range(-(-sum(len(row[-1]) for row in packed) // (np.dtype(kind).itemsize * RANGE)))
+
+
+def _of_range(x: bytes, kind: type, r: int, ranges: range) -> tuple[np.ndarray, np.ndarray | slice]:
+    """The hashes of one range, and which of all they are."""
+    x = np.frombuffer(x, kind)
+    pick = np.flatnonzero(x % kind(len(ranges)) == r) if len(ranges) > 1 else slice(None)
+    return x[pick], pick
+
+
+def screen_ranges(batches):
+    """(set, size code, hash) from packed rows, by range of the hash."""
+    packed = _packed(batches, 2, 4, 5)
+    ranges = _ranges(packed, np.uint32)
+    for r in ranges:
+        ds, hs, ns = [], [], []
+        for d, n, x in packed:
             count, code = np.frombuffer(n, np.uint16).reshape(2, -1)
-            ds.append(np.repeat(np.frombuffer(d, np.int64), count))
-            ns.append(np.repeat(code, count))
-            hs.append(np.frombuffer(x, np.uint32))
-    return (np.concatenate(ds), np.concatenate(ns), np.concatenate(hs)) if hs else None
+            h, pick = _of_range(x, np.uint32, r, ranges)
+            ds.append(np.repeat(np.frombuffer(d, np.int64), count)[pick])
+            ns.append(np.repeat(code, count)[pick])
+            hs.append(h)
+        if any(map(len, hs)):
+            yield np.concatenate(ds), np.concatenate(ns), np.concatenate(hs)
+
+
+def read_screen(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(set, size code, hash) from packed rows, all of them."""
+    rows = list(screen_ranges(batches))
+    return tuple(map(np.concatenate, zip(*rows, strict=True))) if rows else None
 
 
 def _distinct(f1, f2, d):
@@ -214,9 +249,10 @@ def _shared(n_parts: int):
                 yield b.filter(done)
                 b = b.filter(pa.compute.invert(done))
             dealt.append(b)
-        rows = read_screen(dealt)
-        if rows:
-            out = _held_rows(*held_by_another(*rows), n_parts)
+        found = [held_by_another(*rows) for rows in screen_ranges(dealt)]
+        if found:
+            sets_of, back = np.unique(np.concatenate([d for d, _ in found]), return_inverse=True)
+            out = _held_rows(sets_of, np.bincount(back, np.concatenate([c for _, c in found]), len(sets_of)), n_parts)
             if out:
                 yield _table(out)
 
@@ -398,57 +434,62 @@ def _sums(batches):
 
 def screened(table: DataFrame, k: int, hot: np.ndarray) -> DataFrame:
     """Sets of table (id, n, packed) of which another one could hold PERCENT of the shingles; others link with nothing."""
-    n = tasks(table.sparkSession)
+    n = packed_parts(tasks(table.sparkSession))
     held = deal(table.mapInArrow(_every(n, k, hot), _PACKED), n).mapInArrow(_shared(n), _PACKED)
     enough = deal(held, n).mapInArrow(_sums, "id long, c long")
     return table.join(enough, "id").filter(100 * F.col("c") >= PERCENT * F.col("n")).select("id", "n", "packed")
 
 
+def _met(w: np.ndarray, i: np.ndarray, seen: set):
+    """What _groups() makes of the signatures of one range and their ids; seen has the keys of large groups so far."""
+    order = np.lexsort((i, w))
+    w, i = w[order], i[order]
+    fresh = np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]))
+    w, i = w[fresh], i[fresh]
+    edge = np.append(np.flatnonzero(np.append(True, w[1:] != w[:-1])), len(w))
+    size = np.diff(edge)
+    a, b = [], []
+    for g in range(2, SMALL + 1):
+        start = edge[:-1][size == g]
+        for p in range(g):
+            for q in range(p + 1, g):
+                a.append(i[start + p])
+                b.append(i[start + q])
+    large = []
+    for g in np.flatnonzero(size > SMALL):
+        members = i[edge[g] : edge[g + 1]]
+        key = hashlib.blake2b(members, digest_size=8).digest()
+        if key not in seen:
+            seen.add(key)
+            large.append((int.from_bytes(key, "little", signed=True), members))
+    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    if len(a):
+        edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        count = np.diff(np.append(edge, len(a)))
+        for s in range(0, len(edge), 100000):
+            e = edge[s : s + 100000]
+            yield pa.RecordBatch.from_arrays([pa.array(a[e]), pa.array(b[e]), pa.array(count[s : s + 100000].astype(np.int64)), pa.nulls(len(e), pa.int64())], ["a", "b", "c", "g"])
+    for key, members in large:
+        yield pa.RecordBatch.from_arrays([pa.array(members), pa.array(members), pa.array(np.zeros(len(members), np.int64)), pa.array(np.full(len(members), key))], ["a", "b", "c", "g"])
+
+
 def _groups():
     """Signatures of a range to pairs (a, b, count) of ids and, for large groups, their members."""
 
     @frugal
     def run(batches):
-        ws, ids = [], []
-        for b in batches:
-            for d, n, x in zip(*(b.column(c).to_pylist() for c in (2, 4, 5)), strict=True):
-                ids.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32)))
-                ws.append(np.frombuffer(x, np.uint64))
-        if not ws:
-            return
-        w, i = np.concatenate(ws), np.concatenate(ids)
-        order = np.lexsort((i, w))
-        w, i = w[order], i[order]
-        fresh = np.append(True, (w[1:] != w[:-1]) | (i[1:] != i[:-1]))
-        w, i = w[fresh], i[fresh]
-        edge = np.append(np.flatnonzero(np.append(True, w[1:] != w[:-1])), len(w))
-        size = np.diff(edge)
-        a, b = [], []
-        for g in range(2, SMALL + 1):
-            start = edge[:-1][size == g]
-            for p in range(g):
-                for q in range(p + 1, g):
-                    a.append(i[start + p])
-                    b.append(i[start + q])
-        seen = set()
-        large = []
-        for g in np.flatnonzero(size > SMALL):
-            members = i[edge[g] : edge[g + 1]]
-            key = hashlib.blake2b(members, digest_size=8).digest()
-            if key not in seen:
-                seen.add(key)
-                large.append((int.from_bytes(key, "little", signed=True), members))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        if len(a):
-            edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            count = np.diff(np.append(edge, len(a)))
-            for s in range(0, len(edge), 100000):
-                e = edge[s : s + 100000]
-                yield pa.RecordBatch.from_arrays([pa.array(a[e]), pa.array(b[e]), pa.array(count[s : s + 100000].astype(np.int64)), pa.nulls(len(e), pa.int64())], ["a", "b", "c", "g"])
-        for key, members in large:
-            yield pa.RecordBatch.from_arrays([pa.array(members), pa.array(members), pa.array(np.zeros(len(members), np.int64)), pa.array(np.full(len(members), key))], ["a", "b", "c", "g"])
+        packed, seen = _packed(batches, 2, 4, 5), set()
+        ranges = _ranges(packed, np.uint64)
+        for r in ranges:
+            ws, ids = [], []
+            for d, n, x in packed:
+                w, pick = _of_range(x, np.uint64, r, ranges)
+                ids.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint32))[pick])
+                ws.append(w)
+            if any(map(len, ws)):
+                yield from _met(np.concatenate(ws), np.concatenate(ids), seen)
 
     return run
 
@@ -664,7 +705,7 @@ def _past_hubs(hubs: DataFrame, table: DataFrame, labels: DataFrame, k: int) ->
     hub, has w > 25 r, hence must share some with any partner; ordered by how many
     members have them, one of both members' rarest.
     """
-    n = tasks(table.sparkSession)
+    n = packed_parts(tasks(table.sparkSession))
     l = labels.withColumnRenamed("component", "c")
     members = hubs.select("hub", "id").join(l, "id", "left").withColumn("c", F.coalesce("c", "id"))
     mixed = members.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub")
@@ -685,7 +726,7 @@ def _past_hubs(hubs: DataFrame, table: DataFrame, labels: DataFrame, k: int) ->
 
 def link(table: DataFrame, k: int = SHINGLE, hot: np.ndarray | None = None) -> DataFrame:
     """(id, component) of the sets in table (id, n, packed) that link with another, found by shared signatures; hot are the hashes of very frequent shingles."""
-    n = tasks(table.sparkSession)
+    n = packed_parts(tasks(table.sparkSession))
     table = settle(screened(table, k, np.zeros(0, np.uint64) if hot is None else hot))
     found = settle(deal(table.mapInArrow(_sign(n, k), _PACKED), n).mapInArrow(_groups(), "a long, b long, c long, g long"))
     pairs = settle(found.filter("g is null").groupBy("a", "b").agg(F.sum("c").alias("c")))
@@ -723,7 +764,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, key: str = "doc_id", text
     Shingles are compared by 64-bit hashes. Other columns are not read.
     """
     lean_batches(docs.sparkSession)
-    n = tasks(docs.sparkSession)
+    n = packed_parts(tasks(docs.sparkSession))
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     hot = hot_shingles(rows, k)
     counts = deal(rows.mapInArrow(_prefixes(n, k, hot), _PACKED), n).mapInArrow(_shared(n), _PACKED)

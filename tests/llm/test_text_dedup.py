@@ -129,6 +129,29 @@ def test_many_hashes_of_one_set_in_one_range():
     assert (d[order] == np.array([7, 8, 9])[owner]).all() and (x[order] == np.arange(len(owner))).all() and len(set(zip(d, code))) == 3
 
 
+def test_ranges_of_hashes_change_no_class(spark, monkeypatch):
+    rows = h.documents(11, near=60)
+    monkeypatch.setattr(jaccard, "RANGE", 50)
+    monkeypatch.setattr(jaccard, "PARTS", 2)
+    assert Counter(map(tuple, jaccard.near_duplicates(h.frame(spark, rows)).collect())) == h.near_classes([(x[0], x[1]) for x in rows])
+
+
+def test_bytes_of_a_hash_do_not_grow_with_the_partitions():
+    rng = np.random.default_rng(3)
+    hashes, owner = rng.integers(0, 2**63, 200 * 225, dtype=np.uint64) * np.uint64(2), np.repeat(np.arange(200), 225)
+    sets_of, codes = rng.integers(0, 2**62, 200), np.zeros(200, np.uint16)
+
+    def size(partitions):
+        n, out = jaccard.packed_parts(partitions), []
+        for p, pick in substrings.by_part(substrings.hash_part(hashes, n), n):
+            jaccard.screen_rows(out, p, sets_of, codes, owner[pick], hashes[pick])
+        found = [np.concatenate(x) for x in zip(*jaccard.screen_ranges([substrings._table(out)]))]
+        assert sorted(zip(*found[::2])) == sorted(zip(sets_of[owner], hashes.astype(np.uint32)))
+        return sum(len(v) for row in out for v in row[2:] if v)
+
+    assert size(600) <= 1.25 * size(51)
+
+
 def test_known_strings_are_compared_byte_by_byte():
     import numpy as np
 
