@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -67,20 +68,19 @@ def fingerprint(value: Column) -> Column:
     """simhash() of a text by itself, for streams and filters, where no rows are grouped."""
 
     @F.arrow_udf("long")
-    def voted(hashes: pa.Array) -> pa.Array:
-        """The bits that at least half of each row's hashes have; no hashes give 0."""
-        flat, sizes = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        out, some = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
-        starts = (np.cumsum(sizes) - sizes)[some]
-        for b in range(64 if len(some) else 0):
-            votes = np.add.reduceat((flat >> np.uint64(b) & np.uint64(1)).astype(np.int64), starts)
-            out[some] |= (2 * votes >= sizes[some]).astype(np.uint64) << np.uint64(b)
-        return pa.array(out.view(np.int64))
-
-    w = text.words(F.coalesce(value, F.lit("")))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))
-    hashed = F.transform(F.when(F.size(w) > 0, runs).otherwise(F.array().cast("array<string>")), lambda s: F.conv(F.substring(F.md5(s), 1, 16), 16, -10).cast("long"))
-    return voted(hashed)
+    def voted(lists: pa.Array) -> pa.Array:
+        """The bits that at least half of the hashes of each row's runs of words have; no words give 0."""
+        out = np.zeros(len(lists), ">i8")
+        for i in range(len(lists)):
+            w = lists[i].as_py()
+            runs = [" ".join(w[j : j + SHINGLE]).encode() for j in range(max(1, len(w) - SHINGLE + 1))] if w else []
+            if runs:
+                bits = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(x).digest()[:8] for x in runs), np.uint8).reshape(-1, 8), axis=1)
+                out[i : i + 1] = np.packbits(2 * bits.sum(0, dtype=np.int64) >= len(runs)).view(">i8")
+        return pa.array(out.astype(np.int64))
+
+    # The runs are made there: Spark would take the words from the text anew for every run.
+    return voted(text.words(F.coalesce(value, F.lit(""))))
 
 
 def choices(simhash: Column, most: int = MOST_BITS, agree: int = 3) -> Column:

@@ -14,39 +14,51 @@ from .operators import LATE, _user, by_key, by_user, closing, timed
 
 #: Hours for which a crawled page is remembered.
 REMEMBERED = 720.0
+_BITS = (1 << 64) - 1
 
 
-def near_seen(pages: DataFrame, hours: float = REMEMBERED, most: int = dedup.MOST_BITS, agree: int = 2) -> DataFrame:
+#: Keys to which the bits of all choices are dealt: each micro-batch calls Python for a key, not for each choice of bits, of which there are more than pages.
+NEAR_KEYS = 256
+
+
+def near_seen(pages: DataFrame, hours: float = REMEMBERED, most: int = dedup.MOST_BITS, agree: int = 2, keys: int = NEAR_KEYS) -> DataFrame:
     """doc_id, distance: pages (doc_id, ts, text) whose fingerprint is at most `most` bits from that of a page crawled in the hours before.
 
     A page comes once for every choice of bands that finds it, with the least distance
     there; the least of all is the distance. The state holds different fingerprints by the
-    bits of a choice, so copies are one, and forgets those that are out of time. Rows of
-    one time go by doc_id; a null text is empty.
+    bits of a choice, so copies are one, and forgets those that are out of time. Many such
+    bits share one of `keys` keys, but only fingerprints of equal bits are compared. Rows
+    of one time go by doc_id; a null text is empty.
     """
     seconds = hours * 3600
 
     def step(held, rows):
-        known = {int(f): float(t) for f, t in (x.split(":") for x in held[0].split())}
-        prints, times = np.array(list(known), np.int64), np.array(list(known.values()))
-        out = []
-        for i, f, at in zip(rows["doc_id"], rows["simhash"], rows["ts"], strict=True):
+        # The last time of each fingerprint, by choice and bits, the one seen longest ago first.
+        known: dict[tuple[int, int], dict[int, float]] = {}
+        for x in held[0].split():
+            c, p, f, t = x.split(":")
+            known.setdefault((int(c), int(p)), {})[int(f)] = float(t)
+        out, now = [], 0.0
+        for i, f, at, c, p in zip(rows["doc_id"], rows["simhash"], rows["ts"], rows["choice"], rows["part"], strict=True):
             now = at.timestamp()
-            fresh = now - times < seconds
-            gaps = np.bitwise_count((prints[fresh] ^ np.int64(f)).view(np.uint64))
-            if len(gaps) and gaps.min() <= most:
-                out.append((i, int(gaps.min())))
-            same = np.flatnonzero(prints == f)
-            if len(same):
-                times[same] = now
+            seen = known.setdefault((c, p), {})
+            while seen and now - seen[first := next(iter(seen))] >= seconds:
+                del seen[first]
+            if len(seen) > 64:
+                least = int(np.bitwise_count((np.fromiter(seen, np.int64, len(seen)) ^ np.int64(f)).view(np.uint64)).min())
             else:
-                prints, times = np.append(prints, np.int64(f)), np.append(times, now)
-        left = times > times.max() - seconds
-        return (" ".join(f"{f}:{t!r}" for f, t in zip(prints[left].tolist(), times[left].tolist(), strict=True)),), pd.DataFrame(out, columns=["doc_id", "distance"]).astype({"doc_id": "Int64", "distance": "int32"})
+                least = min((((f ^ g) & _BITS).bit_count() for g in seen), default=64)
+            if least <= most:
+                out.append((i, least))
+            seen.pop(f, None)
+            seen[f] = now
+        kept = " ".join(f"{c}:{p}:{f}:{t!r}" for (c, p), seen in known.items() for f, t in seen.items() if now - t < seconds)
+        return (kept,), pd.DataFrame(out, columns=["doc_id", "distance"]).astype({"doc_id": "Int64", "distance": "int32"})
 
     rows = pages.withColumn("simhash", dedup.fingerprint(F.col("text"))).drop("text")
     rows = rows.select("*", F.inline(dedup.choices(F.col("simhash"), most, agree)))
-    return by_key(rows, ["choice", "part"], "doc_id long, distance int", "seen string", ("",), step, ["ts", "doc_id"], seconds)
+    rows = rows.withColumn("near_key", F.pmod(F.xxhash64("choice", "part"), F.lit(keys)))
+    return by_key(rows, ["near_key"], "doc_id long, distance int", "seen string", ("",), step, ["ts", "doc_id"], seconds)
 
 
 def lru(events: DataFrame, node: str, key: str, capacity: int, seconds: float) -> DataFrame:

@@ -82,6 +82,16 @@ def test_fingerprints_of_texts_alone_are_those_of_tables(spark):
     assert alone == {r["doc_id"]: r["simhash"] for r in dedup.simhash(rows).collect()}
 
 
+def test_fingerprints_of_long_texts_take_time_in_proportion(spark):
+    import time
+
+    rows = spark.createDataFrame([(i, f"w{i} " * 7 + "some words that go on and on " * 12000) for i in range(2)], "doc_id long, text string")
+    began = time.time()
+    alone = {r["doc_id"]: r["f"] for r in rows.select("doc_id", dedup.fingerprint(F.col("text")).alias("f")).collect()}
+    assert time.time() - began < 60  # words taken anew for each run would take hours
+    assert alone == {r["doc_id"]: r["simhash"] for r in dedup.simhash(rows).collect()}
+
+
 @pytest.mark.parametrize("steps", [1, 4])
 def test_near_pages_are_known_after_restarts(spark, steps):
     rows = _pages()
@@ -100,6 +110,26 @@ def test_near_pages_are_known_after_restarts(spark, steps):
     assert sum(x <= 3 for x in everyone) > len(want)  # some are forgotten
 
 
+def test_near_pages_meet_in_few_groups(spark):
+    rows = _pages(4)
+    calls = spark.sparkContext.accumulator(0)
+    plain = state.by_key
+
+    def counted(events, keys, out, kind, start, step, order, idle):
+        def run(held, frame):
+            calls.add(1)
+            return step(held, frame)
+
+        return plain(events, keys, out, kind, start, run, order, idle)
+
+    frame = spark.createDataFrame(rows, "doc_id long, ts double, text string, distance string").withColumn("ts", F.timestamp_seconds("ts"))
+    want = {tuple(r) for r in st.replayed(frame, lambda e: state.near_seen(e, 200.0), 2).collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(state, "by_key", counted)
+        got = {tuple(r) for r in st.replayed(frame, lambda e: state.near_seen(e, 200.0, keys=3), 2).collect()}
+    assert got == want and 0 < calls.value <= 2 * 3 + 3
+
+
 def test_quantiles_merge_in_any_order(spark):
     r = random.Random(5)
     values = [r.lognormvariate(0, 2) for _ in range(20000)]
