@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,16 @@ def query_terms(queries: DataFrame, tokens_of: Callable = text.index_tokens) ->
     return t.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
 
 
+#: Terms of queries up to which they go to the postings, which are not moved then.
+FEW = 1 << 16
+
+
+def _few(terms: DataFrame) -> DataFrame:
+    """terms, settled, and broadcast if they are few."""
+    terms = settle(terms)
+    return F.broadcast(terms) if terms.limit(FEW + 1).count() <= FEW else terms
+
+
 def scored(found: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
     """query_id, doc_id, score from postings of the terms of queries and the one row of corpus statistics."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
@@ -46,7 +59,7 @@ def scored(found: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
     weight = F.when(idf <= 0, 1e-6).otherwise(idf)
     tf = F.col("tf")
     gain = weight * tf * (scores.K1 + 1) / (tf + scores.K1 * (1 - scores.B + scores.B * F.col("len") / F.col("avg_len")))
-    rows = found.join(terms.join(df, "term"), "term").crossJoin(F.broadcast(stats))  # one row
+    rows = found.join(_few(terms.join(df, "term")), "term").crossJoin(F.broadcast(stats))  # one row
     return rows.groupBy("query_id", "doc_id").agg(F.sum(gain * F.col("times")).alias("score"), F.count("*").alias("held"), F.first("n_terms").alias("n_terms")).filter("held = n_terms").select("query_id", "doc_id", "score")
 
 
@@ -61,14 +74,45 @@ def bm25(docs: DataFrame, queries: DataFrame, tokens_of: Callable = text.index_t
     return scored(every.filter("term is not null"), terms, corpus(every))
 
 
+def _counted(held: DataFrame) -> DataFrame:
+    """doc_id, len, term, tf of rows (doc_id, tokens) in order of doc_id; rows of one doc_id in a task are one document, whose len is that of the longest row."""
+    kind = held.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        done: list[tuple] = []  # (doc_id, len, counts), of which the last may go on
+        for b in batches:
+            of = b.schema.field(0).type
+            for i, tokens in zip(b.column(0), b.column(1), strict=True):
+                i, tokens = i.as_py(), tokens.as_py() or []
+                if done and done[-1][0] == i:
+                    done[-1] = (i, max(done[-1][1], len(tokens)), done[-1][2] + Counter(tokens))
+                    continue
+                if len(done) >= 64:
+                    yield packed(done, of)
+                    done = []
+                done.append((i, len(tokens), Counter(tokens)))
+        if done:
+            yield packed(done, of)
+
+    def packed(done: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        own = pa.array(np.repeat(np.arange(len(done)), [len(c) for _, _, c in done]))
+        ids, lens = pa.array([i for i, _, _ in done], of), pa.array([n for _, n, _ in done], pa.int32())
+        return pa.RecordBatch.from_arrays([ids.take(own), lens.take(own), pa.array([t for _, _, c in done for t in c], pa.string()), pa.array([n for _, _, c in done for n in c.values()], pa.int64())], ["doc_id", "len", "term", "tf"])
+
+    return held.mapInArrow(run, f"doc_id {kind}, len int, term string, tf long")
+
+
 def build_index(docs: DataFrame, path: str, buckets: int = 64, slices: int = 8) -> None:
     """Writes the postings of docs by bucket of the term, and the corpus statistics.
 
-    A bucket's rows are dealt by document to so many tasks, hence files, so a term of all
-    documents is no task of its own, neither here nor when it is read.
+    Texts, which are smaller than their postings, are dealt by document, to `slices` tasks at
+    least; each writes its part of every bucket. So a term of all documents is no task of its
+    own, neither here nor when it is read. Rows of one doc_id count as one document.
     """
-    posts = postings(docs).withColumn("bucket", bucket_of(buckets))
-    posts.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    n = max(slices, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    dealt = docs.select("doc_id", F.concat_ws(" ", "title", "text").alias("whole")).repartition(n, "doc_id").sortWithinPartitions("doc_id")
+    posts = _counted(dealt.select("doc_id", text.index_tokens(F.col("whole")).alias("tokens"))).withColumn("bucket", bucket_of(buckets))
+    posts.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
     lengths = docs.select(F.size(text.index_tokens(F.concat_ws(" ", "title", "text"))).alias("len"))
     lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/corpus")
 
@@ -84,7 +128,7 @@ def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame) -> DataFram
     buckets = stats.first()["buckets"]
     terms = query_terms(queries)
     wanted = [r["b"] for r in terms.select(bucket_of(buckets).alias("b")).distinct().collect()]  # buckets
-    found = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted)).drop("bucket").join(terms.select("term").distinct(), "term", "left_semi")
+    found = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted)).drop("bucket").join(_few(terms.select("term").distinct()), "term", "left_semi")
     return scored(found, terms, stats.select("n_docs", "avg_len"))
 
 

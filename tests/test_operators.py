@@ -250,6 +250,18 @@ def test_scores_halfway_are_shown_as_sql_shows_them(spark):
         assert got[s] == duckdb.sql(f"SELECT format('{{:.4f}} (all={{:.3f}})', round({s!r}::DOUBLE, 4), round({s!r}::DOUBLE, 3)), round({s!r}::DOUBLE, 4)").fetchall()[0]
 
 
+def test_index_of_repeated_documents_moves_no_postings(spark, tmp_path):
+    rows = [(i % 90, f"title {i % 7}", " ".join(f"w{(i * j) % 23}" for j in range(i % 40)) or None) for i in range(150)] + [(None, "w1", "w2"), (None, "w1", "w3 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string").repartition(5)
+    path = str(tmp_path / "index")
+    search.build_index(docs, path, buckets=5, slices=3)
+    got = sorted(map(tuple, spark.read.parquet(f"{path}/postings").select(F.coalesce("doc_id", F.lit(-1)), "term", "tf").collect()))
+    want = Counter((-1 if i is None else i, w) for i, a, b in rows for w in f"{a} {b or ''}".split())
+    assert got == sorted((i, w, n) for (i, w), n in want.items())
+    # What is moved are the texts: the postings of many words are written where they are made.
+    assert len({r[0] for r in spark.read.parquet(f"{path}/postings").select(F.col("_metadata.file_name").substr(6, 5)).distinct().collect()}) <= 3
+
+
 def test_poor_snippets_give_way_to_longer_passages(spark):
     from lodestar.operators import results
 
