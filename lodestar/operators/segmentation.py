@@ -18,6 +18,10 @@ HAN, HANGUL = "㐀-䶿一-鿿豈-﫿", "가-힯"
 LONGEST, LEAST, COHESION, SIZE = 4, 3, 8.0, 200_000
 
 
+#: Strings that a task counts before it passes them on, and rows whose words are Python's at once.
+HELD, SLICE = 1 << 18, 64
+
+
 def counted(docs: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFrame:
     """gram, n: the strings of up to `longest` characters inside runs of one script, and how often they occur in all texts; counts are summed in tasks before they meet."""
     pattern = re.compile(f"[{HAN}]+|[{HANGUL}]+")
@@ -25,11 +29,11 @@ def counted(docs: DataFrame, text: str = "text", longest: int = LONGEST) -> Data
     def run(batches):
         for b in batches:
             counts: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                for r in pattern.findall(t or ""):
+            for t in b.column(0):
+                for r in pattern.findall(t.as_py() or ""):
                     for k in range(1, longest + 1):
                         counts.update(r[i : i + k] for i in range(len(r) - k + 1))
-                    if len(counts) > 1 << 20:
+                    if len(counts) > HELD:
                         yield table(counts)
                         counts.clear()
             yield table(counts)
@@ -108,10 +112,12 @@ def segmented(docs: DataFrame, costs: dict[str, float], key: str = "doc_id", tex
 
     def run(batches):
         for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                out.append([w for m in pattern.findall(t or "") for w in (_path(m, prices, unknown, longest) if own.match(m) else [m.lower()])])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], [key, "tokens"])
+            # The words of a whole batch of texts, as Python's strings, would be many times its size.
+            for i in range(0, b.num_rows, SLICE):
+                out = []
+                for t in b.column(1).slice(i, SLICE).to_pylist():
+                    out.append([w for m in pattern.findall(t or "") for w in (_path(m, prices, unknown, longest) if own.match(m) else [m.lower()])])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, SLICE), pa.array(out, pa.list_(pa.string()))], [key, "tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"{key} long, tokens array<string>")

@@ -60,3 +60,25 @@ def test_lexicon_equals_plain_counts_and_finds_the_words(spark):
 def test_a_long_run_takes_time_in_proportion():
     run = "天地人水火山石田土木金" * 20000
     assert len(sg.best_path(run, {"天地": 1.0, "人": 1.0})) > 100000
+
+
+def test_words_of_a_batch_are_never_all_held(spark, monkeypatch):
+    rows, _ = _corpus(random.Random(4))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    costs = sg.lexicon(df, cohesion=2.0)
+
+    class Spy:  # the function that segmented() gives to Spark, fed with one batch
+        def __init__(self, frame):
+            self.frame = frame
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            table = df.select("doc_id", "text").toArrow().combine_chunks().to_batches()
+            return list(run(iter(table)))
+
+    out = sg.segmented(Spy(df), costs)
+    assert len(out) > 1 and max(b.num_rows for b in out) <= sg.SLICE and sum(b.num_rows for b in out) == len(rows)
+    monkeypatch.setattr(sg, "HELD", 10)
+    assert sg.lexicon(df, cohesion=2.0) == costs
