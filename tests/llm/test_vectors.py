@@ -1,6 +1,6 @@
 import numpy as np
 
-from lodestar.llm import embeddings
+from lodestar.llm import embeddings, graph
 
 
 def _brute(rows, cosine=0.9):
@@ -78,3 +78,16 @@ def test_a_flat_axis_and_an_outlier(spark, monkeypatch):
     assert sorted(map(tuple, embeddings.near_vectors(df).collect())) == _brute(rows)
     grid = embeddings.Grid(np.array([v for _, v in flat]), 0.9)
     assert all(np.isfinite(grid.cells(grid.turn(np.array([[0.0, 0.0, 1.0, 0.0]])), k)).all() for k in range(len(grid.blocks)))
+
+
+def test_components_settle_each_table_once(spark, monkeypatch):
+    settled = []
+    monkeypatch.setattr(graph, "settle", lambda df, f=graph.settle: settled.append(df.columns) or f(df))
+    star = spark.createDataFrame([(1, 2), (3, 1), (1, 1), (9, 8)], "a long, b long")
+    assert sorted(map(tuple, graph.components(star).collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert settled == [["a", "b"], ["id", "to"], ["a", "b"]]
+    settled.clear()
+    path = spark.createDataFrame([(i, i + 1) for i in range(1, 7)], "a long, b long")
+    assert sorted(map(tuple, graph.components(path).collect())) == [(i, 1) for i in range(1, 8)]
+    assert settled[:3] == [["a", "b"], ["id", "to"], ["a", "b"]]
+    assert settled[3:] == [["id", "to"], ["id", "component"], ["a", "b"]] * (len(settled) // 3 - 1)
