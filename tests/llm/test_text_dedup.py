@@ -29,6 +29,19 @@ def test_byte_strings_match_brute_force(spark, rows):
     assert Counter(map(tuple, got)) == h.byte_removal(_plain(rows))
 
 
+def test_tasks_with_documents_but_no_repeated_bytes(spark):
+    shared = h.documents(1)[:40] + [(999, "a" * 900, *[None] * 10)]
+    alone = [(i, " ".join(h.vocabulary(50 + i, 150)), *[None] * 10) for i in range(30)]
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # more tasks than documents that lose bytes
+    try:
+        for some in (alone, shared + alone):
+            got = byte_strings.repeated_bytes(h.frame(spark, some)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+            assert Counter(map(tuple, got)) == h.byte_removal(_plain(some))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 @pytest.mark.parametrize("seed", [0, 7])
 def test_jaccard_matches_brute_force(spark, seed):
     rows = h.documents(seed, near=90)
