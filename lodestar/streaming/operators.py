@@ -17,6 +17,8 @@ LATE = "10 minutes"
 IDLE_DAYS = 60
 #: The column of a replay that marks its last event, which moves the watermark past all others and is in no result.
 CLOSING = "closing"
+#: The first time, in microseconds, that a watermark does not take for late, and the column of the microseconds by which an event is earlier.
+FIRST, EARLY = 1, "early"
 
 
 def timed(events: DataFrame, late: str = LATE) -> DataFrame:
@@ -57,13 +59,21 @@ def by_key(events: DataFrame, keys: list[str], out: str, state: str, start: tupl
     """Rows that step(values of the state, rows of a key in order) -> (new state, frame) makes of each micro-batch.
 
     A key's state is given up after so many seconds without events. Keys may be null.
+    A watermark begins at 1970 and what lies before it is late, so times before that go as
+    EARLY, how long before FIRST they are, beside FIRST itself.
     """
+    first = F.timestamp_micros(F.lit(FIRST))
+    early = F.greatest(F.lit(FIRST) - F.unix_micros("ts"), F.lit(0))
+    events = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumns({EARLY: F.coalesce(early, F.lit(0)), "ts": F.when(F.col("ts") < first, first).otherwise(F.col("ts"))})
 
     def run(key, batches, held):
         if held.hasTimedOut:
             held.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(order)
+        rows = pd.concat(list(batches))
+        if rows[EARLY].any():
+            rows["ts"] = rows["ts"].astype("datetime64[us]") - rows[EARLY].astype("timedelta64[us]")
+        rows = rows.sort_values(order)
         values, frame = step(held.get if held.exists else start, rows)
         held.update(values)
         # Never before the watermark, as that is not allowed.

@@ -110,6 +110,15 @@ def test_near_pages_are_known_after_restarts(spark, steps):
     assert sum(x <= 3 for x in everyone) > len(want)  # some are forgotten
 
 
+@pytest.mark.parametrize("earlier", [1e6, 1e10])
+def test_near_pages_before_1970_are_known(spark, earlier):
+    rows = [(i, t - earlier, text) for i, t, text, _ in _pages()]
+    frame = spark.createDataFrame(rows, "doc_id long, ts double, text string").withColumn("ts", F.timestamp_seconds("ts"))
+    later = frame.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.lit(earlier)))
+    least = lambda df: {r["doc_id"]: r["d"] for r in st.replayed(df, lambda e: state.near_seen(e, 200.0)).groupBy("doc_id").agg(F.min("distance").alias("d")).collect()}
+    assert (got := least(frame)) == least(later) and len(got) > 5
+
+
 def test_near_pages_meet_in_few_groups(spark):
     rows = _pages(4)
     calls = spark.sparkContext.accumulator(0)
