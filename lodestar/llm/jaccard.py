@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import deal, frugal, lean_batches, settle, tasks
+from ._spark import deal, discard, frugal, lean_batches, settle, small_side, tasks
 from ._text import among, mix, parts, utf8, windows, words
 from .graph import components
 from .substrings import _PACKED, _keys, _table, by_part, hash_part
@@ -41,6 +41,8 @@ CHUNK = 1 << 20
 SUBPARTS = 3
 #: Members of a signature group up to which its pairs are listed; larger groups meet through a hub.
 SMALL = 8
+#: Hubs of a turn up to which what is known of each is broadcast.
+HUBS = 1 << 16
 #: Sets, or pairs of them, unpacked at once.
 SLICE = 128
 #: Packed exchanges have as many tasks as this, or this part of the shuffle partitions if those are more: what a set takes beside its hashes is sent once for each task, so tasks that grow with the data would make the bytes of each hash grow, too.
@@ -535,7 +537,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _differences(k: int):
-    """Pairs (hub, id) with their packed texts to the shingles that only one of both has, keyed by hub, the hub's size and how many are the hub's (p) and the member's (q)."""
+    """Pairs (hub, id, x, y, c, open) with their packed texts to the shingles that only one of both has, keyed by hub, the hub's size and how many are the hub's (p) and the member's (q)."""
 
     @frugal
     def run(batches):
@@ -558,7 +560,7 @@ def _differences(k: int):
                 q = np.bincount(rows, mine, len(nx)).astype(np.int64)
                 at = np.searchsorted(rows, np.arange(len(nx) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nx.astype(np.int64)), pa.array(np.diff(at).astype(np.int64) - q), pa.array(q), lists], ["hub", "id", "r", "p", "q", "d"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nx.astype(np.int64)), pa.array(np.diff(at).astype(np.int64) - q), pa.array(q), part.column(4), part.column(5), lists], ["hub", "id", "r", "p", "q", "c", "open", "d"])
 
     return run
 
@@ -710,18 +712,32 @@ def _past_hubs(hubs: DataFrame, table: DataFrame, labels: DataFrame, k: int) ->
     members = hubs.select("hub", "id").join(l, "id", "left").withColumn("c", F.coalesce("c", "id"))
     mixed = members.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("hub")
     home = members.filter("hub = id").select("hub", F.col("c").alias("hc"))
-    members = settle(members.join(mixed, "hub").join(home, "hub"))
-    if members.isEmpty():
-        return members.select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    texts = members.filter("hub <> id").join(table.select(F.col("id").alias("hub"), F.col("packed").alias("x")), "hub").join(table.select("id", F.col("packed").alias("y")), "id")
-    apart = texts.select("hub", "id", "x", "y").mapInArrow(_differences(k), "hub long, id long, r long, p long, q long, d array<long>")
-    rows = settle(apart.withColumn("w", F.lit(100) * F.col("p") + F.lit(PERCENT) * F.col("q")).join(members.select("hub", "id", "c", (F.col("c") != F.col("hc")).alias("open")), ["hub", "id"]))
+    sizes = table.select("id", "n")
+    members = members.join(mixed, "hub").join(home, "hub").filter("hub <> id").join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("r")), "hub")
+    members = settle(members.select("hub", "id", "c", (F.col("c") != F.col("hc")).alias("open"), (F.col("n") + F.col("r")).alias("most")))
+    # A set is a member of more hubs as tables grow: hubs go by turns, with as many shingles in a turn as the table has, so that what is exchanged at once grows with the table alone.
+    all_keys, most = table.agg(F.sum("n")).first()[0], members.agg(F.sum("most")).first()[0]
+    turns = -(-(most or 0) // max(1, all_keys or 0))
+    found = None
+    for turn in range(turns):
+        pairs = _of_turn(members.filter(F.pmod(F.xxhash64(F.lit(7), "hub"), F.lit(turns)) == turn).drop("most"), table, k, n)
+        found = pairs if found is None else found.unionByName(pairs)
+    return members.select(F.col("hub").alias("a"), F.col("id").alias("b")) if found is None else found.distinct()
+
+
+def _of_turn(members: DataFrame, table: DataFrame, k: int, n: int) -> DataFrame:
+    """_past_hubs() of the members (hub, id, c, open) of some hubs."""
+    texts = members.join(table.select(F.col("id").alias("hub"), F.col("packed").alias("x")), "hub").join(table.select("id", F.col("packed").alias("y")), "id")
+    apart = texts.select("hub", "id", "x", "y", "c", "open").mapInArrow(_differences(k), "hub long, id long, r long, p long, q long, c long, open boolean, d array<long>")
+    rows = settle(apart.withColumn("w", F.lit(100) * F.col("p") + F.lit(PERCENT) * F.col("q")))
     least = settle(rows.groupBy("hub").agg(F.min("w").alias("least"), F.min(F.when(F.col("open"), F.col("w"))).alias("least_open")).filter("least_open is not null"))
     need = F.ceil((F.col("w") + F.when(F.col("open"), F.col("least")).otherwise(F.col("least_open")) - F.lit(100 - PERCENT) * F.col("r")) / (100 + PERCENT)).cast("long")
-    able = settle(rows.join(least, "hub").withColumn("need", F.greatest(need, F.lit(1).cast("long"))).filter("need <= p + q").select("hub", "id", "c", "open", "need", "d", (2 * F.col("w") - F.lit(100 - PERCENT) * F.col("r")).alias("v")))
+    able = rows.join(small_side(least, HUBS), "hub").withColumn("need", F.greatest(need, F.lit(1).cast("long"))).filter("need <= p + q").select("hub", "id", "c", "open", "need", "d", (2 * F.col("w") - F.lit(100 - PERCENT) * F.col("r")).alias("v"))
     useful = deal(able.mapInArrow(_deal_keys(n), _PACKED), n).mapInArrow(_useful_keys(n), _PACKED)
     rarest = deal(able.select("hub", "id", "c", "open", "need", "v").mapInArrow(_deal_members(n), _PACKED).unionByName(useful), n).mapInArrow(_rarest_keys(n), _PACKED)
-    return settle(deal(rarest, n).mapInArrow(_meet(), "a long, b long").distinct())
+    pairs = settle(deal(rarest, n).mapInArrow(_meet(), "a long, b long").distinct())
+    discard(rows)
+    return pairs
 
 
 def link(table: DataFrame, k: int = SHINGLE, hot: np.ndarray | None = None) -> DataFrame:

@@ -181,3 +181,22 @@ def test_known_strings_are_compared_byte_by_byte():
     want = [bytes(data[i : i + 16]) in {text[k : k + 16] for k in range(25)} | {text[k : k + 16] for k in range(10, 35)} for i in starts]
     assert known.holds(data, starts, prints).tolist() == want and sum(want) > 20 and not all(want)
     assert not len(byte_strings._NOTHING) and not byte_strings._NOTHING.holds(data, starts, prints).any()
+
+
+def test_hubs_of_many_members_go_by_turns(spark, monkeypatch):
+    import zstandard
+
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(common + [f"w{r.randrange(10**6)}" for _ in range(30)]) for _ in range(30)]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[:10]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    table = spark.createDataFrame([(i, len(s), zstandard.compress(t.encode())) for i, (t, s) in enumerate(zip(texts, sets, strict=True))], "id long, n long, packed binary")
+    hubs = spark.createDataFrame([(h, i) for h in range(12) for i in range(len(texts))], "hub long, id long")
+    settled, plain = [], jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", lambda df: (settled.append(df.selectExpr("sum(size(d))").first()[0] or 0) if "d" in df.columns else None) or plain(df))
+    got = {tuple(x) for x in jaccard._past_hubs(hubs, table, spark.createDataFrame([], "id long, component long"), 5).collect()}
+    near = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(near) == 10 and near <= got
+    # What sets the members of all hubs apart is never held at once.
+    assert max(settled) < sum(len(sets[a] ^ s) for a in range(12) for s in sets) / 2
