@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,23 +21,66 @@ LONGEST, LEAST, COHESION, SIZE = 4, 3, 8.0, 200_000
 
 #: Strings that a task counts before it passes them on, and rows whose words are Python's at once.
 HELD, SLICE = 1 << 18, 64
+#: Characters counted at once, and possible strings up to which each has a counter; characters of a run up to which paths are found side by side, and how many of them.
+CHARS, DENSE = 1 << 19, 1 << 22
+SHORT, RUNS = 256, 4096
+
+
+def _script(code: np.ndarray) -> np.ndarray:
+    """1 for the characters of HAN, 2 for those of HANGUL, else 0."""
+    out = np.zeros(len(code), np.int8)
+    for script, ranges in ((1, HAN), (2, HANGUL)):
+        for lo, hi in re.findall("(.)-(.)", ranges):
+            out[(code >= ord(lo)) & (code <= ord(hi))] = script
+    return out
+
+
+def _grams(text: str, longest: int):
+    """The strings of each length up to `longest` inside runs of one script, and how often they occur."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    script = _script(code)
+    at = np.flatnonzero(script)
+    chars, own = np.unique(code[at], return_inverse=True)
+    letter = np.full(len(code), -1, np.int64)
+    letter[at] = own
+    letters = [chr(c) for c in chars.tolist()]
+    grams, which = [""], np.zeros(len(at), np.int64)
+    for k in range(longest):
+        more = at + k < len(code)
+        more[more] = script[at[more] + k] == script[at[more]]
+        at, which = at[more], which[more]
+        if not len(at):
+            return
+        key = which * len(letters) + letter[at + k]
+        if len(grams) * len(letters) <= DENSE:
+            n = np.bincount(key, minlength=len(grams) * len(letters))
+            found = np.flatnonzero(n)
+            place = np.zeros(len(n), np.int64)
+            place[found] = np.arange(len(found))
+            which, n = place[key], n[found]
+        else:
+            found, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        grams = [grams[g // len(letters)] + letters[g % len(letters)] for g in found.tolist()]
+        yield grams, n.tolist()
 
 
 def counted(docs: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFrame:
     """gram, n: the strings of up to `longest` characters inside runs of one script, and how often they occur in all texts; counts are summed in tasks before they meet."""
-    pattern = re.compile(f"[{HAN}]+|[{HANGUL}]+")
-
     def run(batches):
+        counts: Counter = Counter()
         for b in batches:
-            counts: Counter = Counter()
-            for t in b.column(0):
-                for r in pattern.findall(t.as_py() or ""):
-                    for k in range(1, longest + 1):
-                        counts.update(r[i : i + k] for i in range(len(r) - k + 1))
+            held, size = [], 0
+            for i, t in enumerate(b.column(0), 1):
+                held.append(t.as_py() or "")
+                size += len(held[-1])
+                if size > CHARS or i == b.num_rows:
+                    for grams, n in _grams("\0".join(held), longest):
+                        counts.update(dict(zip(grams, n, strict=True)))
+                    held, size = [], 0
                     if len(counts) > HELD:
                         yield table(counts)
                         counts.clear()
-            yield table(counts)
+        yield table(counts)
 
     def table(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
@@ -95,6 +139,65 @@ def _path(run: str, prices: dict[str, int], unknown: int, longest: int) -> list[
     return out
 
 
+def _tree(prices: dict[str, int], longest: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The letters of the words and, for each length, the sorted keys (place of the string before among those of its length, letter) of what words begin with, and their prices, -1 for what is no word."""
+    letters = sorted({c for w in prices for c in w})
+    number = {c: i for i, c in enumerate(letters)}
+    levels, above = [], {"": 0}
+    for k in range(1, longest + 1):
+        keys = {w: above[w[:-1]] * len(letters) + number[w[-1]] for w in {w[:k] for w in prices if len(w) >= k}}
+        order = sorted(keys, key=keys.get)
+        levels.append((np.array([keys[w] for w in order], np.int64), np.array([prices.get(w, -1) for w in order], np.int64)))
+        above = {w: i for i, w in enumerate(order)}
+    return np.array([ord(c) for c in letters], np.int64), levels
+
+
+def _place(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where x is in a sorted array, and whether it is."""
+    at = np.minimum(np.searchsorted(sorted_, x), max(0, len(sorted_) - 1))
+    return at, (sorted_[at] == x) if len(sorted_) else np.zeros(len(x), bool)
+
+
+def _paths(runs: list[str], tree: tuple, unknown: int, longest: int) -> list[list[str]]:
+    """_path() of many runs at once, all from their ends on; the tree is that of the prices."""
+    letters, levels = tree
+    size = np.array([len(r) for r in runs], np.int64)
+    order = np.argsort(-size, kind="stable")
+    end = np.cumsum(size)[order]
+    letter, known = _place(letters, np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).astype(np.int64))
+    price = np.full((longest, len(letter)), -1, np.int64)
+    at, node = np.arange(len(letter)), np.zeros(len(letter), np.int64)
+    for k, (keys, prices) in enumerate(levels):
+        more = at + k < len(letter)
+        more[more] = known[at[more] + k]
+        at, node = at[more], node[more]
+        node, is_there = _place(keys, node * len(letters) + letter[at + k])
+        at, node = at[is_there], node[is_there]
+        price[k, at] = prices[node]
+    top = int(size.max())
+    total, words, step = (np.zeros((top + 1, len(runs)), t) for t in (np.int64, np.int32, np.uint8))
+    alive = np.searchsorted(-size[order], -np.arange(top + 1), "right")
+    for j in range(1, top + 1):
+        m = alive[j]
+        i = end[:m] - j
+        best, fewest, chosen = np.where(price[0, i] < 0, unknown + total[j - 1, :m], 1 << 62), words[j - 1, :m] + 1, np.zeros(m, np.uint8)
+        for k in range(min(longest, j), 0, -1):
+            p, n = price[k - 1, i], words[j - k, :m] + 1
+            cost = p + total[j - k, :m]
+            use = (p >= 0) & ((cost < best) | (cost == best) & ((n < fewest) | (chosen == 0)))
+            best, fewest, chosen = np.where(use, cost, best), np.where(use, n, fewest), np.where(use, np.uint8(k), chosen)
+        total[j, :m], words[j, :m], step[j, :m] = best, fewest, np.maximum(chosen, 1)
+    out: list[list[str]] = [[]] * len(runs)
+    for r, steps in zip(order.tolist(), np.ascontiguousarray(step.T), strict=True):
+        run, steps, i, found = runs[r], steps.tobytes(), 0, []
+        n = len(run)
+        while i < n:
+            found.append(run[i : i + steps[n - i]])
+            i += steps[n - i]
+        out[r] = found
+    return out
+
+
 def best_path(run: str, costs: dict[str, float], longest: int = LONGEST) -> list[str]:
     """The words of a run whose costs add up to the least; of equal sums the path of fewer words, then that of longer first words. An unknown character is a word that costs more than any known one."""
     return _path(run, *_prices(costs), longest)
@@ -111,12 +214,16 @@ def segmented(docs: DataFrame, costs: dict[str, float], key: str = "doc_id", tex
     prices, unknown = _prices(costs)
 
     def run(batches):
+        tree = _tree(prices, longest)
         for b in batches:
             # The words of a whole batch of texts, as Python's strings, would be many times its size.
             for i in range(0, b.num_rows, SLICE):
-                out = []
-                for t in b.column(1).slice(i, SLICE).to_pylist():
-                    out.append([w for m in pattern.findall(t or "") for w in (_path(m, prices, unknown, longest) if own.match(m) else [m.lower()])])
+                found = [pattern.findall(t or "") for t in b.column(1).slice(i, SLICE).to_pylist()]
+                runs = sorted({m for ms in found for m in ms if len(m) <= SHORT and own.match(m)}, key=len)
+                paths: dict[str, list[str]] = {}
+                for r in range(0, len(runs), RUNS):
+                    paths |= zip(runs[r : r + RUNS], _paths(runs[r : r + RUNS], tree, unknown, longest), strict=True)
+                out = [[w for m in ms for w in (paths.get(m) or (_path(m, prices, unknown, longest) if own.match(m) else [m.lower()]))] for ms in found]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, SLICE), pa.array(out, pa.list_(pa.string()))], [key, "tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))

@@ -62,6 +62,24 @@ def test_a_long_run_takes_time_in_proportion():
     assert len(sg.best_path(run, {"天地": 1.0, "人": 1.0})) > 100000
 
 
+def test_paths_side_by_side_are_those_of_each_run():
+    r = random.Random(8)
+    for n in (0, 4, 25):
+        costs = {"".join(r.choice(SIGNS[:5]) for _ in range(r.randint(1, 4))): float(r.randint(1, 3)) for _ in range(n)}
+        prices, unknown = sg._prices(costs)
+        runs = ["".join(r.choice(SIGNS[:6]) for _ in range(r.randint(1, 30))) for _ in range(200)]
+        assert sg._paths(runs, sg._tree(prices, 4), unknown, 4) == [sg.best_path(x, costs) for x in runs]
+
+
+def test_strings_of_a_chunk_are_not_counted_one_by_one(monkeypatch):
+    text = "\0".join("".join(random.Random(i).choice(SIGNS + "김치a") for _ in range(40)) for i in range(60))
+    runs = __import__("re").findall(f"[{sg.HAN}]+|[{sg.HANGUL}]+", text)
+    want = Counter(x[i : i + k] for x in runs for k in range(1, 5) for i in range(len(x) - k + 1))
+    for dense in (sg.DENSE, 0):
+        monkeypatch.setattr(sg, "DENSE", dense)
+        assert {g: n for grams, ns in sg._grams(text, 4) for g, n in zip(grams, ns, strict=True)} == want
+
+
 def test_words_of_a_batch_are_never_all_held(spark, monkeypatch):
     rows, _ = _corpus(random.Random(4))
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
